@@ -1 +1 @@
-
+"""Multi-step jobs: sample building, source models, transfer and adaptation."""

@@ -1 +1 @@
-
+"""Restartable incremental ingest on Structured Streaming."""
