@@ -34,8 +34,9 @@ def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> Data
     return spark.read.parquet(path).select(*columns)
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One JSON document per file, or one per line."""
+    return spark.read.option("multiLine", not lines).json(path)
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
