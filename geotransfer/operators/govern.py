@@ -54,9 +54,10 @@ def schema_hashes(spark, features: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "representation string, feature_n int, schema_hash string")
 
 
-def _set_hash(columns: Sequence[str]) -> list[Column]:
-    h = F.xxhash64(*[F.col(c) for c in columns])
-    return [F.sum(h.cast("decimal(38,0)"))]
+def content_hash(columns: Sequence[str]) -> Column:
+    """Order-free content hash: sum of the first 60 bits of each row's sha256."""
+    h = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
+    return F.sum(F.conv(F.substring(h, 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
 
 
 def freeze_summary(df: DataFrame, block: str, fold: str, response: str = RESPONSE,
@@ -67,9 +68,9 @@ def freeze_summary(df: DataFrame, block: str, fold: str, response: str = RESPONS
     from a handful of rows.
     """
     base = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(block).alias("block_count"),
-                  *[_set_hash(c)[0].cast("string").alias(n) for n, c in
-                    {"sample_ids_hash": [keys[0]], "row_key_hash": list(keys),
-                     "response_hash": [*keys, response]}.items()])
+                  content_hash([keys[0]]).alias("sample_ids_hash"),
+                  content_hash(keys).alias("row_key_hash"),
+                  content_hash([*keys, response]).alias("response_hash"))
     folds = df.groupBy(fold).agg(F.count(F.lit(1)).alias("c"))
     fold_map = folds.agg(F.map_from_entries(F.array_sort(F.collect_list(
         F.struct(F.col(fold).cast("string"), F.col("c")))))).scalar()

@@ -57,20 +57,25 @@ def quantile_edges(df: DataFrame, value: str, k: int, keys: Sequence[str] = ())
     return q.select(*keys, F.array_distinct(F.array(*names)).alias("edges"))
 
 
-def bin_of(value, edges: Column) -> Column:
-    """1-based right-closed bin; the lowest edge belongs to bin 1."""
+def bin_of(value, edges: Column, k: int) -> Column:
+    """1-based right-closed bin among at most ``k``; the lowest edge belongs to bin 1."""
     v = F.col(value) if isinstance(value, str) else value
-    inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
-    return F.when(v.isNotNull(), F.size(F.filter(inner, lambda e: e < v)) + 1).cast("int")
+    code = F.lit(1)
+    for i in range(2, k + 1):
+        above = (F.size(edges) > i) & (F.try_element_at(edges, F.lit(i)) < v)
+        code = code + F.when(above, 1).otherwise(0)
+    return F.when(v.isNotNull(), code)
 
 
 def quantile_bins(df: DataFrame, value: str, k: int, out: str,
                   keys: Sequence[str] = ()) -> DataFrame:
-    """Quantile binning; the edges are one small row per key."""
+    """Quantile binning; the edges are one small row per key (a scalar subquery without keys)."""
     edges = quantile_edges(df, value, k, keys)
     if keys:
-        return df.join(edges, list(keys)).withColumn(out, bin_of(value, F.col("edges"))).drop("edges")
-    return df.withColumn(out, bin_of(value, edges.select("edges").scalar()))
+        marked = df.join(edges.withColumnRenamed("edges", "_edges"), list(keys))
+    else:
+        marked = df.withColumn("_edges", edges.scalar())
+    return marked.withColumn(out, bin_of(value, F.col("_edges"), k)).drop("_edges")
 
 
 def fixed_edges(reference: DataFrame, value: str, k: int) -> list[float]:

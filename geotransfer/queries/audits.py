@@ -139,9 +139,9 @@ def bounded_indices(spark, sf):
 
 
 @query("large_groups", "B19", with_views("foot") + """
-    SELECT year, count(*) AS n FROM foot WHERE block = 'b7' GROUP BY year HAVING count(*) >= 40""")
+    SELECT block, year, count(*) AS n FROM foot GROUP BY block, year HAVING count(*) >= 40""")
 def large_groups(spark, sf):
-    return qa.large_groups(view(spark, sf, "foot").where("block = 'b7'"), ["year"], 40)
+    return qa.large_groups(view(spark, sf, "foot"), ["block", "year"], 40)
 
 
 _SUM = """count(agbd) AS {p}n, round(avg(agbd), 6) AS {p}mean, round({sd}(agbd), 6) AS {p}sd,
@@ -219,10 +219,10 @@ def json_cells(spark, sf):
            count(*) FILTER (WHERE palsar_qa IN (1, 255)) AS qa_land_n,
            count(*) FILTER (WHERE palsar_qa IN (1, 255) AND HH > 0 AND HV > 0) AS valid_n,
            round(1 - count(*) FILTER (WHERE palsar_qa IN (1, 255) AND HH > 0 AND HV > 0) / count(*), 6) AS missing_fraction
-    FROM foot f LEFT JOIN (SELECT * FROM v WHERE o_orderkey % 13 > 0) v
+    FROM foot f LEFT JOIN (SELECT * FROM v WHERE priority <> '5-LOW') v
          ON f.shot_number = v.shot_number AND f.year = v.year GROUP BY f.year""")
 def availability_audit(spark, sf):
-    got = view(spark, sf, "radar").where("o_orderkey % 13 > 0").drop("o_orderkey")
+    got = view(spark, sf, "radar").where("priority <> '5-LOW'").drop("o_orderkey", "priority")
     foot = view(spark, sf, "foot").select("shot_number", "year")
     land = radar.qa_is_valid("palsar_qa")
     out = qa.availability(foot, got, ["shot_number", "year"], land & (F.col("HH") > 0) & (F.col("HV") > 0),

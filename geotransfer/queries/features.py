@@ -156,7 +156,7 @@ _CONV_TEXT = ("SELECT shot_number, year, agbd, block AS spatial_block_id, fold A
               + ", ".join(_conv_sql(n, *v) for n, v in _CONV.items()) + " FROM {foot}")
 _EMB_TEXT = ("SELECT shot_number, year, "
              + ", ".join(f"((o_orderkey * {a}) % {m}) / {m}e0 - 5e-1 AS {n}" for n, (a, m) in _EMB.items())
-             + " FROM {foot} WHERE o_orderkey % 29 > 0")
+             + " FROM {foot} WHERE priority <> '2-HIGH'")
 
 
 def common_inputs(spark, sf):
@@ -164,7 +164,7 @@ def common_inputs(spark, sf):
     foot = view(spark, sf, "foot")
     conv = spark.sql(_CONV_TEXT, foot=foot).drop("o_orderkey")
     emb = spark.sql(_EMB_TEXT, foot=foot)
-    rad = radar.with_radar_features(view(spark, sf, "radar").where("year < 2001").drop("o_orderkey"))
+    rad = radar.with_radar_features(view(spark, sf, "radar").where("year < 2001").drop("o_orderkey", "priority"))
     return conv, emb, rad.withColumn("palsar_valid", radar.radar_valid())
 
 

@@ -108,7 +108,7 @@ def _pixels(spark, sf):
 _PIX = """pix AS (SELECT p_partkey % 40 AS px, p_partkey // 40 AS py, p_retailprice AS elevation,
     CAST(p_size AS DOUBLE) AS band1, CAST((p_partkey * 7) % 101 AS DOUBLE) AS band2 FROM part)"""
 _SHOT = """shot AS (SELECT o_orderkey, (o_custkey % 50) * 30e0 + 7 AS x, 1500e0 - (o_orderkey % 60) * 30e0 - 11 AS y FROM orders),
-    at AS (SELECT o_orderkey, CAST(floor(x / 30) AS BIGINT) AS px, CAST(floor((1500 - y) / 30) AS BIGINT) AS py FROM shot)"""
+    loc AS (SELECT o_orderkey, CAST(floor(x / 30) AS BIGINT) AS px, CAST(floor((1500 - y) / 30) AS BIGINT) AS py FROM shot)"""
 
 
 def _points(spark, sf):
@@ -119,7 +119,7 @@ def _points(spark, sf):
 
 
 @query("point_to_pixel", "C12 B17", f"WITH {_PIX}, {_SHOT}" + """
-    SELECT o_orderkey, at.px, at.py, elevation, band1, band2 FROM at JOIN pix ON at.px = pix.px AND at.py = pix.py""")
+    SELECT o_orderkey, loc.px, loc.py, elevation, band1, band2 FROM loc JOIN pix ON loc.px = pix.px AND loc.py = pix.py""")
 def point_to_pixel(spark, sf):
     return (spatial.point_to_pixel(_points(spark, sf), _pixels(spark, sf), ["px", "py"])
             .select("o_orderkey", "px", "py", "elevation", "band1", "band2"))
@@ -131,7 +131,7 @@ _OFFS = spatial.disc_offsets(25.0, 10.0)
 @query("neighbourhood_mean", "D30", f"""WITH {_PIX}, {_SHOT},
     off(dx, dy) AS (VALUES {', '.join(f'({i}, {j})' for i, j in _OFFS)}),""" + """
     m AS (SELECT o_orderkey, count(*) AS pixel_n, avg(band1) AS a, avg(band2) AS b
-          FROM at, off, pix WHERE pix.px = at.px + dx AND pix.py = at.py + dy GROUP BY o_orderkey)
+          FROM loc, off, pix WHERE pix.px = loc.px + dx AND pix.py = loc.py + dy GROUP BY o_orderkey)
     SELECT o_orderkey, pixel_n, round(a / nullif(sqrt(a * a + b * b), 0), 6) AS band1,
            round(b / nullif(sqrt(a * a + b * b), 0), 6) AS band2 FROM m""")
 def neighbourhood_mean(spark, sf):
@@ -143,8 +143,8 @@ def neighbourhood_mean(spark, sf):
     z AS (SELECT o_orderkey, count(*) AS n, max(CASE WHEN dx = 0 AND dy = 0 THEN band2 END) AS elevation,
       (sum(CASE WHEN dx = 1 THEN band2 * (2 - abs(dy)) ELSE 0 END) - sum(CASE WHEN dx = -1 THEN band2 * (2 - abs(dy)) ELSE 0 END)) / 240e0 AS gx,
       (sum(CASE WHEN dy = -1 THEN band2 * (2 - abs(dx)) ELSE 0 END) - sum(CASE WHEN dy = 1 THEN band2 * (2 - abs(dx)) ELSE 0 END)) / 240e0 AS gy
-      FROM at, (SELECT a.i AS dx, b.i AS dy FROM (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(i)), pix
-      WHERE pix.px = at.px + dx AND pix.py = at.py + dy GROUP BY o_orderkey),
+      FROM loc, (SELECT a.i AS dx, b.i AS dy FROM (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(i)), pix
+      WHERE pix.px = loc.px + dx AND pix.py = loc.py + dy GROUP BY o_orderkey),
     s AS (SELECT *, degrees(atan2(-gx, -gy)) AS asp FROM z)
     SELECT o_orderkey, elevation, CASE WHEN n = 9 THEN round(degrees(atan(sqrt(gx * gx + gy * gy))), 6) END AS slope,
            CASE WHEN n = 9 THEN round(CASE WHEN asp < 0 THEN asp + 360 ELSE asp END, 6) END AS aspect FROM s""")

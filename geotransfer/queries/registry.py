@@ -38,7 +38,7 @@ def query(name: str, operators: str, oracle: str | None = None):
 VIEWS = {
     # Clean footprints of two domains with a formula prediction.
     "foot": """
-        SELECT o_orderkey, o_custkey,
+        SELECT o_orderkey, o_custkey, o_orderstatus AS status, o_orderpriority AS priority,
                CAST(100000000000000000 + o_orderkey AS STRING) AS shot_number,
                CAST(year(o_orderdate) AS INT) AS year,
                CASE WHEN year(o_orderdate) < 1999 THEN 'source' ELSE 'target' END AS domain,
@@ -71,7 +71,7 @@ VIEWS = {
     # Radar pixels sampled at footprints.
     "radar": """
         SELECT CAST(100000000000000000 + o_orderkey AS STRING) AS shot_number,
-               CAST(year(o_orderdate) AS INT) AS year, o_orderkey,
+               CAST(year(o_orderdate) AS INT) AS year, o_orderkey, o_orderpriority AS priority,
                CAST((o_orderkey * 37) % 9000 - 100 AS DOUBLE) AS HH,
                CAST((o_orderkey * 53) % 5000 - 50 AS DOUBLE) AS HV,
                CAST(CASE o_orderkey % 10 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 50 WHEN 3 THEN 42

@@ -129,22 +129,22 @@ def chunk_assignment(spark, sf):
 
 
 _DELIVERED = """
-    base AS (SELECT o_orderkey, CAST(o_orderkey % 7 AS INT) AS chunk, year, f1, f2 FROM foot),
+    base AS (SELECT o_orderkey, CAST(o_orderkey % 7 AS INT) AS chunk, year, f1, f2, status, agbd FROM foot),
     delivered AS (
-        SELECT o_orderkey, chunk, year, CASE WHEN chunk = 1 AND o_orderkey % 131 = 0 THEN NULL ELSE f1 END AS f1,
-               f2 FROM base WHERE NOT (chunk IN (2, 5) AND o_orderkey % 97 = 0)
-        UNION ALL SELECT o_orderkey, chunk, year, f1, f2 FROM base WHERE chunk = 3 AND o_orderkey % 211 = 0
-        UNION ALL SELECT -1 - o_orderkey, chunk, year, f1, f2 FROM base WHERE chunk = 4 AND o_orderkey % 307 = 0)"""
+        SELECT o_orderkey, chunk, year, CASE WHEN chunk = 1 AND agbd > 490 THEN NULL ELSE f1 END AS f1,
+               f2 FROM base WHERE NOT (chunk IN (2, 5) AND agbd < 20)
+        UNION ALL SELECT o_orderkey, chunk, year, f1, f2 FROM base WHERE chunk = 3 AND status = 'P'
+        UNION ALL SELECT -1 - o_orderkey, chunk, year, f1, f2 FROM base WHERE chunk = 4 AND status = 'P')"""
 
 
 def _delivered(spark, sf):
+    """Expected rows, and a delivery with masked, repeated, foreign and missing values."""
     base = view(spark, sf, "foot").select("o_orderkey", (F.col("o_orderkey") % 7).cast("int").alias("chunk"),
-                                          "year", "f1", "f2")
-    k, c = F.col("o_orderkey"), F.col("chunk")
-    main = base.where(~(c.isin(2, 5) & (k % 97 == 0))).withColumn(
-        "f1", F.when(~((c == 1) & (k % 131 == 0)), F.col("f1")))
-    again = base.where((c == 3) & (k % 211 == 0))
-    foreign = base.where((c == 4) & (k % 307 == 0)).withColumn("o_orderkey", -1 - k)
+                                          "year", "f1", "f2", "status", "agbd")
+    main = base.where("NOT (chunk IN (2, 5) AND agbd < 20)").withColumn(
+        "f1", F.expr("CASE WHEN chunk = 1 AND agbd > 490 THEN NULL ELSE f1 END"))
+    again = base.where("chunk = 3 AND status = 'P'")
+    foreign = base.where("chunk = 4 AND status = 'P'").withColumn("o_orderkey", -1 - F.col("o_orderkey"))
     return base, main.unionByName(again).unionByName(foreign)
 
 
@@ -167,10 +167,10 @@ def chunk_audit(spark, sf):
 
 
 @query("candidate_choice", "A14", with_views("foot", more="""
-    base AS (SELECT o_orderkey, CAST(o_orderkey % 5 AS INT) AS chunk FROM foot),
-    files AS (SELECT o_orderkey, chunk, 'full' AS file FROM base WHERE chunk <> 2 OR o_orderkey % 3 > 0
-        UNION ALL SELECT o_orderkey, chunk, 'part' FROM base WHERE o_orderkey % 2 = 0
-        UNION ALL SELECT CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey - 1 ELSE o_orderkey END, chunk, 'alien' FROM base),
+    base AS (SELECT o_orderkey, CAST(o_orderkey % 5 AS INT) AS chunk, status, agbd FROM foot),
+    files AS (SELECT o_orderkey, chunk, 'full' AS file FROM base WHERE chunk <> 2 OR status <> 'P'
+        UNION ALL SELECT o_orderkey, chunk, 'part' FROM base WHERE agbd > 100
+        UNION ALL SELECT CASE WHEN status = 'P' THEN -o_orderkey - 1 ELSE o_orderkey END, chunk, 'alien' FROM base),
     s AS (SELECT f.chunk, f.file, count(*) AS row_n, count(b.o_orderkey) AS hit_n,
                  count(*) FILTER (WHERE b.o_orderkey IS NULL) AS foreign_n
           FROM files f LEFT JOIN base b ON f.chunk = b.chunk AND f.o_orderkey = b.o_orderkey GROUP BY ALL),
@@ -181,11 +181,11 @@ def chunk_audit(spark, sf):
              count(*) FILTER (WHERE exact) OVER (PARTITION BY chunk) AS exact_n,
              row_number() OVER (PARTITION BY chunk ORDER BY exact DESC, hit_n DESC, file) AS k FROM e) WHERE k = 1""")
 def candidate_choice(spark, sf):
-    base = view(spark, sf, "foot").select("o_orderkey", (F.col("o_orderkey") % 5).cast("int").alias("chunk"))
-    k = F.col("o_orderkey")
-    full = base.where((F.col("chunk") != 2) | (k % 3 > 0)).withColumn("file", F.lit("full"))
-    part = base.where(k % 2 == 0).withColumn("file", F.lit("part"))
-    alien = (base.withColumn("o_orderkey", F.when(k % 11 == 0, -k - 1).otherwise(k))
+    base = view(spark, sf, "foot").select("o_orderkey", (F.col("o_orderkey") % 5).cast("int").alias("chunk"),
+                                          "status", "agbd")
+    full = base.where("chunk <> 2 OR status <> 'P'").withColumn("file", F.lit("full"))
+    part = base.where("agbd > 100").withColumn("file", F.lit("part"))
+    alien = (base.withColumn("o_orderkey", F.expr("CASE WHEN status = 'P' THEN -o_orderkey - 1 ELSE o_orderkey END"))
              .withColumn("file", F.lit("alien")))
     rows = full.unionByName(part).unionByName(alien)
     choice = chunks.choose_candidates(rows, base, "o_orderkey", "chunk", "file")
@@ -217,7 +217,8 @@ def twin_sink(spark, sf):
       SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) AS k FROM obs) WHERE k = 1""")
 def manifest_upsert(spark, sf):
     obs = view(spark, sf, "obs").select("user_id", "event_type", "event_id", "value", "ts")
-    old, new = obs.where("event_id % 2 = 0"), obs.where("event_id % 2 = 1")
+    half = F.lit("2024-01-15").cast("timestamp")
+    old, new = obs.where(F.col("ts") < half), obs.where(F.col("ts") >= half)
     return writers.upsert_manifest(old, new, ["user_id", "event_type"], "ts").drop("ts")
 
 
@@ -236,17 +237,18 @@ def file_checksums(spark, sf):
 
 @query("ingest_restart", "A12 ST1 ST2 ST3", with_views("obs") + """
     SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids, CAST((SELECT count(*) FROM obs) AS BIGINT)
-           AS ledger_rows, (SELECT count(*) FROM obs WHERE event_id % 10 = 0) AS rejected
+           AS ledger_rows, (SELECT count(*) FROM obs WHERE ts >= TIMESTAMP '2024-01-14'
+                            AND ts < TIMESTAMP '2024-01-16') AS rejected
     FROM obs GROUP BY event_type""")
 def ingest_restart(spark, sf):
-    """Two deliveries, the second repeating a tenth of the first; the job runs three times."""
+    """Two deliveries that overlap by two days; the job runs three times."""
     out = scratch(spark, "ingest")
     obs = table(spark, sf, "events")
-    obs.where("event_id % 2 = 0").write.parquet(f"{out}/in/a")
+    obs.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp")).write.parquet(f"{out}/in/a")
     args = dict(schema=obs.schema, out=f"{out}/out", keys=["event_id"], partition="event_type",
                 options={"recursiveFileLookup": "true"})
     stream.ingest(spark, f"{out}/in", **args)
-    obs.where("event_id % 2 = 1 OR event_id % 10 = 0").write.parquet(f"{out}/in/b")
+    obs.where(F.col("ts") >= F.lit("2024-01-14").cast("timestamp")).write.parquet(f"{out}/in/b")
     stream.ingest(spark, f"{out}/in", **args)
     stream.ingest(spark, f"{out}/in", **args)
     got = stream.read_ingested(spark, f"{out}/out")
