@@ -7,7 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geotransfer.functions.numeric import close_to
-from geotransfer.operators.guards import (GuardError, refuse_rows, require_rows, unique_keys)
+from geotransfer.operators.guards import (GuardError, duplicate_keys, refuse_rows, require_rows,
+                                          unique_keys)
+from geotransfer.session import materialize, plan_bytes
+
+LOOKUP_BYTES = 16 * 1024 * 1024
+SALTS = 64
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows to a lookup table on keys that may be very popular.
+
+    The lookup is stored once and its size read from the files. Up to the limit
+    it is broadcast and the big side never moves. Beyond it, the big side is
+    spread over salts and the lookup is repeated once per salt.
+    """
+    stored = materialize(small)
+    if plan_bytes(stored) <= LOOKUP_BYTES:
+        return big.join(F.broadcast(stored), list(on), how)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS)).cast("int")
+    copies = stored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def validated_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
@@ -17,8 +37,11 @@ def validated_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     extra = [c for c in right.columns if c not in on and c not in left.columns]
     if validate == "one_to_one":
         left = unique_keys(left, on, "left table")
-    if validate in ("one_to_one", "many_to_one"):
         right = unique_keys(right, on, "right table")
+    elif validate == "many_to_one":
+        # A separate check keeps both join inputs plain shuffles, which is what
+        # lets Spark split a hot key of the many side.
+        refuse_rows(duplicate_keys(right, on), "duplicate key in right table")
     return left.join(right.select(*on, *extra), on, how)
 
 

@@ -49,7 +49,7 @@ def mean_baseline(df: DataFrame, fold: str, y="agbd") -> DataFrame:
     total = per.agg(F.struct(F.sum("_s").alias("s"), F.sum("_n").alias("n")).alias("t")).scalar()
     means = per.select(fold, ((total["s"] - F.col("_s")) / (total["n"] - F.col("_n")))
                        .alias("prediction"))
-    return df.join(means, fold)
+    return df.join(F.broadcast(means), fold)  # one row per fold
 
 
 def run_summary(runs: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -39,6 +39,7 @@ def nearest_source(source: DataFrame, target: DataFrame, source_id: str, target_
     tgt = target.select(F.col(target_id).alias("tid"), F.col(vector).alias("v"))
     id_type = src.schema["sid"].dataType.simpleString()
     t_type = tgt.schema["tid"].dataType.simpleString()
+    v_type = src.schema["v"].dataType.simpleString()
 
     chosen = src.orderBy(hash_key("pivot", "sid"), "sid").limit(pivots).select("v").collect()
     if not chosen:
@@ -53,8 +54,8 @@ def nearest_source(source: DataFrame, target: DataFrame, source_id: str, target_
                 yield pd.DataFrame({"sid": pdf["sid"], "v": pdf["v"], "cell": cell.astype(np.int32),
                                     "radius": d[np.arange(len(d)), cell]})
 
-    cells = materialize(src.withColumn("v", F.col("v").cast("array<double>")).mapInPandas(
-        to_cell, f"sid {id_type}, v array<double>, cell int, radius double"))
+    cells = materialize(src.mapInPandas(
+        to_cell, f"sid {id_type}, v {v_type}, cell int, radius double"))
     # At most one row per pivot.
     stats = {r.cell: (r.n, r.radius) for r in
              cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"),
@@ -71,8 +72,7 @@ def nearest_source(source: DataFrame, target: DataFrame, source_id: str, target_
             yield pd.DataFrame({"tid": pdf["tid"].to_numpy()[row], "v": pdf["v"].to_numpy()[row],
                                 "cell": cell.astype(np.int32)})
 
-    visits = materialize(tgt.withColumn("v", F.col("v").cast("array<double>"))
-                         .mapInPandas(candidates, f"tid {t_type}, v array<double>, cell int"))
+    visits = materialize(tgt.mapInPandas(candidates, f"tid {t_type}, v {v_type}, cell int"))
     demand = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     s_parts = {c: max(1, -(-n // block_rows)) for c, (n, _) in stats.items()}

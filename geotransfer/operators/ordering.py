@@ -44,19 +44,22 @@ def _spread(df: DataFrame, keys, order) -> DataFrame:
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str],
-                   following: str | None = None, distributed: bool | None = None) -> DataFrame:
+                   following: str | None = None, totals: dict[str, str] | None = None,
+                   distributed: bool | None = None) -> DataFrame:
     """Add inclusive running totals of ``sums`` (output name -> input column).
 
     Rows must be unique on (keys, order). ``following`` names a column that
-    receives the next larger value of ``order`` inside the key.
+    receives the next larger value of ``order`` inside the key, ``totals`` adds
+    whole-key sums (output name -> input column).
     """
-    keys = list(keys)
+    keys, totals = list(keys), totals or {}
     if distributed is None:
         distributed = not groups_fit_one_task(df, keys)
     if not distributed:
         w = _by(keys).orderBy(order)
         cols = {out: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
                 for out, c in sums.items()}
+        cols |= {out: F.sum(c).over(_by(keys)) for out, c in totals.items()}
         if following:
             cols[following] = F.lead(order).over(w)
         return df.withColumns(cols)
@@ -64,12 +67,13 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: str, sums: dict[st
     spread = _spread(df, keys, [order])
     parts = spread.groupBy(*keys, "_pid").agg(
         F.min(order).alias("_first"),
-        *[F.sum(c).alias(f"_t_{out}") for out, c in sums.items()])
+        *[F.sum(c).alias(f"_t_{out}") for out, c in {**sums, **totals}.items()])
     pw = _by(keys).orderBy("_pid")
     before = pw.rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
         *keys, "_pid",
         *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_o_{out}") for out in sums],
+        *[F.sum(f"_t_{out}").over(_by(keys)).alias(out) for out in totals],
         F.lead("_first").over(pw).alias("_next_first"))
     inner = Window.partitionBy(*keys, "_pid").orderBy(order)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -77,26 +81,32 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: str, sums: dict[st
     cols = {out: F.sum(c).over(upto) + F.col(f"_o_{out}") for out, c in sums.items()}
     if following:
         cols[following] = F.coalesce(F.lead(order).over(inner), F.col("_next_first"))
-    return joined.withColumns(cols).select(*df.columns, *cols)
+    return joined.withColumns(cols).select(*df.columns, *cols, *totals)
 
 
 def number_rows(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (),
-                name: str = "row_no", distributed: bool | None = None) -> DataFrame:
-    """1-based row number by ``order`` (a unique sort key) inside ``keys``."""
+                name: str = "row_no", total: str | None = None,
+                distributed: bool | None = None) -> DataFrame:
+    """1-based row number by ``order`` (a unique sort key) inside ``keys``.
+
+    ``total`` names a column for the number of rows in the key.
+    """
     keys, order = list(keys), list(order)
     if distributed is None:
         distributed = not groups_fit_one_task(df, keys)
     if not distributed:
-        return df.withColumn(name, F.row_number().over(_by(keys).orderBy(*order)).cast("long"))
+        out = df.withColumn(name, F.row_number().over(_by(keys).orderBy(*order)).cast("long"))
+        return out.withColumn(total, F.count(F.lit(1)).over(_by(keys))) if total else out
     spread = _spread(df, keys, order)
     parts = spread.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = _by(keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(*keys, "_pid",
+    sizes = [F.sum("_n").over(_by(keys)).alias(total)] if total else []
+    offsets = parts.select(*keys, "_pid", *sizes,
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inner = Window.partitionBy(*keys, "_pid").orderBy(*order)
     return (spread.join(offsets, [*keys, "_pid"])
             .withColumn(name, F.row_number().over(inner) + F.col("_off"))
-            .select(*df.columns, name))
+            .select(*df.columns, name, *([total] if total else [])))
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

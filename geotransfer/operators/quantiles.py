@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geotransfer.operators.ordering import (groups_fit_one_task, running_totals, value_counts)
-from geotransfer.session import materialize
 
 SUMMARY_PROBS = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75,
                  "p95": 0.95, "p99": 0.99}
@@ -30,10 +29,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
         exprs = [F.percentile(F.col(value), F.lit(p)).alias(out) for out, p in probs.items()]
         return clean.groupBy(*keys).agg(*exprs) if keys else clean.agg(*exprs)
 
-    counts = materialize(running_totals(value_counts(df, keys, value), keys, "value",
-                                        {"upto": "n"}, distributed=True))
-    totals = (counts.groupBy(*keys) if keys else counts).agg(F.sum("n").alias("total"))
-    ranked = counts.join(totals, keys) if keys else counts.withColumn("total", totals.scalar())
+    ranked = running_totals(value_counts(df, keys, value), keys, "value", {"upto": "n"},
+                            totals={"total": "n"}, distributed=True)
     at, out_cols = [], []
     for out, p in probs.items():
         h = (F.col("total") - 1) * F.lit(float(p))

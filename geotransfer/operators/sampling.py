@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geotransfer.functions.text import hash_key
 from geotransfer.operators.guards import refuse_rows
+from geotransfer.operators.joins import lookup_join
 from geotransfer.operators.ordering import number_rows, top_per_group
 from geotransfer.schemas import FEW_SHOT_BUDGETS, FEW_SHOT_SEEDS, FOLD, SEED
 
@@ -44,10 +45,8 @@ def hash_share(df: DataFrame, id_col: str, by: Sequence[str], share: float,
                seed: int = SEED) -> DataFrame:
     """Mark a stratified hold-out: the first ``share`` of each class in hash order."""
     ordered = df.withColumn("_h", hash_key(seed, id_col))
-    numbered = number_rows(ordered, ["_h", id_col], by, "_no")
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    return (numbered.join(n, list(by))
-            .withColumn("held_out", F.col("_no") <= F.floor(F.col("_n") * F.lit(share)))
+    numbered = number_rows(ordered, ["_h", id_col], by, "_no", total="_n")
+    return (numbered.withColumn("held_out", F.col("_no") <= F.floor(F.col("_n") * F.lit(share)))
             .drop("_h", "_no", "_n"))
 
 
@@ -109,8 +108,8 @@ def block_folds(df: DataFrame, block: str, k: int = 5, tie: Column | None = None
 
 
 def with_folds(df: DataFrame, folds: DataFrame, block: str) -> DataFrame:
-    """Add the fold by block (Spark broadcasts the fold table when its size allows)."""
-    return df.join(folds.select(block, FOLD), block)
+    """Add the fold by block; a block with very many rows stays where its rows are."""
+    return lookup_join(df, folds.select(block, FOLD), [block])
 
 
 def split_blocks(df: DataFrame, block: str, fold: str = FOLD) -> DataFrame:

@@ -12,10 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from geotransfer.operators.guards import GuardError, unique_keys
-from geotransfer.session import plan_bytes
-
-BROADCAST_BYTES = 64 * 1024 * 1024
+from geotransfer.operators.guards import GuardError, duplicate_keys, refuse_rows
+from geotransfer.operators.joins import lookup_join
 
 
 def polygon_frame(spark: SparkSession, polygons: dict[str, list[list[tuple[float, float]]]]) -> DataFrame:
@@ -65,8 +63,7 @@ def within_polygon(points: DataFrame, rings: DataFrame, lon: str = "lon", lat: s
                    slab: float = 0.25) -> DataFrame:
     """Points inside each polygon (boundary included), with the polygon id.
 
-    The bounding box goes to the scan first. The slab index is broadcast only
-    when its size is below the limit; a larger one is joined by shuffle.
+    The bounding box goes to the scan first.
     """
     e = edges(rings)
     box = e.agg(F.min("x1"), F.max("x1"), F.min("y1"), F.max("y1")).first()
@@ -75,10 +72,7 @@ def within_polygon(points: DataFrame, rings: DataFrame, lon: str = "lon", lat: s
     x, y = F.col(lon), F.col(lat)
     near = points.where(x.between(box[0], box[1]) & y.between(box[2], box[3]))
     near = near.withColumn("_slab", F.floor(y / F.lit(slab)))
-    index = slab_index(rings, slab)
-    if plan_bytes(index) <= BROADCAST_BYTES:
-        index = F.broadcast(index)
-    return (near.join(index, "_slab").where(_inside(x, y, F.col("_edges")))
+    return (lookup_join(near, slab_index(rings, slab), ["_slab"]).where(_inside(x, y, F.col("_edges")))
             .drop("_slab", "_edges"))
 
 
@@ -119,7 +113,8 @@ def point_to_pixel(points: DataFrame, pixels: DataFrame, on: Sequence[str] = ("y
     clash = (set(points.columns) & set(pixels.columns)) - set(on)
     if clash:
         raise GuardError(f"band names collide with point properties: {sorted(clash)}")
-    return points.join(unique_keys(pixels, on, "pixel table"), on, how)
+    refuse_rows(duplicate_keys(pixels, on), "pixel table repeats a pixel")
+    return points.join(pixels, on, how)
 
 
 def disc_offsets(radius: float, pixel: float) -> list[tuple[int, int]]:

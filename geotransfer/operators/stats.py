@@ -92,10 +92,10 @@ def two_sample(long: DataFrame, keys: Sequence[str], value: str, is_source: Colu
     counts = (long.where(F.col(value).isNotNull() & ~F.isnan(value))
               .groupBy(*keys, F.col(value).alias("value"))
               .agg(F.count_if(is_source).alias("ns"), F.count_if(~is_source).alias("nt")))
-    run = running_totals(counts, keys, "value", {"cs": "ns", "ct": "nt"}, "nxt", distributed)
-    totals = counts.groupBy(*keys).agg(F.sum("ns").alias("source_n"), F.sum("nt").alias("target_n"))
+    run = running_totals(counts, keys, "value", {"cs": "ns", "ct": "nt"}, "nxt",
+                         {"source_n": "ns", "target_n": "nt"}, distributed)
     gap = F.abs(F.col("cs") / F.col("source_n") - F.col("ct") / F.col("target_n"))
-    return (run.join(totals, keys).groupBy(*keys)
+    return (run.groupBy(*keys)
             .agg(F.max("source_n").alias("source_n"), F.max("target_n").alias("target_n"),
                  F.max(gap).alias("ks_statistic"),
                  F.sum(gap * (F.col("nxt") - F.col("value"))).alias("wasserstein_distance")))
@@ -184,7 +184,7 @@ def timing_shares(df: DataFrame, domain: str, reference: str, ts: str) -> DataFr
     d = df.withColumns({"year": F.year(ts), "month": F.month(ts), "_doy": F.dayofyear(ts)})
     limits = quantiles(d.where(F.col(domain) == reference), ["year"], "_doy",
                        {"doy_p05": 0.05, "doy_p95": 0.95})
-    marked = d.join(limits, "year", "left")
+    marked = d.join(F.broadcast(limits), "year", "left")  # one row per calendar year
     unusual = (F.col("_doy") < F.col("doy_p05")) | (F.col("_doy") > F.col("doy_p95"))
     rows = marked.groupBy(domain, "year", "month").agg(
         F.count(F.lit(1)).alias("N"), F.count_if(unusual).alias("unusual_n"))

@@ -94,13 +94,14 @@ def fit_ridge(df: DataFrame, features: Sequence[str], y: str = RESPONSE,
     """Ridge on standardised features by the normal equations (one distributed pass).
 
     The penalty is alpha times the squared weights against the summed squared
-    error, so the mean-error solver gets alpha / n.
+    error. Spark's solver minimises the mean error and divides its penalty by
+    the label's sd, so it is given alpha / n times that sd.
     """
     cols = safe_predictors(features)
     stats = scaler(df, cols)
     data = df.select(F.col(y).alias("label"), standardised(cols, stats).alias("features"))
-    n = df.count()
-    model = LinearRegression(regParam=alpha / n, elasticNetParam=0.0, standardization=False,
+    n, label_sd = data.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
+    model = LinearRegression(regParam=alpha / n * label_sd, elasticNetParam=0.0, standardization=False,
                              solver="normal").fit(data)
     weights = [w / stats[c][1] for w, c in zip(model.coefficients, cols)]
     shift = sum(w * stats[c][0] for w, c in zip(weights, cols))

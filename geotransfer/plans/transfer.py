@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from geotransfer.operators import govern
 from geotransfer.operators.guards import safe_predictors
+from geotransfer.operators.joins import lookup_join
 from geotransfer.operators.metrics import metric_columns, metrics
 from geotransfer.plans.models import assemble
 from geotransfer.schemas import FOLD, KEYS, RESPONSE
@@ -29,15 +30,15 @@ def evaluate(predictions: DataFrame, labels: DataFrame, freeze: DataFrame, name:
     return govern.unlock(predictions, labels, freeze, "zero_shot", name)
 
 
-def draw_rows(data: DataFrame, draws: DataFrame, id_col: str) -> DataFrame:
+def draw_rows(data: DataFrame, draws: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
     """Training rows of every cell (at most the largest budget each)."""
-    return draws.select(*CELL, id_col).join(data, id_col)
+    return draws.select(*CELL, id_col).join(data.select(id_col, *columns), id_col)
 
 
 def calibrations(data: DataFrame, draws: DataFrame, id_col: str, y: str = RESPONSE,
                  p: str = "prediction") -> DataFrame:
     """Bias correction and affine fit of each cell from its drawn labels."""
-    return draw_rows(data, draws, id_col).groupBy(*CELL).agg(
+    return draw_rows(data, draws, id_col, [y, p]).groupBy(*CELL).agg(
         F.avg(F.col(y) - F.col(p)).alias("bias_correction"),
         F.regr_slope(y, p).alias("affine_slope"),
         F.regr_intercept(y, p).alias("affine_intercept"),
@@ -48,19 +49,23 @@ def calibrated_runs(data: DataFrame, draws: DataFrame, id_col: str, y: str = RES
                     p: str = "prediction", fold: str = FOLD) -> DataFrame:
     """Metrics of bias-only and affine calibration on each cell's held-out fold.
 
-    A cell is a few numbers and there are folds x budgets x seeds of them, so
-    the held-out rows stay in place and meet the cells of their own fold.
-    Partial sums leave one row per cell and task for the shuffle.
+    A cell is a few numbers, so held-out rows stay in place and meet the cells
+    of their own fold; both methods are scored in the same pass, and partial
+    sums leave one row per cell and task for the shuffle.
     """
     cells = calibrations(data, draws, id_col, y, p)
     test = data.select(F.col(fold).alias("fold"), y, p)
-    j = test.join(cells, "fold")
-    bias = j.select(*CELL, "N_train", y, F.lit("bias_only").alias("method"),
-                    (F.col(p) + F.col("bias_correction")).alias("_p"))
-    affine = j.select(*CELL, "N_train", y, F.lit("affine").alias("method"),
-                      (F.col("affine_intercept") + F.col("affine_slope") * F.col(p)).alias("_p"))
-    return (bias.unionByName(affine).groupBy("method", *CELL, "N_train")
-            .agg(*metric_columns(y, "_p")).withColumnRenamed("N", "N_test"))
+    j = lookup_join(test, cells, ["fold"])
+    both = F.explode(F.array(
+        F.struct(F.lit("bias_only").alias("method"),
+                 (F.col(p) + F.col("bias_correction")).alias("p")),
+        F.struct(F.lit("affine").alias("method"),
+                 (F.col("affine_intercept") + F.col("affine_slope") * F.col(p)).alias("p"))))
+    scored = j.select(*CELL, "N_train", y, both.alias("_m"))
+    scored = scored.select(F.col("_m.method").alias("method"), *CELL, "N_train", y,
+                           F.col("_m.p").alias("_p"))
+    return (scored.groupBy("method", *CELL, "N_train").agg(*metric_columns(y, "_p"))
+            .withColumnRenamed("N", "N_test"))
 
 
 def local_models(data: DataFrame, draws: DataFrame, features: Sequence[str], id_col: str,
@@ -83,7 +88,7 @@ def local_models(data: DataFrame, draws: DataFrame, features: Sequence[str], id_
                              "weights": [[float(target.mean() - w @ mean), *map(float, w)]],
                              "N_train": [len(pdf)]})
 
-    rows = draw_rows(data, draws, id_col).select(*CELL, y, *cols)
+    rows = draw_rows(data, draws, id_col, [y, *cols]).drop(id_col)
     return rows.groupBy(*CELL).applyInPandas(
         fit, "fold int, budget int, seed int, weights array<double>, N_train long")
 
@@ -93,7 +98,7 @@ def local_runs(data: DataFrame, draws: DataFrame, features: Sequence[str], id_co
     """Held-out metrics of the local model of every cell."""
     cols = safe_predictors(features)
     models = local_models(data, draws, cols, id_col, y, alpha)
-    j = data.select(F.col(fold).alias("fold"), y, *cols).join(models, "fold")
+    j = lookup_join(data.select(F.col(fold).alias("fold"), y, *cols), models, ["fold"])
     score = F.col("weights")[0]
     for i, c in enumerate(cols, start=1):
         score = score + F.col("weights")[i] * F.col(c)

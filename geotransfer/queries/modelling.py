@@ -1 +1,121 @@
-"""placeholder"""
+"""Models on Spark MLlib and adaptation with small local models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from geotransfer.operators import govern, metrics as M
+from geotransfer.plans import domain_shift, source_cv, transfer
+from geotransfer.plans.models import SMALL, fit_ridge
+from geotransfer.queries.design import DRAWS, draws_of
+from geotransfer.queries.registry import query, rounded, select_rounded, table, view, with_views
+from geotransfer.queries.reporting import METRICS, _M
+from geotransfer.schemas import FOLD
+
+FEATURES = ["f1", "f2"]
+QUICK = [("random_forest", "rf_sqrt"), ("boosted_trees", "gbt_depth6")]
+
+
+def _data(spark, sf):
+    return (view(spark, sf, "foot").withColumn(FOLD, F.col("fold"))
+            .select("shot_number", "year", "domain", FOLD, "agbd", *FEATURES))
+
+
+# Ridge on two standardised features has a closed form: a 2x2 system per fold.
+def _ridge_ctes(train, by, alpha=10):
+    return f"""
+    mom AS (SELECT {by}, count(*) AS n, avg(agbd) AS my, avg(f1) AS m1, avg(f2) AS m2, stddev_pop(f1) AS s1, stddev_pop(f2) AS s2,
+            covar_pop(f1, agbd) / stddev_pop(f1) AS c1, covar_pop(f2, agbd) / stddev_pop(f2) AS c2,
+            covar_pop(f1, f2) / (stddev_pop(f1) * stddev_pop(f2)) AS r FROM {train} GROUP BY {by}),
+    sol AS (SELECT *, (n * c1 * (n + {alpha}) - n * r * n * c2) / ((n + {alpha}) * (n + {alpha}) - n * r * n * r) AS w1,
+            (n * c2 * (n + {alpha}) - n * r * n * c1) / ((n + {alpha}) * (n + {alpha}) - n * r * n * r) AS w2 FROM mom)"""
+
+
+@query("ridge_cv", "I4 I5 J9", with_views("foot", more="""
+    train AS (SELECT k.held, foot.* FROM foot, (SELECT unnest([0, 1, 2, 3, 4]) AS held) k WHERE foot.fold <> k.held),"""
+    + _ridge_ctes("train", "held") + """,
+    p AS (SELECT fold, agbd, my + w1 * (f1 - m1) / s1 + w2 * (f2 - m2) / s2 AS prediction FROM foot JOIN sol ON fold = held)""")
+    + f"SELECT fold AS spatial_fold, {_M} FROM p GROUP BY fold")
+def ridge_cv(spark, sf):
+    p = source_cv.ridge_cv(_data(spark, sf), FEATURES)
+    return select_rounded(M.metrics(p, by=[FOLD]), [FOLD, "N"], METRICS)
+
+
+@query("nested_tree_cv", "I1 I2 I9 I10 F4 F5")
+def nested_tree_cv(spark, sf):
+    """Nested spatial CV with small learners; every footprint gets one out-of-fold prediction."""
+    out = source_cv.nested_cv(_data(spark, sf), FEATURES, "pair", "shot_number", candidates=QUICK, profile=SMALL)
+    return M.metrics(out["oof"], by=["representation", FOLD, "model", "config"])
+
+
+@query("deployment_and_zero_shot", "I11 I21 K7")
+def deployment_and_zero_shot(spark, sf):
+    """Source model chosen by its own CV, label-free target scoring, freeze, unlock, metrics."""
+    data = _data(spark, sf)
+    model, _, _ = source_cv.deploy(data.where("domain = 'source'"), FEATURES, candidates=QUICK[:1], profile=SMALL)
+    target = data.where("domain = 'target'")
+    pred = transfer.predict(model, target.drop("agbd"), FEATURES)
+    freeze = govern.freeze_row(pred, "zero_shot", "pair")
+    joined = transfer.evaluate(pred, target.select("shot_number", "year", "agbd"), freeze, "pair")
+    return M.metrics(joined, by=["year"])
+
+
+@query("permutation_importance", "I12 E9")
+def permutation_importance(spark, sf):
+    out = source_cv.nested_cv(_data(spark, sf), FEATURES, "pair", "shot_number", candidates=QUICK[:1],
+                              profile=SMALL, importance_repeats=2)
+    return source_cv.top_features(out["importance"])
+
+
+@query("local_few_shot", "I15 J7 D22", with_views("foot", more=DRAWS + """,
+    train AS (SELECT d.fold AS held, d.budget, d.seed, f.agbd, f.f1, f.f2 FROM draws d JOIN foot f ON d.shot_number = f.shot_number),"""
+    + _ridge_ctes("train", "held, budget, seed") + """,
+    p AS (SELECT fold, budget, seed, n, agbd, my + w1 * (f1 - m1) / s1 + w2 * (f2 - m2) / s2 AS prediction FROM foot JOIN sol ON fold = held)""") + f"""
+    SELECT CAST(fold AS INT) AS fold, CAST(budget AS INT) AS budget, CAST(seed AS INT) AS seed, n AS "N_train", 'local_ridge' AS method,
+           {_M.replace('AS "N"', 'AS "N_test"')} FROM p GROUP BY fold, budget, seed, n""")
+def local_few_shot(spark, sf):
+    runs = transfer.local_runs(view(spark, sf, "foot"), draws_of(spark, sf), FEATURES, "shot_number", fold="fold")
+    return select_rounded(runs, ["fold", "budget", "seed", "N_train", "N_test", "method"], METRICS)
+
+
+def _embedded(spark, sf):
+    e = table(spark, sf, "embeddings").withColumn(
+        "domain", F.when(F.col("label") < 5, F.lit("source")).otherwise(F.lit("target")))
+    return domain_shift.vector_columns(e, "embedding", 64)
+
+
+BANDS = [f"A{i:02d}" for i in range(64)]
+
+
+@query("domain_separability", "I7 I8 J10 J11 F5")
+def domain_separability(spark, sf):
+    data = domain_shift.balanced(_embedded(spark, sf), "domain", "source", "vec_id", 20_000)
+    scores = domain_shift.domain_scores(data, BANDS[:8], "domain", "source", "vec_id")
+    return domain_shift.separability(scores)
+
+
+@query("source_pca", "I6 I5")
+def source_pca(spark, sf):
+    scores, variance = domain_shift.source_pca(_embedded(spark, sf), BANDS, "domain", "source", "vec_id", 2)
+    return (scores.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("pc")[0]).alias("pc1_mean"),
+                                         F.stddev_pop(F.col("pc")[0]).alias("pc1_sd"))
+            .withColumn("explained_variance", F.lit(sum(variance))))
+
+
+@query("projected_nearest_source", "C15")
+def projected_nearest_source(spark, sf):
+    near, variance = domain_shift.projected_distance(_embedded(spark, sf), BANDS, "domain", "source", "vec_id")
+    return near.agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("distance_mean"),
+                    F.median("distance").alias("distance_median")).withColumn("variance_fraction", F.lit(variance))
+
+
+@query("ridge_deployment", "I4 I11", with_views("foot", more="src AS (SELECT 1 AS one, * FROM foot WHERE domain = 'source'),"
+    + _ridge_ctes("src", "one")) + """
+    SELECT round(w1 / s1, 6) AS f1_weight, round(w2 / s2, 6) AS f2_weight, round(my - w1 / s1 * m1 - w2 / s2 * m2, 6) AS intercept,
+           (SELECT count(*) FROM foot WHERE domain = 'target') AS target_n FROM sol""")
+def ridge_deployment(spark, sf):
+    data = _data(spark, sf)
+    fit = fit_ridge(data.where("domain = 'source'"), FEATURES)
+    n = data.where("domain = 'target'").withColumn("prediction", fit.column()).agg(F.count("prediction").alias("target_n"))
+    return n.select("target_n", rounded(F.lit(fit.weights[0]), 6, "f1_weight"),
+                    rounded(F.lit(fit.weights[1]), 6, "f2_weight"), rounded(F.lit(fit.intercept), 6, "intercept"))

@@ -172,11 +172,11 @@ def paired_method_choice(spark, sf):
 # --- few-shot calibration on the shared draws --------------------------------
 _CAL = DRAWS + """,
     fit AS (SELECT d.fold, d.seed, d.budget, avg(agbd - prediction) AS b, regr_slope(agbd, prediction) AS s,
-            regr_intercept(agbd, prediction) AS i, count(*) AS n FROM draws d JOIN foot f ON d.shot_number = f.shot_number GROUP BY ALL)"""
+            regr_intercept(agbd, prediction) AS i, count(*) AS n_train FROM draws d JOIN foot f ON d.shot_number = f.shot_number GROUP BY ALL)"""
 _RUNS = _CAL + f""",
-    scored AS (SELECT 'bias_only' AS method, c.fold, budget, seed, n, agbd, prediction + b AS prediction FROM foot f JOIN fit c ON f.fold = c.fold
-        UNION ALL SELECT 'affine', c.fold, budget, seed, n, agbd, i + s * prediction FROM foot f JOIN fit c ON f.fold = c.fold),
-    runs AS (SELECT method, fold, budget, seed, n, {_RAW} FROM scored GROUP BY ALL)"""
+    scored AS (SELECT 'bias_only' AS method, c.fold, budget, seed, n_train, agbd, prediction + b AS prediction FROM foot f JOIN fit c ON f.fold = c.fold
+        UNION ALL SELECT 'affine', c.fold, budget, seed, n_train, agbd, i + s * prediction FROM foot f JOIN fit c ON f.fold = c.fold),
+    runs AS (SELECT method, fold, budget, seed, n_train, {_RAW} FROM scored GROUP BY ALL)"""
 
 
 def _calibrated(spark, sf):
@@ -185,7 +185,7 @@ def _calibrated(spark, sf):
 
 @query("calibration_parameters", "I13 I14", with_views("foot", more=_CAL) + """
     SELECT CAST(fold AS INT) AS fold, CAST(budget AS INT) AS budget, CAST(seed AS INT) AS seed, round(b, 6) AS bias_correction,
-           round(s, 6) AS affine_slope, round(i, 6) AS affine_intercept, n AS "N_train" FROM fit""")
+           round(s, 6) AS affine_slope, round(i, 6) AS affine_intercept, n_train AS "N_train" FROM fit""")
 def calibration_parameters(spark, sf):
     c = transfer.calibrations(view(spark, sf, "foot"), draws_of(spark, sf), "shot_number")
     return select_rounded(c, ["fold", "budget", "seed", "N_train"],
@@ -193,7 +193,7 @@ def calibration_parameters(spark, sf):
 
 
 @query("calibrated_runs", "I13 I14 J7", with_views("foot", more=_RUNS) + """
-    SELECT method, CAST(fold AS INT) AS fold, CAST(budget AS INT) AS budget, CAST(seed AS INT) AS seed, n AS "N_train",
+    SELECT method, CAST(fold AS INT) AS fold, CAST(budget AS INT) AS budget, CAST(seed AS INT) AS seed, n_train AS "N_train",
            round("R2", 6) AS "R2", round("RMSE", 6) AS "RMSE", round("MAE", 6) AS "MAE", round("Bias", 6) AS "Bias", "N" AS "N_test" FROM runs""")
 def calibrated_runs(spark, sf):
     return select_rounded(_calibrated(spark, sf), ["method", "fold", "budget", "seed", "N_train", "N_test"], METRICS)
