@@ -32,6 +32,25 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0.0))
 
 
+def _closest(a: np.ndarray, b: np.ndarray, rows: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Index and distance of the nearest row of ``b`` for each row of ``a``.
+
+    The matrix product finds the few rows that can be nearest within rounding;
+    those are measured directly, a slice of targets at a time.
+    """
+    best, dist = np.empty(len(a), dtype=np.int64), np.empty(len(a))
+    slack = 1e-7 * (1.0 + np.sqrt(max((a * a).sum(1).max(), (b * b).sum(1).max())))
+    for i in range(0, len(a), rows):
+        part = a[i:i + rows]
+        rough = _distances(part, b)
+        r, c = np.nonzero(rough <= rough.min(1, keepdims=True) + slack)
+        exact = np.sqrt(((part[r] - b[c]) ** 2).sum(1))
+        pick = np.lexsort((c, exact, r))
+        _, at = np.unique(r[pick], return_index=True)
+        best[i:i + rows], dist[i:i + rows] = c[pick][at], exact[pick][at]
+    return best, dist
+
+
 def nearest_source(source: DataFrame, target: DataFrame, source_id: str, target_id: str,
                    vector: str, pivots: int = 32, block_rows: int = 4096) -> DataFrame:
     """(target_id, source_id, distance): Euclidean nearest source; ties to the smaller id."""
@@ -93,11 +112,11 @@ def nearest_source(source: DataFrame, target: DataFrame, source_id: str, target_
         if not len(s) or not len(t):
             return pd.DataFrame({"tid": [], "sid": [], "distance": []})
         s = s.sort_values("sid")
-        a, b = _matrix(t["v"]), _matrix(s["v"])
-        best = _distances(a, b).argmin(1)
-        exact = np.sqrt(((a - b[best]) ** 2).sum(1))
-        return pd.DataFrame({"tid": t["tid"].to_numpy(), "sid": s["sid"].to_numpy()[best],
-                             "distance": exact})
+        b, first = np.unique(_matrix(s["v"]), axis=0, return_index=True)  # copies: smallest id
+        order = first.argsort()
+        b, ids = b[order], s["sid"].to_numpy()[first[order]]
+        best, dist = _closest(_matrix(t["v"]), b)
+        return pd.DataFrame({"tid": t["tid"].to_numpy(), "sid": ids[best], "distance": dist})
 
     keys = ["cell", "sb", "tb"]
     partial = (left.groupBy(*keys).cogroup(right.groupBy(*keys))
