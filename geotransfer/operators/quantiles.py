@@ -26,8 +26,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
         distributed = not groups_fit_one_task(df.select(*keys, value), keys)
     if not distributed:
         clean = df.where(~F.isnan(F.col(value).cast("double")))
-        exprs = [F.percentile(F.col(value), F.lit(p)).alias(out) for out, p in probs.items()]
-        return clean.groupBy(*keys).agg(*exprs) if keys else clean.agg(*exprs)
+        # One array-valued aggregate: the group's values are gathered once for all probabilities.
+        every = F.percentile(F.col(value), [float(p) for p in probs.values()]).alias("_q")
+        got = clean.groupBy(*keys).agg(every) if keys else clean.agg(every)
+        return got.select(*keys, *[F.col("_q")[i].alias(out) for i, out in enumerate(probs)])
 
     ranked = running_totals(value_counts(df, keys, value), keys, "value", {"upto": "n"},
                             totals={"total": "n"}, distributed=True)

@@ -6,22 +6,60 @@ partitioning, task order or retries.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geotransfer.functions.text import hash_key
-from geotransfer.operators.guards import refuse_rows
+from geotransfer.operators.guards import refuse_rows, require_rows
 from geotransfer.operators.joins import lookup_join
-from geotransfer.operators.ordering import number_rows, top_per_group
+from geotransfer.operators.ordering import SMALL_PLAN_BYTES, number_rows, top_per_group
 from geotransfer.schemas import FEW_SHOT_BUDGETS, FEW_SHOT_SEEDS, FOLD, SEED
+from geotransfer.session import plan_bytes
+
+
+def uniform_from_hash(c: Column) -> Column:
+    """Uniform in [0, 1) from the first 52 bits of a sha256 text."""
+    return F.conv(F.substring(c, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def _reach(k: int, n: Column) -> Column:
+    """A bound on the uniform below which the first ``k`` of ``n`` rows lie.
+
+    The expected number of rows below it is k plus twelve standard deviations
+    and sixty, so the chance of missing one is below 1e-30; callers still check.
+    """
+    return F.when(n <= 4 * k, F.lit(1.0)).otherwise((k + 12 * math.sqrt(k) + 60) / n)
+
+
+def _enough(df: DataFrame, keys: Sequence[str], k: int, n: str) -> DataFrame:
+    """Fail when the pre-filter left a group with fewer rows than it must return."""
+    left = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    checked = df.withColumn("_left", left)
+    return require_rows(checked, F.col("_left") >= F.least(F.col(n), F.lit(k)),
+                        "hash pre-filter was too narrow; use prefilter=False").drop("_left")
 
 
 def capped_sample(df: DataFrame, strata: Sequence[str], id_col: str, cap: int, seed: int = SEED,
-                  rank: str | None = None) -> DataFrame:
-    """min(N, cap) rows of each stratum; small strata are kept whole."""
-    return top_per_group(df, strata, [hash_key(seed, id_col), F.col(id_col)], cap, rank)
+                  rank: str | None = None, prefilter: bool | None = None) -> DataFrame:
+    """min(N, cap) rows of each stratum; small strata are kept whole.
+
+    On large inputs the stratum sizes are counted first and rows whose hash is
+    too large to be drawn never reach the shuffle, so a stratum with a third of
+    all rows sends little more than ``cap`` rows to its task.
+    """
+    strata, order = list(strata), hash_key(seed, id_col)
+    if prefilter is None:
+        prefilter = plan_bytes(df) > SMALL_PLAN_BYTES
+    if not prefilter:
+        return top_per_group(df, strata, [order, F.col(id_col)], cap, rank)
+    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+    near = (lookup_join(df.withColumn("_h", order), sizes, strata)
+            .where(uniform_from_hash(F.col("_h")) < _reach(cap, F.col("_n"))))
+    near = _enough(near, strata, cap, "_n")
+    return top_per_group(near, strata, [F.col("_h"), F.col(id_col)], cap, rank).drop("_h", "_n")
 
 
 def strata_audit(raw: DataFrame, sample: DataFrame, strata: Sequence[str], cap: int) -> DataFrame:
@@ -36,9 +74,19 @@ def strata_audit(raw: DataFrame, sample: DataFrame, strata: Sequence[str], cap:
         "as_expected": F.col("sampled_n") == F.least(F.col("raw_n"), F.lit(cap))})
 
 
-def row_cap(df: DataFrame, n: int, id_col: str, seed: int = SEED) -> DataFrame:
+def row_cap(df: DataFrame, n: int, id_col: str, seed: int = SEED,
+            prefilter: bool | None = None) -> DataFrame:
     """The ``n`` rows that come first in hash order (a bounded top-n, no full sort)."""
-    return (df.withColumn("_h", hash_key(seed, id_col)).orderBy("_h", id_col).limit(n).drop("_h"))
+    hashed = df.withColumn("_h", hash_key(seed, id_col))
+    if prefilter is None:
+        prefilter = plan_bytes(df) > SMALL_PLAN_BYTES
+    if prefilter:
+        total = df.count()
+        near = hashed.where(uniform_from_hash(F.col("_h")) < _reach(n, F.lit(total)))
+        if near.count() < min(n, total):
+            near = hashed
+        hashed = near
+    return hashed.orderBy("_h", id_col).limit(n).drop("_h")
 
 
 def hash_share(df: DataFrame, id_col: str, by: Sequence[str], share: float,
@@ -127,25 +175,30 @@ def label_draws(df: DataFrame, id_col: str, fold: str = FOLD, folds: Sequence[in
                 seeds: Sequence[int] = tuple(FEW_SHOT_SEEDS)) -> DataFrame:
     """Nested draws: for each (fold, seed) a prefix of one hash order of the other folds.
 
-    Only the largest budget's prefix survives the map side; smaller budgets are
-    prefixes of it. A budget larger than its pool is left out.
+    The pool sizes (one row per fold) bound the hash of every row that can be
+    drawn, so only about the largest budget's rows per cell leave the map side;
+    smaller budgets are prefixes. A budget larger than its pool is left out.
     """
     folds, budgets, seeds = list(folds), sorted(budgets), list(seeds)
+    per = df.groupBy(F.col(fold).cast("int").alias("_own")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = per.agg(F.struct(F.map_from_entries(F.collect_list(F.struct("_own", "_n"))).alias("m"),
+                             F.sum("_n").alias("t")).alias("s")).scalar()
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(s).alias("s"))
                                 for f in folds for s in seeds]))
-    pool = (df.select(F.col(id_col), F.col(fold).alias("_own")).withColumn("_c", cells)
-            .where(F.col("_own") != F.col("_c.f"))
-            .select(F.col("_c.f").alias("fold"), F.col("_c.s").alias("seed"), id_col))
-    order = F.sha2(F.concat_ws("|", F.col("seed"), F.col("fold"), F.col(id_col)), 256)
-    ranked = top_per_group(pool, ["fold", "seed"], [order, F.col(id_col)], budgets[-1], "rank")
-    per = df.groupBy(F.col(fold).alias("_own")).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = per.agg(F.map_from_entries(F.collect_list(F.struct("_own", "_n"))).alias("m"),
-                    F.sum("_n").alias("t"))
-    size = sizes.select(F.struct("m", "t")).scalar()
-    pool_n = size["t"] - F.coalesce(F.try_element_at(size["m"], F.col("fold")), F.lit(0))
+    pool = (df.select(F.col(id_col), F.col(fold).cast("int").alias("_own"), sizes.alias("_z"))
+            .withColumn("_c", cells).where(F.col("_own") != F.col("_c.f"))
+            .select(F.col("_c.f").alias("fold"), F.col("_c.s").alias("seed"), id_col,
+                    (F.col("_z.t") - F.coalesce(F.try_element_at("_z.m", F.col("_c.f")), F.lit(0)))
+                    .alias("pool_n")))
+    hashed = pool.withColumn(
+        "_h", F.sha2(F.concat_ws("|", F.col("seed"), F.col("fold"), F.col(id_col)), 256))
+    near = hashed.where(uniform_from_hash(F.col("_h")) < _reach(budgets[-1], F.col("pool_n")))
+    near = _enough(near, ["fold", "seed"], budgets[-1], "pool_n")
+    ranked = top_per_group(near, ["fold", "seed"], [F.col("_h"), F.col(id_col)], budgets[-1], "rank")
     budget = F.explode(F.array(*[F.lit(b) for b in budgets])).alias("budget")
-    return (ranked.select("fold", "seed", id_col, "rank", budget)
-            .where((F.col("rank") <= F.col("budget")) & (F.col("budget") <= pool_n)))
+    return (ranked.select("fold", "seed", id_col, "rank", "pool_n", budget)
+            .where((F.col("rank") <= F.col("budget")) & (F.col("budget") <= F.col("pool_n")))
+            .drop("pool_n"))
 
 
 def draw_integrity(draws: DataFrame, df: DataFrame, id_col: str, fold: str = FOLD) -> DataFrame:
@@ -162,11 +215,6 @@ def require_draws(draws: DataFrame, df: DataFrame, id_col: str, fold: str = FOLD
     refuse_rows(bad, "label draw broke its contract")
 
 
-def uniform_from_hash(c: Column) -> Column:
-    """Uniform in [0, 1) from the first 52 bits of a sha256 text."""
-    return F.conv(F.substring(c, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-
-
 def random_points(spark, n: int, box: tuple[float, float, float, float], seed: int) -> DataFrame:
     """Seeded points in a bounding box; the polygon test narrows them to an area."""
     x0, y0, x1, y1 = box

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -89,6 +91,38 @@ class LinearFit:
         return out
 
 
+def fold_moments(df: DataFrame, features: Sequence[str], y: str, fold: str) -> list:
+    """Per fold: count, sums and cross products about the overall means (one row per fold).
+
+    Two aggregates over the table serve every fold; any training set is the
+    total minus the held-out fold.
+    """
+    names = [*features, y]
+    means = df.agg(*[F.avg(c).alias(c) for c in names]).first()
+    d = [F.col(c) - F.lit(means[c]) for c in names]
+    cols = [F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(d)]]
+    cols += [F.sum(d[i] * d[j]).alias(f"c{i}_{j}") for i in range(len(d)) for j in range(i + 1)]
+    rows = df.groupBy(fold).agg(*cols).collect()
+    out = []
+    for r in rows:
+        s = np.array([r[f"s{i}"] for i in range(len(d))])
+        c = np.array([[r[f"c{max(i, j)}_{min(i, j)}"] for j in range(len(d))] for i in range(len(d))])
+        out.append((r[fold], r["n"], s, c))
+    return [np.array([means[c] for c in names]), out]
+
+
+def ridge_from_moments(features: Sequence[str], centre, n: int, s, c, alpha: float) -> LinearFit:
+    """Closed-form ridge on standardised features from count, sums and cross products."""
+    mean = s / n
+    cov = c / n - np.outer(mean, mean)
+    sd = np.sqrt(np.diag(cov)[:-1])
+    sd = np.where(sd > 0, sd, 1.0)
+    gram = cov[:-1, :-1] / np.outer(sd, sd)
+    w = np.linalg.solve(n * gram + alpha * np.eye(len(sd)), n * cov[:-1, -1] / sd) / sd
+    where = centre + mean
+    return LinearFit(tuple(features), tuple(map(float, w)), float(where[-1] - w @ where[:-1]))
+
+
 def fit_ridge(df: DataFrame, features: Sequence[str], y: str = RESPONSE,
               alpha: float = 10.0) -> LinearFit:
     """Ridge on standardised features by the normal equations (one distributed pass).

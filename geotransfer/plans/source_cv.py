@@ -8,18 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geotransfer.operators.guards import protect_stage
+from geotransfer.operators.guards import protect_stage, safe_predictors
 from geotransfer.operators.metrics import best_by_error, metrics
 from geotransfer.operators.ordering import number_rows, top_per_group
 from geotransfer.operators.sampling import outside_fold, row_cap
-from geotransfer.plans.models import CANDIDATES, FULL, Profile, assemble, build, fit_ridge
+from geotransfer.plans.models import (CANDIDATES, FULL, Profile, assemble, build, fit_ridge,
+                                      fold_moments, ridge_from_moments)
 from geotransfer.schemas import FOLD, RESPONSE, SEED
 
 TRAIN_CAP = 60_000
+MOMENT_FEATURES = 30
 TUNING = "model string, config string, inner_fold int, R2 double, RMSE double, MAE double, Bias double, N long"
 
 
@@ -33,15 +37,20 @@ def _fold_values(df: DataFrame, fold: str) -> list[int]:
 
 def inner_select(spark: SparkSession, train: DataFrame, fold: str = FOLD,
                  candidates: Sequence[tuple[str, str]] = tuple(CANDIDATES),
-                 profile: Profile = FULL) -> tuple[tuple[str, str], DataFrame]:
-    """Joint (family, config) choice by mean RMSE over the folds present in ``train``."""
-    rows = []
-    for hold in _fold_values(train, fold):
-        fit_on, test = train.where(F.col(fold) != hold), train.where(F.col(fold) == hold)
-        for family, config in candidates:
-            model = build(family, config, profile).fit(fit_on)
-            m = metrics(model.transform(test)).first()
-            rows.append((family, config, hold, m["R2"], m["RMSE"], m["MAE"], m["Bias"], m["N"]))
+                 profile: Profile = FULL, parallelism: int = 4) -> tuple[tuple[str, str], DataFrame]:
+    """Joint (family, config) choice by mean RMSE over the folds present in ``train``.
+
+    Independent fits are submitted side by side, as Spark's own CrossValidator does.
+    """
+    def score(cell):
+        hold, (family, config) = cell
+        model = build(family, config, profile).fit(train.where(F.col(fold) != hold))
+        m = metrics(model.transform(train.where(F.col(fold) == hold))).first()
+        return family, config, hold, m["R2"], m["RMSE"], m["MAE"], m["Bias"], m["N"]
+
+    cells = [(hold, c) for hold in _fold_values(train, fold) for c in candidates]
+    with ThreadPool(min(parallelism, len(cells))) as pool:
+        rows = pool.map(inheritable_thread_target(spark)(score), cells)
     tuning = spark.createDataFrame(rows, TUNING)
     mean = tuning.groupBy("model", "config").agg(F.avg("RMSE").alias("RMSE"))
     best = best_by_error(mean).first()
@@ -102,12 +111,25 @@ def deploy(df: DataFrame, features: Sequence[str], path: str | None = None, fold
 
 def ridge_cv(df: DataFrame, features: Sequence[str], fold: str = FOLD, y: str = RESPONSE,
              alpha: float = 10.0) -> DataFrame:
-    """Held-out ridge predictions for every fold."""
-    parts = []
-    for k in _fold_values(df, fold):
-        fit = fit_ridge(outside_fold(df, k, fold), features, y, alpha)
-        parts.append(df.where(F.col(fold) == k).withColumn("prediction", fit.column()))
-    return _union(parts)
+    """Held-out ridge predictions for every fold.
+
+    Up to ``MOMENT_FEATURES`` features, all folds come from two aggregates and
+    one scoring pass. Wider tables are fitted fold by fold by the solver.
+    """
+    cols = safe_predictors(features)
+    if len(cols) > MOMENT_FEATURES:
+        parts = []
+        for k in _fold_values(df, fold):
+            fit = fit_ridge(outside_fold(df, k, fold), cols, y, alpha)
+            parts.append(df.where(F.col(fold) == k).withColumn("prediction", fit.column()))
+        return _union(parts)
+    centre, rows = fold_moments(df, cols, y, fold)
+    n, s, c = (sum(r[i] for r in rows) for i in (1, 2, 3))
+    score = F.lit(None).cast("double")
+    for k, nk, sk, ck in rows:
+        fit = ridge_from_moments(cols, centre, n - nk, s - sk, c - ck, alpha)
+        score = F.when(F.col(fold) == k, fit.column()).otherwise(score)
+    return df.withColumn("prediction", score)
 
 
 def permutation_importance(model, held: DataFrame, features: Sequence[str], id_col: str,

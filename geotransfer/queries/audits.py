@@ -176,21 +176,21 @@ _MEANINGS = {0: "no data", 1: "land (scan)", 50: "water", 100: "lay over", 150:
 
 
 @query("qa_histogram", "D8 E2", with_views("obs") + f"""
-    SELECT domain AS "domain", qa, n, round(n * 1e0 / sum(n) OVER (PARTITION BY domain), 6) AS proportion,
+    SELECT domain AS "domain", qa, n, round(n * 1e0 / sum(n) OVER (PARTITION BY domain), 12) AS proportion,
            CASE qa {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _MEANINGS.items())} ELSE 'undocumented' END AS meaning
     FROM (SELECT domain, qa, count(*) AS n FROM obs GROUP BY ALL)""")
 def qa_histogram(spark, sf):
     h = stats.class_histogram(view(spark, sf, "obs"), ["domain"], "qa", _MEANINGS)
-    return h.withColumn("proportion", F.round("proportion", 6))
+    return h.withColumn("proportion", F.round("proportion", 12))
 
 
 @query("class_counts_with_null", "D9", with_views("obs") + """
     SELECT domain AS "domain", CASE WHEN qa <> 42 THEN qa END AS qa, count(*) AS n,
-           round(count(*) * 1e0 / sum(count(*)) OVER (PARTITION BY domain), 6) AS proportion
+           round(count(*) * 1e0 / sum(count(*)) OVER (PARTITION BY domain), 12) AS proportion
     FROM obs GROUP BY 1, 2""")
 def class_counts_with_null(spark, sf):
     obs = view(spark, sf, "obs").withColumn("qa", F.when(F.col("qa") != 42, F.col("qa")))
-    return stats.class_histogram(obs, ["domain"], "qa").withColumn("proportion", F.round("proportion", 6))
+    return stats.class_histogram(obs, ["domain"], "qa").withColumn("proportion", F.round("proportion", 12))
 
 
 @query("count_map_rows", "D10 D11 H23", with_views("foot") + """
@@ -218,7 +218,7 @@ def json_cells(spark, sf):
            count(*) FILTER (WHERE HH > 0) AS valid_hh_n, count(*) FILTER (WHERE HV > 0) AS valid_hv_n,
            count(*) FILTER (WHERE palsar_qa IN (1, 255)) AS qa_land_n,
            count(*) FILTER (WHERE palsar_qa IN (1, 255) AND HH > 0 AND HV > 0) AS valid_n,
-           round(1 - count(*) FILTER (WHERE palsar_qa IN (1, 255) AND HH > 0 AND HV > 0) / count(*), 6) AS missing_fraction
+           round(1 - count(*) FILTER (WHERE palsar_qa IN (1, 255) AND HH > 0 AND HV > 0) / count(*), 12) AS missing_fraction
     FROM foot f LEFT JOIN (SELECT * FROM v WHERE priority <> '5-LOW') v
          ON f.shot_number = v.shot_number AND f.year = v.year GROUP BY f.year""")
 def availability_audit(spark, sf):
@@ -228,7 +228,7 @@ def availability_audit(spark, sf):
     out = qa.availability(foot, got, ["shot_number", "year"], land & (F.col("HH") > 0) & (F.col("HV") > 0),
                           ["year"], {"valid_hh_n": F.col("HH") > 0, "valid_hv_n": F.col("HV") > 0,
                                      "qa_land_n": land})
-    return out.withColumn("missing_fraction", F.round("missing_fraction", 6))
+    return out.withColumn("missing_fraction", F.round("missing_fraction", 12))
 
 
 @query("common_years", "D18 G3", with_views("obs", more="""
@@ -245,13 +245,13 @@ def common_years(spark, sf):
 @query("coverage_by_block", "C8", with_views("foot", "radar") + """
     SELECT f.block, f.year, count(*) AS expected_n,
            CAST(count(r.shot_number) AS BIGINT) AS received_n,
-           round(1 - count(r.shot_number) / count(*), 6) AS missing_fraction
+           round(1 - count(r.shot_number) / count(*), 12) AS missing_fraction
     FROM foot f LEFT JOIN (SELECT * FROM radar WHERE palsar_qa IN (1, 255)) r
          ON f.shot_number = r.shot_number AND f.year = r.year GROUP BY ALL""")
 def coverage_by_block(spark, sf):
     got = view(spark, sf, "radar").where(radar.qa_is_valid("palsar_qa"))
     out = coverage_by(view(spark, sf, "foot"), got, ["shot_number", "year"], ["block", "year"])
-    return out.withColumn("missing_fraction", F.round("missing_fraction", 6))
+    return out.withColumn("missing_fraction", F.round("missing_fraction", 12))
 
 
 @query("norm_audit", "D28 H13", """
@@ -277,11 +277,11 @@ def norm_audit(spark, sf):
     r AS (SELECT domain, d.year, month, count(*) AS n, count(*) FILTER (WHERE doy < a OR doy > b) AS u
           FROM d LEFT JOIN l ON d.year = l.year GROUP BY ALL)""") + """
     SELECT domain AS "domain", year, month, n AS "N", u AS unusual_n,
-           round(n / sum(n) OVER (PARTITION BY domain, year), 6) AS fraction,
-           round(u / n, 6) AS unusual_fraction FROM r""")
+           round(n / sum(n) OVER (PARTITION BY domain, year), 12) AS fraction,
+           round(u / n, 12) AS unusual_fraction FROM r""")
 def timing_shares(spark, sf):
     t = stats.timing_shares(view(spark, sf, "obs"), "domain", "source", "ts")
-    return select_rounded(t, ["domain", "year", "month", "N", "unusual_n"], ["fraction", "unusual_fraction"])
+    return select_rounded(t, ["domain", "year", "month", "N", "unusual_n"], ["fraction", "unusual_fraction"], 12)
 
 
 @query("first_examples", "E4", with_views("foot") + """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from geotransfer.functions.text import hash_key
 from geotransfer.operators import sampling, stats
-from geotransfer.queries.registry import query, rounded, view, with_views
+from geotransfer.queries.registry import query, rounded, view, widened, with_views
 from geotransfer.schemas import FEW_SHOT_BUDGETS
 
 CAP = 30
@@ -34,11 +34,11 @@ def nested_subsample(spark, sf):
 
 @query("strata_audit", "D12 J2", with_views("foot") + f"""
     SELECT block, year, count(*) AS raw_n, least(count(*), {CAP}) AS sampled_n,
-           round(least(count(*), {CAP}) / count(*), 6) AS sampling_fraction, true AS as_expected
+           round(least(count(*), {CAP}) / count(*), 12) AS sampling_fraction, true AS as_expected
     FROM foot GROUP BY ALL""")
 def strata_audit(spark, sf):
     a = sampling.strata_audit(view(spark, sf, "foot"), sample(spark, sf), ["block", "year"], CAP)
-    return a.withColumn("sampling_fraction", F.round("sampling_fraction", 6))
+    return a.withColumn("sampling_fraction", F.round("sampling_fraction", 12))
 
 
 def _side(name, src):
@@ -131,7 +131,8 @@ DRAWS = f"""
 
 
 def draws_of(spark, sf, budgets=tuple(FEW_SHOT_BUDGETS)):
-    return sampling.label_draws(view(spark, sf, "foot"), "shot_number", "fold", budgets=budgets)
+    pool = widened(view(spark, sf, "foot").select("shot_number", "fold"))
+    return sampling.label_draws(pool, "shot_number", "fold", budgets=budgets)
 
 
 @query("label_draws", "J6", with_views("foot", more=DRAWS) + """

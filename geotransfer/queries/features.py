@@ -11,7 +11,7 @@ from geotransfer.operators.composite import median_composite, median_per_group
 from geotransfer.operators.guards import select_representation
 from geotransfer.operators.qa import exclusion_counts
 from geotransfer.plans import samples
-from geotransfer.queries.registry import (query, rounded, select_rounded, table, view, with_views)
+from geotransfer.queries.registry import (query, rounded, select_rounded, table, view, widened, with_views)
 from geotransfer.schemas import (C_BAND, DEM, EMBEDDING, INDICES, L_BAND, OPTICAL, REPRESENTATIONS)
 
 
@@ -26,12 +26,12 @@ def radar_features(spark, sf):
 
 
 @query("spectral_indices", "H5 H6", with_views("optical") + """
-    SELECT l_orderkey, px, py, round((B8 - B4) / (B8 + B4), 6) AS "NDVI",
-           round(2.5e0 * (B8 - B4) / nullif(B8 + 6 * B4 - 7.5e0 * B2 + 1, 0), 6) AS "EVI",
-           round((B8 - B11) / (B8 + B11), 6) AS "NDMI", round((B8 - B12) / (B8 + B12), 6) AS "NBR",
-           round((B8A - B5) / (B8A + B5), 6) AS "NDRE" FROM optical""")
+    SELECT l_orderkey, px, py, round((B8 - B4) / (B8 + B4), 12) AS "NDVI",
+           round(2.5e0 * (B8 - B4) / nullif(B8 + 6 * B4 - 7.5e0 * B2 + 1, 0), 12) AS "EVI",
+           round((B8 - B11) / (B8 + B11), 12) AS "NDMI", round((B8 - B12) / (B8 + B12), 12) AS "NBR",
+           round((B8A - B5) / (B8A + B5), 12) AS "NDRE" FROM optical""")
 def spectral_indices(spark, sf):
-    return select_rounded(spectral.with_indices(view(spark, sf, "optical")), ["l_orderkey", "px", "py"], INDICES)
+    return select_rounded(spectral.with_indices(view(spark, sf, "optical")), ["l_orderkey", "px", "py"], INDICES, 12)
 
 
 _CLEAR = """SCL NOT IN (1, 3, 8, 9, 10, 11) AND (QA60 & 1024) = 0 AND (QA60 & 2048) = 0"""
@@ -161,7 +161,7 @@ _EMB_TEXT = ("SELECT shot_number, year, "
 
 def common_inputs(spark, sf):
     """(conventional, embedding, radar) feature tables keyed by shot and year."""
-    foot = view(spark, sf, "foot")
+    foot = widened(view(spark, sf, "foot"))
     conv = spark.sql(_CONV_TEXT, foot=foot).drop("o_orderkey")
     emb = spark.sql(_EMB_TEXT, foot=foot)
     rad = radar.with_radar_features(view(spark, sf, "radar").where("year < 2001").drop("o_orderkey", "priority"))
@@ -187,12 +187,13 @@ _ALL_VALID = "ok AND B5 IS NOT NULL AND elevation IS NOT NULL AND A00 IS NOT NUL
 
 @query("common_sample", "C1 C3 B13", with_views("foot", "radar", more=_WIDE) + f"""
     SELECT shot_number, year, agbd, spatial_block_id, spatial_fold,
-           {', '.join(f'round({c}, 6) AS "{c}"' for c in C_BAND + OPTICAL + INDICES + DEM + EMBEDDING + L_BAND)}
+           {', '.join(f'{c} AS "{c}"' for c in C_BAND + OPTICAL + INDICES + DEM + EMBEDDING)},
+           {', '.join(f'round({c}, 6) AS "{c}"' for c in L_BAND)}
     FROM wide WHERE {_ALL_VALID}""")
 def common_sample(spark, sf):
     wide = samples.common_sample(*common_inputs(spark, sf), carry=CARRY)
-    return select_rounded(samples.keep_common(wide), ["shot_number", "year", *CARRY],
-                          C_BAND + OPTICAL + INDICES + DEM + EMBEDDING + L_BAND)
+    return select_rounded(samples.keep_common(wide), ["shot_number", "year", *CARRY, *C_BAND, *OPTICAL,
+                                                      *INDICES, *DEM, *EMBEDDING], L_BAND)
 
 
 @query("exclusion_counts", "D17", with_views("foot", "radar", more=_WIDE) + """

@@ -108,6 +108,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """Spread a plain scan that has fewer tasks than cores before heavy row work.
+
+    A table of one small file is read by one task. A table of many files has
+    tasks enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     text = VIEWS[name]
     used = [t for t in _TABLES if "{" + t + "}" in text]

@@ -60,15 +60,16 @@ def json_manifest_round_trip(spark, sf):
 
 
 @query("geojson_area_points", "A6 B5", with_views("foot", more="""
-    box AS (SELECT min(lon) + 1e0 AS x0, max(lon) - 1e0 AS x1, min(lat) + 5e-1 AS y0,
-                   max(lat) - 5e-1 AS y1 FROM foot)""") + """
+    box AS (SELECT min(lon) + (max(lon) - min(lon)) / 8e0 AS x0, max(lon) - (max(lon) - min(lon)) / 8e0 AS x1,
+                   min(lat) + (max(lat) - min(lat)) / 8e0 AS y0, max(lat) - (max(lat) - min(lat)) / 8e0 AS y1 FROM foot)""") + """
     SELECT year, count(*) AS n FROM foot, box
     WHERE lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 GROUP BY year""")
 def geojson_area_points(spark, sf):
     path = scratch(spark, "aoi")
     foot = view(spark, sf, "foot")
-    corner = foot.agg((F.min("lon") + 1).alias("x0"), (F.max("lon") - 1).alias("x1"),
-                      (F.min("lat") + 0.5).alias("y0"), (F.max("lat") - 0.5).alias("y1"))
+    w, h = F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat")
+    corner = foot.agg((F.min("lon") + w / 8).alias("x0"), (F.max("lon") - w / 8).alias("x1"),
+                      (F.min("lat") + h / 8).alias("y0"), (F.max("lat") - h / 8).alias("y1"))
     ring = F.array(*[F.array(F.col(x), F.col(y)) for x, y in
                      (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))])
     doc = corner.select(F.lit("Feature").alias("type"),

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from geotransfer.operators import sampling
@@ -18,9 +19,10 @@ def hot_frame(spark, n=3000, seed=3):
     return spark.createDataFrame(pdf), pdf
 
 
-def test_capped_sample_sizes_and_rows(spark):
+@pytest.mark.parametrize("prefilter", [False, True])
+def test_capped_sample_sizes_and_rows(spark, prefilter):
     df, pdf = hot_frame(spark)
-    got = sampling.capped_sample(df, ["block", "year"], "id", 20).toPandas()
+    got = sampling.capped_sample(df, ["block", "year"], "id", 20, prefilter=prefilter).toPandas()
     sizes = pdf.groupby(["block", "year"]).size()
     assert len(got) == np.minimum(sizes, 20).sum()
     pdf["h"] = [hashlib.sha256(f"42|{i}".encode()).hexdigest() for i in pdf.id]
@@ -122,3 +124,15 @@ def test_keep_latest_and_chunks(spark):
     assert {(r.k, r.w) for r in sampling.keep_latest(df, ["k"], "v").collect()} == {("a", "y"), ("b", "z")}
     c = spark.range(10).select(F.col("id"), F.lit(2020).alias("year"))
     assert [r.chunk for r in sampling.chunk_numbers(c, "year", ["id"], 4).orderBy("id").collect()] == [0] * 4 + [1] * 4 + [2] * 2
+
+
+@pytest.mark.parametrize("prefilter", [False, True])
+def test_row_cap_and_narrow_filter(spark, prefilter, monkeypatch):
+    df, pdf = hot_frame(spark)
+    want = sorted(pdf.id, key=lambda i: hashlib.sha256(f"42|{i}".encode()).hexdigest())[:40]
+    assert {r.id for r in sampling.row_cap(df, 40, "id", prefilter=prefilter).collect()} == set(want)
+    # A pre-filter that is too narrow is noticed: the cap falls back, the sample stops.
+    monkeypatch.setattr(sampling, "_reach", lambda k, n: F.lit(1e-3))
+    assert {r.id for r in sampling.row_cap(df, 40, "id", prefilter=True).collect()} == set(want)
+    with pytest.raises(PySparkException, match="too narrow"):
+        sampling.capped_sample(df, ["year"], "id", 20, prefilter=True).collect()
