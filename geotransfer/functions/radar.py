@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geotransfer.functions.numeric import _col, between, finite
-from geotransfer.schemas import VALID_QA
+from geotransfer.schemas import L_BAND, VALID_QA
 
 
 def gamma0_db(dn) -> Column:
@@ -45,6 +45,29 @@ def radar_valid(qa="palsar_qa") -> Column:
             & finite("palsar_hh_minus_hv_db"))
 
 
+def physics_violations(df: DataFrame, hh: str | None = None, hv: str | None = None) -> DataFrame:
+    """One row of counts: raw values not above zero, missing features, out-of-range features."""
+    raw = F.lit(False)
+    for c in (hh, hv):
+        if c:
+            raw = raw | F.coalesce(F.col(c) <= 0, F.lit(False))
+    missing = F.lit(False)
+    for c in L_BAND:
+        missing = missing | ~finite(c)
+    return df.agg(F.count_if(raw).alias("raw_not_positive"), F.count_if(missing).alias("missing_feature"),
+                  *[F.count_if(finite(c) & ~between(c, lo, hi)).alias(f"{c}_out_of_range")
+                    for c, lo, hi in (("palsar_hh_db", -60.0, 20.0), ("palsar_hv_db", -60.0, 20.0),
+                                      ("palsar_rfdi", -1.0, 1.0))])
+
+
+def require_physics(df: DataFrame, hh: str | None = None, hv: str | None = None) -> DataFrame:
+    """Stop on invalid logarithms, missing features or implausible ranges."""
+    found = {k: v for k, v in physics_violations(df, hh, hv).first().asDict().items() if v}
+    if found:
+        raise ValueError(f"radar physics check failed: {found}")
+    return df
+
+
 def qa_is_valid(value) -> Column:
     """Membership in the documented land classes; unreadable input is False."""
     return F.coalesce(_col(value).try_cast("int").isin(*VALID_QA), F.lit(False))

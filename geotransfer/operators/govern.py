@@ -89,9 +89,12 @@ def freeze_row(df: DataFrame, stage: str, name: str, columns: Sequence[str] | No
 
 def chain_mismatches(recorded: DataFrame, observed: DataFrame) -> DataFrame:
     """Inputs whose fingerprint is absent from, or differs from, the record."""
-    r = recorded.select("stage", "name", F.col("fingerprint").alias("recorded"))
-    o = observed.select("stage", "name", F.col("fingerprint").alias("observed"))
-    j = r.join(o, ["stage", "name"], "full_outer")
+    r = recorded.select("stage", "name", F.col("fingerprint").alias("recorded"),
+                        F.lit(None).cast("string").alias("observed"))
+    o = observed.select("stage", "name", F.lit(None).cast("string").alias("recorded"),
+                        F.col("fingerprint").alias("observed"))
+    j = r.unionByName(o).groupBy("stage", "name").agg(F.max("recorded").alias("recorded"),
+                                                      F.max("observed").alias("observed"))
     return j.where(~F.col("recorded").eqNullSafe(F.col("observed")))
 
 

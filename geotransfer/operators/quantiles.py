@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from geotransfer.operators.joins import lookup_join
 from geotransfer.operators.ordering import (groups_fit_one_task, running_totals, value_counts)
 
 SUMMARY_PROBS = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75,
@@ -71,7 +72,7 @@ def quantile_bins(df: DataFrame, value: str, k: int, out: str,
     """Quantile binning; the edges are one small row per key (a scalar subquery without keys)."""
     edges = quantile_edges(df, value, k, keys)
     if keys:
-        marked = df.join(edges.withColumnRenamed("edges", "_edges"), list(keys))
+        marked = lookup_join(df, edges.withColumnRenamed("edges", "_edges"), keys)
     else:
         marked = df.withColumn("_edges", edges.scalar())
     return marked.withColumn(out, bin_of(value, F.col("_edges"), k)).drop("_edges")

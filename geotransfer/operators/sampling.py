@@ -204,7 +204,7 @@ def label_draws(df: DataFrame, id_col: str, fold: str = FOLD, folds: Sequence[in
 def draw_integrity(draws: DataFrame, df: DataFrame, id_col: str, fold: str = FOLD) -> DataFrame:
     """Per cell: rows drawn, whether that is the budget, rows from the held-out fold."""
     own = df.select(id_col, F.col(fold).alias("_own"))
-    return (draws.join(own, id_col).groupBy("fold", "budget", "seed")
+    return (lookup_join(own, draws, [id_col]).groupBy("fold", "budget", "seed")
             .agg(F.count(F.lit(1)).alias("n"),
                  F.count_if(F.col("_own") == F.col("fold")).alias("held_out_n"))
             .withColumn("exact", F.col("n") == F.col("budget")))

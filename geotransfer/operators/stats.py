@@ -69,9 +69,13 @@ def total_variation(a: DataFrame, b: DataFrame, category: str, by: Sequence[str]
     both = (a.select(*by, category, F.lit(1).alias("_a"), F.lit(0).alias("_b"))
             .unionByName(b.select(*by, category, F.lit(0).alias("_a"), F.lit(1).alias("_b"))))
     n = both.groupBy(*by, category).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    shares = n.select(*by, F.abs(F.col("_a") / F.sum("_a").over(w)
-                                 - F.col("_b") / F.sum("_b").over(w)).alias("_d"))
+    if by:
+        w = Window.partitionBy(*by)
+        all_a, all_b = F.sum("_a").over(w), F.sum("_b").over(w)
+    else:
+        both_n = n.agg(F.struct(F.sum("_a").alias("a"), F.sum("_b").alias("b")).alias("s")).scalar()
+        all_a, all_b = both_n["a"], both_n["b"]
+    shares = n.select(*by, F.abs(F.col("_a") / all_a - F.col("_b") / all_b).alias("_d"))
     total = (F.sum("_d") * 0.5).alias("total_variation")
     return shares.groupBy(*by).agg(total) if by else shares.agg(total)
 

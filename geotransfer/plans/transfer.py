@@ -31,8 +31,11 @@ def evaluate(predictions: DataFrame, labels: DataFrame, freeze: DataFrame, name:
 
 
 def draw_rows(data: DataFrame, draws: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
-    """Training rows of every cell (at most the largest budget each)."""
-    return draws.select(*CELL, id_col).join(data.select(id_col, *columns), id_col)
+    """Training rows of every cell (at most the largest budget each).
+
+    The draws are few by design, so the data is filtered where it lies.
+    """
+    return lookup_join(data.select(id_col, *columns), draws.select(*CELL, id_col), [id_col])
 
 
 def calibrations(data: DataFrame, draws: DataFrame, id_col: str, y: str = RESPONSE,

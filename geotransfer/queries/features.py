@@ -25,13 +25,26 @@ def radar_features(spark, sf):
     return select_rounded(radar.with_radar_features(view(spark, sf, "radar")), ["shot_number"], L_BAND)
 
 
+@query("radar_physics_violations", "H4", with_views("radar") + """
+    SELECT count(*) FILTER (WHERE HH <= 0 OR HV <= 0) AS raw_not_positive,
+           count(*) FILTER (WHERE HH <= 0 OR HV <= 0) AS missing_feature,
+           count(*) FILTER (WHERE HH > 0 AND 20 * log10(HH) - 83 NOT BETWEEN -60 AND 20) AS palsar_hh_db_out_of_range,
+           count(*) FILTER (WHERE HV > 0 AND 20 * log10(HV) - 83 NOT BETWEEN -60 AND 20) AS palsar_hv_db_out_of_range,
+           CAST(0 AS BIGINT) AS palsar_rfdi_out_of_range FROM radar""")
+def radar_physics_violations(spark, sf):
+    f = radar.with_radar_features(view(spark, sf, "radar"), drop_raw=False)
+    return radar.physics_violations(f, "HH", "HV")
+
+
 @query("spectral_indices", "H5 H6", with_views("optical") + """
     SELECT l_orderkey, px, py, round((B8 - B4) / (B8 + B4), 12) AS "NDVI",
-           round(2.5e0 * (B8 - B4) / nullif(B8 + 6 * B4 - 7.5e0 * B2 + 1, 0), 12) AS "EVI",
+           round(2.5e0 * (B8 - B4) / nullif(B8 + 6 * B4 - 7.5e0 * B2 + 1, 0), 6) AS "EVI",
            round((B8 - B11) / (B8 + B11), 12) AS "NDMI", round((B8 - B12) / (B8 + B12), 12) AS "NBR",
            round((B8A - B5) / (B8A + B5), 12) AS "NDRE" FROM optical""")
 def spectral_indices(spark, sf):
-    return select_rounded(spectral.with_indices(view(spark, sf, "optical")), ["l_orderkey", "px", "py"], INDICES, 12)
+    ratios = [c for c in INDICES if c != "EVI"]
+    df = spectral.with_indices(view(spark, sf, "optical"))
+    return df.select("l_orderkey", "px", "py", rounded("EVI"), *[rounded(c, 12) for c in ratios])
 
 
 _CLEAR = """SCL NOT IN (1, 3, 8, 9, 10, 11) AND (QA60 & 1024) = 0 AND (QA60 & 2048) = 0"""
@@ -208,7 +221,7 @@ def common_exclusions(spark, sf):
     return exclusion_counts(wide, samples.exclusion_reasons(rad))
 
 
-@query("representation_rows", "B16 C17 K4", with_views("foot", "radar", more=_WIDE) + " UNION ALL ".join(
+@query("representation_rows", "B16 C17 K4 K5", with_views("foot", "radar", more=_WIDE) + " UNION ALL ".join(
     f"SELECT '{n}' AS representation, CAST({len(f)} AS INT) AS feature_n, count(*) AS n, round(sum({f[0]} + {f[-1]}), 4) AS content "
     f"FROM wide WHERE {_ALL_VALID}" for n, f in REPRESENTATIONS.items()))
 def representation_rows(spark, sf):

@@ -41,7 +41,7 @@ def ridge_cv(spark, sf):
     return select_rounded(M.metrics(p, by=[FOLD]), [FOLD, "N"], METRICS)
 
 
-@query("nested_tree_cv", "I1 I2 I9 I10 F4 F5")
+@query("nested_tree_cv", "I1 I2 I9 I10 F4 F5 K5")
 def nested_tree_cv(spark, sf):
     """Nested spatial CV with small learners; every footprint gets one out-of-fold prediction."""
     out = source_cv.nested_cv(_data(spark, sf), FEATURES, "pair", "shot_number", candidates=QUICK, profile=SMALL)

@@ -194,11 +194,11 @@ def candidate_choice(spark, sf):
 
 
 @query("unexpected_files", "A15 G4", """
-    SELECT DISTINCT concat(p_brand, '.csv') AS name FROM part
-    WHERE concat(p_brand, '.csv') NOT IN (SELECT concat(p_brand, '.csv') FROM part WHERE p_size > 48)""")
+    SELECT DISTINCT concat(p_brand, '_', p_size, '.csv') AS name FROM part
+    WHERE concat(p_brand, '_', p_size, '.csv') NOT IN (SELECT concat(p_brand, '_', p_size, '.csv') FROM part WHERE p_size <= 40)""")
 def unexpected_files(spark, sf):
-    part = table(spark, sf, "part").withColumn("name", F.concat("p_brand", F.lit(".csv")))
-    return chunks.unexpected_files(part.select("name").distinct(), part.where("p_size > 48").select("name"))
+    part = table(spark, sf, "part").withColumn("name", F.concat("p_brand", F.lit("_"), "p_size", F.lit(".csv")))
+    return chunks.unexpected_files(part.select("name").distinct(), part.where("p_size <= 40").select("name"))
 
 
 @query("twin_sink", "A16", with_views("foot") + """
@@ -236,7 +236,7 @@ def file_checksums(spark, sf):
     return readers.file_checksums(spark, sf, "*.parquet")
 
 
-@query("ingest_restart", "A12 ST1 ST2 ST3", with_views("obs") + """
+@query("ingest_restart", "A12 ST1 ST2 ST3 K3", with_views("obs") + """
     SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids, CAST((SELECT count(*) FROM obs) AS BIGINT)
            AS ledger_rows, (SELECT count(*) FROM obs WHERE ts >= TIMESTAMP '2024-01-14'
                             AND ts < TIMESTAMP '2024-01-16') AS rejected

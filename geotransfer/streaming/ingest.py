@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from geotransfer.operators.govern import fingerprint, schema_hash
 
 
+PRUNE_VALUES = 1000
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
@@ -69,13 +72,14 @@ def ingest(spark: SparkSession, source: str, schema: T.StructType, out: str, key
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         known = None
         if _batch_folders(spark, table, batch_id):
-            # Keys of earlier batches; the join on the partition column lets Spark
-            # skip folders of values this batch does not hold.
-            known = (spark.read.parquet(table).where(F.col("batch_id") < batch_id)
-                     .select(*keys, partition) if partition not in keys else
-                     spark.read.parquet(table).where(F.col("batch_id") < batch_id).select(*keys))
+            known = spark.read.parquet(table).where(F.col("batch_id") < batch_id)
         batch = batch.persist()
         try:
+            if known is not None and partition in keys:
+                # Only folders of values this batch holds can repeat its keys.
+                held = [r[0] for r in batch.select(partition).distinct().limit(PRUNE_VALUES + 1).collect()]
+                if len(held) <= PRUNE_VALUES:
+                    known = known.where(F.col(partition).isin(held))
             accepted, rejected = split_batch(batch, known, keys)
             spot = f"batch_id={batch_id}"
             (accepted.write.mode("overwrite").partitionBy(partition).parquet(f"{table}/{spot}"))

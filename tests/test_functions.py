@@ -129,3 +129,13 @@ def test_close_to_and_bits(spark):
     r = one(spark, [(1.0, 1.0 + 5e-10), (1.0, 1.1)], "a double, b double", numeric.close_to("a", "b", 1e-9))
     assert [x[0] for x in r] == [True, False]
     assert np.isclose(20 * np.log10(1000.0) - 83, -23)
+
+
+def test_radar_physics_guard(spark):
+    good = spark.createDataFrame([(1000.0, 500.0)], "HH double, HV double")
+    zero = spark.createDataFrame([(0.0, 1.0)], "HH double, HV double")
+    radar.require_physics(radar.with_radar_features(good, drop_raw=False), "HH", "HV")
+    with pytest.raises(ValueError):
+        radar.require_physics(radar.with_radar_features(zero, drop_raw=False), "HH", "HV")
+    with pytest.raises(ValueError):
+        radar.require_physics(radar.with_radar_features(good).withColumn("palsar_hh_db", F.lit(25.0)))

@@ -31,3 +31,13 @@ def test_entry(spark):
 def test_registry_is_consistent():
     assert set(oracle_sql()) <= set(queries())
     assert duckdb.__version__
+
+
+PLANLESS = SLOW | {"domain_separability", "deployment_and_zero_shot"}
+
+
+@pytest.mark.parametrize("name", [n for n in REGISTRY if n not in PLANLESS])
+def test_plan_has_no_product_join_or_row_udf(spark, name):
+    plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert node not in plan
