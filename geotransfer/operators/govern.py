@@ -60,10 +60,18 @@ def content_hash(columns: Sequence[str]) -> Column:
     return F.sum(F.conv(F.substring(h, 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
 
 
+def _literal_map(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+
+
 def freeze_summary(df: DataFrame, block: str, fold: str, response: str = RESPONSE,
-                   keys: Sequence[str] = tuple(KEYS)) -> DataFrame:
+                   keys: Sequence[str] = tuple(KEYS), features: dict[str, list[str]] | None = None,
+                   exclusions: dict[str, int] | None = None) -> DataFrame:
     """One public row: counts, years, folds and content hashes; no ids or coordinates.
 
+    ``features`` adds the schema hash of every feature set, ``exclusions`` the
+    counts of rows left out.
+
     Per-fold and per-year counts are aggregated first, so the maps are built
     from a handful of rows.
     """
@@ -75,7 +83,12 @@ def freeze_summary(df: DataFrame, block: str, fold: str, response: str = RESPONS
     fold_map = folds.agg(F.map_from_entries(F.array_sort(F.collect_list(
         F.struct(F.col(fold).cast("string"), F.col("c")))))).scalar()
     years = df.select("year").distinct().agg(F.array_sort(F.collect_list("year"))).scalar()
-    return base.withColumns({"years": years, "fold_counts": fold_map,
+    extra = {}
+    if features:
+        extra["feature_schema_hashes"] = _literal_map({k: schema_hash(v) for k, v in features.items()})
+    if exclusions:
+        extra["exclusion_counts"] = _literal_map({k: int(v) for k, v in exclusions.items()})
+    return base.withColumns({"years": years, "fold_counts": fold_map, **extra,
                              "private_rows_committed": F.lit(False)})
 
 

@@ -53,14 +53,27 @@ def mean_baseline(df: DataFrame, fold: str, y="agbd") -> DataFrame:
 
 
 def run_summary(runs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Runs, mean, sample sd and median of each metric over repeated runs."""
-    aggs = [F.count(F.lit(1)).alias("runs")]
+    """Runs, sizes, and mean, sample sd and median of each metric over repeated runs."""
+    aggs = [F.count(F.lit(1)).alias("runs"), F.median("N_train").alias("N_train"),
+            F.avg("N_test").alias("N_test_mean")]
     for m in METRICS:
         aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_sd"),
                  F.median(m).alias(f"{m}_median")]
     return runs.groupBy(*by).agg(*aggs)
 
 
+def with_zero_shot(summary: DataFrame, zero: DataFrame) -> DataFrame:
+    """Put the zero-shot rows (budget 0, one run, no sd) in front of a run summary."""
+    cols = [F.lit("zero_shot").alias("method"), F.lit(0).alias("budget"), F.lit(1).cast("long").alias("runs"),
+            F.lit(0.0).alias("N_train"), F.col("N").cast("double").alias("N_test_mean")]
+    for m in METRICS:
+        cols += [F.col(m).alias(f"{m}_mean"), F.lit(None).cast("double").alias(f"{m}_sd"),
+                 F.col(m).alias(f"{m}_median")]
+    return zero.select(*cols).unionByName(summary.select("method", "budget", "runs", "N_train", "N_test_mean",
+                                                         *[f"{m}_{s}" for m in METRICS
+                                                           for s in ("mean", "sd", "median")]))
+
+
 def label_thresholds(summary: DataFrame, by: Sequence[str],
                      thresholds: Sequence[float] = tuple(R2_THRESHOLDS)) -> DataFrame:
     """Smallest budget whose mean R2 is strictly above each threshold."""

@@ -121,15 +121,23 @@ def any_missing(columns: Sequence[str]) -> Column:
 
 
 def availability(expected: DataFrame, sampled: DataFrame, on: Sequence[str], valid: Column,
-                 by: Sequence[str], marks: dict[str, Column] | None = None) -> DataFrame:
-    """Expected, sampled and valid counts per group with the missing share."""
+                 by: Sequence[str], marks: dict[str, Column] | None = None,
+                 images: DataFrame | None = None) -> DataFrame:
+    """Expected, sampled and valid counts per group with the missing share.
+
+    ``images`` (one row per group with ``image_count``) adds the scenes behind it.
+    """
     joined = expected.join(sampled.withColumn("_got", F.lit(True)), list(on), "left")
     ok = F.coalesce(valid, F.lit(False))
     n, v = F.count(F.lit(1)), F.count_if(ok)
-    return joined.groupBy(*by).agg(
+    out = joined.groupBy(*by).agg(
         n.alias("frozen_sample_n"), F.count("_got").alias("sampled_n"),
         *[F.count_if(F.coalesce(m, F.lit(False))).alias(k) for k, m in (marks or {}).items()],
         v.alias("valid_n"), (1 - v / n).alias("missing_fraction"))
+    if images is None:
+        return out
+    return (out.join(images, list(by), "left")
+            .withColumn("image_count", F.coalesce("image_count", F.lit(0))))
 
 
 def common_groups(a: DataFrame, b: DataFrame, column: str) -> DataFrame:

@@ -23,6 +23,22 @@ def polygon_frame(spark: SparkSession, polygons: dict[str, list[list[tuple[float
     return spark.createDataFrame(rows, "poly_id string, ring array<array<double>>")
 
 
+def invalid_rings(rings: DataFrame) -> DataFrame:
+    """Rings with fewer than three distinct corners, off-globe corners or no area."""
+    corners = F.size(F.array_distinct("ring"))
+    on_globe = F.forall("ring", lambda p: (F.size(p) >= 2) & p[0].between(-180, 180) & p[1].between(-90, 90))
+    nxt = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
+    twice = F.aggregate(F.zip_with("ring", nxt, lambda p, q: p[0] * q[1] - q[0] * p[1]), F.lit(0.0),
+                        lambda acc, x: acc + x)
+    ok = (corners >= 3) & on_globe & (twice != 0)
+    return rings.where(~F.coalesce(ok, F.lit(False)))
+
+
+def require_valid_rings(rings: DataFrame) -> DataFrame:
+    refuse_rows(invalid_rings(rings).select("poly_id"), "invalid polygon ring")
+    return rings
+
+
 def edges(rings: DataFrame) -> DataFrame:
     """One row per directed edge of every ring."""
     nxt = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geotransfer.functions import radar, text, times
-from geotransfer.functions.numeric import finite_vector
+from geotransfer.functions.numeric import finite_vector, to_number
+from geotransfer.functions.spectral import with_indices
 from geotransfer.operators import qa, stats
+from geotransfer.operators.composite import scenes_per_year
 from geotransfer.operators.joins import coverage_by
 from geotransfer.operators.sampling import first_rows
 from geotransfer.queries.registry import (query, rounded, select_rounded, table, view, with_views)
@@ -72,7 +74,6 @@ def scene_attribute_filter(spark, sf):
     SELECT event_type, count(*) FILTER (WHERE qa IN (1, 255)) AS valid_n,
            count(*) FILTER (WHERE TRY_CAST(event_type AS DOUBLE) IS NULL) AS unreadable_n FROM obs GROUP BY 1""")
 def qa_class_valid(spark, sf):
-    from geotransfer.functions.numeric import to_number
     return view(spark, sf, "obs").groupBy("event_type").agg(
         F.count_if(radar.qa_is_valid("qa")).alias("valid_n"),
         F.count_if(to_number("event_type").isNull()).alias("unreadable_n"))
@@ -134,7 +135,6 @@ def nonzero_vectors(spark, sf):
     SELECT count(*) FILTER (WHERE abs((B8 - B4) / (B8 + B4)) > 0.9) AS "NDVI",
            count(*) FILTER (WHERE abs((B8 - B11) / (B8 + B11)) > 0.9) AS "NDMI" FROM optical""")
 def bounded_indices(spark, sf):
-    from geotransfer.functions.spectral import with_indices
     return qa.out_of_bounds(with_indices(view(spark, sf, "optical")), ["NDVI", "NDMI"], 0.9)
 
 
@@ -218,16 +218,18 @@ def json_cells(spark, sf):
            count(*) FILTER (WHERE HH > 0) AS valid_hh_n, count(*) FILTER (WHERE HV > 0) AS valid_hv_n,
            count(*) FILTER (WHERE palsar_qa IN (1, 255)) AS qa_land_n,
            count(*) FILTER (WHERE palsar_qa IN (1, 255) AND HH > 0 AND HV > 0) AS valid_n,
-           round(1 - count(*) FILTER (WHERE palsar_qa IN (1, 255) AND HH > 0 AND HV > 0) / count(*), 12) AS missing_fraction
+           round(1 - count(*) FILTER (WHERE palsar_qa IN (1, 255) AND HH > 0 AND HV > 0) / count(*), 12) AS missing_fraction,
+           count(DISTINCT f.priority) AS image_count
     FROM foot f LEFT JOIN (SELECT * FROM v WHERE priority <> '5-LOW') v
          ON f.shot_number = v.shot_number AND f.year = v.year GROUP BY f.year""")
 def availability_audit(spark, sf):
     got = view(spark, sf, "radar").where("priority <> '5-LOW'").drop("o_orderkey", "priority")
     foot = view(spark, sf, "foot").select("shot_number", "year")
+    images = scenes_per_year(view(spark, sf, "foot"), "year", "priority")
     land = radar.qa_is_valid("palsar_qa")
     out = qa.availability(foot, got, ["shot_number", "year"], land & (F.col("HH") > 0) & (F.col("HV") > 0),
                           ["year"], {"valid_hh_n": F.col("HH") > 0, "valid_hv_n": F.col("HV") > 0,
-                                     "qa_land_n": land})
+                                     "qa_land_n": land}, images)
     return out.withColumn("missing_fraction", F.round("missing_fraction", 12))
 
 

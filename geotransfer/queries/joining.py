@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geotransfer.operators import joins
-from geotransfer.operators.guards import duplicate_keys
+from geotransfer.operators.guards import duplicate_keys, require_rows
 from geotransfer.queries.registry import query, rounded, select_rounded, table, view, with_views
 
 KEY = ["shot_number", "year"]
@@ -32,7 +32,6 @@ def complete_join(spark, sf):
     """Every order finds its customer; a missing one stops the job."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    from geotransfer.operators.guards import require_rows
     j = joins.validated_join(o, c, ["o_custkey"], validate="many_to_one")
     return require_rows(j, F.col("c_mktsegment").isNotNull(), "order without customer").select(
         "o_orderkey", "o_custkey", "c_mktsegment")

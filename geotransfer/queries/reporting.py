@@ -199,7 +199,7 @@ def calibrated_runs(spark, sf):
     return select_rounded(_calibrated(spark, sf), ["method", "fold", "budget", "seed", "N_train", "N_test"], METRICS)
 
 
-_SUMM = _RUNS + ", summ AS (SELECT method, budget, count(*) AS runs, " + ", ".join(
+_SUMM = _RUNS + ", summ AS (SELECT method, budget, count(*) AS runs, median(n_train) AS n_train, avg(\"N\") AS nt, " + ", ".join(
     f'avg("{m}") AS "{m}_mean", stddev_samp("{m}") AS "{m}_sd", median("{m}") AS "{m}_median"' for m in METRICS) + \
     " FROM runs GROUP BY method, budget)"
 
@@ -208,11 +208,22 @@ def _summary(spark, sf):
     return M.run_summary(_calibrated(spark, sf), ["method", "budget"])
 
 
-@query("run_summary", "D22", with_views("foot", more=_SUMM) + "SELECT method, CAST(budget AS INT) AS budget, runs, " + ", ".join(
-    f'round("{m}_{s}", 6) AS "{m}_{s}"' for m in METRICS for s in ("mean", "sd", "median")) + " FROM summ")
+_STATS = [f"{m}_{s}" for m in METRICS for s in ("mean", "sd", "median")]
+_SUMMARY_COLUMNS = ('method, CAST(budget AS INT) AS budget, runs, CAST(n_train AS DOUBLE) AS "N_train", round(nt, 6) AS "N_test_mean", '
+                    + ", ".join(f'round("{c}", 6) AS "{c}"' for c in _STATS))
+
+
+@query("run_summary", "D22", with_views("foot", more=_SUMM) + f"SELECT {_SUMMARY_COLUMNS} FROM summ")
 def run_summary(spark, sf):
-    s = _summary(spark, sf)
-    return select_rounded(s, ["method", "budget", "runs"], [c for c in s.columns if c not in ("method", "budget", "runs")])
+    return select_rounded(_summary(spark, sf), ["method", "budget", "runs", "N_train"], ["N_test_mean", *_STATS])
+
+
+@query("few_shot_summary", "D22 G1", with_views("foot", more=_SUMM) + f"""
+    SELECT {_SUMMARY_COLUMNS} FROM summ UNION ALL
+    SELECT 'zero_shot', 0, 1, 0, "N", """ + ", ".join(f'"{m}", NULL, "{m}"' for m in METRICS) + f" FROM (SELECT {_M} FROM foot)")
+def few_shot_summary(spark, sf):
+    s = M.with_zero_shot(_summary(spark, sf), M.metrics(view(spark, sf, "foot")))
+    return select_rounded(s, ["method", "budget", "runs", "N_train"], ["N_test_mean", *_STATS])
 
 
 @query("label_thresholds", "D23", with_views("foot", more=_SUMM) + """
@@ -245,12 +256,11 @@ def training_sizes(spark, sf):
 
 @query("master_summary", "D31 G1", with_views("foot", more=_SUMM + f""",
     size AS (SELECT avg(least((SELECT count(*) FROM foot) - n, 10000)) AS a, avg(n) AS b FROM (SELECT fold, count(*) AS n FROM foot GROUP BY fold)),
-    tests AS (SELECT method, budget, avg("N") AS nt FROM runs GROUP BY ALL),
     all_rows AS (SELECT 'source_spatial_cv' AS stage, 'formula' AS representation, "N" AS labels, "R2", "RMSE", "MAE", "Bias",
                (SELECT a FROM size) AS nr, (SELECT b FROM size) AS nt FROM (SELECT {_RAW} FROM foot)
       UNION ALL SELECT 'zero_shot', 'formula', 0, "R2", "RMSE", "MAE", "Bias", 0, "N" FROM (SELECT {_RAW} FROM foot WHERE domain = 'target')
       UNION ALL SELECT 'few_shot_local', s.method, s.budget, "R2_mean", "RMSE_mean", "MAE_mean", "Bias_mean", s.budget, nt
-          FROM summ s JOIN tests t ON s.method = t.method AND s.budget = t.budget)""") + """
+          FROM summ s)""") + """
     SELECT stage, representation, CAST(labels AS BIGINT) AS labels, round("R2", 6) AS "R2", round("RMSE", 6) AS "RMSE", round("MAE", 6) AS "MAE",
            round("Bias", 6) AS "Bias", round(nr, 6) AS "N_train", round(nt, 6) AS "N_test" FROM all_rows""")
 def master_summary(spark, sf):
@@ -259,10 +269,7 @@ def master_summary(spark, sf):
     cv = M.metrics(foot).withColumns({"representation": F.lit("formula"), "N_train": size["N_train"],
                                       "N_test": size["N_test"]})
     zero = transfer.zero_shot_row(foot.where("domain = 'target'")).withColumn("representation", F.lit("formula"))
-    runs = _calibrated(spark, sf)
-    few = (M.run_summary(runs, ["method", "budget"])
-           .join(runs.groupBy("method", "budget").agg(F.avg("N_test").alias("N_test_mean")), ["method", "budget"])
-           .withColumnRenamed("method", "representation"))
+    few = _summary(spark, sf).withColumnRenamed("method", "representation")
     t = transfer.master_summary(cv, zero, few)
     return select_rounded(t, ["stage", "representation", "labels"],
                           ["R2", "RMSE", "MAE", "Bias", "N_train", "N_test"])

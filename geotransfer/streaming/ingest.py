@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from geotransfer.operators.govern import fingerprint, schema_hash
+from geotransfer.operators.guards import refuse_rows
 
 
 PRUNE_VALUES = 1000
@@ -60,6 +61,7 @@ def ingest(spark: SparkSession, source: str, schema: T.StructType, out: str, key
     """Take in every file not yet seen and stop. Safe to run again at any time.
 
     Writes ``table`` (accepted rows), ``rejects`` and ``ledger`` under ``out``.
+    A ledger written for another schema stops the job.
     """
     table, rejects, ledger = f"{out}/table", f"{out}/rejects", f"{out}/ledger"
     reader = spark.readStream.schema(schema).format(file_format)
@@ -69,6 +71,10 @@ def ingest(spark: SparkSession, source: str, schema: T.StructType, out: str, key
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     columns_hash = schema_hash([f"{f.name}:{f.dataType.simpleString()}" for f in schema])
 
+    if _exists(spark, ledger):
+        other = spark.read.parquet(ledger).where(F.col("schema_hash") != columns_hash)
+        refuse_rows(other.select("schema_hash"), "ledger was written for another schema")
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         known = None
         if _batch_folders(spark, table, batch_id):

@@ -184,6 +184,8 @@ def test_freeze_summary_has_no_private_columns(spark):
     r = govern.freeze_summary(df, "block", "fold").first().asDict()
     assert r["years"] == [2020, 2021] and r["fold_counts"] == {"0": 1, "1": 1} and r["n"] == 2
     assert not {"shot_number", "lon", "lat"} & set(r)
+    full = govern.freeze_summary(df, "block", "fold", features=REPRESENTATIONS, exclusions={"missing_dem": 3}).first()
+    assert len(full.feature_schema_hashes) == 8 and full.exclusion_counts == {"missing_dem": 3}
     other = govern.freeze_summary(df.withColumn("agbd", F.col("agbd") + 1), "block", "fold").first()
     assert other["sample_ids_hash"] == r["sample_ids_hash"] and other["response_hash"] != r["response_hash"]
 

@@ -41,3 +41,17 @@ def test_plan_has_no_product_join_or_row_udf(spark, name):
     plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert node not in plan
+
+
+@pytest.mark.parametrize("name", ["capped_sample", "sample_distortion", "greedy_folds", "drift_table", "spearman",
+                                  "auroc_rank_sum", "decile_bias", "quantile_bins_by_year", "calibrated_runs",
+                                  "chunk_assignment", "points_in_polygon", "holdout_split", "row_cap"])
+def test_large_table_paths_match_too(spark, con, name, monkeypatch):
+    """Size limits set to almost nothing: the paths for large tables give the same rows."""
+    from geotransfer.operators import joins, ordering, sampling
+    monkeypatch.setattr(ordering, "SMALL_PLAN_BYTES", 0)
+    monkeypatch.setattr(sampling, "SMALL_PLAN_BYTES", 0)
+    monkeypatch.setattr(ordering.groups_fit_one_task, "__defaults__", (10,))
+    monkeypatch.setattr(joins, "LOOKUP_BYTES", 0)
+    message, _, ok = compare(spark, con, name, SF)
+    assert ok, message

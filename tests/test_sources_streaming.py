@@ -136,3 +136,24 @@ def test_repeats_inside_a_batch(spark):
     ok, bad = stream.split_batch(df, None, ["shot_number", "year"])
     assert ok.count() == 2
     assert [(r.shot_number, r.copies, r.reason) for r in bad.collect()] == [("1", 4, "repeated in batch")]
+
+
+def test_another_schema_is_refused(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    _deliver(spark, src, 0, 10)
+    args = dict(source=src, out=out, keys=["shot_number", "year"], partition="year")
+    stream.ingest(spark, schema=ROWS, **args)
+    with pytest.raises(GuardError, match="another schema"):
+        stream.ingest(spark, schema=T.StructType(ROWS.fields[:2]), **args)
+
+
+def test_quality_filter_reaches_the_scan(spark, tmp_path):
+    from geotransfer.operators.qa import quality_filter
+    row = spark.createDataFrame([("1", 1, 1, 0, 5.0, 0.1)], "shot_number string, algorithm_run_flag int, l4_quality_flag int, "
+                                "degrade_flag int, agbd double, agbd_se double").withColumn("unused", F.lit("x"))
+    row.write.parquet(str(tmp_path / "raw"))
+    out = quality_filter(spark.read.parquet(str(tmp_path / "raw"))).select("shot_number")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(algorithm_run_flag,1)" in plan and "unused" not in plan and out.count() == 1

@@ -134,3 +134,11 @@ def test_nearest_property(spark, pts):
     r = nearest.nearest_source(s, t, "id", "tid", "v", 3, 4).first()
     d = [np.hypot(a, b) for a, b in pts]
     assert r.distance == pytest.approx(min(d)) and r.nearest_id == int(np.argmin(d))
+
+
+def test_ring_validity(spark):
+    good = spatial.polygon_frame(spark, {"a": [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]]})
+    spatial.require_valid_rings(good)
+    for ring in ([(0.0, 0.0), (1.0, 1.0), (0.0, 0.0)], [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)], [(0.0, 0.0), (200.0, 0.0), (1.0, 1.0)]):
+        with pytest.raises(GuardError):
+            spatial.require_valid_rings(spatial.polygon_frame(spark, {"a": [ring]}))
