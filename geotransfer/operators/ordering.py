@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from geotransfer.session import materialize, plan_bytes
 
 SMALL_PLAN_BYTES = 32 * 1024 * 1024
-GROUP_ROWS = 2_000_000
+GROUP_ROWS = 1_000_000
+RANGE_BYTES = 256 * 1024 * 1024
 
 
 def groups_fit_one_task(df: DataFrame, keys: Sequence[str], rows: int = GROUP_ROWS) -> bool:
@@ -37,8 +38,16 @@ def _by(keys):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 
 
+def _range_partitions(df: DataFrame) -> int:
+    """The session's shuffle width, or more when the estimated input is larger than that holds."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = plan_bytes(df)
+    known = size < 1 << 60  # a plan without file statistics reports an astronomic size
+    return max(width, min(size // RANGE_BYTES, 100_000)) if known else width
+
+
 def _spread(df: DataFrame, keys, order) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = _range_partitions(df)
     ordered = df.repartitionByRange(parts, *keys, *order)
     return materialize(ordered.withColumn("_pid", F.spark_partition_id()))
 
