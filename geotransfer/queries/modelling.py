@@ -78,6 +78,13 @@ def local_few_shot(spark, sf):
     return select_rounded(runs, ["fold", "budget", "seed", "N_train", "N_test", "method"], METRICS)
 
 
+@query("local_tree_few_shot", "I15 I2 J7")
+def local_tree_few_shot(spark, sf):
+    """Boosted trees on each fold's draws, small learners."""
+    draws = draws_of(spark, sf, budgets=[50, 250]).where("seed = 42")
+    return transfer.local_tree_runs(view(spark, sf, "foot"), draws, FEATURES, "shot_number", SMALL, fold="fold")
+
+
 def _embedded(spark, sf):
     e = table(spark, sf, "embeddings").withColumn(
         "domain", F.when(F.col("label") < 5, F.lit("source")).otherwise(F.lit("target")))
@@ -90,7 +97,7 @@ BANDS = [f"A{i:02d}" for i in range(64)]
 @query("domain_separability", "I7 I8 J10 J11 F5")
 def domain_separability(spark, sf):
     data = domain_shift.balanced(_embedded(spark, sf), "domain", "source", "vec_id", 20_000)
-    scores = domain_shift.domain_scores(data, BANDS[:8], "domain", "source", "vec_id")
+    scores = domain_shift.domain_scores(data, BANDS, "domain", "source", "vec_id")
     return domain_shift.separability(scores)
 
 

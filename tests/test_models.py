@@ -113,6 +113,14 @@ def test_local_models_equal_numpy(data):
         assert runs.loc[(fold, budget), "N_test"] == len(te)
 
 
+def test_local_trees_cover_every_cell(data):
+    df, pdf = data
+    draws = sampling.label_draws(df, "id", folds=[0, 1], budgets=[60], seeds=[42])
+    runs = transfer.local_tree_runs(df, draws, COLS, "id", TINY).toPandas()
+    assert list(runs.fold) == [0, 1] and set(runs.N_train) == {60}
+    assert list(runs.N_test) == [int((pdf.spatial_fold == f).sum()) for f in (0, 1)]
+
+
 def two_domains(spark):
     rng = np.random.default_rng(2)
     rows = [(i, "source" if i < 200 else "target", *map(float, rng.normal(size=3) + (0 if i < 200 else 1.5))) for i in range(400)]

@@ -33,7 +33,7 @@ def test_registry_is_consistent():
     assert duckdb.__version__
 
 
-PLANLESS = SLOW | {"domain_separability", "deployment_and_zero_shot"}
+PLANLESS = SLOW | {"domain_separability", "deployment_and_zero_shot", "local_tree_few_shot"}
 
 
 @pytest.mark.parametrize("name", [n for n in REGISTRY if n not in PLANLESS])
