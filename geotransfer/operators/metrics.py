@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from geotransfer.operators.joins import lookup_join
 from geotransfer.operators.quantiles import quantiles
 from geotransfer.schemas import R2_THRESHOLDS
 
@@ -49,7 +50,7 @@ def mean_baseline(df: DataFrame, fold: str, y="agbd") -> DataFrame:
     total = per.agg(F.struct(F.sum("_s").alias("s"), F.sum("_n").alias("n")).alias("t")).scalar()
     means = per.select(fold, ((total["s"] - F.col("_s")) / (total["n"] - F.col("_n")))
                        .alias("prediction"))
-    return df.join(F.broadcast(means), fold)  # one row per fold
+    return lookup_join(df, means, [fold])
 
 
 def run_summary(runs: DataFrame, by: Sequence[str]) -> DataFrame:

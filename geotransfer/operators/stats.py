@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geotransfer.functions.numeric import l2_norm
+from geotransfer.operators.joins import lookup_join
 from geotransfer.operators.ordering import average_ranks, running_totals
 from geotransfer.operators.quantiles import SUMMARY_PROBS, quantiles
 
@@ -188,7 +189,7 @@ def timing_shares(df: DataFrame, domain: str, reference: str, ts: str) -> DataFr
     d = df.withColumns({"year": F.year(ts), "month": F.month(ts), "_doy": F.dayofyear(ts)})
     limits = quantiles(d.where(F.col(domain) == reference), ["year"], "_doy",
                        {"doy_p05": 0.05, "doy_p95": 0.95})
-    marked = d.join(F.broadcast(limits), "year", "left")  # one row per calendar year
+    marked = lookup_join(d, limits, ["year"], "left")
     unusual = (F.col("_doy") < F.col("doy_p05")) | (F.col("_doy") > F.col("doy_p95"))
     rows = marked.groupBy(domain, "year", "month").agg(
         F.count(F.lit(1)).alias("N"), F.count_if(unusual).alias("unusual_n"))
