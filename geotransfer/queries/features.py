@@ -37,14 +37,13 @@ def radar_physics_violations(spark, sf):
 
 
 @query("spectral_indices", "H5 H6", with_views("optical") + """
-    SELECT l_orderkey, px, py, round((B8 - B4) / (B8 + B4), 12) AS "NDVI",
-           round(2.5e0 * (B8 - B4) / nullif(B8 + 6 * B4 - 7.5e0 * B2 + 1, 0), 9) AS "EVI",
-           round((B8 - B11) / (B8 + B11), 12) AS "NDMI", round((B8 - B12) / (B8 + B12), 12) AS "NBR",
-           round((B8A - B5) / (B8A + B5), 12) AS "NDRE" FROM optical""")
+    SELECT l_orderkey, px, py, (B8 - B4) / (B8 + B4) AS "NDVI",
+           2.5e0 * (B8 - B4) / nullif(B8 + 6 * B4 - 7.5e0 * B2 + 1, 0) AS "EVI",
+           (B8 - B11) / (B8 + B11) AS "NDMI", (B8 - B12) / (B8 + B12) AS "NBR",
+           (B8A - B5) / (B8A + B5) AS "NDRE" FROM optical""")
 def spectral_indices(spark, sf):
-    ratios = [c for c in INDICES if c != "EVI"]
-    df = spectral.with_indices(view(spark, sf, "optical"))
-    return df.select("l_orderkey", "px", "py", rounded("EVI", 9), *[rounded(c, 12) for c in ratios])
+    """Plain arithmetic in the same order on both sides, so no rounding is needed."""
+    return spectral.with_indices(view(spark, sf, "optical")).select("l_orderkey", "px", "py", *INDICES)
 
 
 _CLEAR = """SCL NOT IN (1, 3, 8, 9, 10, 11) AND (QA60 & 1024) = 0 AND (QA60 & 2048) = 0"""
