@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geotransfer.llm import byte_bpe, line_dedup, packing, quality_rules, simhash_index, substring_dedup, token_files
+from geotransfer.llm import (byte_bpe, chat_windows, line_dedup, packing, pivot_index, quality_rules, simhash_index,
+                             substring_dedup, token_files, warc_zip)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +103,59 @@ def op8(spark, sf):
     coded = byte_bpe.encode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
     return byte_bpe.decode(coded, path).select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256",
                                                F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op4_warc_zip", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f""")
+def op4(spark, sf):
+    manifest = warc_zip.write_packages(table(spark, sf, "pages"), token_files.folder_for(spark, "warc"))
+    return warc_zip.read_packages(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_pivot_top_k", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS iv FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.iv, v.iv) AS BIGINT) AS score
+      FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5""")
+def op6(spark, sf):
+    return pivot_index.top_k(table(spark, sf, "embeddings"), F.col("id") % 50 == 0)
+
+
+_ESC = ("replace(replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<s>', '&lt;s>'), '</s>', '&lt;/s>'), "
+        "'<<REPEAT>>', '&lt;<REPEAT>>'), '[INST]', '&lb;INST]'), '[/INST]', '&lb;/INST]')")
+
+
+@query("op10_chat_windows", f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (SELECT *, (length(text) + 3) // 4 + 4 AS n, row_number() OVER o AS pos FROM c
+      WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+u AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY pos) AS upto FROM n),
+w AS (SELECT *, 2 * ((upto - n) // {chat_windows.STRIDE}) + CASE WHEN (upto - 1) // {chat_windows.STRIDE}
+        > (upto - n) // {chat_windows.STRIDE} AND n > {chat_windows.RESERVE} THEN 1 ELSE 0 END AS w,
+        24 - 4 + length({_ESC.format('role')}) + length({_ESC.format('text')}) AS chars FROM u),
+f AS (SELECT conv_id, w, min(pos) AS first FROM w GROUP BY ALL HAVING min(pos) > 1),
+r AS (SELECT w.conv_id, sum(w.chars + 10) AS chars FROM f JOIN w ON w.conv_id = f.conv_id
+      AND ((w.pos = 1 AND w.role = 'system')
+           OR (w.pos < f.first AND w.pos >= f.first - {chat_windows.HISTORY} AND w.n <= {chat_windows.RESERVE}))
+      GROUP BY w.conv_id)
+SELECT w.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(w.chars) + coalesce(any_value(r.chars), 0) AS BIGINT) AS formatted_chars
+FROM w LEFT JOIN r ON w.conv_id = r.conv_id GROUP BY w.conv_id""")
+def op10(spark, sf):
+    probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit("</s>[INST] ok [/INST]").alias("text"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat_windows.digests(chat_windows.windows(turns)).withColumnRenamed("conv", "conv_id")
