@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-SLICE_BYTES = 16 << 20  # texts handled at once inside a task
+SLICE_BYTES = 4 << 20  # texts handled at once inside a task
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str, rest: bool = False) -> DataFrame:
@@ -61,7 +61,7 @@ def slices(texts: list[bytes | None], limit: int = SLICE_BYTES) -> Iterator[tupl
 class Memo(dict):
     """Values of a pure function, kept for as many keys as ``most`` and then started anew."""
 
-    def __init__(self, fn: Callable, most: int = 1_000_000):
+    def __init__(self, fn: Callable, most: int = 300_000):
         super().__init__()
         self.fn, self.most = fn, most
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from geotransfer.llm.common import Memo, keyed, mapped, null_safe, restored, runs, slices, utf8
 
 SLICE_BITS = 20
-CHUNK_WINDOWS = 2_000_000
+CHUNK_WINDOWS = 1_000_000
 BASE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
