@@ -35,7 +35,7 @@ class Ranks:
         self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.bytes = {r: t for t, r in self.rank.items()}
         self.longest = max(map(len, self.rank))
-        self.follows = Memo(lambda pair: self.merge(self.bytes[pair[0]] + self.bytes[pair[1]]) == list(pair), 2_000_000)
+        self.follows = Memo(lambda pair: self.merge(self.bytes[pair[0]] + self.bytes[pair[1]]) == list(pair), 500_000)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids by repeated merges of the lowest-ranked neighbours; for a pair of tokens only."""
@@ -103,8 +103,8 @@ class BytePairEncoder:
     def __init__(self, lines: list[bytes], pattern: str):
         self.ranks = Ranks(lines)
         self.pattern = regex.compile(pattern)
-        self.pieces = Memo(self._piece, 400_000)
-        self.chunks = Memo(self._chunk, 400_000)
+        self.pieces = Memo(self._piece, 250_000)
+        self.chunks = Memo(self._chunk, 250_000)
 
     def _piece(self, piece: str) -> bytes:
         return np.array(PrefixTable(self.ranks, piece.encode()).ids(), "<u4").tobytes()

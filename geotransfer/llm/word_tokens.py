@@ -35,8 +35,8 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.pieces = Memo(self._piece, 500_000)
-        self.chunks = Memo(self._chunk, 500_000)
+        self.pieces = Memo(self._piece, 300_000)
+        self.chunks = Memo(self._chunk, 300_000)
 
     def _piece(self, piece: str) -> bytes:
         shown = piece.encode().decode("latin-1").translate(self.letters)
