@@ -68,9 +68,9 @@ def directory(f, size: int) -> list[Member]:
     """Members of a ZIP package, from its central directory (ZIP64 or not)."""
     tail_at = max(0, size - 22 - FULL16 - 20)
     tail = _read(f, tail_at, size - tail_at)
-    at = tail.rfind(END)
+    at = tail.rfind(END, 0, max(0, len(tail) - 18))
     while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
-        at = tail.rfind(END, 0, at)  # a signature inside a comment
+        at = tail.rfind(END, 0, at + 3)  # that signature was part of a comment
     if at < 0:
         raise ValueError("not a ZIP package")
     count, length, start = struct.unpack_from("<HII", tail, at + 10)
