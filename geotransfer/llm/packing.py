@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,11 @@ STRETCH = 1 << 20  # tokens per run of the dynamic program
 SENTENCE, INSIDE = 4.0, 48.0  # penalties, in tokens of padding
 
 
-def cut_windows(ends: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
-    """Indexes of the chosen boundaries. ``ends`` ascends by at most ``size``; the last one is always chosen."""
+def cut_windows(ends: np.ndarray, penalty: np.ndarray, size: int, tail: Callable[[int], float] | None = None) -> list[int]:
+    """Indexes of the chosen boundaries. ``ends`` ascends by at most ``size``; the last one is always chosen.
+
+    ``tail`` gives the cost of a last window by its length in place of its padding.
+    """
     t, c = [0, *ends.tolist()], [0.0, *penalty.tolist()]
     cost, back = [0.0] * len(t), [0] * len(t)
     queue: deque[int] = deque()  # indexes with rising f + t
@@ -45,6 +48,10 @@ def cut_windows(ends: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
         i = queue[0]
         cost[j] = c[j] + size - t[j] + cost[i] + t[i]
         back[j] = i
+    if tail and len(t) > 1:
+        end = t[-1]
+        begin = next(i for i, x in enumerate(t) if end - x <= size)
+        back[-1] = min(range(begin, len(t) - 1), key=lambda i: (cost[i] + tail(end - t[i]), -i))
     chosen, j = [], len(t) - 1
     while j:
         chosen.append(j - 1)
@@ -69,11 +76,12 @@ def _boundaries(breaks: list[tuple[int, float]], total: int, size: int) -> tuple
     return ends, np.array([best[e] for e in ends.tolist()])
 
 
-def _tail(length: int, size: int) -> list[int]:
-    """Cuts of a last stretch below ``size``: at powers of two if that is cheaper than its padding."""
+def _tail(length: int, size: int) -> tuple[float, list[int]]:
+    """Cost and windows of a last stretch of at most ``size``: powers of two if that is cheaper than its padding."""
     powers = [1 << k for k in range(length.bit_length() - 1, -1, -1) if length >> k & 1]
     padding = 0 if len(powers) == 1 else size - length
-    return powers if (len(powers) - 1) * INSIDE < padding else [length]
+    cuts = (len(powers) - 1) * INSIDE
+    return (cuts, powers) if cuts < padding else (padding, [length])
 
 
 class Stream:
@@ -95,12 +103,14 @@ class Stream:
         if not self.n:
             return
         ends, penalty = _boundaries(self.breaks, self.n, self.size)
-        cuts = ends[cut_windows(ends, penalty, self.size)].tolist()
+        # Inside the stream the last window costs nothing: it goes on with the next stretch.
+        end = (lambda n: _tail(n, self.size)[0]) if last else (lambda n: 0.0)
+        cuts = ends[cut_windows(ends, penalty, self.size, end)].tolist()
         if not last:
             cuts = cuts[:-2]
         elif cuts:
             begin = cuts[-2] if len(cuts) > 1 else 0
-            cuts = [*cuts[:-1], *(begin + np.cumsum(_tail(cuts[-1] - begin, self.size))).tolist()]
+            cuts = [*cuts[:-1], *(begin + np.cumsum(_tail(cuts[-1] - begin, self.size)[1])).tolist()]
         k, at, done = 0, 0, 0
         for cut in cuts:
             window = []
