@@ -61,7 +61,7 @@ def physics_violations(df: DataFrame, hh: str | None = None, hv: str | None = No
 
 
 def require_physics(df: DataFrame, hh: str | None = None, hv: str | None = None) -> DataFrame:
-    """Stop on invalid logarithms, missing features or implausible ranges."""
+    """Raise with the counts of every check of ``physics_violations`` that found a row."""
     found = {k: v for k, v in physics_violations(df, hh, hv).first().asDict().items() if v}
     if found:
         raise ValueError(f"radar physics check failed: {found}")
@@ -72,6 +72,3 @@ def qa_is_valid(value) -> Column:
     """Membership in the documented land classes; unreadable input is False."""
     return F.coalesce(_col(value).try_cast("int").isin(*VALID_QA), F.lit(False))
 
-
-def db_difference(a, b) -> Column:
-    return _col(a) - _col(b)

@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from geotransfer.schemas import (FORBIDDEN_PREDICTORS, PROTECTED_STAGES, REPRESENTATIONS)
+from geotransfer.schemas import FORBIDDEN_PREDICTORS, PROTECTED_STAGES, REPRESENTATIONS, RESPONSE
 
 
 class GuardError(RuntimeError):
@@ -50,19 +50,37 @@ def require_columns(df: DataFrame, columns: Iterable[str], name: str = "table")
     return df
 
 
-def name_collisions(df: DataFrame, bands: Iterable[str]) -> list[str]:
-    return sorted(set(df.columns) & set(bands))
+def predictor_table(spark: SparkSession, features: Iterable[str], schema: T.StructType | None = None) -> DataFrame:
+    """One row per requested predictor: its folded name, how often it is asked for, its type and what is wrong with it.
 
+    With a ``schema`` a predictor also has to name exactly one numeric column of it, whatever the case.
+    """
+    types = {}
+    for f in schema or ():
+        types.setdefault(f.name.strip().casefold(), []).append(f.dataType)
+    rows = []
+    for place, name in enumerate(features):
+        key = str(name).strip().casefold()
+        found = types.get(key, [])
+        numeric = len(found) == 1 and isinstance(found[0], T.NumericType)
+        rows.append((place, str(name), key, key in _FORBIDDEN, schema is None or numeric))
+    asked = spark.createDataFrame(rows, "place int, name string, key string, forbidden boolean, numeric boolean")
+    copies = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    return asked.withColumn("problem", F.when(F.col("forbidden"), F.lit("carries a label, an id, a place or a quality mark"))
+                            .when(copies > 1, F.lit("asked for more than once"))
+                            .when(~F.col("numeric"), F.lit("is not one numeric column")))
+
+
+_FORBIDDEN = frozenset(n.casefold() for n in FORBIDDEN_PREDICTORS)
 
-def safe_predictors(features: Iterable[str]) -> list[str]:
-    """Refuse labels, identifiers, coordinates, blocks and QC columns as predictors."""
-    features = list(features)
-    leaked = sorted({str(f).strip().lower() for f in features} & FORBIDDEN_PREDICTORS)
-    if leaked:
-        raise GuardError(f"forbidden predictors: {leaked}")
-    if len(set(features)) != len(features):
-        raise GuardError("duplicate predictors")
-    return features
+
+def safe_predictors(features: Iterable[str], schema: T.StructType | None = None) -> list[str]:
+    """The requested predictors in order; stops on the first that ``predictor_table`` finds fault with."""
+    names = [str(f) for f in features]
+    spark = SparkSession.active()
+    faults = predictor_table(spark, names, schema).where(F.col("problem").isNotNull()).orderBy("place")
+    refuse_rows(faults.select("name", "problem"), "predictor refused")
+    return names
 
 
 def feature_schema(name: str, features: Iterable[str]) -> list[str]:
@@ -80,11 +98,33 @@ def select_representation(df: DataFrame, name: str, keep: Sequence[str] = ()) ->
     return df.select(*keep, *features)
 
 
-def protect_stage(stage: str, has_label: bool, uses_metrics: bool = False) -> None:
-    if stage in PROTECTED_STAGES and (has_label or uses_metrics):
-        raise GuardError(f"target information entered protected stage {stage}")
+def protected_inputs(stage_inputs: DataFrame, open_stages: DataFrame | None = None) -> DataFrame:
+    """Rows of a (stage, table, has_label) register whose stage may not see labels.
+
+    ``open_stages`` (stage) lists stages that may; without it every stage outside the protected set is open.
+    """
+    labelled = stage_inputs.where("has_label")
+    if open_stages is not None:
+        return labelled.join(open_stages.select("stage"), "stage", "left_anti").select(*stage_inputs.columns)
+    closed = stage_inputs.sparkSession.createDataFrame([(s,) for s in sorted(PROTECTED_STAGES)], "stage string")
+    return labelled.join(F.broadcast(closed), "stage", "left_semi").select(*stage_inputs.columns)
+
+
+def stage_inputs(stage: str, **tables: DataFrame) -> DataFrame:
+    """Register of the tables that enter a stage; a table is labelled if a forbidden response column is in it and filled."""
+    rows = None
+    for name, df in tables.items():
+        held = [c for c in df.columns if c.strip().casefold() in _RESPONSES]
+        filled = F.max(F.greatest(*[F.col(c).isNotNull() for c in held], F.lit(False))) if held else F.lit(False)
+        row = df.agg(F.lit(stage).alias("stage"), F.lit(name).alias("table"), F.coalesce(filled, F.lit(False)).alias("has_label"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+_RESPONSES = frozenset({RESPONSE, f"{RESPONSE}_se"})
 
 
-def protected_inputs(stage_inputs: DataFrame) -> DataFrame:
-    """Rows of a (stage, table, has_label) register that break stage protection."""
-    return stage_inputs.where(F.col("stage").isin(*sorted(PROTECTED_STAGES)) & F.col("has_label"))
+def protect_stage(stage: str, **tables: DataFrame) -> None:
+    """Stop if a table with labels enters a protected stage."""
+    if tables:
+        refuse_rows(protected_inputs(stage_inputs(stage, **tables)), "labels reach a stage that has to stay blind")

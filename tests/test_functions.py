@@ -113,7 +113,7 @@ def test_utm_central_meridian_and_symmetry(spark):
     assert m == pytest.approx(0.9996 * 4984944.378, abs=0.01)
 
 
-def test_schemas_exclude_shortcuts():
+def test_schemas_exclude_shortcuts(spark):
     for name, features in REPRESENTATIONS.items():
         assert feature_schema(name, features) == features
     with pytest.raises(GuardError):
