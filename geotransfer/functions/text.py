@@ -32,3 +32,13 @@ def count_map(c) -> Column:
                            F.regexp_extract(p, r"^(.*?)\s*[=:]\s*(-?\d+)$", 2)
                            .cast("long").alias("value")))
     return F.map_from_entries(entries)
+
+
+def row_text(columns) -> Column:
+    """One text per row that tells values, NULLs and their places apart: ``N;`` or ``<bytes>:<value>;`` per column."""
+    cells = []
+    for c in columns:
+        text = F.col(c).cast("string")
+        cells.append(F.when(text.isNull(), F.lit("N;")).otherwise(
+            F.concat(F.octet_length(text).cast("string"), F.lit(":"), text, F.lit(";"))))
+    return F.concat(F.lit(""), *cells)

@@ -3,61 +3,65 @@
 from __future__ import annotations
 
 import hashlib
-import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from geotransfer.operators.guards import GuardError, refuse_rows
+from geotransfer.functions.text import row_text
+from geotransfer.operators.guards import GuardError, duplicate_keys, refuse_rows
 from geotransfer.operators.joins import complete_join
 from geotransfer.operators.ordering import number_rows
 from geotransfer.schemas import KEYS, RESPONSE
 
 
-def _cell(c: str) -> Column:
-    return F.coalesce(F.col(c).cast("string"), F.lit("\\N"))
+def _part_sum(digest: Column, part: int) -> Column:
+    """Exact sum over rows of the ``part``-th 60 bits of a sha256 text."""
+    bits = F.conv(F.substring(digest, 15 * part + 1, 15), 16, 10).cast("decimal(38,0)")
+    return F.coalesce(F.sum(bits), F.lit(0)).cast("string")
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Order-free table fingerprint: row count, exact hash sum and hash xor.
+    """Order-free table fingerprint: row count and the sums of two 60-bit parts of every row's sha256.
 
-    Every part is a partial aggregate, so the table is read once and only one
-    row per task is shuffled.
+    A row's hash covers each value with its length and place, and NULL apart from any text. Every part
+    is a partial aggregate, so the table is read once and only one row per task is shuffled.
     """
-    cols = list(columns or df.columns)
-    h = F.xxhash64(*[F.col(c) for c in cols])
-    return df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash_sum"),
-                  F.coalesce(F.bit_xor(h), F.lit(0)).alias("hash_xor"))
+    h = F.sha2(row_text(list(columns or df.columns)), 256)
+    return df.select(h.alias("_h")).agg(F.count(F.lit(1)).alias("rows"), _part_sum(F.col("_h"), 0).alias("hash_sum"),
+                                        _part_sum(F.col("_h"), 1).alias("hash_sum_2"))
 
 
 def fingerprint_text(df: DataFrame, columns: Sequence[str] | None = None) -> str:
     r = fingerprint(df, columns).first()
-    return hashlib.sha256(f"{r['rows']}|{r['hash_sum']}|{r['hash_xor']}".encode()).hexdigest()
+    return hashlib.sha256(f"{r['rows']}|{r['hash_sum']}|{r['hash_sum_2']}".encode()).hexdigest()
 
 
 def ordered_row_hashes(df: DataFrame, order: Sequence[str], columns: Sequence[str],
                        keys: Sequence[str] = ()) -> DataFrame:
     """sha256 of (row number, values) per row, in canonical order inside ``keys``."""
     numbered = number_rows(df, order, keys, "row_no")
-    text = F.concat_ws("|", F.col("row_no").cast("string"), *[_cell(c) for c in columns])
-    return numbered.select(*keys, "row_no", F.sha2(text, 256).alias("row_hash"))
+    return numbered.select(*keys, "row_no", F.sha2(row_text(["row_no", *columns]), 256).alias("row_hash"))
 
 
-def schema_hash(features: Iterable[str]) -> str:
-    text = json.dumps(list(features), separators=(",", ":"), ensure_ascii=True)
-    return hashlib.sha256(text.encode()).hexdigest()
+def schema_hash(schema: T.StructType) -> str:
+    """Hash of the names and types of a table, in order; nullability and metadata play no part."""
+    bare = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
+    return hashlib.sha256(bare.simpleString().encode()).hexdigest()
+
+
+def number_schema(features: Sequence[str]) -> T.StructType:
+    """The schema a feature set has in a model table: numbers in fixed order."""
+    return T.StructType([T.StructField(c, T.DoubleType()) for c in features])
 
 
 def schema_hashes(spark, features: dict[str, list[str]]) -> DataFrame:
-    rows = [(name, len(cols), schema_hash(cols)) for name, cols in features.items()]
+    rows = [(name, len(cols), schema_hash(number_schema(cols))) for name, cols in features.items()]
     return spark.createDataFrame(rows, "representation string, feature_n int, schema_hash string")
 
 
 def content_hash(columns: Sequence[str]) -> Column:
     """Order-free content hash: sum of the first 60 bits of each row's sha256."""
-    h = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
-    return F.sum(F.conv(F.substring(h, 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return _part_sum(F.sha2(row_text(columns), 256), 0)
 
 
 def _literal_map(values: dict) -> Column:
@@ -85,7 +89,7 @@ def freeze_summary(df: DataFrame, block: str, fold: str, response: str = RESPONS
     years = df.select("year").distinct().agg(F.array_sort(F.collect_list("year"))).scalar()
     extra = {}
     if features:
-        extra["feature_schema_hashes"] = _literal_map({k: schema_hash(v) for k, v in features.items()})
+        extra["feature_schema_hashes"] = _literal_map({k: schema_hash(number_schema(v)) for k, v in features.items()})
     if exclusions:
         extra["exclusion_counts"] = _literal_map({k: int(v) for k, v in exclusions.items()})
     return base.withColumns({"years": years, "fold_counts": fold_map, **extra,
@@ -94,8 +98,7 @@ def freeze_summary(df: DataFrame, block: str, fold: str, response: str = RESPONS
 
 def freeze_row(df: DataFrame, stage: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     """A manifest row (stage, name, fingerprint) for a frozen table."""
-    fp = F.sha2(F.concat_ws("|", F.col("rows").cast("string"), "hash_sum",
-                            F.col("hash_xor").cast("string")), 256)
+    fp = F.sha2(F.concat_ws("|", F.col("rows").cast("string"), "hash_sum", "hash_sum_2"), 256)
     return fingerprint(df, columns).select(F.lit(stage).alias("stage"), F.lit(name).alias("name"),
                                            "rows", fp.alias("fingerprint"))
 
@@ -182,6 +185,7 @@ def inventory_status(listing: DataFrame) -> DataFrame:
 def stage_equality(stages: DataFrame, reference: str, on: Sequence[str],
                    bands: Sequence[str], stage: str = "stage") -> DataFrame:
     """The same points through several extraction stages, each against the reference stage."""
+    refuse_rows(duplicate_keys(stages, [stage, *on]), "a stage holds a point twice")
     ref = stages.where(F.col(stage) == reference).select(
         *on, *[F.col(b).alias(f"_r_{b}") for b in bands], F.lit(True).alias("_ref"))
     # One left join on the point key compares every stage at once.

@@ -6,17 +6,26 @@ from pyspark.sql import functions as F
 
 from geotransfer.operators import govern, guards
 from geotransfer.operators.metrics import metrics
-from geotransfer.queries.registry import query, rounded, select_rounded, table, view, with_views
+from geotransfer.queries.registry import hash_sum_sql, query, row_text_sql, rounded, table, view, with_views
+from geotransfer.session import materialize
 from geotransfer.sources.readers import file_checksums
 
 
-@query("table_fingerprint", "K1")
+@query("table_fingerprint", "K1", f"""
+    SELECT count(*) AS rows, {hash_sum_sql('h')} AS hash_sum, {hash_sum_sql('h', 1)} AS hash_sum_2 FROM (
+      SELECT sha256({row_text_sql('l_orderkey', 'l_linenumber', 'l_partkey', 'l_returnflag', 'mark',
+                                  'CAST(l_quantity AS BIGINT)')}) AS h
+      FROM (SELECT *, CASE WHEN l_linestatus = 'O' THEN l_linestatus END AS mark FROM lineitem))""")
 def table_fingerprint(spark, sf):
-    return govern.fingerprint(table(spark, sf, "lineitem"))
+    """Order-free fingerprint of all line items, with a column that is often missing."""
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag",
+        F.when(F.col("l_linestatus") == "O", F.col("l_linestatus")).alias("mark"), F.col("l_quantity").cast("bigint").alias("qty"))
+    return govern.fingerprint(rows)
 
 
 @query("ordered_row_hashes", "K2 E5", with_views("foot") + """
-    SELECT year, row_no, sha256(concat_ws('|', CAST(row_no AS VARCHAR), shot_number, block)) AS row_hash FROM (
+    SELECT year, row_no, sha256(""" + row_text_sql("row_no", "shot_number", "block") + """) AS row_hash FROM (
       SELECT year, shot_number, block, row_number() OVER (PARTITION BY year ORDER BY shot_number) AS row_no FROM foot)""")
 def ordered_row_hashes(spark, sf):
     return govern.ordered_row_hashes(view(spark, sf, "foot").select("year", "shot_number", "block"),
@@ -24,8 +33,7 @@ def ordered_row_hashes(spark, sf):
 
 
 def _content(cols):
-    text = ", ".join(cols)
-    return f"CAST(sum(CAST(('0x' || substr(sha256(concat_ws('|', {text})), 1, 15))::BIGINT AS DECIMAL(38,0))) AS VARCHAR)"
+    return hash_sum_sql(f"sha256({row_text_sql(*cols)})")
 
 
 @query("freeze_summary", "K9", with_views("foot") + f"""
@@ -60,20 +68,23 @@ def freeze_chain(spark, sf):
 def unlocked_metrics(spark, sf):
     """Freeze the predictions, then join labels through the only door there is."""
     target = view(spark, sf, "foot").where("domain = 'target'")
-    predictions = target.select("shot_number", "year", "prediction")
+    predictions = materialize(target.select("shot_number", "year", "prediction"))  # the stored artefact is what is frozen
     freeze = govern.freeze_row(govern.require_label_free(predictions), "zero_shot", "formula")
     joined = govern.unlock(predictions, target.select("shot_number", "year", "agbd"), freeze, "zero_shot", "formula")
     return metrics(joined, by=["year"]).select("year", rounded("RMSE"), "N")
 
 
 @query("numeric_disagreements", "K13", """
-    SELECT l_returnflag, 'qty' AS "column" FROM lineitem GROUP BY 1 HAVING sum(l_quantity) <> sum(CASE WHEN l_tax > 0.07 AND l_returnflag = 'A' THEN 0 ELSE l_quantity END)""")
+    SELECT l_returnflag, 'qty' AS "column", round(CAST(sum(l_quantity) AS DOUBLE), 2) AS left_value,
+           round(CAST(sum(CASE WHEN l_tax > 0.07 AND l_returnflag = 'A' THEN 0 ELSE l_quantity END) AS DOUBLE), 2) AS right_value
+    FROM lineitem GROUP BY 1 HAVING sum(l_quantity) <> sum(CASE WHEN l_tax > 0.07 AND l_returnflag = 'A' THEN 0 ELSE l_quantity END)""")
 def numeric_disagreements(spark, sf):
     df = table(spark, sf, "lineitem")
     a = df.groupBy("l_returnflag").agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("n"))
     lost = F.when((F.col("l_tax") > 0.07) & (F.col("l_returnflag") == "A"), 0.0).otherwise(F.col("l_quantity"))
     b = df.groupBy("l_returnflag").agg(F.sum(lost).alias("qty"), F.count(F.lit(1)).alias("n"))
-    return govern.numeric_disagreements(a, b, ["l_returnflag"], ["qty", "n"]).select("l_returnflag", "column")
+    return govern.numeric_disagreements(a, b, ["l_returnflag"], ["qty", "n"]).select(
+        "l_returnflag", "column", rounded("left_value", 2), rounded("right_value", 2))
 
 
 @query("stage_equality", "K14 C7", with_views("radar", more="""
@@ -104,10 +115,11 @@ def inventory(spark, sf):
 
 
 @query("protected_stage_inputs", "K6", with_views("foot") + """
-    SELECT 'source_sampling' AS stage, domain AS "table", true AS has_label FROM foot WHERE domain = 'target' GROUP BY domain""")
+    SELECT 'source_sampling' AS stage, 'target_raw' AS "table", count(agbd) > 0 AS has_label FROM foot WHERE domain = 'target'
+    HAVING count(agbd) > 0""")
 def protected_stage_inputs(spark, sf):
-    """A register of stage inputs by domain: the target rows carry labels."""
-    reg = view(spark, sf, "foot").groupBy("domain").agg(F.count("agbd").alias("n"))
-    reg = reg.select(F.lit("source_sampling").alias("stage"), F.col("domain").alias("table"),
-                     ((F.col("n") > 0) & (F.col("domain") == "target")).alias("has_label"))
-    return guards.protected_inputs(reg)
+    """The tables that enter two stages: labelled target rows may reach evaluation, not sampling."""
+    target = view(spark, sf, "foot").where("domain = 'target'")
+    blind = target.select("shot_number", "year", "block")
+    inputs = guards.stage_inputs("source_sampling", target_raw=target.select("shot_number", "agbd"), target_blind=blind)
+    return guards.protected_inputs(inputs.unionByName(guards.stage_inputs("evaluation", target_raw=target.select("agbd"))))

@@ -108,16 +108,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def widened(df: DataFrame) -> DataFrame:
-    """Spread a plain scan that has fewer tasks than cores before heavy row work.
-
-    A table of one small file is read by one task. A table of many files has
-    tasks enough and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     text = VIEWS[name]
     used = [t for t in _TABLES if "{" + t + "}" in text]
@@ -150,3 +140,15 @@ def select_rounded(df: DataFrame, keep: Sequence[str], values: Sequence[str],
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh folder under the checkpoint folder for queries that write and read back."""
     return os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def row_text_sql(*columns: str) -> str:
+    """DuckDB text of ``functions.text.row_text``."""
+    cells = [f"CASE WHEN CAST({c} AS VARCHAR) IS NULL THEN 'N;' ELSE concat(strlen(CAST({c} AS VARCHAR)), ':', CAST({c} AS VARCHAR), ';') END"
+             for c in columns]
+    return f"concat({', '.join(cells)})"
+
+
+def hash_sum_sql(digest: str, part: int = 0) -> str:
+    """Exact sum of the ``part``-th 60 bits of sha256 texts, as text."""
+    return (f"CAST(coalesce(sum(CAST(('0x' || substr({digest}, {15 * part + 1}, 15))::BIGINT AS DECIMAL(38,0))), 0) AS VARCHAR)")

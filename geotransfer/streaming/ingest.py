@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from geotransfer.operators.govern import fingerprint, schema_hash
 from geotransfer.operators.guards import refuse_rows
+from geotransfer.operators.joins import null_safe_join
 
 
 PRUNE_VALUES = 1000
@@ -44,7 +45,7 @@ def split_batch(batch: DataFrame, known: DataFrame | None, keys: Sequence[str]):
     one = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"),
                                    F.min_by(F.struct(*rest), order).alias("_r"))
     if known is not None:
-        one = one.join(known.select(*keys, F.lit(True).alias("_old")), keys, "left")
+        one = null_safe_join(one, known.select(*keys, F.lit(True).alias("_old")), keys, "left")
     else:
         one = one.withColumn("_old", F.lit(None).cast("boolean"))
     accepted = one.where(F.col("_old").isNull()).select(*keys, "_r.*").select(*batch.columns)
@@ -69,7 +70,7 @@ def ingest(spark: SparkSession, source: str, schema: T.StructType, out: str, key
         reader = reader.option(k, v)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    columns_hash = schema_hash([f"{f.name}:{f.dataType.simpleString()}" for f in schema])
+    columns_hash = schema_hash(schema)
 
     if _exists(spark, ledger):
         other = spark.read.parquet(ledger).where(F.col("schema_hash") != columns_hash)

@@ -122,12 +122,24 @@ def test_exclusions_and_missing_columns(spark):
 
 
 def test_stage_protection(spark):
-    guards.protect_stage("model_tuning", has_label=False)
-    guards.protect_stage("evaluation", has_label=True)
+    blind = spark.createDataFrame([("1", None)], "shot_number string, AGBD double")
+    filled = spark.createDataFrame([("1", 2.0), ("2", None)], "shot_number string, AGBD double")
+    guards.protect_stage("model_tuning", target=blind, other=blind.drop("AGBD"))
+    guards.protect_stage("evaluation", target=filled)
     with pytest.raises(GuardError):
-        guards.protect_stage("model_tuning", has_label=True)
-    with pytest.raises(GuardError):
-        guards.protect_stage("source_sampling", has_label=False, uses_metrics=True)
+        guards.protect_stage("model_tuning", target=filled)
+    inputs = guards.stage_inputs("any_stage", target=filled)
+    assert guards.protected_inputs(inputs).count() == 0
+    allowed = spark.createDataFrame([("evaluation",)], "stage string")
+    assert guards.protected_inputs(inputs, allowed).count() == 1
+
+
+def test_predictors_have_to_be_numeric_columns(spark):
+    df = spark.createDataFrame([(1.0, "x")], "Slope double, name string")
+    assert guards.safe_predictors(["slope"], df.schema) == ["slope"]
+    for wrong in (["name"], ["absent"], ["slope", "SLOPE"], ["agbd"]):
+        with pytest.raises(GuardError):
+            guards.safe_predictors(wrong, df.schema)
 
 
 def test_fingerprint_ignores_order_and_sees_change(spark):
@@ -138,6 +150,19 @@ def test_fingerprint_ignores_order_and_sees_change(spark):
     assert govern.fingerprint_text(df.union(df.limit(1))) != a
 
 
+@pytest.mark.parametrize("a,b", [((None, "5"), ("5", None)), ((None, "N;"), ("N;", None)), (("1:", "x"), ("1", ":x")),
+                                 (("a|b", "c"), ("a", "b|c")), (("\\N", "1"), (None, "1"))])
+def test_hashes_tell_places_and_missing_values_apart(spark, a, b):
+    schema = "x string, y string"
+    one, two = spark.createDataFrame([a], schema), spark.createDataFrame([b], schema)
+    assert govern.fingerprint_text(one) != govern.fingerprint_text(two)
+    for columns in (["x", "y"],):
+        h = [df.agg(govern.content_hash(columns)).first()[0] for df in (one, two)]
+        assert h[0] != h[1]
+        r = [govern.ordered_row_hashes(df, ["x"], columns).first().row_hash for df in (one, two)]
+        assert r[0] != r[1]
+
+
 def test_ordered_hashes_see_order(spark):
     df = frame(spark, [("1", 1, 1.0), ("2", 1, 2.0)])
     a = govern.ordered_row_hashes(df, ["shot_number"], KEYS).collect()
@@ -149,10 +174,11 @@ def test_ordered_hashes_see_order(spark):
 def test_schema_hashes(spark):
     t = govern.schema_hashes(spark, REPRESENTATIONS).collect()
     assert len({r.schema_hash for r in t}) == 8
-    assert govern.schema_hash(["a", "b"]) != govern.schema_hash(["b", "a"])
-    # sha256 of the compact JSON text ["elevation"]
+    df = spark.createDataFrame([(1, 2.0)], "a int, b double")
+    assert govern.schema_hash(df.schema) != govern.schema_hash(df.select("b", "a").schema)
+    assert govern.schema_hash(df.schema) != govern.schema_hash(df.withColumn("a", F.col("a").cast("long")).schema)
     import hashlib
-    assert govern.schema_hash(["elevation"]) == hashlib.sha256(b'["elevation"]').hexdigest()
+    assert govern.schema_hash(df.schema) == hashlib.sha256(b"struct<a:int,b:double>").hexdigest()
 
 
 def test_label_lock(spark):
