@@ -25,10 +25,14 @@ def median_per_group(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def mosaic(pixels: DataFrame, by: Sequence[str], bands: Sequence[str], scene_ts: str) -> DataFrame:
-    """First valid pixel of the latest scene."""
-    top = F.max_by(F.struct(*bands), F.col(scene_ts)).alias("_b")
+    """The latest valid value of every band; of scenes with one time stamp the largest value counts.
+
+    A pixel without any valid value is left out.
+    """
     valid = pixels.where(F.greatest(*[F.col(b).isNotNull().cast("int") for b in bands], F.lit(0)) > 0)
-    return valid.groupBy(*by).agg(top).select(*by, "_b.*")
+    latest = [F.max(F.when(F.col(b).isNotNull(), F.struct(F.col(scene_ts).alias("ts"), F.col(b).alias("v"))))["v"].alias(b)
+              for b in bands]
+    return valid.groupBy(*by).agg(*latest)
 
 
 def scenes_per_year(scenes: DataFrame, year: str, scene_id: str) -> DataFrame:

@@ -24,6 +24,14 @@ def csv_string_keys(spark, sf):
     return readers.read_delimited(spark, path, _POINTS)
 
 
+@query("csv_by_header", "A1 A13", with_views("foot") + "SELECT shot_number, year, agbd FROM foot")
+def csv_by_header(spark, sf):
+    """Columns in another order than declared, and one more: values go by the names in the header."""
+    path = scratch(spark, "csv")
+    view(spark, sf, "foot").select("agbd", "status", "year", "shot_number").write.option("header", True).csv(path)
+    return readers.read_delimited(spark, path, _POINTS)
+
+
 @query("chunk_folder_scan", "A2", with_views("foot") + """
     SELECT year, count(*) AS n, count(DISTINCT shot_number) AS ids, true AS has_file
     FROM foot GROUP BY year""")
@@ -114,9 +122,9 @@ def scenes_per_year(spark, sf):
 
 
 @query("latest_valid_mosaic", "A10", with_views("obs") + """
-    SELECT user_id, event_type, value FROM (
-        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k FROM obs
-        WHERE value IS NOT NULL) WHERE k = 1""")
+    SELECT user_id, arg_max(event_type, {'ts': ts, 'v': event_type}) FILTER (event_type IS NOT NULL) AS event_type,
+           arg_max(value, {'ts': ts, 'v': value}) FILTER (value IS NOT NULL) AS value
+    FROM obs WHERE event_type IS NOT NULL OR value IS NOT NULL GROUP BY user_id""")
 def latest_valid_mosaic(spark, sf):
     return composite.mosaic(view(spark, sf, "obs"), ["user_id"], ["event_type", "value"], "ts")
 
@@ -133,38 +141,43 @@ _DELIVERED = """
     base AS (SELECT o_orderkey, CAST(o_orderkey % 7 AS INT) AS chunk, year, f1, f2, status, agbd FROM foot),
     delivered AS (
         SELECT o_orderkey, chunk, year, CASE WHEN chunk = 1 AND agbd > 490 THEN NULL ELSE f1 END AS f1,
-               f2 FROM base WHERE NOT (chunk IN (2, 5) AND agbd < 20)
-        UNION ALL SELECT o_orderkey, chunk, year, f1, f2 FROM base WHERE chunk = 3 AND status = 'P'
-        UNION ALL SELECT -1 - o_orderkey, chunk, year, f1, f2 FROM base WHERE chunk = 4 AND status = 'P')"""
+               f2, CASE WHEN chunk = 0 AND status = 'F' THEN NULL ELSE agbd END AS agbd
+        FROM base WHERE NOT (chunk IN (2, 5) AND agbd < 20)
+        UNION ALL SELECT o_orderkey, chunk, year + CAST(o_orderkey % 2 AS INT), f1, f2, agbd FROM base WHERE chunk = 3 AND status = 'P'
+        UNION ALL SELECT -1 - o_orderkey, chunk, year, f1, f2, agbd FROM base WHERE chunk = 4 AND status = 'P')"""
 
 
 def _delivered(spark, sf):
     """Expected rows, and a delivery with masked, repeated, foreign and missing values."""
     base = view(spark, sf, "foot").select("o_orderkey", (F.col("o_orderkey") % 7).cast("int").alias("chunk"),
                                           "year", "f1", "f2", "status", "agbd")
-    main = base.where("NOT (chunk IN (2, 5) AND agbd < 20)").withColumn(
-        "f1", F.expr("CASE WHEN chunk = 1 AND agbd > 490 THEN NULL ELSE f1 END"))
-    again = base.where("chunk = 3 AND status = 'P'")
+    main = base.where("NOT (chunk IN (2, 5) AND agbd < 20)").withColumns({
+        "f1": F.expr("CASE WHEN chunk = 1 AND agbd > 490 THEN NULL ELSE f1 END"),
+        "agbd": F.expr("CASE WHEN chunk = 0 AND status = 'F' THEN NULL ELSE agbd END")})
+    again = base.where("chunk = 3 AND status = 'P'").withColumn("year", F.col("year") + (F.col("o_orderkey") % 2).cast("int"))
     foreign = base.where("chunk = 4 AND status = 'P'").withColumn("o_orderkey", -1 - F.col("o_orderkey"))
     return base, main.unionByName(again).unionByName(foreign)
 
 
 @query("chunk_audit", "A13", with_views("foot", more=_DELIVERED) + """
     , got AS (SELECT chunk, o_orderkey, count(*) AS n, count(*) FILTER (WHERE f1 IS NULL) AS bad,
-              count(*) FILTER (WHERE f1 = 0 AND f2 = 0) AS zero
+              count(*) FILTER (WHERE f1 = 0 AND f2 = 0) AS zero, count(*) FILTER (WHERE agbd IS NULL) AS absent,
+              min(year) AS y0, max(year) AS y1
               FROM delivered GROUP BY ALL),
-    j AS (SELECT coalesce(b.chunk, g.chunk) AS chunk, b.o_orderkey AS want, g.* EXCLUDE (chunk)
+    j AS (SELECT coalesce(b.chunk, g.chunk) AS chunk, b.o_orderkey AS want, b.year AS ey, g.* EXCLUDE (chunk)
           FROM base b FULL JOIN got g ON b.chunk = g.chunk AND b.o_orderkey = g.o_orderkey),
     a AS (SELECT chunk, count(want) AS expected_n, CAST(coalesce(sum(n), 0) AS BIGINT) AS observed_n,
            count(*) FILTER (WHERE n > 1) AS repeated_keys, count(*) FILTER (WHERE want IS NULL) AS foreign_keys,
-           count(*) FILTER (WHERE n IS NULL) AS missing_keys, CAST(0 AS BIGINT) AS wrong_year,
+           count(*) FILTER (WHERE n IS NULL) AS missing_keys,
+           count(*) FILTER (WHERE want IS NOT NULL AND n IS NOT NULL AND (y0 <> ey OR y1 <> ey)) AS wrong_year,
            CAST(coalesce(sum(bad), 0) AS BIGINT) AS non_finite_rows,
-           CAST(coalesce(sum(zero), 0) AS BIGINT) AS all_zero_rows FROM j GROUP BY chunk)
-    SELECT *, CASE WHEN repeated_keys + foreign_keys + wrong_year + non_finite_rows + all_zero_rows > 0
+           CAST(coalesce(sum(zero), 0) AS BIGINT) AS all_zero_rows,
+           CAST(coalesce(sum(absent), 0) AS BIGINT) AS missing_value_rows FROM j GROUP BY chunk)
+    SELECT *, CASE WHEN repeated_keys + foreign_keys + wrong_year + non_finite_rows + all_zero_rows + missing_value_rows > 0
                    THEN 'FAIL' WHEN missing_keys > 0 THEN 'SUBSET' ELSE 'PASS' END AS status FROM a""")
 def chunk_audit(spark, sf):
     base, got = _delivered(spark, sf)
-    return chunks.chunk_audit(got, base, "o_orderkey", "chunk", "year", ["f1", "f2"])
+    return chunks.chunk_audit(got, base, "o_orderkey", "chunk", "year", ["f1", "f2"], ["agbd"])
 
 
 @query("candidate_choice", "A14", with_views("foot", more="""

@@ -7,21 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from geotransfer.functions.numeric import all_finite
-from geotransfer.operators.guards import refuse_rows
+from geotransfer.operators.guards import refuse_rows, require_columns
 
 
 def chunk_audit(rows: DataFrame, expected: DataFrame, key: str, chunk: str, year: str,
-                features: Sequence[str]) -> DataFrame:
+                features: Sequence[str], required: Sequence[str] = ()) -> DataFrame:
     """One row per chunk: sizes, repeats, foreign and missing keys, bad values, status.
 
+    ``required`` columns may not be missing; a table without one of them, or without a feature, is refused.
+
     ``rows`` and ``expected`` both carry ``chunk``. Rows are counted per
     (chunk, key) first, so a heavily repeated key is one row after the map side.
     """
+    require_columns(rows, [key, chunk, year, *features, *required], "delivered chunks")
+    absent = F.lit(False)
+    for c in required:
+        absent = absent | F.col(c).isNull()
     zero = F.lit(True)
     for c in features:
         zero = zero & (F.col(c) == 0)
     got = rows.groupBy(chunk, key).agg(
-        F.count(F.lit(1)).alias("_n"), F.first(year).alias("_y"),
+        F.count(F.lit(1)).alias("_n"), F.min(year).alias("_y0"), F.max(year).alias("_y1"),
+        F.count_if(F.col(year).isNull()).alias("_no_year"), F.count_if(absent).alias("_absent"),
         F.count_if(~all_finite(features)).alias("_bad"),
         F.count_if(F.coalesce(zero, F.lit(False))).alias("_zero"))
     want = expected.select(chunk, key, F.col(year).alias("_ey"), F.lit(True).alias("_want"))
@@ -29,14 +36,16 @@ def chunk_audit(rows: DataFrame, expected: DataFrame, key: str, chunk: str, year
     missing = F.count_if(F.col("_n").isNull())
     foreign = F.count_if(F.col("_want").isNull())
     repeated = F.count_if(F.col("_n") > 1)
-    off_year = F.count_if(F.col("_want").isNotNull() & (F.col("_y") != F.col("_ey")))
+    other = ~F.col("_y0").eqNullSafe(F.col("_ey")) | ~F.col("_y1").eqNullSafe(F.col("_ey")) | (F.col("_no_year") > 0)
+    off_year = F.count_if(F.col("_want").isNotNull() & F.col("_n").isNotNull() & other)
     out = j.groupBy(chunk).agg(
         F.count("_want").alias("expected_n"), F.coalesce(F.sum("_n"), F.lit(0)).alias("observed_n"),
         repeated.alias("repeated_keys"), foreign.alias("foreign_keys"), missing.alias("missing_keys"),
         off_year.alias("wrong_year"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("non_finite_rows"),
-        F.coalesce(F.sum("_zero"), F.lit(0)).alias("all_zero_rows"))
+        F.coalesce(F.sum("_zero"), F.lit(0)).alias("all_zero_rows"),
+        F.coalesce(F.sum("_absent"), F.lit(0)).alias("missing_value_rows"))
     bad = (F.col("repeated_keys") + F.col("foreign_keys") + F.col("wrong_year")
-           + F.col("non_finite_rows") + F.col("all_zero_rows"))
+           + F.col("non_finite_rows") + F.col("all_zero_rows") + F.col("missing_value_rows"))
     return out.withColumn("status", F.when(bad > 0, F.lit("FAIL"))
                           .when(F.col("missing_keys") > 0, F.lit("SUBSET"))
                           .otherwise(F.lit("PASS")))

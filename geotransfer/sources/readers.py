@@ -10,9 +10,18 @@ from geotransfer.operators.guards import GuardError
 
 
 def read_delimited(spark: SparkSession, path, schema: T.StructType, strict: bool = False) -> DataFrame:
-    """Headed CSV with a declared schema (18-digit ids stay text)."""
-    return (spark.read.schema(schema).option("header", True)
-            .option("enforceSchema", not strict).csv(path))
+    """Headed CSV with declared names and types (18-digit ids stay text), read by the names in the header.
+
+    A header that lacks a declared column stops the read; so does an undeclared column when ``strict``
+    (else it is skipped), and a file whose header differs from that of the first file.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    lacking = sorted(set(schema.names) - set(header))
+    more = sorted(set(header) - set(schema.names))
+    if lacking or len(set(header)) != len(header) or (strict and more):
+        raise GuardError(f"CSV header {header}: lacking {lacking}, undeclared {more}")
+    ordered = T.StructType([schema[c] if c in schema.names else T.StructField(c, T.StringType()) for c in header])
+    return spark.read.schema(ordered).option("header", True).option("enforceSchema", False).csv(path).select(*schema.names)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -26,8 +35,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 def read_chunks(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """Every CSV chunk of a folder as one scan, with the file each row came from."""
-    df = read_delimited(spark, folder, schema)
-    return df.select("*", F.col("_metadata.file_path").alias("chunk_file"))
+    return read_delimited(spark, folder, schema).select("*", F.col("_metadata.file_path").alias("chunk_file"))
 
 
 def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:

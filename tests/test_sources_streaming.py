@@ -19,6 +19,34 @@ def test_long_ids_survive_csv(spark, tmp_path):
     assert rows[0].shot_number == "000000000123456789" and rows[1].x is None
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("year,shot_number,more,x\n2020,000000000123456789,q,1.5\n")
+    row = readers.read_delimited(spark, str(tmp_path / "a.csv"), ROWS).first()
+    assert (row.shot_number, row.year, row.x) == ("000000000123456789", 2020, 1.5)
+    with pytest.raises(GuardError):
+        readers.read_delimited(spark, str(tmp_path / "a.csv"), ROWS, strict=True)
+    (tmp_path / "b.csv").write_text("shot_number,year\n1,2020\n")
+    with pytest.raises(GuardError):
+        readers.read_delimited(spark, str(tmp_path / "b.csv"), ROWS)
+    folder = tmp_path / "two"
+    folder.mkdir()
+    (folder / "1.csv").write_text("shot_number,year,x\n1,2020,1\n")
+    (folder / "2.csv").write_text("year,shot_number,x\n2020,2,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_chunks(spark, str(folder), ROWS).collect()
+
+
+def test_chunk_audit_sees_missing_values_and_any_wrong_year(spark):
+    want = spark.createDataFrame([("a", "1", 2020), ("a", "2", 2020)], "chunk string, k string, year int")
+    rows = [("a", "1", 2020, 1.0, None), ("a", "1", 2021, 1.0, 2.0), ("a", "2", None, 1.0, 2.0)]
+    for r in (rows, rows[::-1]):
+        got = spark.createDataFrame(r, "chunk string, k string, year int, u double, need double")
+        a = chunks.chunk_audit(got, want, "k", "chunk", "year", ["u"], ["need"]).first()
+        assert (a.wrong_year, a.missing_value_rows, a.status) == (2, 1, "FAIL")
+    with pytest.raises(GuardError):
+        chunks.chunk_audit(got.drop("need"), want, "k", "chunk", "year", ["u"], ["need"])
+
+
 def test_chunks_carry_their_file(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"c{i}.csv").write_text(f"shot_number,year,x\n{i},2020,1\n")
