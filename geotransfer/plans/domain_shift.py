@@ -15,6 +15,7 @@ from geotransfer.operators.sampling import row_cap, stratified_folds
 from geotransfer.operators.stats import auroc
 from geotransfer.plans.models import scaler, standardised
 from geotransfer.schemas import FOLD
+from geotransfer.session import materialize
 
 
 def vector_columns(df: DataFrame, vector: str, size: int, prefix: str = "A") -> DataFrame:
@@ -30,14 +31,19 @@ def balanced(df: DataFrame, domain: str, source: str, id_col: str, n: int) -> Da
 
 
 def domain_scores(df: DataFrame, features: Sequence[str], domain: str, source: str, id_col: str,
-                  folds: int = 5, c: float = 1.0) -> DataFrame:
-    """Cross-validated probability of being a target row (standardised logistic model)."""
+                  folds: int = 5, c: float = 1.0, fit_rows: int | None = None) -> DataFrame:
+    """Cross-validated probability of being a target row (standardised logistic model).
+
+    ``fit_rows`` bounds the rows of each side that a model is fitted on; every row is scored.
+    """
     marked = df.withColumn("label", (F.col(domain) != source).cast("double"))
     data = stratified_folds(marked, id_col, ["label"], folds).persist()
     parts = []
     try:
         for k in range(folds):
             train, test = data.where(F.col(FOLD) != k), data.where(F.col(FOLD) == k)
+            if fit_rows is not None:
+                train = balanced(train, domain, source, id_col, fit_rows)
             stats, n = scaler(train, features), train.count()
             vec = standardised(features, stats).alias("features")
             model = LogisticRegression(maxIter=100, regParam=1.0 / (c * n), elasticNetParam=0.0,
@@ -45,7 +51,7 @@ def domain_scores(df: DataFrame, features: Sequence[str], domain: str, source: s
             scored = model.transform(test.select(id_col, domain, "label", vec))
             parts.append(scored.select(id_col, domain, "label",
                                        vector_to_array("probability")[1].alias("score")))
-        return reduce(DataFrame.unionByName, parts)
+        return materialize(reduce(DataFrame.unionByName, parts))  # stored before the cached rows go
     finally:
         data.unpersist()
 

@@ -14,15 +14,16 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geotransfer.operators.guards import protect_stage, safe_predictors
+from geotransfer.operators.guards import safe_predictors
 from geotransfer.operators.metrics import best_by_error, metrics
 from geotransfer.operators.ordering import number_rows, top_per_group
 from geotransfer.operators.sampling import outside_fold, row_cap
 from geotransfer.plans.models import (CANDIDATES, FULL, Profile, assemble, build, fit_ridge,
                                       fold_moments, ridge_from_moments)
 from geotransfer.schemas import FOLD, RESPONSE, SEED
+from geotransfer.session import materialize
 
-TRAIN_CAP = 60_000
+TRAIN_CAP = 60_000  # bound on the rows a tree model is fitted on, for callers that ask for it
 MOMENT_FEATURES = 30
 TUNING = "model string, config string, inner_fold int, R2 double, RMSE double, MAE double, Bias double, N long"
 
@@ -59,10 +60,14 @@ def inner_select(spark: SparkSession, train: DataFrame, fold: str = FOLD,
 
 def nested_cv(df: DataFrame, features: Sequence[str], representation: str, id_col: str,
               fold: str = FOLD, candidates: Sequence[tuple[str, str]] = tuple(CANDIDATES),
-              profile: Profile = FULL, train_cap: int | None = TRAIN_CAP,
+              profile: Profile = FULL, train_cap: int | None = None,
               importance_repeats: int = 0) -> dict[str, DataFrame]:
-    """Out-of-fold predictions with provenance, tuning rows and optional importances."""
-    protect_stage("model_tuning", has_label=False)
+    """Out-of-fold predictions with provenance, tuning rows and optional importances.
+
+    Every outer fold's predictions and importances are stored before its models and cached
+    rows go, so reading the results never fits or scores again. ``train_cap`` bounds the rows
+    of a fit (the held-out rows are always scored whole).
+    """
     spark = df.sparkSession
     data = assemble(df, features).select(id_col, fold, RESPONSE, "features").persist()
     oof, tuning, importance = [], [], []
@@ -78,14 +83,14 @@ def nested_cv(df: DataFrame, features: Sequence[str], representation: str, id_co
             scored = model.transform(held).select(
                 id_col, fold, RESPONSE, "prediction", F.lit(family).alias("model"),
                 F.lit(config).alias("config"), F.lit(representation).alias("representation"))
-            oof.append(scored)
+            oof.append(materialize(scored))
             tuning.append(rows.withColumns({"outer_fold": F.lit(outer),
                                             "representation": F.lit(representation)}))
             if importance_repeats:
-                importance.append(permutation_importance(
+                importance.append(materialize(permutation_importance(
                     model, held, features, id_col, importance_repeats, seed=SEED + outer)
                     .withColumns({"outer_fold": F.lit(outer),
-                                  "representation": F.lit(representation)}))
+                                  "representation": F.lit(representation)})))
             train.unpersist()
         out = {"oof": _union(oof), "tuning": _union(tuning)}
         if importance:
@@ -133,15 +138,13 @@ def ridge_cv(df: DataFrame, features: Sequence[str], fold: str = FOLD, y: str =
 
 
 def permutation_importance(model, held: DataFrame, features: Sequence[str], id_col: str,
-                           repeats: int = 3, rows: int | None = 5000, seed: int = SEED,
-                           y: str = RESPONSE) -> DataFrame:
+                           repeats: int = 3, seed: int = SEED, y: str = RESPONSE) -> DataFrame:
     """Increase in RMSE when one feature is permuted: mean and population sd over repeats.
 
     A permutation pairs two hash orders of the same rows by row number; every
     (row, feature) variant is then scored in one pass of the model.
     """
-    sample = row_cap(held, rows, id_col) if rows else held
-    base = sample.select(id_col, y, "features", vector_to_array("features").alias("x"))
+    base = held.select(id_col, y, "features", vector_to_array("features").alias("x"))
     seeds = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
     spread = base.select(id_col, y, "x", seeds)
     place = spread.withColumns({
