@@ -4,30 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from geotransfer.functions.numeric import close_to
 from geotransfer.operators.guards import (GuardError, duplicate_keys, refuse_rows, require_rows,
                                           unique_keys)
-from geotransfer.session import materialize, plan_bytes
+from geotransfer.session import materialize
 
 LOOKUP_BYTES = 16 * 1024 * 1024
-SALTS = 64
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Inner or left join in which NULL keys are equal; the key columns of ``left`` stay."""
+    own = right.select(*[F.col(c).alias(f"_k_{c}") if c in on else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & left[c].eqNullSafe(own[f"_k_{c}"])
+    return left.join(own, cond, how).drop(*[f"_k_{c}" for c in on])
+
+
+def memory_bytes(df: DataFrame) -> int:
+    """Upper bound on the bytes a table takes as rows in memory: counted, not estimated."""
+    text = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        if not isinstance(f.dataType, T.NumericType | T.BooleanType | T.DateType | T.TimestampType):
+            text = text + F.coalesce(4 * F.octet_length(F.col(f.name).cast("string")), F.lit(0)) + 16
+    fixed = 32 + 16 * len(df.columns)
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(text).alias("b")).first()
+    return row["n"] * fixed + (row["b"] or 0)
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join rows to a lookup table on keys that may be very popular.
 
-    The lookup is stored once and its size read from the files. Up to the limit
-    it is broadcast and the big side never moves. Beyond it, the big side is
-    spread over salts and the lookup is repeated once per salt.
+    NULL keys meet NULL keys on either path. The lookup is stored once and its
+    rows and text are measured. Up to the limit it is broadcast and the big side
+    never moves. Beyond it both sides are shuffled by key, and adaptive execution
+    splits the partition of a popular key.
     """
     stored = materialize(small)
-    if plan_bytes(stored) <= LOOKUP_BYTES:
-        return big.join(F.broadcast(stored), list(on), how)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS)).cast("int")
-    copies = stored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+    fits = memory_bytes(stored) <= LOOKUP_BYTES
+    return null_safe_join(big, F.broadcast(stored) if fits else stored, list(on), how)
 
 
 def validated_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
@@ -68,7 +85,7 @@ def stage_survivors(base: DataFrame, parts: dict[str, DataFrame], on: Sequence[s
     on = list(on)
     marked = base.select(*on)
     for name, part in parts.items():
-        marks = part.select(*on).withColumn(f"_has_{name}", F.lit(True))
+        marks = part.select(*on).distinct().withColumn(f"_has_{name}", F.lit(True))
         marked = marked.join(marks, on, "left")
     kept, cols = F.lit(True), [F.count(F.lit(1)).alias("initial")]
     for name in parts:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geotransfer.operators.joins import lookup_join
+from geotransfer.operators.joins import lookup_join, null_safe_join
 from geotransfer.operators.quantiles import quantiles
 from geotransfer.schemas import R2_THRESHOLDS
 
@@ -14,9 +14,12 @@ METRICS = ("R2", "RMSE", "MAE", "Bias")
 
 
 def metric_columns(y="agbd", p="prediction") -> list[Column]:
-    """R2 (1 - SSE/SST about the evaluated rows), RMSE, MAE, Bias and N."""
-    yc = F.col(y).cast("double")
-    err = F.col(p).cast("double") - yc
+    """R2 (1 - SSE/SST about the evaluated rows), RMSE, MAE, Bias and N.
+
+    Every figure, N included, is over the rows that have both a response and a prediction.
+    """
+    err = F.col(p).cast("double") - F.col(y).cast("double")
+    yc = F.when(err.isNotNull(), F.col(y).cast("double"))
     sse, sst = F.sum(err * err), F.var_pop(yc) * F.count(yc)
     r2 = (F.when(sst > 0, F.lit(1.0) - F.try_divide(sse, sst))
           .when(F.count(yc) > 1, F.when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0))))
@@ -39,7 +42,7 @@ def pooled_metrics(oof: DataFrame, fold: str, y="agbd", p="prediction",
     spread = [F.stddev_pop(m).alias(f"{m}_std") for m in METRICS]
     pool = metrics(oof, y, p, by)
     if by:
-        return pool.join(per_fold.groupBy(*by).agg(*spread), list(by))
+        return null_safe_join(pool, per_fold.groupBy(*by).agg(*spread), list(by))
     one = per_fold.agg(F.struct(*spread).alias("s")).scalar()
     return pool.withColumns({f"{m}_std": one[f"{m}_std"] for m in METRICS})
 
@@ -159,7 +162,7 @@ def residual_bins(df: DataFrame, bin_col: str, y="agbd", p="prediction",
     base = metrics(df, y, p, keys).drop("MAE")
     q = quantiles(df.withColumn("_res", F.col(p) - F.col(y)), keys, "_res",
                   {"residual_q25": 0.25, "residual_median": 0.5, "residual_q75": 0.75})
-    return (base.join(q, keys)
+    return (null_safe_join(base, q, keys)
             .withColumn("R2", F.when(F.col("N") >= r2_min_rows, F.col("R2")))
             .withColumn("residual_iqr", F.col("residual_q75") - F.col("residual_q25")))
 

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from geotransfer.operators.joins import null_safe_join
 from geotransfer.session import materialize, plan_bytes
 
 SMALL_PLAN_BYTES = 32 * 1024 * 1024
@@ -86,7 +87,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: str, sums: dict[st
         F.lead("_first").over(pw).alias("_next_first"))
     inner = Window.partitionBy(*keys, "_pid").orderBy(order)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = spread.join(offsets, [*keys, "_pid"])
+    joined = null_safe_join(spread, offsets, [*keys, "_pid"])
     cols = {out: F.sum(c).over(upto) + F.col(f"_o_{out}") for out, c in sums.items()}
     if following:
         cols[following] = F.coalesce(F.lead(order).over(inner), F.col("_next_first"))
@@ -113,7 +114,7 @@ def number_rows(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (),
     offsets = parts.select(*keys, "_pid", *sizes,
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inner = Window.partitionBy(*keys, "_pid").orderBy(*order)
-    return (spread.join(offsets, [*keys, "_pid"])
+    return (null_safe_join(spread, offsets, [*keys, "_pid"])
             .withColumn(name, F.row_number().over(inner) + F.col("_off"))
             .select(*df.columns, name, *([total] if total else [])))
 
@@ -137,7 +138,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str,
                             distributed=distributed)
     ranks = ranked.select(*keys, F.col("value").alias(value),
                           (F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2).alias(out))
-    return df.withColumn(value, F.col(value).cast("double")).join(ranks, [*keys, value])
+    return null_safe_join(df.withColumn(value, F.col(value).cast("double")), ranks, [*keys, value])
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,
@@ -145,12 +146,9 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,
     """First ``k`` rows of each group by ``order``.
 
     Spark keeps only ``k`` rows per group on the map side (window group limit),
-    so a hot group shuffles at most k rows per input task. The limit's own
-    threshold is raised when ``k`` is above it.
+    so a hot group shuffles at most k rows per input task, as long as ``k`` is
+    within ``spark.sql.optimizer.windowGroupLimitThreshold`` (``build_session`` raises it).
     """
-    conf, name = df.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
-    if int(conf.get(name, "1000")) < k:
-        conf.set(name, str(k))
     col = rank or "_rank"
     out = (df.withColumn(col, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
            .where(F.col(col) <= k))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geotransfer.functions.numeric import all_finite, clean, finite
-from geotransfer.operators.guards import refuse_rows
+from geotransfer.operators.guards import duplicate_keys, refuse_rows
 from geotransfer.schemas import DOCUMENTED_QA, QA_STAGES, SENTINEL
 
 
@@ -125,8 +125,10 @@ def availability(expected: DataFrame, sampled: DataFrame, on: Sequence[str], val
                  images: DataFrame | None = None) -> DataFrame:
     """Expected, sampled and valid counts per group with the missing share.
 
-    ``images`` (one row per group with ``image_count``) adds the scenes behind it.
+    ``images`` (one row per group with ``image_count``) adds the scenes behind it. A sampled
+    key that occurs twice stops the job: it would count its expected row twice.
     """
+    refuse_rows(duplicate_keys(sampled, on), "a sampled key occurs twice")
     joined = expected.join(sampled.withColumn("_got", F.lit(True)), list(on), "left")
     ok = F.coalesce(valid, F.lit(False))
     n, v = F.count(F.lit(1)), F.count_if(ok)

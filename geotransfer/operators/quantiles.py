@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geotransfer.operators.joins import lookup_join
+from geotransfer.operators.joins import lookup_join, null_safe_join
 from geotransfer.operators.ordering import (groups_fit_one_task, running_totals, value_counts)
 
 SUMMARY_PROBS = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75,
@@ -16,7 +16,7 @@ SUMMARY_PROBS = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75,
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
               distributed: bool | None = None) -> DataFrame:
-    """One row per key with the exact quantiles named in ``probs``.
+    """One row per key with the exact quantiles named in ``probs`` (NULL where a key has no value).
 
     Small groups use Spark's ``percentile``, which holds a group's distinct
     values in one task. Larger groups are ranked across the cluster and only
@@ -26,10 +26,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     if distributed is None:
         distributed = not groups_fit_one_task(df.select(*keys, value), keys)
     if not distributed:
-        clean = df.where(~F.isnan(F.col(value).cast("double")))
+        real = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
         # One array-valued aggregate: the group's values are gathered once for all probabilities.
-        every = F.percentile(F.col(value), [float(p) for p in probs.values()]).alias("_q")
-        got = clean.groupBy(*keys).agg(every) if keys else clean.agg(every)
+        every = F.percentile(real, [float(p) for p in probs.values()]).alias("_q")
+        got = df.groupBy(*keys).agg(every) if keys else df.agg(every)
         return got.select(*keys, *[F.col("_q")[i].alias(out) for i, out in enumerate(probs)])
 
     ranked = running_totals(value_counts(df, keys, value), keys, "value", {"upto": "n"},
@@ -46,7 +46,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
         out_cols.append((F.col(f"_l_{out}") + (F.col(f"_h_{out}") - F.col(f"_l_{out}")) * frac)
                         .alias(out))
     at.append(F.max("total").alias("total"))
-    picked = ranked.groupBy(*keys).agg(*at) if keys else ranked.agg(*at)
+    if not keys:
+        return ranked.agg(*at).select(*out_cols)
+    # A group without any value keeps its row, as on the other path.
+    picked = null_safe_join(df.select(*keys).distinct(), ranked.groupBy(*keys).agg(*at), keys, "left")
     return picked.select(*keys, *out_cols)
 
 

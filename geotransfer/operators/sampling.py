@@ -12,9 +12,9 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from geotransfer.functions.text import hash_key
+from geotransfer.functions.text import hash_key, row_text
 from geotransfer.operators.guards import refuse_rows, require_rows
-from geotransfer.operators.joins import lookup_join
+from geotransfer.operators.joins import lookup_join, null_safe_join
 from geotransfer.operators.ordering import SMALL_PLAN_BYTES, number_rows, top_per_group
 from geotransfer.schemas import FEW_SHOT_BUDGETS, FEW_SHOT_SEEDS, FOLD, SEED
 from geotransfer.session import plan_bytes
@@ -65,10 +65,9 @@ def capped_sample(df: DataFrame, strata: Sequence[str], id_col: str, cap: int, s
 def strata_audit(raw: DataFrame, sample: DataFrame, strata: Sequence[str], cap: int) -> DataFrame:
     """Raw and sampled counts per stratum, the share kept and whether it is min(raw, cap)."""
     strata = list(strata)
-    a = raw.groupBy(*strata).agg(F.count(F.lit(1)).alias("raw_n"))
-    b = sample.groupBy(*strata).agg(F.count(F.lit(1)).alias("sampled_n"))
-    j = a.join(b, strata, "full_outer").withColumns({
-        "raw_n": F.coalesce("raw_n", F.lit(0)), "sampled_n": F.coalesce("sampled_n", F.lit(0))})
+    both = (raw.select(*strata, F.lit(1).alias("_r"), F.lit(0).alias("_s"))
+            .unionByName(sample.select(*strata, F.lit(0).alias("_r"), F.lit(1).alias("_s"))))
+    j = both.groupBy(*strata).agg(F.sum("_r").alias("raw_n"), F.sum("_s").alias("sampled_n"))
     return j.withColumns({
         "sampling_fraction": F.try_divide(F.col("sampled_n"), F.col("raw_n")),
         "as_expected": F.col("sampled_n") == F.least(F.col("raw_n"), F.lit(cap))})
@@ -172,13 +171,16 @@ def outside_fold(df: DataFrame, k: int, fold: str = FOLD) -> DataFrame:
 
 def label_draws(df: DataFrame, id_col: str, fold: str = FOLD, folds: Sequence[int] = range(5),
                 budgets: Sequence[int] = tuple(FEW_SHOT_BUDGETS),
-                seeds: Sequence[int] = tuple(FEW_SHOT_SEEDS)) -> DataFrame:
+                seeds: Sequence[int] = tuple(FEW_SHOT_SEEDS), short_pools: str = "stop") -> DataFrame:
     """Nested draws: for each (fold, seed) a prefix of one hash order of the other folds.
 
     The pool sizes (one row per fold) bound the hash of every row that can be
     drawn, so only about the largest budget's rows per cell leave the map side;
-    smaller budgets are prefixes. A budget larger than its pool is left out.
+    smaller budgets are prefixes. A budget larger than its pool stops the job, or is left
+    out with ``short_pools="omit"``; ``draw_integrity`` reports such cells as absent.
     """
+    if short_pools not in ("stop", "omit"):
+        raise ValueError("short_pools is 'stop' or 'omit'")
     folds, budgets, seeds = list(folds), sorted(budgets), list(seeds)
     per = df.groupBy(F.col(fold).cast("int").alias("_own")).agg(F.count(F.lit(1)).alias("_n"))
     sizes = per.agg(F.struct(F.map_from_entries(F.collect_list(F.struct("_own", "_n"))).alias("m"),
@@ -190,6 +192,8 @@ def label_draws(df: DataFrame, id_col: str, fold: str = FOLD, folds: Sequence[in
             .select(F.col("_c.f").alias("fold"), F.col("_c.s").alias("seed"), id_col,
                     (F.col("_z.t") - F.coalesce(F.try_element_at("_z.m", F.col("_c.f")), F.lit(0)))
                     .alias("pool_n")))
+    if short_pools == "stop":
+        pool = require_rows(pool, F.col("pool_n") >= budgets[-1], "a label pool is smaller than the largest budget")
     hashed = pool.withColumn(
         "_h", F.sha2(F.concat_ws("|", F.col("seed"), F.col("fold"), F.col(id_col)), 256))
     near = hashed.where(uniform_from_hash(F.col("_h")) < _reach(budgets[-1], F.col("pool_n")))
@@ -201,13 +205,26 @@ def label_draws(df: DataFrame, id_col: str, fold: str = FOLD, folds: Sequence[in
             .drop("pool_n"))
 
 
-def draw_integrity(draws: DataFrame, df: DataFrame, id_col: str, fold: str = FOLD) -> DataFrame:
-    """Per cell: rows drawn, whether that is the budget, rows from the held-out fold."""
+def draw_integrity(draws: DataFrame, df: DataFrame, id_col: str, fold: str = FOLD,
+                   cells: DataFrame | None = None) -> DataFrame:
+    """Per cell: rows drawn, whether that is the budget, rows from the held-out fold.
+
+    ``cells`` (fold, budget, seed) lists the cells that have to exist; an absent one has n = 0.
+    """
     own = df.select(id_col, F.col(fold).alias("_own"))
-    return (lookup_join(own, draws, [id_col]).groupBy("fold", "budget", "seed")
-            .agg(F.count(F.lit(1)).alias("n"),
-                 F.count_if(F.col("_own") == F.col("fold")).alias("held_out_n"))
-            .withColumn("exact", F.col("n") == F.col("budget")))
+    found = (lookup_join(own, draws, [id_col]).groupBy("fold", "budget", "seed")
+             .agg(F.count(F.lit(1)).alias("n"),
+                  F.count_if(F.col("_own") == F.col("fold")).alias("held_out_n")))
+    if cells is not None:
+        found = null_safe_join(cells.select("fold", "budget", "seed"), found, ["fold", "budget", "seed"], "left").na.fill(
+            0, ["n", "held_out_n"])
+    return found.withColumn("exact", F.col("n") == F.col("budget"))
+
+
+def draw_cells(spark, folds: Sequence[int] = range(5), budgets: Sequence[int] = tuple(FEW_SHOT_BUDGETS),
+               seeds: Sequence[int] = tuple(FEW_SHOT_SEEDS)) -> DataFrame:
+    return spark.createDataFrame([(f, b, s) for f in folds for b in budgets for s in seeds],
+                                 "fold int, budget int, seed int")
 
 
 def require_draws(draws: DataFrame, df: DataFrame, id_col: str, fold: str = FOLD) -> None:
@@ -226,9 +243,12 @@ def random_points(spark, n: int, box: tuple[float, float, float, float], seed: i
 
 
 def keep_latest(df: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
-    """Upsert rule: the newest row of each key (partial max before the shuffle)."""
+    """Upsert rule: the newest row of each key (partial max before the shuffle).
+
+    Rows of equal version are ordered by a hash of their content, so the result is settled.
+    """
     rest = [c for c in df.columns if c not in keys]
-    top = F.max_by(F.struct(*rest), F.col(version)).alias("_r")
+    top = F.max_by(F.struct(*rest), F.struct(F.col(version), F.sha2(row_text(rest), 256))).alias("_r")
     return df.groupBy(*keys).agg(top).select(*keys, "_r.*")
 
 
@@ -242,7 +262,3 @@ def chunk_numbers(df: DataFrame, year: str, order: Sequence[str], size: int) ->
 def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int = 3) -> DataFrame:
     return top_per_group(df, by, [F.col(c) for c in order], n)
 
-
-def prior_difference(df: DataFrame, by: Sequence[str], order: str, value: str, out: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumn(out, F.lag(value).over(w) - F.col(value))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geotransfer.functions.numeric import l2_norm
-from geotransfer.operators.joins import lookup_join
+from geotransfer.operators.joins import lookup_join, null_safe_join
 from geotransfer.operators.ordering import average_ranks, running_totals
 from geotransfer.operators.quantiles import SUMMARY_PROBS, quantiles
 
@@ -22,7 +22,7 @@ def summary(df: DataFrame, value: str, by: Sequence[str] = (), prefix: str = "",
             F.max(value).alias(f"{prefix}max")]
     q = quantiles(df, by, value, {f"{prefix}{k}": p for k, p in probs.items()})
     if by:
-        return df.groupBy(*by).agg(*cols).join(q, by)
+        return null_safe_join(df.groupBy(*by).agg(*cols), q, by)
     one = q.select(F.struct(*q.columns).alias("s")).scalar()
     return df.agg(*cols).withColumns({c: one[c] for c in q.columns})
 
@@ -35,7 +35,7 @@ def distortion(sample: DataFrame, raw: DataFrame, value: str, by: Sequence[str],
     r = summary(raw, value, by, "raw_")
     smd = (F.col("sampled_mean") - F.col("raw_mean")) / F.col("raw_sd")
     shift = F.abs(F.col("sampled_p50") - F.col("raw_p50")) / (F.col("raw_p75") - F.col("raw_p25"))
-    j = r.join(s, by).withColumns({"smd": smd, "median_shift_over_raw_iqr": shift})
+    j = null_safe_join(r, s, by).withColumns({"smd": smd, "median_shift_over_raw_iqr": shift})
     status = (F.when(F.abs(F.col("smd")) > smd_limit, F.lit("FAIL"))
               .when(F.col("median_shift_over_raw_iqr") > shift_limit,
                     F.lit("PASS WITH DISTRIBUTION WARNING"))
@@ -197,6 +197,3 @@ def timing_shares(df: DataFrame, domain: str, reference: str, ts: str) -> DataFr
     return rows.withColumns({"fraction": F.col("N") / F.sum("N").over(w),
                              "unusual_fraction": F.col("unusual_n") / F.col("N")})
 
-
-def share_within(df: DataFrame, n: str, by: Sequence[str], out: str = "fraction") -> DataFrame:
-    return df.withColumn(out, F.col(n) / F.sum(n).over(Window.partitionBy(*by)))

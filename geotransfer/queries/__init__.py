@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from geotransfer.queries import (audits, design, features, geography, governance, joining,
+from geotransfer.queries import (audits, design, features, geography, governance, joining, missing,
                                  modelling, reporting, scans, statistics)
 from geotransfer.queries.registry import REGISTRY
 
-__all__ = ["REGISTRY", "audits", "design", "features", "geography", "governance", "joining",
+__all__ = ["REGISTRY", "audits", "design", "features", "geography", "governance", "joining", "missing",
            "modelling", "reporting", "scans", "statistics"]

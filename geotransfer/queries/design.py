@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from geotransfer.functions.text import hash_key
 from geotransfer.operators import sampling, stats
-from geotransfer.queries.registry import query, rounded, view, widened, with_views
+from geotransfer.queries.registry import query, rounded, view, with_views
 from geotransfer.schemas import FEW_SHOT_BUDGETS
 
 CAP = 30
@@ -131,8 +131,9 @@ DRAWS = f"""
 
 
 def draws_of(spark, sf, budgets=tuple(FEW_SHOT_BUDGETS)):
-    pool = widened(view(spark, sf, "foot").select("shot_number", "fold"))
-    return sampling.label_draws(pool, "shot_number", "fold", budgets=budgets)
+    pool = view(spark, sf, "foot").select("shot_number", "fold")
+    # The small test tables have fewer rows than the largest budgets; draw_integrity lists the absent cells.
+    return sampling.label_draws(pool, "shot_number", "fold", budgets=budgets, short_pools="omit")
 
 
 @query("label_draws", "J6", with_views("foot", more=DRAWS) + """
@@ -142,31 +143,31 @@ def label_draws(spark, sf):
 
 
 @query("draw_integrity", "J7", with_views("foot", more=DRAWS) + """
-    SELECT CAST(fold AS INT) AS fold, CAST(seed AS INT) AS seed, CAST(budget AS INT) AS budget, count(*) AS n,
-           CAST(0 AS BIGINT) AS held_out_n, true AS exact FROM draws GROUP BY ALL""")
+    SELECT CAST(c.fold AS INT) AS fold, CAST(c.seed AS INT) AS seed, CAST(b.budget AS INT) AS budget, count(d.shot_number) AS n,
+           count(*) FILTER (WHERE f.fold = c.fold) AS held_out_n, count(d.shot_number) = b.budget AS exact
+    FROM cells c CROSS JOIN (VALUES """ + _BUDGETS + """) b(budget)
+    LEFT JOIN draws d ON d.fold = c.fold AND d.seed = c.seed AND d.budget = b.budget
+    LEFT JOIN foot f ON f.shot_number = d.shot_number GROUP BY c.fold, c.seed, b.budget""")
 def draw_integrity(spark, sf):
-    return sampling.draw_integrity(draws_of(spark, sf), view(spark, sf, "foot"), "shot_number", "fold")
+    """Every cell of the design, absent ones with no rows."""
+    return sampling.draw_integrity(draws_of(spark, sf), view(spark, sf, "foot"), "shot_number", "fold",
+                                   sampling.draw_cells(spark))
 
 
 @query("holdout_split", "J10", with_views("foot") + """
-    SELECT domain AS "domain", held_out, count(*) AS n, min(shot_number) AS first_id FROM (
-      SELECT domain, shot_number, row_number() OVER (PARTITION BY domain ORDER BY sha256(concat('42|', shot_number)), shot_number)
-             <= floor(count(*) OVER (PARTITION BY domain) * 0.25) AS held_out FROM foot) GROUP BY 1, 2""")
+    SELECT domain AS "domain", shot_number, row_number() OVER (PARTITION BY domain ORDER BY sha256(concat('42|', shot_number)), shot_number)
+             <= floor(count(*) OVER (PARTITION BY domain) * 0.25) AS held_out FROM foot""")
 def holdout_split(spark, sf):
     foot = view(spark, sf, "foot").select("domain", "shot_number")
-    h = sampling.hash_share(foot, "shot_number", ["domain"], 0.25)
-    return h.groupBy("domain", "held_out").agg(F.count(F.lit(1)).alias("n"), F.min("shot_number").alias("first_id"))
+    return sampling.hash_share(foot, "shot_number", ["domain"], 0.25)
 
 
 @query("stratified_folds", "J11", with_views("foot") + """
-    SELECT domain AS "domain", spatial_fold, count(*) AS n, min(shot_number) AS first_id FROM (
-      SELECT domain, shot_number, CAST((row_number() OVER (PARTITION BY domain ORDER BY sha256(concat('42|', shot_number)),
-             shot_number) - 1) % 5 AS INT) AS spatial_fold FROM foot) GROUP BY 1, 2""")
+    SELECT domain AS "domain", shot_number, CAST((row_number() OVER (PARTITION BY domain ORDER BY sha256(concat('42|', shot_number)),
+             shot_number) - 1) % 5 AS INT) AS spatial_fold FROM foot""")
 def stratified_folds(spark, sf):
     foot = view(spark, sf, "foot").select("domain", "shot_number")
-    s = sampling.stratified_folds(foot, "shot_number", ["domain"])
-    return s.groupBy("domain", "spatial_fold").agg(F.count(F.lit(1)).alias("n"),
-                                                   F.min("shot_number").alias("first_id"))
+    return sampling.stratified_folds(foot, "shot_number", ["domain"])
 
 
 @query("outside_fold", "J9", with_views("foot") + "SELECT fold, count(*) AS n FROM foot WHERE fold <> 2 GROUP BY fold")

@@ -96,8 +96,7 @@ BANDS = [f"A{i:02d}" for i in range(64)]
 
 @query("domain_separability", "I7 I8 J10 J11 F5")
 def domain_separability(spark, sf):
-    data = domain_shift.balanced(_embedded(spark, sf), "domain", "source", "vec_id", 20_000)
-    scores = domain_shift.domain_scores(data, BANDS, "domain", "source", "vec_id")
+    scores = domain_shift.domain_scores(_embedded(spark, sf), BANDS, "domain", "source", "vec_id", fit_rows=20_000)
     return domain_shift.separability(scores)
 
 

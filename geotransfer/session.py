@@ -19,6 +19,7 @@ def build_session(app: str = "geotransfer", master: str | None = None,
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
+               .config("spark.sql.optimizer.windowGroupLimitThreshold", "10000")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true")
                .config("spark.ui.showConsoleProgress", "false"))
     if master:

@@ -45,7 +45,10 @@ def test_plan_has_no_product_join_or_row_udf(spark, name):
 
 @pytest.mark.parametrize("name", ["capped_sample", "sample_distortion", "greedy_folds", "drift_table", "spearman",
                                   "auroc_rank_sum", "decile_bias", "quantile_bins_by_year", "calibrated_runs",
-                                  "chunk_assignment", "points_in_polygon", "holdout_split", "row_cap"])
+                                  "chunk_assignment", "points_in_polygon", "holdout_split", "row_cap",
+                                  *[n for n in REGISTRY if n.startswith("null_")], "missing_prediction_metrics",
+                                  "stratified_folds", "ordered_row_hashes", "average_ranks", "distribution_summary",
+                                  "residual_bins", "response_curve", "fold_totals", "draw_integrity", "strata_audit"])
 def test_large_table_paths_match_too(spark, con, name, monkeypatch):
     """Size limits set to almost nothing: the paths for large tables give the same rows."""
     from geotransfer.operators import joins, ordering, sampling

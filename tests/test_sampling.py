@@ -93,7 +93,7 @@ def test_label_draws_nest_and_avoid_fold(spark):
 
 def test_budget_above_pool_is_left_out(spark):
     data = spark.range(40).select(F.col("id").cast("string").alias("id"), (F.col("id") % 5).cast("int").alias("spatial_fold"))
-    got = {r.budget for r in sampling.label_draws(data, "id", budgets=[8, 32, 33]).collect()}
+    got = {r.budget for r in sampling.label_draws(data, "id", budgets=[8, 32, 33], short_pools="omit").collect()}
     assert got == {8, 32}
 
 
@@ -136,3 +136,20 @@ def test_row_cap_and_narrow_filter(spark, prefilter, monkeypatch):
     assert {r.id for r in sampling.row_cap(df, 40, "id", prefilter=True).collect()} == set(want)
     with pytest.raises(PySparkException, match="too narrow"):
         sampling.capped_sample(df, ["year"], "id", 20, prefilter=True).collect()
+
+
+def test_short_pools_stop_or_are_reported(spark):
+    data = spark.createDataFrame([(str(i), i % 5) for i in range(40)], "id string, spatial_fold int")
+    with pytest.raises(Exception, match="label pool is smaller"):
+        sampling.label_draws(data, "id", budgets=[8, 33]).collect()
+    draws = sampling.label_draws(data, "id", budgets=[8, 33], seeds=[42], short_pools="omit")
+    cells = sampling.draw_cells(spark, budgets=[8, 33], seeds=[42])
+    audit = {(r.fold, r.budget): (r.n, r.exact) for r in sampling.draw_integrity(draws, data, "id", cells=cells).collect()}
+    assert audit == {(f, b): ((8, True) if b == 8 else (0, False)) for f in range(5) for b in (8, 33)}
+
+
+def test_equal_versions_are_settled(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 0, "z")]
+    got = {sampling.keep_latest(spark.createDataFrame(r, "k string, v int, w string").repartition(3), ["k"], "v").first().w
+           for r in (rows, rows[::-1])}
+    assert len(got) == 1 and got <= {"x", "y"}
