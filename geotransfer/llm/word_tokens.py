@@ -9,6 +9,7 @@ different case or next to different punctuation then share their pieces.
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -16,8 +17,10 @@ from tokenizers import Tokenizer
 
 from geotransfer.llm.common import Memo
 
-# Letters that lower-case one to one and that no normal form changes.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+# Letters that lower-case one to one and that no normal form changes, then ASCII punctuation without the
+# apostrophe (which may start a contraction) and "<" (which may start a special token).
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=-@\[-`{-~]*)")
+KEPT = 800_000  # chunks, and pieces, that a worker remembers
 
 
 def _byte_letters() -> dict[int, str]:
@@ -33,20 +36,23 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = PLAIN.fullmatch if all("<" in s for s in special) else lambda chunk: None
         self.letters = _byte_letters()
-        self.pieces = Memo(self._piece, 300_000)
-        self.chunks = Memo(self._chunk, 300_000)
+        self.pieces = Memo(self._piece, KEPT)
+        self.chunks = Memo(self._chunk, KEPT)
 
     def _piece(self, piece: str) -> bytes:
         shown = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        plain = PLAIN.fullmatch(chunk)
-        if plain and not any(s in chunk for s in self.special):
+        plain = self.plain(chunk)
+        if plain:
             word, marks = plain.groups()
-            return (self.pieces[word.lower()] if word else b"") + (self.pieces[marks] if marks else b"")
+            ids = self.pieces[word.lower()] if word else b""
+            return ids + self.pieces[marks] if marks else ids
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_chunks(self, text: str) -> tuple[list[str], list[bytes]]:
