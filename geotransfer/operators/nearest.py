@@ -1,12 +1,14 @@
 """Exact nearest neighbour between two vector tables.
 
-Source vectors are grouped by their nearest pivot (a fixed, small number of
-source rows). The triangle inequality tells which groups can hold a target's
-nearest source: a group is skipped when even its closest possible member is
-farther than a distance already known to be reachable. The remaining work is
-cut into blocks of bounded size on both sides, by hash inside a group, so one
-popular group is spread over many tasks. A block pair emits one row per target
-(its minimum), never the pairs.
+Source vectors are grouped by their nearest pivot; pivots are source rows and
+their number grows with the square root of the table up to a limit. A first
+pass searches each target's own group, which gives a true distance it can
+reach. By the triangle inequality a group whose members lie between two radii
+of its pivot is skipped by the second pass when even its closest possible
+member is farther than that. The work of a pass is cut into blocks of bounded
+size on both sides, by hash inside a group, so one popular group is spread
+over many tasks. A block pair emits one row per target (its minimum), never
+the pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from geotransfer.functions.text import hash_key
 from geotransfer.session import materialize
 
 _SLACK = 1e-9
+PIVOT_RANGE = (32, 1024)
 
 
 def _matrix(column) -> np.ndarray:
@@ -52,14 +55,19 @@ def _closest(a: np.ndarray, b: np.ndarray, rows: int = 64) -> tuple[np.ndarray,
 
 
 def nearest_source(source: DataFrame, target: DataFrame, source_id: str, target_id: str,
-                   vector: str, pivots: int = 32, block_rows: int = 4096) -> DataFrame:
-    """(target_id, source_id, distance): Euclidean nearest source; ties to the smaller id."""
+                   vector: str, pivots: int | None = None, block_rows: int = 4096) -> DataFrame:
+    """(target_id, source_id, distance): Euclidean nearest source; ties to the smaller id.
+
+    Without ``pivots`` their number is the square root of the source rows, within ``PIVOT_RANGE``.
+    """
     src = source.select(F.col(source_id).alias("sid"), F.col(vector).alias("v"))
     tgt = target.select(F.col(target_id).alias("tid"), F.col(vector).alias("v"))
     id_type = src.schema["sid"].dataType.simpleString()
     t_type = tgt.schema["tid"].dataType.simpleString()
     v_type = src.schema["v"].dataType.simpleString()
 
+    if pivots is None:
+        pivots = min(max(math.isqrt(src.count()), PIVOT_RANGE[0]), PIVOT_RANGE[1])
     chosen = src.orderBy(hash_key("pivot", "sid"), "sid").limit(pivots).select("v").collect()
     if not chosen:
         raise ValueError("source table is empty")
@@ -76,37 +84,26 @@ def nearest_source(source: DataFrame, target: DataFrame, source_id: str, target_
     cells = materialize(src.mapInPandas(
         to_cell, f"sid {id_type}, v {v_type}, cell int, radius double"))
     # At most one row per pivot.
-    stats = {r.cell: (r.n, r.radius) for r in
-             cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"),
-                                       F.max("radius").alias("radius")).collect()}
-    radius = np.array([stats[c][1] if c in stats else -math.inf for c in range(len(centres))])
+    stats = {r.cell: r for r in cells.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high")).collect()}
+    used = np.array(sorted(stats), dtype=np.int32)
+    held, low, high = centres[used], *(np.array([stats[c][k] for c in used.tolist()]) for k in ("low", "high"))
+
+    def own_cell(batches):
+        for pdf in batches:
+            if len(pdf):
+                cell = used[_distances(_matrix(pdf["v"]), held).argmin(1)]
+                yield pd.DataFrame({"tid": pdf["tid"], "v": pdf["v"], "cell": cell})
 
-    def candidates(batches):
+    def other_cells(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            d = _distances(_matrix(pdf["v"]), centres)
-            reach = d.min(1) + _SLACK
-            row, cell = np.nonzero(d - radius[None, :] <= reach[:, None])
-            yield pd.DataFrame({"tid": pdf["tid"].to_numpy()[row], "v": pdf["v"].to_numpy()[row],
-                                "cell": cell.astype(np.int32)})
-
-    visits = materialize(tgt.mapInPandas(candidates, f"tid {t_type}, v {v_type}, cell int"))
-    demand = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    s_parts = {c: max(1, -(-n // block_rows)) for c, (n, _) in stats.items()}
-    t_parts = {c: max(1, -(-demand.get(c, 0) // block_rows)) for c in stats}
-
-    def lookup(parts):
-        return F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[F.col("cell")]
-
-    s_n, t_n = lookup(s_parts), lookup(t_parts)
-    left = cells.select("sid", "v", "cell",
-                        F.pmod(F.xxhash64("sid"), s_n).cast("int").alias("sb"),
-                        F.explode(F.sequence(F.lit(0), t_n - 1)).alias("tb"))
-    right = visits.select("tid", "v", "cell",
-                          F.explode(F.sequence(F.lit(0), s_n - 1)).alias("sb"),
-                          F.pmod(F.xxhash64("tid"), t_n).cast("int").alias("tb"))
+            d = _distances(_matrix(pdf["v"]), held)
+            own = np.arange(len(used))[None, :] == d.argmin(1)[:, None]
+            reach = pdf["distance"].to_numpy() * (1 + _SLACK) + _SLACK
+            row, at = np.nonzero(~own & (np.maximum(d - high, low - d) <= reach[:, None]))
+            yield pd.DataFrame({"tid": pdf["tid"].to_numpy()[row], "v": pdf["v"].to_numpy()[row], "cell": used[at]})
 
     def block_minimum(_, s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(s) or not len(t):
@@ -118,10 +115,25 @@ def nearest_source(source: DataFrame, target: DataFrame, source_id: str, target_
         best, dist = _closest(_matrix(t["v"]), b)
         return pd.DataFrame({"tid": t["tid"].to_numpy(), "sid": ids[best], "distance": dist})
 
+    visit, found = f"tid {t_type}, v {v_type}, cell int", f"tid {t_type}, sid {id_type}, distance double"
+    sizes = src.sparkSession.createDataFrame([(int(c), int(-(-r.n // block_rows))) for c, r in stats.items()], "cell int, s_n int")
     keys = ["cell", "sb", "tb"]
-    partial = (left.groupBy(*keys).cogroup(right.groupBy(*keys))
-               .applyInPandas(block_minimum, f"tid {t_type}, sid {id_type}, distance double"))
-    best = F.min(F.struct("distance", "sid")).alias("b")
-    return (partial.groupBy("tid").agg(best)
-            .select(F.col("tid").alias(target_id), F.col("b.sid").alias("nearest_id"),
-                    F.col("b.distance").alias("distance")))
+
+    def searched(visits: DataFrame) -> DataFrame:
+        """Minimum per target and block pair. Only cells that some target visits are read; both tables of sizes hold one row per pivot."""
+        need = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("t_n"))
+        plan = F.broadcast(sizes.join(need, "cell"))
+        left = cells.join(plan, "cell").select("sid", "v", "cell", F.pmod(F.xxhash64("sid"), "s_n").cast("int").alias("sb"),
+                                               F.explode(F.sequence(F.lit(0), F.col("t_n") - 1)).alias("tb"))
+        right = visits.join(plan, "cell").select("tid", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("s_n") - 1)).alias("sb"),
+                                                 F.pmod(F.xxhash64("tid"), "t_n").cast("int").alias("tb"))
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block_minimum, found)
+
+    def least(pairs: DataFrame) -> DataFrame:
+        best = F.min(F.struct("distance", "sid")).alias("b")
+        return pairs.groupBy("tid").agg(best).select("tid", F.col("b.sid").alias("sid"), F.col("b.distance").alias("distance"))
+
+    near = materialize(least(searched(materialize(tgt.mapInPandas(own_cell, visit)))))
+    bounded = tgt.join(near.select("tid", "distance"), "tid")
+    far = searched(materialize(bounded.mapInPandas(other_cells, visit)))
+    return least(near.unionByName(far)).select(F.col("tid").alias(target_id), F.col("sid").alias("nearest_id"), "distance")

@@ -50,13 +50,17 @@ def edges(rings: DataFrame) -> DataFrame:
 
 
 def slab_index(rings: DataFrame, slab: float) -> DataFrame:
-    """(poly_id, slab, edges): edges grouped under every slab they touch."""
+    """(poly_id, slab, column, edges): edges grouped under every horizontal slab they touch, for each
+    column of cells between the leftmost and the rightmost of these edges."""
     e = edges(rings)
     low = F.floor(F.least("y1", "y2") / F.lit(slab))
     high = F.floor(F.greatest("y1", "y2") / F.lit(slab))
     spread = e.withColumn("_slab", F.explode(F.sequence(low, high)))
-    return spread.groupBy("poly_id", "_slab").agg(
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
+    rows = spread.groupBy("poly_id", "_slab").agg(
+        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"),
+        F.floor(F.min(F.least("x1", "x2")) / F.lit(slab)).alias("_from"),
+        F.floor(F.max(F.greatest("x1", "x2")) / F.lit(slab)).alias("_to"))
+    return rows.select("poly_id", "_slab", "_edges", F.explode(F.sequence("_from", "_to")).alias("_column"))
 
 
 def _inside(x: Column, y: Column, edge_list: Column) -> Column:
@@ -87,9 +91,10 @@ def within_polygon(points: DataFrame, rings: DataFrame, lon: str = "lon", lat: s
         raise GuardError("polygon table is empty")
     x, y = F.col(lon), F.col(lat)
     near = points.where(x.between(box[0], box[1]) & y.between(box[2], box[3]))
-    near = near.withColumn("_slab", F.floor(y / F.lit(slab)))
-    return (lookup_join(near, slab_index(rings, slab), ["_slab"]).where(_inside(x, y, F.col("_edges")))
-            .drop("_slab", "_edges"))
+    near = near.withColumns({"_slab": F.floor(y / F.lit(slab)), "_column": F.floor(x / F.lit(slab))})
+    # A point meets only polygons that reach its cell, not all of its latitude.
+    return (lookup_join(near, slab_index(rings, slab), ["_slab", "_column"]).where(_inside(x, y, F.col("_edges")))
+            .drop("_slab", "_column", "_edges"))
 
 
 def polygon_area(rings: DataFrame, project=None) -> DataFrame:

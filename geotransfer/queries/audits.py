@@ -133,9 +133,10 @@ def nonzero_vectors(spark, sf):
 
 @query("bounded_indices", "B15", with_views("optical") + """
     SELECT count(*) FILTER (WHERE abs((B8 - B4) / (B8 + B4)) > 0.9) AS "NDVI",
-           count(*) FILTER (WHERE abs((B8 - B11) / (B8 + B11)) > 0.9) AS "NDMI" FROM optical""")
+           count(*) FILTER (WHERE abs((B8 - B11) / (B8 + B11)) > 0.9) AS "NDMI",
+           count(*) FILTER (WHERE abs((B8 - B12) / (B8 + B12)) > 0.9) AS "NBR" FROM optical""")
 def bounded_indices(spark, sf):
-    return qa.out_of_bounds(with_indices(view(spark, sf, "optical")), ["NDVI", "NDMI"], 0.9)
+    return qa.out_of_bounds(with_indices(view(spark, sf, "optical")), ["NDVI", "NDMI", "NBR"], 0.9)
 
 
 @query("large_groups", "B19", with_views("foot") + """

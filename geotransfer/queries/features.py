@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from geotransfer.functions import radar, spectral, text, times
 from geotransfer.functions.geo import aspect_components
 from geotransfer.functions.numeric import close_to, l2_normalise
 from geotransfer.operators.composite import median_composite, median_per_group
-from geotransfer.operators.guards import select_representation
+from geotransfer.operators.joins import compare_tables
 from geotransfer.operators.qa import exclusion_counts
 from geotransfer.plans import samples
 from geotransfer.queries.registry import (query, rounded, select_rounded, table, view, with_views)
-from geotransfer.schemas import (C_BAND, DEM, EMBEDDING, INDICES, L_BAND, OPTICAL, REPRESENTATIONS)
+from geotransfer.schemas import (C_BAND, DEM, EMBEDDING, INDICES, KEYS, L_BAND, OPTICAL, REPRESENTATIONS)
+from geotransfer.session import materialize
 
 
 @query("radar_features", "H1 H2 H3 H7", with_views("radar") + """
@@ -136,12 +139,13 @@ def token_normalise(spark, sf):
 
 
 @query("vector_normalise", "H13", """
-    SELECT vec_id, round(embedding[1]::DOUBLE * 3 / n, 6) AS first, round(embedding[64]::DOUBLE * 3 / n, 6) AS last
-    FROM (SELECT *, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * 3 AS n FROM embeddings)""")
+    SELECT vec_id, i, round(embedding[i]::DOUBLE * 3 / n, 6) AS value FROM (SELECT *, unnest(range(1, 65)) AS i
+    FROM (SELECT *, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * 3 AS n FROM embeddings))""")
 def vector_normalise(spark, sf):
     scaled = F.transform("embedding", lambda x: x.cast("double") * 3)
     v = table(spark, sf, "embeddings").select("vec_id", l2_normalise(scaled).alias("v"))
-    return v.select("vec_id", rounded(F.col("v")[0], 6, "first"), rounded(F.col("v")[63], 6, "last"))
+    return v.select("vec_id", F.posexplode("v").alias("p", "x")).select(
+        "vec_id", (F.col("p") + 1).cast("bigint").alias("i"), rounded("x", 6, "value"))
 
 
 # --- the identical-row sample over three keyed feature tables -----------------
@@ -221,14 +225,21 @@ def common_exclusions(spark, sf):
 
 
 @query("representation_rows", "B16 C17 K4 K5", with_views("foot", "radar", more=_WIDE) + " UNION ALL ".join(
-    f"SELECT '{n}' AS representation, CAST({len(f)} AS INT) AS feature_n, count(*) AS n, round(sum({f[0]} + {f[-1]}), 4) AS content "
+    f"SELECT '{n}' AS representation, CAST({len(f)} AS INT) AS feature_n, count(*) AS n, round(sum({' + '.join(f)}), 4) AS content, CAST(0 AS BIGINT) AS differing_rows "
     f"FROM wide WHERE {_ALL_VALID}" for n, f in REPRESENTATIONS.items()))
 def representation_rows(spark, sf):
     """All eight guarded projections of one common table."""
-    common = samples.keep_common(samples.common_sample(*common_inputs(spark, sf), carry=CARRY))
-    one = common.agg(F.count(F.lit(1)).alias("n"), *[
-        rounded(F.sum(F.col(f[0]) + F.col(f[-1])), 4, f"_c_{n}") for n, f in REPRESENTATIONS.items()])
-    for n in REPRESENTATIONS:
-        select_representation(common, n)
-    pairs = ", ".join(f"'{n}', {len(f)}, `_c_{n}`" for n, f in REPRESENTATIONS.items())
-    return one.selectExpr("n", f"stack({len(REPRESENTATIONS)}, {pairs}) AS (representation, feature_n, content)")
+    common = materialize(samples.keep_common(samples.common_sample(*common_inputs(spark, sf), carry=CARRY)))
+    frames = samples.representation_frames(common, CARRY)
+    first = frames["dem"].select(*KEYS, *CARRY)
+    out = None
+    for name, frame in frames.items():
+        f = REPRESENTATIONS[name]
+        content = functools.reduce(lambda a, b: a + b, [F.col(c) for c in f])
+        diff = compare_tables(first, frame.select(*KEYS, *CARRY), KEYS, CARRY)
+        bad = diff.select(sum(F.col(c) for c in diff.columns if c.endswith("_mismatch_n") or c.endswith("only_n"))).scalar()
+        row = frame.agg(F.count(F.lit(1)).alias("n"), rounded(F.sum(content), 4, "content")).select(
+            F.lit(name).alias("representation"), F.lit(len(f)).cast("int").alias("feature_n"), "n", "content",
+            bad.cast("bigint").alias("differing_rows"))
+        out = row if out is None else out.unionByName(row)
+    return out

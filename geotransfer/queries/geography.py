@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geotransfer.functions import geo
-from geotransfer.operators import spatial
-from geotransfer.operators.sampling import uniform_from_hash
-from geotransfer.functions.text import hash_key
+from geotransfer.operators import sampling, spatial
 from geotransfer.plans.samples import with_source_blocks
 from geotransfer.queries.registry import (query, rounded, select_rounded, table, view, with_views)
 from geotransfer.queries.sqltext import albers_sql, utm_sql
@@ -154,13 +152,24 @@ def terrain_slope_aspect(spark, sf):
     return select_rounded(t, ["o_orderkey", "elevation"], ["slope", "aspect"])
 
 
-@query("random_points", "J8", with_views("foot", more="""
-    g AS (SELECT DISTINCT block, year FROM foot), h AS (SELECT block, year, unnest(range(8)) AS k FROM g)""") + """
-    SELECT block, year, CAST(k AS INT) AS k,
-           round(('0x' || substr(sha256(concat_ws('|', '42000', block, year, k)), 1, 13))::BIGINT / 4503599627370496e0, 9) AS u
-    FROM h""")
+_AREA_N = 400
+
+
+def _point_sql(axis):
+    return f"('0x' || substr(sha256(concat('42|{axis}|', i)), 1, 13))::BIGINT / 4503599627370496e0"
+
+
+@query("random_points", "J8 B5", with_views("foot", more=f"""
+    box AS (SELECT min(tlon) AS x0, max(tlon) AS x1, min(tlat) AS y0, max(tlat) AS y1 FROM foot),
+    p AS (SELECT i AS point_id, x0 + {_point_sql('x')} * (x1 - x0) AS lon, y0 + {_point_sql('y')} * (y1 - y0) AS lat
+          FROM box, (SELECT unnest(range({_AREA_N})) AS i))""") + """
+    SELECT point_id, round(lon, 9) AS lon, round(lat, 9) AS lat FROM p, box
+    WHERE (lon - x0) / (x1 - x0) + (lat - y0) / (y1 - y0) < 1""")
 def random_points(spark, sf):
-    cells = view(spark, sf, "foot").select("block", "year").distinct()
-    k = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")
-    u = uniform_from_hash(hash_key(42000, "block", "year", "k"))
-    return cells.select("block", "year", k).select("block", "year", "k", rounded(u, 9, "u"))
+    """Seeded points of the footprints' box that lie in its lower left half (a triangle)."""
+    b = view(spark, sf, "foot").agg(F.min("tlon").alias("x0"), F.max("tlon").alias("x1"), F.min("tlat").alias("y0"),
+                                    F.max("tlat").alias("y1")).first()
+    points = sampling.random_points(spark, _AREA_N, (b.x0, b.y0, b.x1, b.y1), 42)
+    area = spark.createDataFrame([("half", [[b.x0, b.y0], [b.x1, b.y0], [b.x0, b.y1]])], "poly_id string, ring array<array<double>>")
+    inside = spatial.within_polygon(points, area)
+    return inside.select("point_id", rounded("lon", 9), rounded("lat", 9))

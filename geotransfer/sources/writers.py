@@ -42,6 +42,3 @@ def public_extract(df: DataFrame, drop: Sequence[str], hash_columns: Sequence[st
     keep = df.drop(*drop)
     return keep.withColumns({f"{c}_hash": anonymise(c) for c in hash_columns}).drop(*hash_columns)
 
-
-def as_json(df: DataFrame, keep: Sequence[str], fields: Sequence[str], out: str) -> DataFrame:
-    return df.select(*keep, F.to_json(F.struct(*fields)).alias(out))
