@@ -6,9 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-SLICE_BYTES = 4 << 20  # texts handled at once inside a task
+SLICE_BYTES = 2 << 20  # texts handled at once inside a task
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str, rest: bool = False) -> DataFrame:
@@ -46,16 +47,16 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def slices(texts: list[bytes | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch whose texts stay near ``limit`` bytes together."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of a text or binary column whose values stay near ``limit`` bytes together."""
     low, held = 0, 0
-    for k, t in enumerate(texts):
-        held += len(t) if t else 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        held += n
         if held >= limit:
             yield low, k + 1
             low, held = k + 1, 0
-    if low < len(texts):
-        yield low, len(texts)
+    if low < len(column):
+        yield low, len(column)
 
 
 class Memo(dict):

@@ -26,10 +26,9 @@ HASH = ["hi", "lo"]
 def _line_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per line with a key: hash, document, position, first line of its key in the document."""
     for batch in batches:
-        texts = utf8(batch.column("text"))
-        for a, b in slices(texts):
+        for a, b in slices(batch.column("text")):
             row, pos, first, digests = [], [], [], []
-            for k, t in enumerate(texts[a:b]):
+            for k, t in enumerate(utf8(batch.column("text").slice(a, b - a))):
                 seen = set()
                 for i, line in enumerate((t or b"").split(b"\n")):
                     key = line.strip().lower()

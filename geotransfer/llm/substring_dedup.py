@@ -5,8 +5,9 @@
    met once and twice, and a merge adds them slice by slice. A slot of two or more is
    *estimated repeated*; a count is never too low, so no repeated window is lost.
 2. A second pass sends on only windows estimated repeated. Every task keeps the first
-   occurrence per hash, the shuffle sorts by hash, document and position, and the first row
-   of each run is the exact first occurrence.
+   occurrence per hash, so a window that a third of all documents share is sent once per
+   chunk, and packs its windows by bucket of hashes. A bucket holds a bounded number of
+   windows; grouping it by hash gives the exact first occurrences.
 3. First occurrences go back to their documents. A window that is estimated repeated and is
    not a first occurrence starts earlier elsewhere: its words go.
 
@@ -26,10 +27,13 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from geotransfer.llm.common import Memo, keyed, mapped, null_safe, restored, runs, slices, utf8
+from geotransfer.llm.common import SLICE_BYTES, keyed, mapped, null_safe, restored, runs, slices, utf8
 
 SLICE_BITS = 20
-CHUNK_WINDOWS = 1_000_000
+CHUNK_WINDOWS = 1_500_000  # windows of a task in one sketch
+CHUNK_CANDIDATES = 1_000_000
+BUCKET_WINDOWS = 2_000_000  # windows whose hashes meet in one group of the exact pass, at most about
+PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 BASE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -52,11 +56,11 @@ def rolling(h: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
 class Windows:
     """128-bit hashes of all windows of some texts, in the order of rows and positions."""
 
-    def __init__(self, digests: Memo, texts: list[bytes | None], width: int):
+    def __init__(self, texts: list[bytes | None], width: int):
         words = [t.split() if t else [] for t in texts]
         self.words = words
         self.counts = np.fromiter(map(len, words), np.int64, len(words))
-        flat = b"".join([b"".join(map(digests.__getitem__, w)) for w in words])
+        flat = b"".join([b"".join(map(xxhash.xxh3_128_digest, w)) for w in words])
         pairs = np.frombuffer(flat, np.uint64).reshape(-1, 2)
         starts = np.concatenate([[0], np.cumsum(self.counts)])
         inside = np.maximum(self.counts - width + 1, 0)
@@ -69,19 +73,23 @@ class Windows:
                                 if len(at) else np.zeros(0, np.uint64) for k in (0, 1))
 
 
-def _digests() -> Memo:
-    return Memo(xxhash.xxh3_128_digest)
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes."""
+    return PACK.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
 
 
-def _deltas(sorted_slots: np.ndarray) -> bytes:
-    """Sorted slots of a slice as compressed byte planes of their differences."""
-    d = np.diff(sorted_slots, prepend=np.uint32(0)).astype(np.uint32)
-    return zstandard.ZstdCompressor(level=1).compress(d.view(np.uint8).reshape(-1, 4).T.tobytes())
+def _values(blob: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(UNPACK.decompress(blob), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def _slots(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
-    return np.cumsum(planes.T.copy().view(np.uint32).ravel(), dtype=np.uint32)
+def _deltas(rising: np.ndarray) -> bytes:
+    return _planes(np.diff(rising, prepend=rising.dtype.type(0)))
+
+
+def _rising(blob: bytes, kind) -> np.ndarray:
+    return np.cumsum(_values(blob, kind), dtype=kind)
 
 
 def _sketch_task(width: int, slots: int):
@@ -105,11 +113,10 @@ def _sketch_task(width: int, slots: int):
                                                           ("once", pa.binary()), ("twice", pa.binary())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests, held, n = _digests(), [], 0
+        held, n = [], 0
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            for a, b in slices(texts):
-                w = Windows(digests, texts[a:b], width)
+            for a, b in slices(batch.column("text")):
+                w = Windows(utf8(batch.column("text").slice(a, b - a)), width)
                 if len(w.lo):
                     held.append((w.lo, w.hi))
                     n += len(w.lo)
@@ -129,7 +136,7 @@ def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done():
         bits = np.packbits(twice, bitorder="little").tobytes()
         return pa.RecordBatch.from_pydict(
-            {"row": [key[0]], "slice": [key[1]], "bits": [zstandard.ZstdCompressor(level=1).compress(bits)]},
+            {"row": [key[0]], "slice": [key[1]], "bits": [PACK.compress(bits)]},
             pa.schema([("row", pa.int32()), ("slice", pa.int32()), ("bits", pa.binary())]))
 
     for batch in batches:
@@ -139,30 +146,36 @@ def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield done()
                 key = (r["row"], r["slice"])
                 once, twice = np.zeros(1 << SLICE_BITS, bool), np.zeros(1 << SLICE_BITS, bool)
-            s = _slots(r["once"])
+            s = _rising(r["once"], np.uint32)
             twice[s[once[s]]] = True
             once[s] = True
             if r["twice"] is not None:
-                twice[_slots(r["twice"])] = True
+                twice[_rising(r["twice"], np.uint32)] = True
     if key and twice.any():
         yield done()
 
 
-def repeated_mask(docs: DataFrame, width: int, max_slots: int) -> tuple[np.ndarray, int]:
-    """Bit mask (row, bytes) of slots met at least twice, and the slots of a row."""
-    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+Packed = list[tuple[int, int, bytes]]  # (row, slice, compressed bits)
+
+
+def unpacked(parts: Packed, slots: int) -> np.ndarray:
+    """Bit mask (row, bytes) of slots met at least twice."""
+    mask = np.zeros((2, slots // 8), np.uint8)
+    step = (1 << SLICE_BITS) // 8
+    for row, part, bits in parts:
+        mask[row, part * step:(part + 1) * step] = np.frombuffer(UNPACK.decompress(bits), np.uint8)
+    return mask
+
+
+def repeated_mask(docs: DataFrame, width: int, chars: int, max_slots: int) -> tuple[Packed, int]:
+    """Compressed slices of the mask, and the slots of a row."""
     slots = 1 << SLICE_BITS
     while slots < max_slots and slots < chars // 3:  # about 6 bytes a word: two slots a window
         slots *= 2
     parts = mapped(docs.select("text"), _sketch_task(width, slots), "row int, slice int, once binary, twice binary")
     merged = mapped(parts.repartition("row", "slice").sortWithinPartitions("row", "slice"), _merge_task,
                     "row int, slice int, bits binary")
-    mask = np.zeros((2, slots // 8), np.uint8)
-    step = (1 << SLICE_BITS) // 8
-    for r in merged.toLocalIterator():
-        bits = zstandard.ZstdDecompressor().decompress(bytes(r["bits"]))
-        mask[r["row"], r["slice"] * step:(r["slice"] + 1) * step] = np.frombuffer(bits, np.uint8)
-    return mask, slots
+    return [(r["row"], r["slice"], bytes(r["bits"])) for r in merged.collect()], slots  # bounded by max_slots
 
 
 def _estimated(mask: np.ndarray, slots: int, w: Windows) -> np.ndarray:
@@ -174,69 +187,109 @@ def _estimated(mask: np.ndarray, slots: int, w: Windows) -> np.ndarray:
     return keep
 
 
-def _candidate_task(width: int, mask, slots: int):
-    def firsts(held) -> pa.RecordBatch:
-        """First occurrence per hash among the held windows, by id, tag and position."""
+def _firsts(lo, hi, doc, pos, ids: pa.Array, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order of hash, id, tag and position, and which of them open a hash."""
+    order = pc.sort_indices(pa.table({"id": ids, "tag": tag}), sort_keys=[("id", "ascending"), ("tag", "ascending")],
+                            null_placement="at_start").to_numpy()
+    rank = np.empty(len(order), np.int64)
+    # Rows equal in id and tag are one document.
+    known = pc.fill_null(pc.dictionary_encode(ids).indices, -1).to_numpy(zero_copy_only=False)
+    rank[order] = np.cumsum(runs(known[order], tag[order]))
+    o = np.lexsort((pos, rank[doc], hi, lo))
+    return o, runs(lo[o], hi[o])
+
+
+def _candidate_task(width: int, mask, slots: int, buckets: int):
+    """Packed first occurrences of a chunk's candidates, one row per bucket of hashes."""
+    def packed(held) -> pa.RecordBatch:
         ids = pa.concat_arrays([h[0] for h in held])
         tag = np.concatenate([h[1] for h in held])
-        order = pc.sort_indices(pa.table({"id": ids, "tag": tag}), sort_keys=[("id", "ascending"), ("tag", "ascending")],
-                                null_placement="at_start").to_numpy()
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
         base = np.cumsum([0] + [len(h[0]) for h in held])
-        row = np.concatenate([h[2] + b for h, b in zip(held, base)])
+        doc = np.concatenate([h[2] + b for h, b in zip(held, base)])
         pos, lo, hi = (np.concatenate([h[k] for h in held]) for k in (3, 4, 5))
-        o = np.lexsort((pos, rank[row]))
-        o = o[np.argsort(lo[o], kind="stable")]
-        o = o[runs(lo[o], hi[o])]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(lo[o].view(np.int64)), pa.array(hi[o].view(np.int64)), ids.take(pa.array(row[o])),
-             pa.array(tag[row[o]]), pa.array(pos[o].astype(np.int32))], ["lo", "hi", "id", "tag", "pos"])
+        hi = (hi >> np.uint64(32)).astype(np.uint32)  # 96 bits of hash are kept
+        o, new = _firsts(lo, hi, doc, pos, ids, tag)
+        o = o[new]
+        bucket = ((lo[o] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        o, bucket = (x[np.argsort(bucket, kind="stable")] for x in (o, bucket))
+        cuts = np.append(np.flatnonzero(runs(bucket)), len(o))
+        out = {c: [] for c in ("bucket", "lo", "hi", "doc", "pos", "ids", "tags")}
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            p = o[a:b]
+            docs, at = np.unique(doc[p], return_inverse=True)
+            out["bucket"].append(int(bucket[a]))
+            out["lo"].append(_deltas(lo[p]))
+            out["hi"].append(hi[p].tobytes())
+            out["doc"].append(_planes(at.astype(np.uint32)))
+            out["pos"].append(_planes(pos[p].astype(np.uint32)))
+            out["ids"].append(ids.take(pa.array(docs)).to_pylist())
+            out["tags"].append(tag[docs].tolist())
+        return pa.RecordBatch.from_pydict(out, pa.schema([
+            ("bucket", pa.int32()), *[(c, pa.binary()) for c in ("lo", "hi", "doc", "pos")],
+            ("ids", pa.list_(ids.type)), ("tags", pa.list_(pa.int64()))]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests, held, n = _digests(), [], 0
+        held, n = [], 0
+        bits = unpacked(mask.value, slots)  # of this task alone: an idle worker keeps the packed form only
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            for a, b in slices(texts):
-                w = Windows(digests, texts[a:b], width)
-                c = _estimated(mask.value, slots, w)
+            for a, b in slices(batch.column("text")):
+                w = Windows(utf8(batch.column("text").slice(a, b - a)), width)
+                c = _estimated(bits, slots, w)
                 if len(c):
                     held.append((batch.column("id").slice(a, b - a), batch.column("tag").to_numpy()[a:b],
                                  w.row[c], w.pos[c], w.lo[c], w.hi[c]))
                     n += len(c)
-                if n >= CHUNK_WINDOWS:
-                    yield firsts(held)
+                if n >= CHUNK_CANDIDATES:
+                    yield packed(held)
                     held, n = [], 0
         if n:
-            yield firsts(held)
+            yield packed(held)
 
     return task
 
 
-def _first_of_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by hash, id, tag and position: the first row of each hash."""
-    last = None
+def _exact_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows come sorted by bucket. The exact first occurrence of every hash, per document."""
+    held = []
+
+    def settle() -> pa.RecordBatch:
+        lo = np.concatenate([_rising(r["lo"], np.uint64) for r in held])
+        hi = np.concatenate([np.frombuffer(r["hi"], np.uint32) for r in held])
+        pos = np.concatenate([_values(r["pos"], np.uint32) for r in held]).astype(np.int32)
+        base = np.cumsum([0] + [len(r["tags"]) for r in held])
+        doc = np.concatenate([_values(r["doc"], np.uint32).astype(np.int64) + b for r, b in zip(held, base)])
+        ids = pa.concat_arrays([pa.array(r["ids"], id_type) for r in held])
+        tag = np.concatenate([np.array(r["tags"], np.int64) for r in held])
+        o, new = _firsts(lo, hi, doc, pos, ids, tag)
+        o = o[new]
+        o = o[np.argsort(doc[o], kind="stable")]
+        starts = np.flatnonzero(runs(doc[o]))
+        at = doc[o][starts]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(o)), pa.int32()), pa.array(pos[o]))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(tag[at]), lists], ["id", "tag", "pos"])
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        lo, hi = (batch.column(c).to_numpy() for c in ("lo", "hi"))
-        new = runs(lo, hi)
-        new[0] = last != (lo[0], hi[0])
-        last = (lo[-1], hi[-1])
-        yield batch.select(["id", "tag", "pos"]).filter(pa.array(new))
+        id_type = batch.column("ids").type.value_type
+        for r in batch.to_pylist():
+            if held and held[0]["bucket"] != r["bucket"]:
+                yield settle()
+                held = []
+            held.append(r)
+    if held:
+        yield settle()
 
 
 def _removal_task(width: int, mask, slots: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests = _digests()
+        bits = unpacked(mask.value, slots)
         for batch in batches:
-            texts, firsts = utf8(batch.column("text")), batch.column("firsts").to_pylist()
-            kept, n_words, n_removed = [], [], []
-            for a, b in slices(texts):
-                w = Windows(digests, texts[a:b], width)
-                c = _estimated(mask.value, slots, w)
-                known = np.concatenate([w.first[k] + np.array(p, np.int64) for k, p in enumerate(firsts[a:b]) if p]
-                                       or [np.zeros(0, np.int64)])
+            for a, b in slices(batch.column("packed"), SLICE_BYTES // 4):
+                part = batch.slice(a, b - a)
+                kept, n_words, n_removed = [], [], []
+                w = Windows(list(map(_text, part.column("packed").to_pylist())), width)
+                c = _estimated(bits, slots, w)
+                known = np.concatenate([w.first[k] + p.values.to_numpy() for k, p in enumerate(part.column("firsts"))
+                                        if p.is_valid] or [np.zeros(0, np.int64)])
                 gone = np.setdiff1d(c, known, assume_unique=True)
                 starts = np.concatenate([[0], np.cumsum(w.counts)])
                 edge = np.zeros(starts[-1] + 1, np.int64)
@@ -250,13 +303,25 @@ def _removal_task(width: int, mask, slots: int):
                     n_words.append(len(words))
                     n_removed.append(len(words) - left)
                     kept.append(b" ".join(words if left == len(words) else [x for x, y in zip(words, s.tolist()) if y]))
-            out = [batch.column("id"), pa.array(kept, pa.binary()).cast(pa.string()), batch.column("rest"),
-                   pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays(out, ["id", "text", "rest", "n_words", "n_removed"])
+                out = [part.column("id"), pa.array(kept, pa.binary()).cast(pa.string()), part.column("rest"),
+                       pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+                yield pa.RecordBatch.from_arrays(out, ["id", "text", "rest", "n_words", "n_removed"])
 
     return task
 
 
+def _text(packed: bytes | None) -> bytes | None:
+    return None if packed is None else UNPACK.decompress(packed)
+
+
+def _compress_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = pa.array([None if t is None else press(t) for t in utf8(batch.column("text"))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), batch.column("rest"), texts],
+                                         ["id", "tag", "rest", "packed"])
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20,
                    max_slots: int = 1 << 29) -> DataFrame:
     """``id``, ``text`` (kept words joined by one space), ``rest``, ``n_words``, ``n_removed``.
@@ -269,16 +334,21 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = df.sparkSession
     docs = keyed(df, id_col, text_col, rest=True)
-    mask, slots = repeated_mask(docs, width, max_slots)
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    mask, slots = repeated_mask(docs, width, chars, max_slots)
     held = spark.sparkContext.broadcast(mask)
     id_type = docs.schema["id"].dataType.simpleString()
-    found = mapped(docs.select("id", "tag", "text"), _candidate_task(width, held, slots),
-                   f"lo bigint, hi bigint, id {id_type}, tag bigint, pos int")
-    first = mapped(found.repartition("lo").sortWithinPartitions("lo", "hi", "id", "tag", "pos"), _first_of_run,
-                   f"id {id_type}, tag bigint, pos int")
-    firsts = first.groupBy("id", "tag").agg(F.collect_list("pos").alias("firsts"))
-    joined = docs.join(firsts, null_safe(docs, firsts, ("id", "tag")), "left").select(
-        docs["id"], docs["text"], docs["rest"], firsts["firsts"])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, chars // (6 * BUCKET_WINDOWS))
+    found = mapped(docs.select("id", "tag", "text"), _candidate_task(width, held, slots, buckets),
+                   f"bucket int, lo binary, hi binary, doc binary, pos binary, ids array<{id_type}>, tags array<bigint>")
+    first = mapped(found.repartition(buckets, "bucket").sortWithinPartitions("bucket"), _exact_task,
+                   f"id {id_type}, tag bigint, pos array<int>")
+    firsts = first.groupBy("id", "tag").agg(F.flatten(F.collect_list("pos")).alias("firsts"))
+    shape = T.StructType([docs.schema["id"], docs.schema["tag"], docs.schema["rest"], T.StructField("packed", T.BinaryType())])
+    sent = mapped(docs, _compress_task, shape)  # texts cross the shuffle compressed
+    joined = sent.join(firsts, null_safe(sent, firsts, ("id", "tag")), "left").select(
+        sent["id"], sent["packed"], sent["rest"], firsts["firsts"])
     schema = T.StructType([docs.schema["id"], T.StructField("text", T.StringType()), docs.schema["rest"],
                            T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return mapped(joined, _removal_task(width, held, slots), schema)

@@ -47,7 +47,8 @@ def test_substring_dedup_is_brute_force(spark, slots):
 def test_substring_dedup_saturated_sketch_loses_nothing(spark, monkeypatch):
     """With every slot marked repeated, all windows reach the exact pass."""
     rows = corpus(2)
-    full = (np.full((2, (1 << 20) // 8), 255, np.uint8), 1 << 20)
+    bits = substring_dedup.PACK.compress(bytes([255]) * ((1 << 20) // 8))
+    full = ([(0, 0, bits), (1, 0, bits)], 1 << 20)
     monkeypatch.setattr(substring_dedup, "repeated_mask", lambda *a: full)
     got = {r.id: r.text for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
     assert got == {i: " ".join(k) for i, (k, _) in brute.substring_dedup(rows).items()}
