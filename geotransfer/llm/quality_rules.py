@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from geotransfer.llm.common import Memo, keyed, mapped, restored, utf8
+from geotransfer.llm.common import keyed, mapped, restored, utf8
 from geotransfer.llm.substring_dedup import rolling
 
 SYMBOLS = b"#*$%&|<>"
@@ -37,7 +37,7 @@ _SPACE = bytes([0x20, 9, 10, 11, 12, 13])
 _WORD = re.compile(rb"[^\x20\x09-\x0D]")
 
 
-def statistics(text: bytes | None, digests: Memo) -> list[int]:
+def statistics(text: bytes | None) -> list[int]:
     """The counts of ``COUNTS`` for one whole text."""
     text = text or b""
     words = text.split()
@@ -52,7 +52,7 @@ def statistics(text: bytes | None, digests: Memo) -> list[int]:
     repeat = 0
     distinct = len(set(words))
     if n > WINDOW and distinct < n:
-        h = np.frombuffer(b"".join(map(digests.__getitem__, words)), np.uint64)
+        h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)
         with np.errstate(over="ignore"):
             w = rolling(h, WINDOW, np.uint64(0x9E3779B97F4A7C15))
         o = np.argsort(w)
@@ -71,9 +71,8 @@ def statistics(text: bytes | None, digests: Memo) -> list[int]:
 
 
 def _statistics_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digests = Memo(xxhash.xxh3_64_digest)
     for batch in batches:
-        table = np.array([statistics(t, digests) for t in utf8(batch.column("text"))], np.int64).reshape(-1, len(COUNTS))
+        table = np.array([statistics(t) for t in utf8(batch.column("text"))], np.int64).reshape(-1, len(COUNTS))
         yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(table[:, k]) for k in range(len(COUNTS))]],
                                          [*batch.schema.names, *COUNTS])
 

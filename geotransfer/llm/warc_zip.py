@@ -246,8 +246,7 @@ def read_packages(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
 
     The payload of a revisit is null; its size and digest are those of the full payload.
     """
-    parts = max(manifest.rdd.getNumPartitions(), 1)
-    located = mapped(manifest.select("path").repartition(parts), _locate_task, "path string, offset bigint, length bigint")
+    located = mapped(manifest.select("path").repartition("path"), _locate_task, "path string, offset bigint, length bigint")
     spread = located.repartition("path", F.floor(F.col("offset") / (4 << 20))).sortWithinPartitions("path", "offset")
     rows = mapped(spread, _range_task, "page string, url string, record_type string, payload_bytes bigint, "
                                        "payload_digest string, refers_to string, payload binary")
