@@ -49,12 +49,17 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
 
 def validated_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
                    validate: str = "one_to_one") -> DataFrame:
-    """Join that fails on a repeated key and adds only columns the left side lacks."""
+    """Join that fails on a repeated key and adds only columns the left side lacks.
+
+    ``right_unique`` is one to one for a left side whose keys have been checked before.
+    """
     on = list(on)
     extra = [c for c in right.columns if c not in on and c not in left.columns]
     if validate == "one_to_one":
         left = unique_keys(left, on, "left table")
         right = unique_keys(right, on, "right table")
+    elif validate == "right_unique":
+        right = unique_keys(right, on, "right table")
     elif validate == "many_to_one":
         # A separate check keeps both join inputs plain shuffles, which is what
         # lets Spark split a hot key of the many side.
@@ -75,8 +80,8 @@ def complete_join(left: DataFrame, right: DataFrame, on: Sequence[str],
 def common_rows(base: DataFrame, parts: dict[str, DataFrame], on: Sequence[str]) -> DataFrame:
     """Inner join of all parts on a unique key."""
     out = base
-    for part in parts.values():
-        out = validated_join(out, part, on, "inner")
+    for i, part in enumerate(parts.values()):
+        out = validated_join(out, part, on, "inner", "right_unique" if i else "one_to_one")
     return out
 
 

@@ -17,7 +17,7 @@ from geotransfer.operators.guards import refuse_rows, require_rows
 from geotransfer.operators.joins import lookup_join, null_safe_join
 from geotransfer.operators.ordering import SMALL_PLAN_BYTES, number_rows, top_per_group
 from geotransfer.schemas import FEW_SHOT_BUDGETS, FEW_SHOT_SEEDS, FOLD, SEED
-from geotransfer.session import plan_bytes
+from geotransfer.session import materialize, plan_bytes
 
 
 def uniform_from_hash(c: Column) -> Column:
@@ -136,7 +136,8 @@ def greedy_folds(blocks: DataFrame, block: str, n: str, k: int = 5, tie: Column
     numbered = numbered.withColumn("_chunk", F.floor((F.col("_no") - 1) / F.lit(chunk_rows)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema)
     schema += f", `{FOLD}` int"
-    count = blocks.count()
+    numbered = materialize(numbered)  # read by every chunk instead of the raw table
+    count = numbered.count()
     totals, done = [0] * k, None
     for c in range(max(1, -(-count // chunk_rows))):
         part = (numbered.where(F.col("_chunk") == c).groupBy("_chunk")

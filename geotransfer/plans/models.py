@@ -10,10 +10,11 @@ import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from geotransfer.operators.guards import safe_predictors
 from geotransfer.schemas import RESPONSE, SEED
+from geotransfer.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -44,7 +45,7 @@ def _boost(depth: int, leaf: int, p: Profile, seed: int):
     return GBTRegressor(labelCol=RESPONSE, maxIter=p.boost_rounds, stepSize=0.05,
                         maxDepth=min(depth, p.depth_limit), minInstancesPerNode=leaf,
                         subsamplingRate=0.8, featureSubsetStrategy="0.8", maxBins=p.max_bins,
-                        seed=seed)
+                        checkpointInterval=20, seed=seed)
 
 
 BUILDERS = {
@@ -56,6 +57,7 @@ BUILDERS = {
 
 
 def build(family: str, config: str, profile: Profile = FULL, seed: int = SEED):
+    ensure_checkpoint_dir(SparkSession.active())  # hundreds of boosting rounds would else grow one lineage
     return BUILDERS[(family, config)](profile, seed)
 
 

@@ -39,7 +39,7 @@ def common_sample(conventional: DataFrame, embedding: DataFrame, radar: DataFram
     require_columns(embedding, [*KEYS, *EMBEDDING], "embedding")
     require_columns(radar, [*KEYS, *L_BAND, "palsar_valid"], "radar")
     wide = validated_join(conventional, embedding.select(*KEYS, *EMBEDDING), KEYS)
-    return validated_join(wide, radar.select(*KEYS, *L_BAND, "palsar_valid"), KEYS)
+    return validated_join(wide, radar.select(*KEYS, *L_BAND, "palsar_valid"), KEYS, validate="right_unique")
 
 
 def exclusion_reasons(radar: DataFrame) -> dict:

@@ -11,9 +11,9 @@ from geotransfer.queries.design import DRAWS, draws_of
 from geotransfer.queries.registry import query, rounded, select_rounded, table, view, with_views
 from geotransfer.queries.reporting import METRICS, _M
 from geotransfer.schemas import FOLD
+from geotransfer.session import materialize
 
 FEATURES = ["f1", "f2"]
-QUICK = [("random_forest", "rf_sqrt"), ("boosted_trees", "gbt_depth6")]
 
 
 def _data(spark, sf):
@@ -41,30 +41,56 @@ def ridge_cv(spark, sf):
     return select_rounded(M.metrics(p, by=[FOLD]), [FOLD, "N"], METRICS)
 
 
-@query("nested_tree_cv", "I1 I2 I9 I10 F4 F5 K5")
-def nested_tree_cv(spark, sf):
-    """Nested spatial CV with small learners; every footprint gets one out-of-fold prediction."""
-    out = source_cv.nested_cv(_data(spark, sf), FEATURES, "pair", "shot_number", candidates=QUICK, profile=SMALL)
-    return M.metrics(out["oof"], by=["representation", FOLD, "model", "config"])
+def _winner_is_best(tuning):
+    """Per outer fold: rows of the tuning table, and the (model, config) with the smallest mean RMSE."""
+    mean = tuning.groupBy("outer_fold", "model", "config").agg(F.avg("RMSE").alias("RMSE"), F.count(F.lit(1)).alias("n"))
+    best = F.min_by(F.struct("model", "config"), F.struct("RMSE", "model", "config"))
+    return mean.groupBy("outer_fold").agg(F.sum("n").alias("tuning_n"), best.alias("best"))
 
 
-@query("deployment_and_zero_shot", "I11 I21 K7")
+@query("nested_tree_cv", "I1 I2 I9 I10 F4 K5", with_views("foot") + """
+    SELECT fold AS spatial_fold, count(*) AS n, count(DISTINCT shot_number) AS scored_n, CAST(1 AS BIGINT) AS models,
+           CAST(16 AS BIGINT) AS tuning_n, true AS winner_is_best, true AS all_finite FROM foot GROUP BY fold""")
+def nested_tree_cv(spark, sf):
+    """Contract of nested spatial CV over all four candidates: one finite out-of-fold prediction per footprint, one
+    model per fold, and that model is the one with the smallest mean RMSE over four inner folds (small learners)."""
+    out = source_cv.nested_cv(_data(spark, sf), FEATURES, "pair", "shot_number", profile=SMALL)
+    per = out["oof"].groupBy(FOLD).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("shot_number").alias("scored_n"),
+        F.count_distinct("model", "config").alias("models"), F.first(F.struct("model", "config")).alias("used"),
+        F.min(F.col("prediction").isNotNull() & ~F.isnan("prediction")).alias("all_finite"))
+    won = _winner_is_best(out["tuning"])
+    return per.join(F.broadcast(won), per[FOLD] == won["outer_fold"]).select(
+        FOLD, "n", "scored_n", "models", "tuning_n", (F.col("used") == F.col("best")).alias("winner_is_best"), "all_finite")
+
+
+@query("deployment_and_zero_shot", "I11 I21 K7", with_views("foot") + """
+    SELECT year, count(*) AS "N", true AS scored, true AS chosen_is_best FROM foot WHERE domain = 'target' GROUP BY year""")
 def deployment_and_zero_shot(spark, sf):
-    """Source model chosen by its own CV, label-free target scoring, freeze, unlock, metrics."""
+    """Source model chosen among all candidates by its own CV, label-free target scoring, freeze, unlock, metrics."""
     data = _data(spark, sf)
-    model, _, _ = source_cv.deploy(data.where("domain = 'source'"), FEATURES, candidates=QUICK[:1], profile=SMALL)
+    model, chosen, tuning = source_cv.deploy(data.where("domain = 'source'"), FEATURES, profile=SMALL)
+    best = _winner_is_best(tuning.withColumn("outer_fold", F.lit(0))).select(
+        (F.col("best.model") == chosen[0]) & (F.col("best.config") == chosen[1])).scalar()
     target = data.where("domain = 'target'")
-    pred = transfer.predict(model, target.drop("agbd"), FEATURES)
+    pred = materialize(transfer.predict(model, target.drop("agbd"), FEATURES))
     freeze = govern.freeze_row(pred, "zero_shot", "pair")
     joined = transfer.evaluate(pred, target.select("shot_number", "year", "agbd"), freeze, "pair")
-    return M.metrics(joined, by=["year"])
+    m = M.metrics(joined, by=["year"])
+    return m.select("year", "N", (F.col("RMSE") > 0).alias("scored"), best.alias("chosen_is_best"))
 
 
-@query("permutation_importance", "I12 E9")
+@query("permutation_importance", "I12 E9", with_views("foot") + """
+    SELECT 'pair' AS representation, feature, CAST(5 AS BIGINT) AS folds, count(*) AS scored_n, feature = 'f2' AS leads
+    FROM foot, (VALUES ('f1'), ('f2')) f(feature) GROUP BY feature""")
 def permutation_importance(spark, sf):
-    out = source_cv.nested_cv(_data(spark, sf), FEATURES, "pair", "shot_number", candidates=QUICK[:1],
-                              profile=SMALL, importance_repeats=2)
-    return source_cv.top_features(out["importance"])
+    """Every held-out row is permuted and scored for each feature; the response depends on f2, which has to lead."""
+    out = source_cv.nested_cv(_data(spark, sf), FEATURES, "pair", "shot_number", profile=SMALL, importance_repeats=3)
+    per = out["importance"].groupBy("representation", "feature").agg(
+        F.count(F.lit(1)).alias("folds"), F.sum("heldout_n").alias("scored_n"))
+    first = source_cv.top_features(out["importance"], 1).select("representation", F.col("feature").alias("_top"))
+    return per.join(first, "representation").select("representation", "feature", "folds", "scored_n",
+                                                    (F.col("feature") == F.col("_top")).alias("leads"))
 
 
 @query("local_few_shot", "I15 J7 D22", with_views("foot", more=DRAWS + """,
@@ -78,11 +104,14 @@ def local_few_shot(spark, sf):
     return select_rounded(runs, ["fold", "budget", "seed", "N_train", "N_test", "method"], METRICS)
 
 
-@query("local_tree_few_shot", "I15 I2 J7")
+@query("local_tree_few_shot", "I15 I2 J7", with_views("foot", more=DRAWS) + """
+    SELECT CAST(d.fold AS INT) AS fold, CAST(d.budget AS INT) AS budget, CAST(d.seed AS INT) AS seed, CAST(count(*) AS INT) AS "N_train",
+           any_value(t.n) AS "N_test", true AS scored
+    FROM draws d JOIN (SELECT fold, count(*) AS n FROM foot GROUP BY fold) t ON d.fold = t.fold GROUP BY d.fold, d.budget, d.seed""")
 def local_tree_few_shot(spark, sf):
-    """Boosted trees on each fold's draws, small learners."""
-    draws = draws_of(spark, sf, budgets=[50, 250]).where("seed = 42")
-    return transfer.local_tree_runs(view(spark, sf, "foot"), draws, FEATURES, "shot_number", SMALL, fold="fold")
+    """Boosted trees on every cell of the draws (folds x budgets x seeds), small learners: sizes of each cell."""
+    runs = transfer.local_tree_runs(view(spark, sf, "foot"), draws_of(spark, sf), FEATURES, "shot_number", SMALL, fold="fold")
+    return runs.select("fold", "budget", "seed", "N_train", "N_test", (F.col("RMSE") > 0).alias("scored"))
 
 
 def _embedded(spark, sf):

@@ -44,6 +44,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return folder
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Let iterative MLlib fits cut their lineage in the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once under the checkpoint folder and read it back.
 
