@@ -26,6 +26,7 @@ from geotransfer.llm.common import Memo, keyed, mapped
 # Cuts before white space that follows other text; no match of the pattern crosses such a place.
 CHUNKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]")
+KEPT = 450_000  # chunks, and pieces, that a worker remembers
 
 
 class Ranks:
@@ -66,9 +67,9 @@ class PrefixTable:
         piece, last, rank, follows = self.piece, self.last, self.ranks.rank.get, self.ranks.follows
         longest = self.ranks.longest
         for j in range(begin + 1, end + 1):
-            for i in range(max(0, j - longest), j):
+            for i in range(j - longest if j > longest else 0, j):
                 t = rank(piece[i:j])
-                if t is not None and (i == 0 or follows[last[i - 1], t]):
+                if t is not None and (not i or follows[last[i - 1], t]):
                     last.append(t)
                     break
             else:
@@ -103,8 +104,8 @@ class BytePairEncoder:
     def __init__(self, lines: list[bytes], pattern: str):
         self.ranks = Ranks(lines)
         self.pattern = regex.compile(pattern)
-        self.pieces = Memo(self._piece, 250_000)
-        self.chunks = Memo(self._chunk, 250_000)
+        self.pieces = Memo(self._piece, KEPT)
+        self.chunks = Memo(self._chunk, KEPT)
 
     def _piece(self, piece: str) -> bytes:
         return np.array(PrefixTable(self.ranks, piece.encode()).ids(), "<u4").tobytes()
