@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geotransfer.llm import (byte_bpe, chat_windows, line_dedup, packing, pivot_index, quality_rules, simhash_index,
-                             substring_dedup, token_files, warc_zip)
+                             source_mix, substring_dedup, token_files, warc_zip)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +159,27 @@ def op10(spark, sf):
                                   F.lit("</s>[INST] ok [/INST]").alias("text"))
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return chat_windows.digests(chat_windows.windows(turns)).withColumnRenamed("conv", "conv_id")
+
+
+@query("op11_source_mix", rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len({WORDS_SQL}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS own, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+      FROM d GROUP BY source),
+f AS (SELECT 0 AS round, CAST(sum(own) AS HUGEINT) AS words, CAST(sum(w) AS HUGEINT) AS rest FROM s
+      UNION ALL
+      SELECT any_value(f.round) + 1, (SELECT sum(own) FROM s) - coalesce(sum(3 * own) FILTER (3 * own * f.rest < w * f.words), 0),
+             (SELECT sum(w) FROM s) - coalesce(sum(w) FILTER (3 * own * f.rest < w * f.words), 0)
+      FROM s, f WHERE f.round < 40 GROUP BY ALL HAVING any_value(f.rest) > 0),
+g AS (SELECT words, rest FROM f ORDER BY round DESC LIMIT 1),
+t AS (SELECT source, own, CASE WHEN 3 * own * rest < w * words THEN CAST(3 * own AS DOUBLE)
+               ELSE CAST(w * words AS DOUBLE) / CAST(rest AS DOUBLE) END AS target,
+             (CAST('0x' || substr(md5('{source_mix.SEED}:' || coalesce('=' || source, 'null')), 1, 5) AS BIGINT) + 0.5::DOUBLE)
+             / 1048576 AS u FROM s, g),
+p AS (SELECT doc_id, size, own, target, u, CASE WHEN own > 0 THEN target / own ELSE 0 END AS r,
+             row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) AS k
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, own AS source_size, target,
+       size * CAST(floor(k * r + u) - floor((k - 1) * r + u) AS BIGINT) AS taken FROM p""")
+def op11(spark, sf):
+    out = source_mix.mixed(table(spark, sf, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
