@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geotransfer.llm import (byte_bpe, chat_windows, line_dedup, packing, pivot_index, quality_rules, simhash_index,
-                             source_mix, substring_dedup, token_files, warc_zip)
+                             source_mix, substring_dedup, token_files, turn_repair, warc_zip)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -183,3 +183,10 @@ SELECT doc_id, size, own AS source_size, target,
 def op11(spark, sf):
     out = source_mix.mixed(table(spark, sf, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op12_turn_repair")
+def op12(spark, sf):
+    turns = table(spark, sf, "conversations")
+    out = turn_repair.report(turn_repair.damaged(turns), turns.select(F.col("conv_id").alias("conv")))
+    return out.withColumnRenamed("conv", "conv_id")
