@@ -59,21 +59,23 @@ def cut_windows(ends: np.ndarray, penalty: np.ndarray, size: int, tail: Callable
     return chosen[::-1]
 
 
-def _boundaries(breaks: list[tuple[int, float]], total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Boundaries with penalties, with inner cuts added wherever a gap passes an eighth of a window."""
-    best = {}
-    for at, p in breaks:
-        if 0 < at <= total:
-            best[at] = min(p, best.get(at, p))
-    best.setdefault(total, 0.0)
-    ends = np.array(sorted(best), np.int64)
+def _boundaries(at: np.ndarray, penalty: np.ndarray, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Boundaries with their least penalties, with inner cuts added wherever a gap passes an eighth of a window."""
+    inside = (at > 0) & (at <= total)
+    at, penalty = np.append(at[inside], total), np.append(penalty[inside], 0.0 if total not in at[inside][-1:] else SENTENCE)
+    order = np.lexsort((penalty, at))
+    at, penalty = at[order], penalty[order]
+    first = np.append(True, at[1:] != at[:-1])
+    ends, penalty = at[first], penalty[first]
     step = max(size // 8, 1)
     gaps = np.diff(ends, prepend=0)
     inner = [np.arange(e - g + step, e, step) for e, g in zip(ends[gaps > step], gaps[gaps > step])]
-    for x in np.concatenate(inner).tolist() if inner else []:
-        best[x] = INSIDE
-    ends = np.array(sorted(best), np.int64)
-    return ends, np.array([best[e] for e in ends.tolist()])
+    if inner:
+        more = np.concatenate(inner)
+        ends, penalty = np.append(ends, more), np.append(penalty, np.full(len(more), INSIDE))
+        order = np.argsort(ends)
+        ends, penalty = ends[order], penalty[order]
+    return ends, penalty
 
 
 def _tail(length: int, size: int) -> tuple[float, list[int]]:
@@ -84,25 +86,30 @@ def _tail(length: int, size: int) -> tuple[float, list[int]]:
     return (cuts, powers) if cuts < padding else (padding, [length])
 
 
+_FREE = np.zeros(1)
+
+
 class Stream:
     """Pieces of documents that wait for their windows."""
 
     def __init__(self, size: int):
         self.size, self.n = size, 0
         self.docs: list[tuple] = []  # (key, start in document, ids, tokens of the document)
-        self.breaks: list[tuple[int, float]] = []
+        self.at: list[np.ndarray] = []  # boundaries and their penalties
+        self.penalty: list[np.ndarray] = []
 
     def add(self, key, ids: np.ndarray, sentences: np.ndarray) -> None:
         self.docs.append((key, 0, ids, len(ids)))
-        self.breaks += [(self.n + int(e), SENTENCE) for e in sentences]
+        self.at += [sentences + self.n, np.array([self.n + len(ids)])]
+        self.penalty += [np.full(len(sentences), SENTENCE), _FREE]
         self.n += len(ids)
-        self.breaks.append((self.n, 0.0))
 
     def take(self, last: bool) -> Iterator[list[tuple]]:
         """Windows as lists of (key, start, ids, tokens of the document). The last two stay unless ``last``."""
         if not self.n:
             return
-        ends, penalty = _boundaries(self.breaks, self.n, self.size)
+        at, fee = np.concatenate(self.at), np.concatenate(self.penalty)
+        ends, penalty = _boundaries(at, fee, self.n, self.size)
         # Inside the stream the last window costs nothing: it goes on with the next stretch.
         end = (lambda n: _tail(n, self.size)[0]) if last else (lambda n: 0.0)
         cuts = ends[cut_windows(ends, penalty, self.size, end)].tolist()
@@ -111,26 +118,34 @@ class Stream:
         elif cuts:
             begin = cuts[-2] if len(cuts) > 1 else 0
             cuts = [*cuts[:-1], *(begin + np.cumsum(_tail(cuts[-1] - begin, self.size)[1])).tolist()]
-        k, at, done = 0, 0, 0
+        k, used, done = 0, 0, 0
         for cut in cuts:
             window = []
             while done < cut:
                 key, start, ids, total = self.docs[k]
-                n = min(len(ids) - at, cut - done)
-                window.append((key, start + at, ids[at:at + n], total))
-                at, done = at + n, done + n
-                if at == len(ids):
-                    k, at = k + 1, 0
+                n = min(len(ids) - used, cut - done)
+                window.append((key, start + used, ids[used:used + n], total))
+                used, done = used + n, done + n
+                if used == len(ids):
+                    k, used = k + 1, 0
             yield window
         rest = self.docs[k:]
-        if rest and at:
+        if rest and used:
             key, start, ids, total = rest[0]
-            rest[0] = (key, start + at, ids[at:], total)
+            rest[0] = (key, start + used, ids[used:], total)
         self.docs, self.n = rest, self.n - done
-        self.breaks = [(b - done, p) for b, p in self.breaks if b > done]
+        self.at, self.penalty = [at[at > done] - done], [fee[at > done]]
+
+
+ENDS = np.zeros(0x110000, bool)  # last characters of chunks that close a sentence
+ENDS[[ord(c) for c in ".!?…\n"]] = True
 
 
-ENDS = {".", "!", "?", "…", "\n"}
+def ended_chunks(text: str) -> np.ndarray:
+    """Places of the chunks (see ``WordEncoder.encode_chunks``) that close a sentence."""
+    codes = np.frombuffer((text.replace("\n", " \n ") + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+    blank = np.flatnonzero(codes == 32)
+    return np.flatnonzero(ENDS[codes[blank - 1]])  # an empty chunk follows a blank, the first one the closing blank
 
 
 def _pack_task(path: str, size: int, end_id: int):
@@ -159,11 +174,11 @@ def _pack_task(path: str, size: int, end_id: int):
         for batch in batches:
             id_type = batch.column("id").type
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                chunks, ids = words.encode_chunks(text.as_py() or "")
+                text = text.as_py() or ""
+                _, ids = words.encode_chunks(text)
                 ids.append(closing)
-                upto = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
-                ended = [k for k, c in enumerate(chunks) if c[-1:] in ENDS]
-                stream.add(key, np.frombuffer(b"".join(ids), "<u4"), np.unique(upto[ended]))
+                upto = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) >> 2
+                stream.add(key, np.frombuffer(b"".join(ids), "<u4"), upto[ended_chunks(text)])
                 if stream.n >= STRETCH:
                     yield from rows(False)
         yield from rows(True)
@@ -191,4 +206,5 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
 
 
 def stage(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pieces of ``pack`` with the input's name of the id; nulls and empty tables as there."""
     return pack(df, path, id_col, text_col).withColumnRenamed("id", id_col)
