@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,14 +13,19 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 SLICE_BYTES = 2 << 20  # texts handled at once inside a task
 
 
+def tag_of(text: Column) -> Column:
+    """128 bits that tell texts apart; null, which equals no text, has none."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str, rest: bool = False) -> DataFrame:
     """``id``, ``tag``, ``text`` and, if asked for, every other column in the struct ``rest``.
 
-    ``tag`` is a checksum of the text. Rows that share an id are told apart by it, so a
+    ``tag`` is the text's md5 (see ``tag_of``). Rows that share an id are told apart by it, so a
     repeated row is judged like its twin. Other columns sit in a struct and cannot clash.
     """
     text = F.col(f"`{text_col}`")
-    cols = [F.col(f"`{id_col}`").alias("id"), F.coalesce(F.crc32(text), F.lit(-1)).alias("tag"), text.alias("text")]
+    cols = [F.col(f"`{id_col}`").alias("id"), tag_of(text).alias("tag"), text.alias("text")]
     if rest:
         others = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)]
         cols.append((F.struct(*others) if others else F.struct(F.lit(0).alias("none"))).alias("rest"))
@@ -37,7 +43,15 @@ def restored(df: DataFrame, like: DataFrame, id_col: str, text_col: str, more: d
 
 def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
            schema: str | T.StructType) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` whose worker gives freed memory back when a task ends, for workers are kept between tasks."""
+    def task(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(task, schema)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

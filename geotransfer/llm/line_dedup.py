@@ -105,7 +105,7 @@ def _stream_task(min_docs: int, keep_first: bool):
 def dropped_lines(docs: DataFrame, min_docs: int, keep_first: bool) -> DataFrame:
     """(id, tag, pos) of every line that goes."""
     id_type = docs.schema["id"].dataType.simpleString()
-    row = f"hi bigint, lo bigint, id {id_type}, tag bigint, pos int, first boolean"
+    row = f"hi bigint, lo bigint, id {id_type}, tag binary, pos int, first boolean"
     lines = materialize(mapped(docs.select("id", "tag", "text"), _line_task, row))
     order = ["hi", "lo", "id", "tag", "pos"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -147,9 +147,9 @@ def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null or empty texts have no keys; a null id sorts first; an empty table gives none.
     """
     docs = keyed(df, id_col, text_col)
-    gone = dropped_lines(docs, min_docs, keep_first).groupBy("id", "tag").agg(F.collect_list("pos").alias("gone"))
+    gone = dropped_lines(docs, min_docs, keep_first).groupBy("id", "tag").agg(F.collect_set("pos").alias("gone"))
     id_type = docs.schema["id"].dataType.simpleString()
-    return mapped(gone, _pack_task, f"id {id_type}, tag bigint, n_dropped bigint, keep_bitmap binary")
+    return mapped(gone, _pack_task, f"id {id_type}, tag binary, n_dropped bigint, keep_bitmap binary")
 
 
 def _apply_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -207,7 +207,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
              .orderBy(F.xxhash64("label_id"), "label_id").limit(rows))
     docs = keyed(df, id_col, text_col).join(F.broadcast(votes), F.col("id") == F.col("label_id"))
     cols = [f.alias(k) for k, f in features().items()]
-    got = (with_statistics(docs.select("id", "tag", "good", "text")).where(~base_failed())
+    got = (with_statistics(docs.select("id", F.coalesce(F.crc32("text"), F.lit(-1)).alias("tag"), "good", "text")).where(~base_failed())
            .select(F.xxhash64("id", "tag").alias("o"), "good", *cols).distinct().orderBy("o").limit(rows).toPandas())
     names = list(features())
     return learn(got[names].to_numpy(np.float64), got["good"].to_numpy() == 0, names)

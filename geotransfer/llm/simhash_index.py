@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from geotransfer.llm.common import keyed, mapped, runs, utf8
+from geotransfer.llm.common import keyed, mapped, runs, tag_of, utf8
 from geotransfer.session import materialize
 
 FRONTIER = 1 << 19  # node pairs expanded at once
@@ -255,7 +255,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = keyed(df, id_col, text_col)
     id_type = docs.schema["id"].dataType.simpleString()
-    prints = materialize(mapped(docs, _fingerprint_task(shingle), f"id {id_type}, tag bigint, fp bigint"))
+    prints = materialize(mapped(docs, _fingerprint_task(shingle), f"id {id_type}, tag binary, fp bigint"))
     least = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(near_links(least.select("fp"), distance, unit))
     rooted = least.join(roots, least.fp == roots.v, "left").select(
@@ -272,7 +272,7 @@ def stage(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     first = found.where(F.col("id").eqNullSafe(F.col("component_id")))
     # Ids are nearly always unique; the aggregate settles repeated ids inside a component.
     kept = first.groupBy("root", "id").agg(F.min("tag").alias("tag")).select("id", "tag").distinct()
-    docs = df.select("*", F.coalesce(F.crc32(F.col(f"`{text_col}`")), F.lit(-1)).alias("__tag"))
+    docs = df.select("*", tag_of(F.col(f"`{text_col}`")).alias("__tag"))
     kept = kept.select(F.col("id").alias("__id"), F.col("tag").alias("__kept"))
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]) & (docs["__tag"] == kept["__kept"]), "left_semi"
                      ).select(*[docs[c] for c in df.columns])

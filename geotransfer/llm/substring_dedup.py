@@ -8,7 +8,8 @@
    occurrence per hash, so a window that a third of all documents share is sent once per
    chunk, and packs its windows by bucket of hashes. A bucket holds a bounded number of
    windows; grouping it by hash gives the exact first occurrences.
-3. First occurrences go back to their documents. A window that is estimated repeated and is
+3. First occurrences go back to their documents, packed again by part of the documents, so that
+   a row per bucket and part crosses the shuffle and not one per bucket and document. A window that is estimated repeated and is
    not a first occurrence starts earlier elsewhere: its words go.
 
 The sketch has about two slots a window up to ``max_slots`` (2^29: 64 MB a row), and only
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from geotransfer.llm.common import SLICE_BYTES, keyed, mapped, null_safe, restored, runs, slices, utf8
 
 SLICE_BITS = 20
-CHUNK_WINDOWS = 1_500_000  # windows of a task in one sketch
-CHUNK_CANDIDATES = 1_000_000
+CHUNK_WINDOWS = 750_000  # windows of a task in one sketch
+CHUNK_CANDIDATES = 500_000
 BUCKET_WINDOWS = 2_000_000  # windows whose hashes meet in one group of the exact pass, at most about
 PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 BASE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -187,14 +188,17 @@ def _estimated(mask: np.ndarray, slots: int, w: Windows) -> np.ndarray:
     return keep
 
 
-def _firsts(lo, hi, doc, pos, ids: pa.Array, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _codes(values: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.dictionary_encode(values).indices, -1).to_numpy(zero_copy_only=False)
+
+
+def _firsts(lo, hi, doc, pos, ids: pa.Array, tag: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Rows in order of hash, id, tag and position, and which of them open a hash."""
     order = pc.sort_indices(pa.table({"id": ids, "tag": tag}), sort_keys=[("id", "ascending"), ("tag", "ascending")],
                             null_placement="at_start").to_numpy()
     rank = np.empty(len(order), np.int64)
     # Rows equal in id and tag are one document.
-    known = pc.fill_null(pc.dictionary_encode(ids).indices, -1).to_numpy(zero_copy_only=False)
-    rank[order] = np.cumsum(runs(known[order], tag[order]))
+    rank[order] = np.cumsum(runs(_codes(ids)[order], _codes(tag)[order]))
     o = np.lexsort((pos, rank[doc], hi, lo))
     return o, runs(lo[o], hi[o])
 
@@ -203,7 +207,7 @@ def _candidate_task(width: int, mask, slots: int, buckets: int):
     """Packed first occurrences of a chunk's candidates, one row per bucket of hashes."""
     def packed(held) -> pa.RecordBatch:
         ids = pa.concat_arrays([h[0] for h in held])
-        tag = np.concatenate([h[1] for h in held])
+        tag = pa.concat_arrays([h[1] for h in held])
         base = np.cumsum([0] + [len(h[0]) for h in held])
         doc = np.concatenate([h[2] + b for h, b in zip(held, base)])
         pos, lo, hi = (np.concatenate([h[k] for h in held]) for k in (3, 4, 5))
@@ -223,10 +227,10 @@ def _candidate_task(width: int, mask, slots: int, buckets: int):
             out["doc"].append(_planes(at.astype(np.uint32)))
             out["pos"].append(_planes(pos[p].astype(np.uint32)))
             out["ids"].append(ids.take(pa.array(docs)).to_pylist())
-            out["tags"].append(tag[docs].tolist())
+            out["tags"].append(tag.take(pa.array(docs)).to_pylist())
         return pa.RecordBatch.from_pydict(out, pa.schema([
             ("bucket", pa.int32()), *[(c, pa.binary()) for c in ("lo", "hi", "doc", "pos")],
-            ("ids", pa.list_(ids.type)), ("tags", pa.list_(pa.int64()))]))
+            ("ids", pa.list_(ids.type)), ("tags", pa.list_(pa.binary()))]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -236,7 +240,7 @@ def _candidate_task(width: int, mask, slots: int, buckets: int):
                 w = Windows(utf8(batch.column("text").slice(a, b - a)), width)
                 c = _estimated(bits, slots, w)
                 if len(c):
-                    held.append((batch.column("id").slice(a, b - a), batch.column("tag").to_numpy()[a:b],
+                    held.append((batch.column("id").slice(a, b - a), batch.column("tag").slice(a, b - a),
                                  w.row[c], w.pos[c], w.lo[c], w.hi[c]))
                     n += len(c)
                 if n >= CHUNK_CANDIDATES:
@@ -248,35 +252,74 @@ def _candidate_task(width: int, mask, slots: int, buckets: int):
     return task
 
 
-def _exact_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed rows come sorted by bucket. The exact first occurrence of every hash, per document."""
-    held = []
-
-    def settle() -> pa.RecordBatch:
+def _exact_task(parts: int):
+    """Packed rows come sorted by bucket. The exact first occurrence of every hash, packed by part of the documents."""
+    def settle(held: list[dict], id_type: pa.DataType) -> pa.RecordBatch:
         lo = np.concatenate([_rising(r["lo"], np.uint64) for r in held])
         hi = np.concatenate([np.frombuffer(r["hi"], np.uint32) for r in held])
         pos = np.concatenate([_values(r["pos"], np.uint32) for r in held]).astype(np.int32)
         base = np.cumsum([0] + [len(r["tags"]) for r in held])
         doc = np.concatenate([_values(r["doc"], np.uint32).astype(np.int64) + b for r, b in zip(held, base)])
         ids = pa.concat_arrays([pa.array(r["ids"], id_type) for r in held])
-        tag = np.concatenate([np.array(r["tags"], np.int64) for r in held])
+        tag = pa.concat_arrays([pa.array(r["tags"], pa.binary()) for r in held])
         o, new = _firsts(lo, hi, doc, pos, ids, tag)
         o = o[new]
-        o = o[np.argsort(doc[o], kind="stable")]
-        starts = np.flatnonzero(runs(doc[o]))
-        at = doc[o][starts]
-        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(o)), pa.int32()), pa.array(pos[o]))
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(tag[at]), lists], ["id", "tag", "pos"])
+        # The last four bytes of a text's tag deal its document to a part; an empty tag has no windows.
+        last = pc.binary_slice(tag, -4).to_pylist()
+        part = (np.frombuffer(b"".join(last), "<u4") % np.uint32(parts)).astype(np.int32)[doc[o]]
+        o, part = (x[np.lexsort((pos[o], doc[o], part))] for x in (o, part))
+        cuts = np.append(np.flatnonzero(runs(part)), len(o))
+        out = {c: [] for c in ("part", "doc", "pos", "ids", "tags")}
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            docs, at = np.unique(doc[o[a:b]], return_inverse=True)
+            out["part"].append(int(part[a]))
+            out["doc"].append(_planes(at.astype(np.uint32)))
+            out["pos"].append(_planes(pos[o[a:b]]))
+            out["ids"].append(ids.take(pa.array(docs)).to_pylist())
+            out["tags"].append(tag.take(pa.array(docs)).to_pylist())
+        return pa.RecordBatch.from_pydict(out, pa.schema([
+            ("part", pa.int32()), ("doc", pa.binary()), ("pos", pa.binary()),
+            ("ids", pa.list_(id_type)), ("tags", pa.list_(pa.binary()))]))
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, id_type = [], None
+        for batch in batches:
+            id_type = batch.column("ids").type.value_type
+            for r in batch.to_pylist():
+                if held and held[0]["bucket"] != r["bucket"]:
+                    yield settle(held, id_type)
+                    held = []
+                held.append(r)
+        if held:
+            yield settle(held, id_type)
+
+    return task
+
+
+def _documents_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed first occurrences come sorted by part. One row per document with all its positions."""
+    def settle(held: list[dict], id_type: pa.DataType) -> pa.RecordBatch:
+        ids = pa.concat_arrays([pa.array(r["ids"], id_type) for r in held])
+        tag = pa.concat_arrays([pa.array(r["tags"], pa.binary()) for r in held])
+        _, first, same = np.unique(_codes(ids).astype(np.int64) * (len(tag) + 1) + _codes(tag), return_index=True, return_inverse=True)
+        base = np.cumsum([0] + [len(r["tags"]) for r in held])
+        doc = same[np.concatenate([_values(r["doc"], np.uint32).astype(np.int64) + b for r, b in zip(held, base)])]
+        pos = np.concatenate([_values(r["pos"], np.int32) for r in held])
+        starts = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(first)))])
+        lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(pos[np.argsort(doc, kind="stable")]))
+        at = pa.array(first)
+        return pa.RecordBatch.from_arrays([ids.take(at), tag.take(at), lists], ["id", "tag", "firsts"])
+
+    held, id_type = [], None
     for batch in batches:
         id_type = batch.column("ids").type.value_type
         for r in batch.to_pylist():
-            if held and held[0]["bucket"] != r["bucket"]:
-                yield settle()
+            if held and held[0]["part"] != r["part"]:
+                yield settle(held, id_type)
                 held = []
             held.append(r)
     if held:
-        yield settle()
+        yield settle(held, id_type)
 
 
 def _removal_task(width: int, mask, slots: int):
@@ -341,10 +384,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, chars // (6 * BUCKET_WINDOWS))
     found = mapped(docs.select("id", "tag", "text"), _candidate_task(width, held, slots, buckets),
-                   f"bucket int, lo binary, hi binary, doc binary, pos binary, ids array<{id_type}>, tags array<bigint>")
-    first = mapped(found.repartition(buckets, "bucket").sortWithinPartitions("bucket"), _exact_task,
-                   f"id {id_type}, tag bigint, pos array<int>")
-    firsts = first.groupBy("id", "tag").agg(F.flatten(F.collect_list("pos")).alias("firsts"))
+                   f"bucket int, lo binary, hi binary, doc binary, pos binary, ids array<{id_type}>, tags array<binary>")
+    first = mapped(found.repartition(buckets, "bucket").sortWithinPartitions("bucket"), _exact_task(buckets),
+                   f"part int, doc binary, pos binary, ids array<{id_type}>, tags array<binary>")
+    firsts = mapped(first.repartition(buckets, "part").sortWithinPartitions("part"), _documents_task,
+                    f"id {id_type}, tag binary, firsts array<int>")
     shape = T.StructType([docs.schema["id"], docs.schema["tag"], docs.schema["rest"], T.StructField("packed", T.BinaryType())])
     sent = mapped(docs, _compress_task, shape)  # texts cross the shuffle compressed
     joined = sent.join(firsts, null_safe(sent, firsts, ("id", "tag")), "left").select(

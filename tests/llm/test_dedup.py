@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -159,3 +160,32 @@ def test_simhash_stage_keeps_one_of_each_group(spark):
 def test_kept_digest_matches_text(spark):
     out = substring_dedup.remove_repeats(frame(spark, [(1, "b  a\nc")])).select("text", F.sha2("text", 256).alias("h")).first()
     assert out.h == hashlib.sha256(b"b a c").hexdigest() and isinstance(T.LongType(), T.DataType)
+
+
+def clashing():
+    """Two texts of one CRC-32, which once told rows of one id apart, with a line in common."""
+    seen = {}
+    for k in range(1_000_000):
+        text = f"first {k}\nshared line\nlast {3 * k}"
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if other != text:
+            return other, text
+
+
+def test_texts_of_one_checksum_and_id_stay_apart(spark):
+    texts = clashing()
+    rows = [(None, t) for t in texts]
+    bitmaps = line_dedup.keep_bitmaps(frame(spark, rows), min_docs=2)
+    out = line_dedup.apply_bitmaps(frame(spark, rows), bitmaps)
+    assert sorted((r.text, r.n_dropped) for r in out.collect()) == sorted((t.replace("\nshared line", ""), 1) for t in texts)
+    passage = " ".join(f"w{k}" for k in range(25))
+    lost = sorted(r.n_removed for r in substring_dedup.remove_repeats(frame(spark, [(None, f"{t} {passage}") for t in texts])).collect())
+    assert lost == [0, 25]
+
+
+def test_a_row_repeated_very_often(spark):
+    rows = [(1, "one line\nanother line\none line")] * 100_000 + [(2, "another line\nown line")]
+    bitmaps = line_dedup.keep_bitmaps(frame(spark, rows))
+    assert sorted((r.id, r.n_dropped) for r in bitmaps.collect()) == [(1, 3), (2, 1)]
+    out = line_dedup.apply_bitmaps(frame(spark, rows), bitmaps)
+    assert {r.text for r in out.select("text").distinct().collect()} == {"", "own line"}

@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 from geotransfer.llm import quality_rules
 from geotransfer.llm.queries import ORACLES, QUERIES
 from tests.llm import brute
+from tests.llm.test_near_copies import smallest
 from tests.llm.test_tokens import check_pieces
 from tools.check_queries import connect, rows_of
 
@@ -64,8 +65,7 @@ def test_pipeline(spark):
     rows = [(i, t) for i, t in documents(spark) if i in kept]
     assert 0 < len(rows) < docs.count()
     rows = [(i, text) for (i, _), (text, _) in zip(rows, brute.line_dedup(rows, 10))]
-    prints = [(i, brute.simhash(t)) for i, t in rows]
-    rows = [r for r, c in zip(rows, brute.components(prints)) if r[0] == c]
+    rows = [r for r, c in zip(rows, smallest(rows)) if r[0] == c]
     rows = [(i, " ".join(w)) for i, (w, _) in brute.substring_dedup(rows).items()]
     plain = Tokenizer.from_file(corpus_pipeline.TOKENIZER)
     got = {}
