@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from geotransfer.schemas import FORBIDDEN_PREDICTORS, PROTECTED_STAGES, REPRESENTATIONS, RESPONSE
 
@@ -50,36 +50,36 @@ def require_columns(df: DataFrame, columns: Iterable[str], name: str = "table")
     return df
 
 
-def predictor_table(spark: SparkSession, features: Iterable[str], schema: T.StructType | None = None) -> DataFrame:
-    """One row per requested predictor: its folded name, how often it is asked for, its type and what is wrong with it.
+_FORBIDDEN = frozenset(n.casefold() for n in FORBIDDEN_PREDICTORS)
+
+
+def predictor_faults(features: Iterable[str], schema: T.StructType | None = None) -> list[tuple[str, str]]:
+    """(name, what is wrong with it) of the requested predictors, in order. Names are compared folded.
 
     With a ``schema`` a predictor also has to name exactly one numeric column of it, whatever the case.
     """
-    types = {}
+    names = [str(f) for f in features]
+    keys = [n.strip().casefold() for n in names]
+    types: dict[str, list[T.DataType]] = {}
     for f in schema or ():
         types.setdefault(f.name.strip().casefold(), []).append(f.dataType)
-    rows = []
-    for place, name in enumerate(features):
-        key = str(name).strip().casefold()
+    faults = []
+    for name, key in zip(names, keys):
         found = types.get(key, [])
-        numeric = len(found) == 1 and isinstance(found[0], T.NumericType)
-        rows.append((place, str(name), key, key in _FORBIDDEN, schema is None or numeric))
-    asked = spark.createDataFrame(rows, "place int, name string, key string, forbidden boolean, numeric boolean")
-    copies = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    return asked.withColumn("problem", F.when(F.col("forbidden"), F.lit("carries a label, an id, a place or a quality mark"))
-                            .when(copies > 1, F.lit("asked for more than once"))
-                            .when(~F.col("numeric"), F.lit("is not one numeric column")))
-
-
-_FORBIDDEN = frozenset(n.casefold() for n in FORBIDDEN_PREDICTORS)
+        if key in _FORBIDDEN:
+            faults.append((name, "carries a label, an id, a place or a quality mark"))
+        elif keys.count(key) > 1:
+            faults.append((name, "asked for more than once"))
+        elif schema is not None and not (len(found) == 1 and isinstance(found[0], T.NumericType)):
+            faults.append((name, "is not one numeric column"))
+    return faults
 
 
 def safe_predictors(features: Iterable[str], schema: T.StructType | None = None) -> list[str]:
-    """The requested predictors in order; stops on the first that ``predictor_table`` finds fault with."""
+    """The requested predictors in order; stops on the first that ``predictor_faults`` finds. No Spark job."""
     names = [str(f) for f in features]
-    spark = SparkSession.active()
-    faults = predictor_table(spark, names, schema).where(F.col("problem").isNotNull()).orderBy("place")
-    refuse_rows(faults.select("name", "problem"), "predictor refused")
+    for name, problem in predictor_faults(names, schema):
+        raise GuardError(f"predictor refused: {name} {problem}")
     return names
 
 
@@ -106,8 +106,7 @@ def protected_inputs(stage_inputs: DataFrame, open_stages: DataFrame | None = No
     labelled = stage_inputs.where("has_label")
     if open_stages is not None:
         return labelled.join(open_stages.select("stage"), "stage", "left_anti").select(*stage_inputs.columns)
-    closed = stage_inputs.sparkSession.createDataFrame([(s,) for s in sorted(PROTECTED_STAGES)], "stage string")
-    return labelled.join(F.broadcast(closed), "stage", "left_semi").select(*stage_inputs.columns)
+    return labelled.where(F.col("stage").isin(sorted(PROTECTED_STAGES)))
 
 
 def stage_inputs(stage: str, **tables: DataFrame) -> DataFrame:

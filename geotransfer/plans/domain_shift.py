@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from geotransfer.operators.nearest import nearest_source
 from geotransfer.operators.sampling import row_cap, stratified_folds
-from geotransfer.operators.stats import auroc
-from geotransfer.plans.models import scaler, standardised
+from geotransfer.operators.stats import auroc, spearman
+from geotransfer.plans import logistic
+from geotransfer.plans.moments import grouped_moments
 from geotransfer.schemas import FOLD
 from geotransfer.session import materialize
 
@@ -34,26 +31,14 @@ def domain_scores(df: DataFrame, features: Sequence[str], domain: str, source: s
                   folds: int = 5, c: float = 1.0, fit_rows: int | None = None) -> DataFrame:
     """Cross-validated probability of being a target row (standardised logistic model).
 
-    ``fit_rows`` bounds the rows of each side that a model is fitted on; every row is scored.
+    All folds are fitted together by Newton steps (``logistic``). ``fit_rows`` bounds the rows of
+    each side that they are fitted on; every row is scored.
     """
     marked = df.withColumn("label", (F.col(domain) != source).cast("double"))
-    data = stratified_folds(marked, id_col, ["label"], folds).persist()
-    parts = []
-    try:
-        for k in range(folds):
-            train, test = data.where(F.col(FOLD) != k), data.where(F.col(FOLD) == k)
-            if fit_rows is not None:
-                train = balanced(train, domain, source, id_col, fit_rows)
-            stats, n = scaler(train, features), train.count()
-            vec = standardised(features, stats).alias("features")
-            model = LogisticRegression(maxIter=100, regParam=1.0 / (c * n), elasticNetParam=0.0,
-                                       standardization=False).fit(train.select("label", vec))
-            scored = model.transform(test.select(id_col, domain, "label", vec))
-            parts.append(scored.select(id_col, domain, "label",
-                                       vector_to_array("probability")[1].alias("score")))
-        return materialize(reduce(DataFrame.unionByName, parts))  # stored before the cached rows go
-    finally:
-        data.unpersist()
+    data = materialize(stratified_folds(marked, id_col, ["label"], folds))
+    train = data if fit_rows is None else materialize(balanced(data, domain, source, id_col, fit_rows))
+    scored = logistic.held_out(data, logistic.fit_folds(train, features, "label", FOLD, c))
+    return scored.select(id_col, domain, "label", "score")
 
 
 def separability(scores: DataFrame) -> DataFrame:
@@ -62,14 +47,34 @@ def separability(scores: DataFrame) -> DataFrame:
 
 def source_pca(df: DataFrame, features: Sequence[str], domain: str, source: str, id_col: str,
                k: int) -> tuple[DataFrame, list[float]]:
-    """Scores on components fitted on standardised source rows, and explained variance."""
-    src = df.where(F.col(domain) == source)
-    stats = scaler(src, features)
-    vec = standardised(features, stats).alias("z")
-    model = PCA(k=k, inputCol="z", outputCol="pc").fit(src.select(vec))
-    out = model.transform(df.select(id_col, domain, vec))
-    return (out.select(id_col, domain, vector_to_array("pc").alias("pc")),
-            [float(v) for v in model.explainedVariance])
+    """Scores on components fitted on standardised source rows, and their shares of variance.
+
+    The components follow from the source's packed moments (one scan); a direction's sign is free.
+    """
+    cols = list(features)
+    m = grouped_moments(df.where(F.col(domain) == source), cols, domain)[source]
+    vectors, shares = m.components(k)
+    weights = vectors / m.sd()[:, None]
+    z = F.array(*[F.col(c).cast("double") - F.lit(float(a)) for c, a in zip(cols, m.mean)])
+    pc = F.transform(F.array(*[F.array(*[F.lit(float(v)) for v in w]) for w in weights.T]), lambda w: F.aggregate(
+        F.zip_with(w, F.col("_z"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
+    out = df.select(id_col, domain, z.alias("_z")).select(id_col, domain, pc.alias("pc"))
+    return out, [float(v) for v in shares]
+
+
+def shift_row(df: DataFrame, features: Sequence[str], domain: str, source: str, id_col: str, y: str, p: str,
+              components: int = 12, fit_rows: int | None = None) -> DataFrame:
+    """One feature set's row of the domain-shift table: AUROC, PCA distance, variance kept, and the rank
+    correlation of distance with the target's absolute error, its p value and the MAE."""
+    score = separability(domain_scores(df, features, domain, source, id_col, fit_rows=fit_rows))
+    near, kept = projected_distance(df, features, domain, source, id_col, components)
+    error = df.where(F.col(domain) != source).select(id_col, F.abs(F.col(y) - F.col(p)).alias("error"))
+    both = materialize(near.join(error, id_col))
+    rho = spearman(both, "distance", "error")
+    known = both.agg(F.avg("distance").alias("distance_mean"), F.median("distance").alias("distance_median"),
+                     F.avg("error").alias("target_mae"))
+    named = [d.withColumn("_one", F.lit(1)) for d in (score, rho, known)]
+    return named[0].join(named[1], "_one").join(named[2], "_one").drop("_one").withColumn("variance_fraction", F.lit(kept))
 
 
 def projected_distance(df: DataFrame, features: Sequence[str], domain: str, source: str,

@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from geotransfer.operators.guards import safe_predictors
+from geotransfer.plans.moments import Moments, grouped_moments, total
 from geotransfer.schemas import RESPONSE, SEED
 from geotransfer.session import ensure_checkpoint_dir
 
@@ -67,19 +65,6 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="error").transform(df)
 
 
-def scaler(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population sd of each feature: one aggregate row."""
-    row = df.agg(*[f for c in features for f in (F.avg(c).alias(f"m_{c}"),
-                                                 F.stddev_pop(c).alias(f"s_{c}"))]).first()
-    return {c: (row[f"m_{c}"], row[f"s_{c}"] or 1.0) for c in features}
-
-
-def standardised(features: Sequence[str], stats: dict[str, tuple[float, float]]) -> Column:
-    """Standardised feature vector as one column expression."""
-    return array_to_vector(F.array(*[(F.col(c) - F.lit(stats[c][0])) / F.lit(stats[c][1])
-                                     for c in features]))
-
-
 @dataclass(frozen=True)
 class LinearFit:
     features: tuple[str, ...]
@@ -93,52 +78,17 @@ class LinearFit:
         return out
 
 
-def fold_moments(df: DataFrame, features: Sequence[str], y: str, fold: str) -> list:
-    """Per fold: count, sums and cross products about the overall means (one row per fold).
+def linear_fit(features: Sequence[str], moments: Moments, alpha: float) -> LinearFit:
+    """Ridge on standardised features from moments whose last column is the response."""
+    weights, intercept = moments.ridge(alpha)
+    return LinearFit(tuple(features), tuple(map(float, weights)), intercept)
 
-    Two aggregates over the table serve every fold; any training set is the
-    total minus the held-out fold.
-    """
-    names = [*features, y]
-    means = df.agg(*[F.avg(c).alias(c) for c in names]).first()
-    d = [F.col(c) - F.lit(means[c]) for c in names]
-    cols = [F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(d)]]
-    cols += [F.sum(d[i] * d[j]).alias(f"c{i}_{j}") for i in range(len(d)) for j in range(i + 1)]
-    rows = df.groupBy(fold).agg(*cols).collect()
-    out = []
-    for r in rows:
-        s = np.array([r[f"s{i}"] for i in range(len(d))])
-        c = np.array([[r[f"c{max(i, j)}_{min(i, j)}"] for j in range(len(d))] for i in range(len(d))])
-        out.append((r[fold], r["n"], s, c))
-    return [np.array([means[c] for c in names]), out]
-
-
-def ridge_from_moments(features: Sequence[str], centre, n: int, s, c, alpha: float) -> LinearFit:
-    """Closed-form ridge on standardised features from count, sums and cross products."""
-    mean = s / n
-    cov = c / n - np.outer(mean, mean)
-    sd = np.sqrt(np.diag(cov)[:-1])
-    sd = np.where(sd > 0, sd, 1.0)
-    gram = cov[:-1, :-1] / np.outer(sd, sd)
-    w = np.linalg.solve(n * gram + alpha * np.eye(len(sd)), n * cov[:-1, -1] / sd) / sd
-    where = centre + mean
-    return LinearFit(tuple(features), tuple(map(float, w)), float(where[-1] - w @ where[:-1]))
-
-
-def fit_ridge(df: DataFrame, features: Sequence[str], y: str = RESPONSE,
-              alpha: float = 10.0) -> LinearFit:
+
+def fit_ridge(df: DataFrame, features: Sequence[str], y: str = RESPONSE, alpha: float = 10.0) -> LinearFit:
     """Ridge on standardised features by the normal equations (one distributed pass).
 
-    The penalty is alpha times the squared weights against the summed squared
-    error. Spark's solver minimises the mean error and divides its penalty by
-    the label's sd, so it is given alpha / n times that sd.
+    The penalty is alpha times the squared weights against the summed squared error.
     """
     cols = safe_predictors(features)
-    stats = scaler(df, cols)
-    data = df.select(F.col(y).alias("label"), standardised(cols, stats).alias("features"))
-    n, label_sd = data.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
-    model = LinearRegression(regParam=alpha / n * label_sd, elasticNetParam=0.0, standardization=False,
-                             solver="normal").fit(data)
-    weights = [w / stats[c][1] for w, c in zip(model.coefficients, cols)]
-    shift = sum(w * stats[c][0] for w, c in zip(weights, cols))
-    return LinearFit(tuple(cols), tuple(float(w) for w in weights), float(model.intercept - shift))
+    whole = total(grouped_moments(df.withColumn("_all", F.lit(0)), [*cols, y], "_all"))
+    return linear_fit(cols, whole, alpha)

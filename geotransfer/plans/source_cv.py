@@ -18,13 +18,12 @@ from geotransfer.operators.guards import safe_predictors
 from geotransfer.operators.metrics import best_by_error, metrics
 from geotransfer.operators.ordering import number_rows, top_per_group
 from geotransfer.operators.sampling import outside_fold, row_cap
-from geotransfer.plans.models import (CANDIDATES, FULL, Profile, assemble, build, fit_ridge,
-                                      fold_moments, ridge_from_moments)
+from geotransfer.plans.models import CANDIDATES, FULL, Profile, assemble, build, linear_fit
+from geotransfer.plans.moments import grouped_moments, total
 from geotransfer.schemas import FOLD, RESPONSE, SEED
 from geotransfer.session import materialize
 
 TRAIN_CAP = 60_000  # bound on the rows a tree model is fitted on, for callers that ask for it
-MOMENT_FEATURES = 30
 TUNING = "model string, config string, inner_fold int, R2 double, RMSE double, MAE double, Bias double, N long"
 
 
@@ -116,24 +115,14 @@ def deploy(df: DataFrame, features: Sequence[str], path: str | None = None, fold
 
 def ridge_cv(df: DataFrame, features: Sequence[str], fold: str = FOLD, y: str = RESPONSE,
              alpha: float = 10.0) -> DataFrame:
-    """Held-out ridge predictions for every fold.
-
-    Up to ``MOMENT_FEATURES`` features, all folds come from two aggregates and
-    one scoring pass. Wider tables are fitted fold by fold by the solver.
-    """
+    """Held-out ridge predictions for every fold, at any width: one scan for the moments of all
+    folds, each training set by subtraction, and one scoring pass."""
     cols = safe_predictors(features)
-    if len(cols) > MOMENT_FEATURES:
-        parts = []
-        for k in _fold_values(df, fold):
-            fit = fit_ridge(outside_fold(df, k, fold), cols, y, alpha)
-            parts.append(df.where(F.col(fold) == k).withColumn("prediction", fit.column()))
-        return _union(parts)
-    centre, rows = fold_moments(df, cols, y, fold)
-    n, s, c = (sum(r[i] for r in rows) for i in (1, 2, 3))
+    folds = grouped_moments(df, [*cols, y], fold)
+    whole = total(folds)
     score = F.lit(None).cast("double")
-    for k, nk, sk, ck in rows:
-        fit = ridge_from_moments(cols, centre, n - nk, s - sk, c - ck, alpha)
-        score = F.when(F.col(fold) == k, fit.column()).otherwise(score)
+    for k, part in folds.items():
+        score = F.when(F.col(fold) == k, linear_fit(cols, whole.minus(part), alpha).column()).otherwise(score)
     return df.withColumn("prediction", score)
 
 
