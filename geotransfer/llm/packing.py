@@ -176,9 +176,11 @@ def _pack_task(path: str, size: int, end_id: int):
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text")):
                 text = text.as_py() or ""
                 _, ids = words.encode_chunks(text)
-                ids.append(closing)
-                upto = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) >> 2
-                stream.add(key, np.frombuffer(b"".join(ids), "<u4"), upto[ended_chunks(text)])
+                cuts = [0, *(ended_chunks(text) + 1).tolist()]
+                sentences = [b"".join(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+                upto = np.cumsum(np.fromiter(map(len, sentences), np.int64, len(sentences))) >> 2
+                sentences += [*ids[cuts[-1]:], closing]
+                stream.add(key, np.frombuffer(b"".join(sentences), "<u4"), upto)
                 if stream.n >= STRETCH:
                     yield from rows(False)
         yield from rows(True)
