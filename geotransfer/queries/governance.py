@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from geotransfer.operators import govern, guards
 from geotransfer.operators.metrics import metrics
-from geotransfer.queries.registry import hash_sum_sql, query, row_text_sql, rounded, table, view, with_views
+from geotransfer.queries.registry import TABLES, hash_sum_sql, query, row_text_sql, rounded, table, view, with_views
 from geotransfer.session import materialize
-from geotransfer.sources.readers import file_checksums
+from geotransfer.sources.readers import table_checksums
 
 
 @query("table_fingerprint", "K1", f"""
@@ -108,10 +108,9 @@ def stage_equality(spark, sf):
 
 @query("inventory", "K15 A20")
 def inventory(spark, sf):
-    """Expected tables against the files present, with their checksums."""
-    names = spark.createDataFrame([(f"{t}.parquet",) for t in ("orders", "lineitem", "events", "footprints")],
-                                  "name string")
-    return govern.inventory(names, file_checksums(spark, sf, "*.parquet"))
+    """Every table that the queries read, and one that is not delivered, against the tables present with their checksums."""
+    names = spark.createDataFrame([(f"{t}.parquet",) for t in (*TABLES, "footprints")], "name string")
+    return govern.inventory(names, table_checksums(spark, sf, "*.parquet"))
 
 
 @query("protected_stage_inputs", "K6", with_views("foot") + """

@@ -100,7 +100,7 @@ VIEWS = {
         FROM {events}""",
 }
 
-_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
            "pages benchmark labels conversations").split()
 
 
@@ -110,7 +110,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     text = VIEWS[name]
-    used = [t for t in _TABLES if "{" + t + "}" in text]
+    used = [t for t in TABLES if "{" + t + "}" in text]
     return spark.sql(text, **{t: table(spark, sf, t) for t in used})
 
 
@@ -119,7 +119,7 @@ def with_views(*names: str, more: str = "") -> str:
     parts = []
     for n in names:
         text = VIEWS[n]
-        for t in _TABLES:
+        for t in TABLES:
             text = text.replace("{" + t + "}", t)
         parts.append(f"{n} AS ({text})")
     if more:

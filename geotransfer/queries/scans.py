@@ -246,7 +246,8 @@ def public_extract(spark, sf):
 
 @query("file_checksums", "A20 K15")
 def file_checksums(spark, sf):
-    return readers.file_checksums(spark, sf, "*.parquet")
+    """Root checksum of every table of the folder, from checksums of byte ranges."""
+    return readers.table_checksums(spark, sf, "*.parquet")
 
 
 @query("ingest_restart", "A12 ST1 ST2 ST3 K3", with_views("obs") + """

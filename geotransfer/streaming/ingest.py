@@ -1,21 +1,24 @@
-"""Incremental file ingest with a checkpoint as ledger of finished files.
-
-Each micro-batch writes to its own ``batch_id`` folder in overwrite mode, so a
-batch that is replayed after a crash replaces itself and nothing is doubled.
+"""Incremental file ingest: Structured Streaming with one keyed state, and a checkpoint as ledger of finished files.
+
+A streaming aggregate holds, per key, how many copies have come, when the first did, and the row
+that was taken. A micro-batch changes only the keys it brings, and these are all that it sees:
+a key whose first copy came in this batch is new and its row is accepted, any other is a repeat.
+The state lies in RocksDB under the checkpoint, so no batch reads what earlier ones have written.
+Each batch writes to its own ``batch_id`` folder in overwrite mode, and its time is part of the
+checkpoint, so a batch that is replayed after a crash replaces itself and nothing is doubled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from geotransfer.operators.govern import fingerprint, schema_hash
 from geotransfer.operators.guards import refuse_rows
-from geotransfer.operators.joins import null_safe_join
-
 
-PRUNE_VALUES = 1000
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -23,48 +26,37 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
 
 
-def _batch_folders(spark: SparkSession, table: str, before: int) -> bool:
-    if not _exists(spark, table):
-        return False
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    listed = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(fs_path)
-    ids = [s.getPath().getName().partition("=")[2] for s in listed
-           if s.getPath().getName().startswith("batch_id=")]
-    return any(int(i) < before for i in ids)
-
-
-def split_batch(batch: DataFrame, known: DataFrame | None, keys: Sequence[str]):
-    """(accepted, rejected): one row per new key, and a count of every repeat.
+def keyed_state(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key: ``_copies`` so far, the times of the first and the last, and the row taken (``_r``).
 
-    Copies of a key are reduced on the map side, so a key that fills a third
-    of the batch does not gather in one task.
+    Of the copies in the first batch the least by a hash of all columns is taken. Copies are
+    reduced on the map side, so a key that fills a third of a batch does not gather in one task.
     """
-    keys = list(keys)
-    rest = [c for c in batch.columns if c not in keys]
-    order = F.xxhash64(*[F.col(c) for c in batch.columns])
-    one = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"),
-                                   F.min_by(F.struct(*rest), order).alias("_r"))
-    if known is not None:
-        one = null_safe_join(one, known.select(*keys, F.lit(True).alias("_old")), keys, "left")
-    else:
-        one = one.withColumn("_old", F.lit(None).cast("boolean"))
-    accepted = one.where(F.col("_old").isNull()).select(*keys, "_r.*").select(*batch.columns)
-    extra = F.when(F.col("_old").isNull(), F.col("_copies") - 1).otherwise(F.col("_copies"))
-    rejected = one.select(*keys, extra.alias("copies"),
-                          F.when(F.col("_old").isNull(), F.lit("repeated in batch"))
-                          .otherwise(F.lit("already ingested")).alias("reason")).where("copies > 0")
+    rest = F.struct(*[F.col(c) for c in rows.columns if c not in keys])
+    timed = rows.withColumns({"_at": F.current_timestamp(), "_order": F.xxhash64(*[F.col(c) for c in rows.columns])})
+    return timed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"), F.min("_at").alias("_first"), F.max("_at").alias("_last"),
+                                    F.min_by(rest, F.struct("_at", "_order")).alias("_r"))
+
+
+def split_update(update: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) of the keys a batch has changed. Rejected keys carry their copies so far (``total``)."""
+    new = F.col("_first") == F.col("_last")
+    accepted = update.where(new).select(*keys, "_r.*").select(*columns)
+    rejected = update.where(~new | (F.col("_copies") > 1)).select(
+        *keys, F.col("_copies").alias("total"), F.when(new, F.lit("repeated in batch")).otherwise(F.lit("already ingested")).alias("reason"))
     return accepted, rejected
 
 
 def ingest(spark: SparkSession, source: str, schema: T.StructType, out: str, keys: Sequence[str],
            partition: str, file_format: str = "parquet", files_per_batch: int | None = None,
-           options: dict[str, str] | None = None) -> None:
+           options: dict[str, str] | None = None) -> list[dict]:
     """Take in every file not yet seen and stop. Safe to run again at any time.
 
-    Writes ``table`` (accepted rows), ``rejects`` and ``ledger`` under ``out``.
-    A ledger written for another schema stops the job.
+    Writes ``table`` (accepted rows), ``rejects`` and ``ledger`` under ``out``; read them with
+    ``read_ingested``. A ledger written for another schema stops the job. Returns the batches of
+    this run: ``batch_id``, ``input_rows`` read, ``state_rows`` held.
     """
-    table, rejects, ledger = f"{out}/table", f"{out}/rejects", f"{out}/ledger"
+    table, rejects, ledger, keys = f"{out}/table", f"{out}/rejects", f"{out}/ledger", list(keys)
     reader = spark.readStream.schema(schema).format(file_format)
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
@@ -76,34 +68,33 @@ def ingest(spark: SparkSession, source: str, schema: T.StructType, out: str, key
         other = spark.read.parquet(ledger).where(F.col("schema_hash") != columns_hash)
         refuse_rows(other.select("schema_hash"), "ledger was written for another schema")
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        known = None
-        if _batch_folders(spark, table, batch_id):
-            known = spark.read.parquet(table).where(F.col("batch_id") < batch_id)
-        batch = batch.persist()
-        try:
-            if known is not None and partition in keys:
-                # Only folders of values this batch holds can repeat its keys.
-                held = [r[0] for r in batch.select(partition).distinct().limit(PRUNE_VALUES + 1).collect()]
-                if len(held) <= PRUNE_VALUES:
-                    known = known.where(F.col(partition).isin(held))
-            accepted, rejected = split_batch(batch, known, keys)
-            spot = f"batch_id={batch_id}"
-            (accepted.write.mode("overwrite").partitionBy(partition).parquet(f"{table}/{spot}"))
-            rejected.write.mode("overwrite").parquet(f"{rejects}/{spot}")
-            stored = spark.read.schema(accepted.schema).parquet(f"{table}/{spot}").select(*batch.columns)
-            entry = (fingerprint(stored)
-                     .withColumns({"input_rows": F.lit(batch.count()),
-                                   "schema_hash": F.lit(columns_hash)}))
-            entry.write.mode("overwrite").parquet(f"{ledger}/{spot}")
-        finally:
-            batch.unpersist()
-
-    query = (reader.load(source).writeStream.foreachBatch(write_batch)
-             .option("checkpointLocation", f"{out}/checkpoint")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    def write_batch(update: DataFrame, batch_id: int) -> None:
+        spot = f"batch_id={batch_id}"
+        # The changed keys are stored once: the three tables are made from them without another pass over the state.
+        update.write.mode("overwrite").parquet(f"{out}/changes/{spot}")
+        accepted, rejected = split_update(spark.read.schema(update.schema).parquet(f"{out}/changes/{spot}"), keys, schema.names)
+        accepted.write.mode("overwrite").partitionBy(partition).parquet(f"{table}/{spot}")
+        rejected.write.mode("overwrite").parquet(f"{rejects}/{spot}")
+        entry = fingerprint(accepted).withColumn("schema_hash", F.lit(columns_hash))
+        entry.write.mode("overwrite").parquet(f"{ledger}/{spot}")
+
+    own = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        query = (keyed_state(reader.load(source), keys).writeStream.outputMode("update").foreachBatch(write_batch)
+                 .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, own)
+    return [{"batch_id": p["batchId"], "input_rows": p["numInputRows"], "state_rows": sum(o["numRowsTotal"] for o in p["stateOperators"])}
+            for p in query.recentProgress]
 
 
 def read_ingested(spark: SparkSession, out: str, part: str = "table") -> DataFrame:
-    return spark.read.parquet(f"{out}/{part}")
+    """The accepted rows, the ``ledger``, or the ``rejects`` with the ``copies`` that each batch turned away."""
+    rows = spark.read.parquet(f"{out}/{part}")
+    if part != "rejects":
+        return rows
+    keys = [c for c in rows.columns if c not in ("total", "reason", "batch_id")]
+    before = F.lag("total").over(Window.partitionBy(*keys).orderBy("batch_id"))
+    return rows.withColumn("copies", F.col("total") - F.coalesce(before, F.lit(1))).drop("total")

@@ -70,8 +70,8 @@ def test_geojson_forms(spark, tmp_path, kind):
 
 def test_checksums_and_inventory(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"abc")
-    got = readers.file_checksums(spark, str(tmp_path))
-    assert got.first().sha256 == hashlib.sha256(b"abc").hexdigest()
+    got = readers.table_checksums(spark, str(tmp_path))
+    assert got.first().sha256 == hashlib.sha256(f"a.bin:{plain_root(tmp_path / 'a.bin', 10)};".encode()).hexdigest()
     want = spark.createDataFrame([("a.bin",), ("b.bin",)], "name string")
     s = inventory_status(inventory(want, got)).first()
     assert (s.expected_n, s.missing_n, s.state) == (2, 1, "in progress")
@@ -159,11 +159,30 @@ def test_ingest_replays_a_crashed_batch(spark, tmp_path, monkeypatch):
     assert stream.read_ingested(spark, out, "ledger").count() == 1
 
 
-def test_repeats_inside_a_batch(spark):
-    df = spark.createDataFrame([("1", 2020, 1.0)] * 5 + [("2", 2020, 2.0)], ROWS)
-    ok, bad = stream.split_batch(df, None, ["shot_number", "year"])
-    assert ok.count() == 2
-    assert [(r.shot_number, r.copies, r.reason) for r in bad.collect()] == [("1", 4, "repeated in batch")]
+def test_repeats_inside_and_between_batches(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    args = dict(source=src, schema=ROWS, out=out, keys=["shot_number", "year"], partition="year")
+    for rows in ([("1", 2020, 1.0)] * 5 + [("2", 2020, 2.0), (None, 2020, 3.0)], [("1", 2020, 9.0)] * 2 + [("2", 2020, 2.0)],
+                 [("1", 2020, 1.0), (None, 2020, 3.0), ("3", 2021, None)]):
+        spark.createDataFrame(rows, ROWS).coalesce(1).write.mode("append").parquet(src)
+        stream.ingest(spark, **args)
+    got = stream.read_ingested(spark, out)
+    assert sorted((r.shot_number or "", r.x) for r in got.collect() if r.x) == [("", 3.0), ("1", 1.0), ("2", 2.0)] and got.count() == 4
+    rejects = sorted((r.batch_id, r.shot_number or "", r.copies, r.reason) for r in stream.read_ingested(spark, out, "rejects").collect())
+    assert rejects == [(0, "1", 4, "repeated in batch"), (1, "1", 2, "already ingested"), (1, "2", 1, "already ingested"),
+                       (2, "", 1, "already ingested"), (2, "1", 1, "already ingested")]
+
+
+def test_a_batch_reads_its_own_files_only(spark, tmp_path):
+    """Rows read and keys written by a batch do not grow with the table; the state is where the keys are."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    args = dict(source=src, schema=ROWS, out=out, keys=["shot_number", "year"], partition="year")
+    seen = []
+    for k in range(4):
+        _deliver(spark, src, 50 * k, 50 * k + 60)
+        seen += [(p["input_rows"], p["state_rows"]) for p in stream.ingest(spark, **args) if p["input_rows"]]
+    assert seen == [(60, 60), (60, 110), (60, 160), (60, 210)]
+    assert [r.rows for r in stream.read_ingested(spark, out, "ledger").orderBy("batch_id").collect()] == [60, 50, 50, 50]
 
 
 def test_another_schema_is_refused(spark, tmp_path):
@@ -175,6 +194,41 @@ def test_another_schema_is_refused(spark, tmp_path):
         stream.ingest(spark, schema=T.StructType(ROWS.fields[:2]), **args)
 
 
+def plain_root(path, size):
+    digests = []
+    with open(path, "rb") as f:
+        while part := f.read(size):
+            digests.append(hashlib.sha256(part).hexdigest())
+    return hashlib.sha256("".join(digests).encode()).hexdigest()
+
+
+def test_checksums_of_ranges_fold_to_a_root_per_file_and_table(spark, tmp_path):
+    (tmp_path / "t.parquet").mkdir()
+    files = {"t.parquet/part-0": b"a" * 2_500, "t.parquet/part-1": b"", "one.parquet": bytes(range(256)) * 40, "note.txt": b"x"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    ranges = readers.byte_ranges(spark, str(tmp_path), range_bytes=1_000)
+    assert max(r.length for r in ranges.collect()) <= 1_000 and "sha256" in ranges.columns
+    got = {r.name: r for r in readers.table_checksums(spark, str(tmp_path), range_bytes=1_000).collect()}
+    assert set(got) == {"t.parquet", "one.parquet", "note.txt"}
+    root = {n: plain_root(tmp_path / n, 1_000) for n in files}
+    assert got["t.parquet"].files == 2 and got["t.parquet"].length == 2_500
+    folded = "".join(f"{n}:{root['t.parquet/' + n]};" for n in ("part-0", "part-1"))
+    assert got["t.parquet"].sha256 == hashlib.sha256(folded.encode()).hexdigest()
+    assert got["one.parquet"].sha256 == hashlib.sha256(f"one.parquet:{root['one.parquet']};".encode()).hexdigest()
+    (tmp_path / "one.parquet").write_bytes(bytes(range(256)) * 39 + bytes(256))
+    assert readers.table_checksums(spark, str(tmp_path), range_bytes=1_000).where("name = 'one.parquet'").first().sha256 != got["one.parquet"].sha256
+
+
+def test_checksums_of_a_sparse_file_of_three_gigabytes(spark, tmp_path):
+    with open(tmp_path / "big.bin", "wb") as f:
+        f.truncate(3 << 30)
+    got = readers.table_checksums(spark, str(tmp_path)).first()
+    one = hashlib.sha256(bytes(readers.RANGE_BYTES)).hexdigest()
+    root = hashlib.sha256((one * ((3 << 30) // readers.RANGE_BYTES)).encode()).hexdigest()
+    assert got.length == 3 << 30 and got.sha256 == hashlib.sha256(f"big.bin:{root};".encode()).hexdigest()
+
+
 def test_quality_filter_reaches_the_scan(spark, tmp_path):
     from geotransfer.operators.qa import quality_filter
     row = spark.createDataFrame([("1", 1, 1, 0, 5.0, 0.1)], "shot_number string, algorithm_run_flag int, l4_quality_flag int, "
