@@ -15,9 +15,10 @@ from geotransfer.schemas import KEYS, RESPONSE
 
 
 def _part_sum(digest: Column, part: int) -> Column:
-    """Exact sum over rows of the ``part``-th 60 bits of a sha256 text."""
-    bits = F.conv(F.substring(digest, 15 * part + 1, 15), 16, 10).cast("decimal(38,0)")
-    return F.coalesce(F.sum(bits), F.lit(0)).cast("string")
+    """Exact sum over rows of the ``part``-th 60 bits of a sha256 text, in two sums of 30 bits that stay plain numbers."""
+    bits = F.conv(F.substring(digest, 15 * part + 1, 15), 16, 10).cast("bigint")
+    high, low = (F.coalesce(F.sum(c), F.lit(0)).cast("decimal(28,0)") for c in (F.shiftright(bits, 30), bits.bitwiseAND((1 << 30) - 1)))
+    return (high * F.lit(1 << 30).cast("decimal(10,0)") + low).cast("decimal(38,0)").cast("string")
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -10,10 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from geotransfer.functions.text import hash_key
 from geotransfer.operators.guards import GuardError, duplicate_keys, refuse_rows
 from geotransfer.operators.joins import lookup_join
+from geotransfer.operators.sampling import uniform_from_hash
 
 
 def polygon_frame(spark: SparkSession, polygons: dict[str, list[list[tuple[float, float]]]]) -> DataFrame:
@@ -108,6 +111,70 @@ def polygon_area(rings: DataFrame, project=None) -> DataFrame:
     return e.groupBy("poly_id").agg((F.abs(twice) / 2).alias("area"))
 
 
+def ear_clipped(ring: Sequence[Sequence[float]]) -> list[tuple]:
+    """Triangles that tile a simple ring, by cutting off ears in the order of the corners."""
+    corners = [tuple(p[:2]) for p in ring]
+    corners = [p for k, p in enumerate(corners) if p != corners[k - 1]] if len(corners) > 1 else corners
+
+    def turn(a, b, c):
+        return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+    if sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(corners, corners[1:] + corners[:1])) < 0:
+        corners.reverse()
+    out = []
+    while len(corners) > 3:
+        for k, b in enumerate(corners):
+            a, c = corners[k - 1], corners[(k + 1) % len(corners)]
+            size = turn(a, b, c)
+            others = (p for p in corners if p not in (a, b, c))
+            if size == 0 or size > 0 and not any(
+                    turn(a, b, p) >= 0 and turn(b, c, p) >= 0 and turn(c, a, p) >= 0 for p in others):
+                if size:
+                    out.append((a, b, c))
+                del corners[k]
+                break
+        else:
+            raise GuardError("a ring crosses itself")
+    return out + [tuple(corners)] if len(corners) == 3 and turn(*corners) else out
+
+
+_TRIANGLES = "poly_id string, tiles array<struct<ax:double,ay:double,bx:double,by:double,cx:double,cy:double,upto:double>>"
+
+
+def triangles(rings: DataFrame) -> DataFrame:
+    """``poly_id`` and its ``tiles``: triangles with the area summed up to and with each. A ring is clipped in one task."""
+    def task(batches):
+        for b in batches:
+            tiles = []
+            for ring in b.column("ring").to_pylist():
+                total, found = 0.0, []
+                for (ax, ay), (bx, by), (cx, cy) in ear_clipped(ring):
+                    total += abs((bx - ax) * (cy - ay) - (by - ay) * (cx - ax)) / 2
+                    found.append(dict(ax=ax, ay=ay, bx=bx, by=by, cx=cx, cy=cy, upto=total))
+                tiles.append(found)
+            kind = pa.list_(pa.struct([(n, pa.float64()) for n in ("ax", "ay", "bx", "by", "cx", "cy", "upto")]))
+            yield pa.RecordBatch.from_arrays([b.column("poly_id"), pa.array(tiles, kind)], ["poly_id", "tiles"])
+
+    return rings.select(F.col("poly_id").cast("string").alias("poly_id"), "ring").mapInArrow(task, _TRIANGLES)
+
+
+def area_points(rings: DataFrame, strata: DataFrame, n: int, seed: int) -> DataFrame:
+    """``n`` seeded points of every stratum (columns of ``strata``, with ``poly_id``), even over its polygon's area.
+
+    A hash picks a triangle by its share of the area and a place in it, so no point is thrown away
+    and a rerun gives the same points. ``point_no`` counts from 0.
+    """
+    keys = [F.col(c).cast("string") for c in strata.columns]
+    each = lookup_join(strata.withColumn("point_no", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), triangles(rings), ["poly_id"])
+    u, v, w = (uniform_from_hash(hash_key(f"{seed}|{axis}", *keys, "point_no")) for axis in "tuv")
+    at = F.lit(1.0) * u * F.element_at("tiles", -1)["upto"]
+    tile = F.element_at(F.filter("tiles", lambda t: t["upto"] > at), 1)
+    placed = each.where(F.size("tiles") > 0).withColumns({"_t": tile, "_r": F.sqrt(v), "_w": w})
+    t, r, w = F.col("_t"), F.col("_r"), F.col("_w")
+    point = [(t[f"a{c}"] * (1 - r) + t[f"b{c}"] * (r * (1 - w)) + t[f"c{c}"] * (r * w)).alias(name) for c, name in (("x", "lon"), ("y", "lat"))]
+    return placed.select(*strata.columns, "point_no", *point)
+
+
 def single_feature(features: DataFrame, condition: Column) -> DataFrame:
     """The one feature that matches, or an error."""
     found = features.where(condition)

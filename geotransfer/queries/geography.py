@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from geotransfer.functions import geo
 from geotransfer.operators import sampling, spatial
 from geotransfer.plans.samples import with_source_blocks
+from geotransfer.session import materialize
 from geotransfer.queries.registry import (query, rounded, select_rounded, table, view, with_views)
 from geotransfer.queries.sqltext import albers_sql, utm_sql
 
@@ -152,24 +153,30 @@ def terrain_slope_aspect(spark, sf):
     return select_rounded(t, ["o_orderkey", "elevation"], ["slope", "aspect"])
 
 
-_AREA_N = 400
+_AREA_N = 8  # points of a block and year
 
 
 def _point_sql(axis):
-    return f"('0x' || substr(sha256(concat('42|{axis}|', i)), 1, 13))::BIGINT / 4503599627370496e0"
-
-
-@query("random_points", "J8 B5", with_views("foot", more=f"""
-    box AS (SELECT min(tlon) AS x0, max(tlon) AS x1, min(tlat) AS y0, max(tlat) AS y1 FROM foot),
-    p AS (SELECT i AS point_id, x0 + {_point_sql('x')} * (x1 - x0) AS lon, y0 + {_point_sql('y')} * (y1 - y0) AS lat
-          FROM box, (SELECT unnest(range({_AREA_N})) AS i))""") + """
-    SELECT point_id, round(lon, 9) AS lon, round(lat, 9) AS lat FROM p, box
-    WHERE (lon - x0) / (x1 - x0) + (lat - y0) / (y1 - y0) < 1""")
+    return f"('0x' || substr(sha256(concat('42|{axis}|', poly_id, '|', year, '|', i)), 1, 13))::BIGINT / 4503599627370496e0"
+
+
+@query("random_points", "J8 B5 B7", with_views("foot", more=f"""
+    box AS (SELECT block AS poly_id, min(tlon) AS x0, max(tlon) AS x1, min(tlat) AS y0, max(tlat) AS y1 FROM foot GROUP BY block),
+    s AS (SELECT DISTINCT block AS poly_id, year FROM foot),
+    u AS (SELECT poly_id, year, i, {_point_sql('t')} AS t, sqrt({_point_sql('u')}) AS r, {_point_sql('v')} AS w
+          FROM s, (SELECT unnest(range({_AREA_N})) AS i)),
+    c AS (SELECT u.*, t < 0.5 AS one, x0, x1, y0, y1 FROM u JOIN box ON u.poly_id = box.poly_id)""") + """
+    SELECT poly_id, year, CAST(i AS INT) AS point_no,
+           round(CASE WHEN one THEN x0 * (1 - r) + x0 * (r * (1 - w)) + x1 * (r * w) ELSE x1 * (1 - r) + x1 * (r * (1 - w)) + x0 * (r * w) END, 9) AS lon,
+           round(CASE WHEN one THEN y1 * (1 - r) + y0 * (r * (1 - w)) + y0 * (r * w) ELSE y0 * (1 - r) + y1 * (r * (1 - w)) + y1 * (r * w) END, 9) AS lat
+    FROM c""")
 def random_points(spark, sf):
-    """Seeded points of the footprints' box that lie in its lower left half (a triangle)."""
-    b = view(spark, sf, "foot").agg(F.min("tlon").alias("x0"), F.max("tlon").alias("x1"), F.min("tlat").alias("y0"),
-                                    F.max("tlat").alias("y1")).first()
-    points = sampling.random_points(spark, _AREA_N, (b.x0, b.y0, b.x1, b.y1), 42)
-    area = spark.createDataFrame([("half", [[b.x0, b.y0], [b.x1, b.y0], [b.x0, b.y1]])], "poly_id string, ring array<array<double>>")
-    inside = spatial.within_polygon(points, area)
-    return inside.select("point_id", rounded("lon", 9), rounded("lat", 9))
+    """Eight seeded points of every block and year inside the block's valid outline, all of them kept by the polygon test."""
+    foot = view(spark, sf, "foot").withColumn("poly_id", F.col("block"))
+    h = foot.groupBy("poly_id").agg(F.min("tlon").alias("x0"), F.max("tlon").alias("x1"), F.min("tlat").alias("y0"), F.max("tlat").alias("y1"))
+    ring = F.array(*[F.array(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
+    rings = spatial.require_valid_rings(materialize(h.select("poly_id", ring.alias("ring"))))
+    points = spatial.area_points(rings, foot.select("poly_id", "year").distinct(), _AREA_N, 42)
+    own = points.withColumnRenamed("poly_id", "block")
+    inside = spatial.within_polygon(own, rings).where(F.col("poly_id") == F.col("block"))
+    return inside.select("poly_id", "year", "point_no", rounded("lon", 9), rounded("lat", 9))

@@ -94,6 +94,30 @@ def spearman(spark, sf):
     return stats.spearman(foot, "f2", "err").select("n", rounded("rho"))
 
 
+@query("spearman_p_value", "I16", with_views("foot") + f"""
+    , r AS (SELECT block, count(*) AS n, corr(a, b) AS rho FROM
+      (SELECT block, {_ranks('f2', 'block', 'a')}, {_ranks('abs(prediction - agbd)', 'block', 'b')} FROM foot) GROUP BY block),
+    z AS (SELECT *, abs(rho) * sqrt(n - 1) AS z, 1 / (1 + 0.2316419 * abs(rho) * sqrt(n - 1)) AS t FROM r)
+    SELECT block, n, round(2 * exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937
+           + t * (-1.821255978 + t * 1.330274429)))), 5) AS p_value FROM z""")
+def spearman_p_value(spark, sf):
+    """Two-sided large-sample p values of the rank correlation of every block."""
+    foot = view(spark, sf, "foot").withColumn("err", F.abs(F.col("prediction") - F.col("agbd")))
+    return stats.spearman(foot, "f2", "err", ["block"]).select("block", "n", rounded("p_value", 5))
+
+
+@query("ks_p_value", "I17", with_views("foot", more=_CDF.replace(" round(max(abs(f1 - f2)), 6) AS ks", " max(abs(f1 - f2)) AS ks")) + """
+    , n AS (SELECT feature, ks_statistic AS d, CAST(count(*) FILTER (WHERE src) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE NOT src) AS DOUBLE) AS b
+            FROM long JOIN d USING (feature) GROUP BY feature, ks_statistic),
+    l AS (SELECT feature, sqrt(a * b / (a + b)) * d AS lam FROM n)
+    SELECT feature, round(CASE WHEN any_value(lam) < 0.2 THEN 1 ELSE least(greatest(sum(2 * (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END)
+           * exp(-2e0 * k * k * lam * lam)), 0), 1) END, 5) AS p_value FROM l, (SELECT unnest(range(1, 41)) AS k) GROUP BY feature""")
+def ks_p_value(spark, sf):
+    """Asymptotic p values of the two-sample test of every feature."""
+    t = stats.drift_table(view(spark, sf, "foot"), "domain", "source", FEATURES)
+    return t.select("feature", rounded("ks_pvalue", 5, "p_value"))
+
+
 @query("spearman_by_block", "I16", with_views("foot") + f"""
     SELECT block, count(*) AS n, round(corr(a, b), 6) AS rho FROM
       (SELECT block, {_ranks('agbd', 'block', 'a')}, {_ranks('prediction', 'block', 'b')} FROM foot) GROUP BY block""")

@@ -142,3 +142,37 @@ def test_ring_validity(spark):
     for ring in ([(0.0, 0.0), (1.0, 1.0), (0.0, 0.0)], [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)], [(0.0, 0.0), (200.0, 0.0), (1.0, 1.0)]):
         with pytest.raises(GuardError):
             spatial.require_valid_rings(spatial.polygon_frame(spark, {"a": [ring]}))
+
+
+def star(corners, seed):
+    """A simple, mostly hollow ring around the origin."""
+    rng = np.random.default_rng(seed)
+    angle = np.sort(rng.uniform(0, 2 * np.pi, corners))
+    reach = rng.uniform(0.2, 1.0, corners)
+    return [[float(r * np.cos(a)), float(r * np.sin(a))] for a, r in zip(angle, reach)]
+
+
+def shoelace(ring):
+    x, y = np.array(ring).T
+    return abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_triangles_tile_the_ring(seed):
+    ring = star(30, seed)
+    if seed % 2:
+        ring = ring[::-1] + ring[-1:]  # clockwise and closed
+    tiles = spatial.ear_clipped(ring)
+    assert sum(shoelace(t) for t in tiles) == pytest.approx(shoelace(ring)) and all(tuple(p) in map(tuple, ring) for t in tiles for p in t)
+
+
+def test_area_points_lie_inside_evenly_and_repeat(spark):
+    rings = spatial.polygon_frame(spark, {"l": [[(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4)]], "star": [star(20, 3)]})
+    strata = spark.createDataFrame([("l", 2020), ("l", 2021), ("star", 2020)], "poly_id string, year int")
+    points = spatial.area_points(rings, strata, 500, 7)
+    rows = sorted(map(tuple, points.collect()))
+    assert rows == sorted(map(tuple, spatial.area_points(rings, strata.repartition(3), 500, 7).collect())) and len(rows) == 1500
+    inside = spatial.within_polygon(points.withColumnRenamed("poly_id", "own"), rings).where("own = poly_id")
+    assert inside.count() == 1500
+    far = points.where("poly_id = 'l' AND lon > 1").count() / 1000  # three of seven unit squares
+    assert abs(far - 3 / 7) < 0.06
