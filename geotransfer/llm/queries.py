@@ -137,16 +137,19 @@ _ESC = ("replace(replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<s
 @query("op10_chat_windows", f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-n AS (SELECT *, (length(text) + 3) // 4 + 4 AS n, row_number() OVER o AS pos FROM c
+n AS (SELECT *, (length({_ESC.format('text')}) + 3) // 4 + 4 AS n, row_number() OVER o AS pos FROM c
       WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 u AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY pos) AS upto FROM n),
-w AS (SELECT *, 2 * ((upto - n) // {chat_windows.STRIDE}) + CASE WHEN (upto - 1) // {chat_windows.STRIDE}
-        > (upto - n) // {chat_windows.STRIDE} AND n > {chat_windows.RESERVE} THEN 1 ELSE 0 END AS w,
-        24 - 4 + length({_ESC.format('role')}) + length({_ESC.format('text')}) AS chars FROM u),
+h AS (SELECT conv_id AS c, n AS system FROM u WHERE pos = 1 AND role = 'system' AND n <= {chat_windows.BUDGET * 7 // 8}),
+z AS (SELECT u.*, system IS NOT NULL AS led, ({chat_windows.BUDGET} - coalesce(system, 0)) // 8 AS reserve,
+        {chat_windows.BUDGET} - coalesce(system, 0) - 3 * (({chat_windows.BUDGET} - coalesce(system, 0)) // 8) AS stride
+      FROM u LEFT JOIN h ON conv_id = c),
+w AS (SELECT *, 2 * ((upto - n) // stride) + CASE WHEN (upto - 1) // stride > (upto - n) // stride AND n > reserve THEN 1 ELSE 0 END AS w,
+        24 - 4 + length({_ESC.format('role')}) + length({_ESC.format('text')}) AS chars FROM z),
 f AS (SELECT conv_id, w, min(pos) AS first FROM w GROUP BY ALL HAVING min(pos) > 1),
 r AS (SELECT w.conv_id, sum(w.chars + 10) AS chars FROM f JOIN w ON w.conv_id = f.conv_id
-      AND ((w.pos = 1 AND w.role = 'system')
-           OR (w.pos < f.first AND w.pos >= f.first - {chat_windows.HISTORY} AND w.n <= {chat_windows.RESERVE}))
+      AND ((w.pos = 1 AND w.led)
+           OR (w.pos < f.first AND w.pos >= f.first - {chat_windows.HISTORY} AND w.n <= w.reserve))
       GROUP BY w.conv_id)
 SELECT w.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,

@@ -241,13 +241,19 @@ def _range_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(out, RECORD)
 
 
+READ_BYTES = 8 << 20  # archive bytes of a reading task, about
+
+
 def read_packages(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
     """``page_id``, ``url``, ``record_type``, ``payload_bytes``, ``payload_digest``, ``refers_to``, ``payload`` per record.
 
-    The payload of a revisit is null; its size and digest are those of the full payload.
+    The payload of a revisit is null; its size and digest are those of the full payload. Null ids
+    come back as null, empty payloads as empty; an empty manifest gives no rows.
     """
     located = mapped(manifest.select("path").repartition("path"), _locate_task, "path string, offset bigint, length bigint")
-    spread = located.repartition("path", F.floor(F.col("offset") / (4 << 20))).sortWithinPartitions("path", "offset")
+    # The manifest knows the bytes; left alone, Spark would size the readers by the few bytes of the offsets.
+    parts = 1 + (manifest.agg(F.sum("bytes")).first()[0] or 0) // READ_BYTES
+    spread = located.repartition(parts, "path", F.floor(F.col("offset") / (4 << 20))).sortWithinPartitions("path", "offset")
     rows = mapped(spread, _range_task, "page string, url string, record_type string, payload_bytes bigint, "
                                        "payload_digest string, refers_to string, payload binary")
     return rows.select(F.col("page").cast(id_type).alias("page_id"), "url", "record_type", "payload_bytes", "payload_digest",

@@ -161,15 +161,41 @@ def test_chat_round_trip(spark):
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest()), c
 
 
+def written(text):
+    text = text.replace("&", "&amp;")
+    for c in chat_windows.CONTROLS:
+        text = text.replace(c, ("&lt;" if c[0] == "<" else "&lb;") + c[1:])
+    return text
+
+
+def written_tokens(window):
+    return sum((len(written(t.text)) + 3) // 4 + 4 for t in window.turns)
+
+
+def test_long_system_turns_and_escapes_stay_within_the_budget(spark):
+    rows = []
+    for conv, (system, text) in enumerate([(6_000, "a" * 300), (7_100, "b" * 40), (9_000, "c" * 900), (0, "[INST]" * 40), (2_000, "&" * 200)]):
+        rows += [(conv, 0, "system", "s" * system)] if system else []
+        rows += [(conv, k, "assistant" if k % 2 else "user", f"{k} {text}") for k in range(1, 60)]
+    out = chat_windows.parsed(chat_windows.windows(frame(spark, rows))).collect()
+    assert max(written_tokens(r) for r in out if r.conv != 2 or r.turns[0].role != "system") <= chat_windows.BUDGET
+    assert all(sum(t.role == "system" and not t.again for w in out if w.conv == c for t in w.turns) == 1 for c in (0, 1, 2, 4))
+    for r in out:
+        if r.conv in (0, 1, 4) and all(t.role != "system" or t.again for t in r.turns):
+            assert r.turns[0].role == "system"
+    counted = frame(spark, rows).selectExpr("*", "CAST(100 AS INT) AS counted")
+    name = {c: c for c in ("conv_id", "turn", "role", "text")}
+    per = chat_windows.parsed(chat_windows.windows(counted, **dict(zip(("conv", "turn", "role", "text"), name)), n_tokens="counted")).collect()
+    assert max(len(r.turns) for r in per) * 100 <= chat_windows.BUDGET and len(per) < len(out)
+
+
 def test_windows_hold_budget_system_turn_and_history(spark):
     rows = chat_rows()
     out = chat_windows.parsed(chat_windows.windows(frame(spark, rows))).collect()
     per, system = {}, {c for c, _, role, _ in rows if role == "system"}
-    longest = max(len(t or "") for *_, t in rows)
     for r in out:
         per.setdefault(r.conv, []).append(r)
-        cost = sum((len(t.text) + 3) // 4 + 4 for t in r.turns)
-        assert cost <= chat_windows.BUDGET or longest > 4 * chat_windows.STRIDE
+        assert written_tokens(r) <= chat_windows.BUDGET or sum(not t.again for t in r.turns) == 1
         assert len(r.targets) == sum(t.role == "assistant" and not t.again for t in r.turns)
     assert max(map(len, per.values())) > 3
     for c, ws in per.items():
