@@ -369,6 +369,11 @@ def _level(rows: DataFrame, held: list, models: list[Trees], since: list[int], r
 
 # ---------------------------------------------------------------- many fits, one task each
 
+def _width(df: DataFrame) -> int:
+    """Tasks that groups are dealt to. Fits are dear and their rows few: left alone, Spark would put them all in one task."""
+    return max(32, 4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def fit_cells(rows: DataFrame, cell: Sequence[str], learner_of, seed_of=None) -> DataFrame:
     """A packed model per group of ``cell``: ``cell``, ``model``, ``n``. Every group has to fit one task.
 
@@ -386,7 +391,7 @@ def fit_cells(rows: DataFrame, cell: Sequence[str], learner_of, seed_of=None) ->
                                           pa.array([len(t)], pa.int64())], schema=pa.schema(
             [*[(c, k.type) for c, k in zip(cell, key)], ("model", pa.binary()), ("n", pa.int64())]))
 
-    return rows.select(*cell, "id", "y", "bins").groupBy(*cell).applyInArrow(task, schema)
+    return rows.select(*cell, "id", "y", "bins").repartition(_width(rows), *cell).groupBy(*cell).applyInArrow(task, schema)
 
 
 def score_cells(rows: DataFrame, models: DataFrame, cell: Sequence[str], blocks: int = 1) -> DataFrame:
@@ -412,4 +417,6 @@ def score_cells(rows: DataFrame, models: DataFrame, cell: Sequence[str], blocks:
         p = Trees.unpacked(model.column("model")[0].as_py()).predict(codes_in(part.column("bins")))
         return part.select([*cell, "id", "y"]).append_column("prediction", pa.array(p))
 
-    return left.groupBy(*on).cogroup(right.groupBy(*[f"m_{c}" for c in on])).applyInArrow(task, schema)
+    other = [f"m_{c}" for c in on]
+    left, right = left.repartition(_width(left), *on), right.repartition(_width(left), *other)
+    return left.groupBy(*on).cogroup(right.groupBy(*other)).applyInArrow(task, schema)

@@ -27,7 +27,6 @@ class Profile:
 
 
 FULL = Profile()
-SMALL = Profile(forest_trees=8, boost_rounds=4, forest_depth=5, max_bins=32, depth_limit=4)
 
 CANDIDATES = [("random_forest", "rf_sqrt"), ("random_forest", "rf_half"),
               ("boosted_trees", "gbt_depth6"), ("boosted_trees", "gbt_depth8")]

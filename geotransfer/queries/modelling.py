@@ -9,9 +9,9 @@ from geotransfer.operators import govern, metrics as M
 from geotransfer.operators.quantiles import quantile_edges
 from geotransfer.operators.stats import auroc
 from geotransfer.plans import domain_shift, histograms, logistic, source_cv, transfer, tree_cv
-from geotransfer.plans.models import SMALL, fit_ridge
+from geotransfer.plans.models import fit_ridge
 from geotransfer.queries.design import DRAWS, draws_of
-from geotransfer.queries.registry import query, rounded, select_rounded, table, view, with_views
+from geotransfer.queries.registry import query, rounded, scratch, select_rounded, table, view, with_views
 from geotransfer.queries.reporting import METRICS, _M
 from geotransfer.schemas import FOLD
 from geotransfer.session import materialize
@@ -54,9 +54,18 @@ def _winner_is_best(tuning):
 FIT_ROWS = 2_000  # rows that a fit of the registered tree queries sees; held-out rows are scored whole
 
 
+_RUNS: dict = {}
+
+
 def _nested(spark, sf):
-    """Nested spatial CV of all four candidates at the protocol's full size (700 rounds, 350 trees)."""
-    return tree_cv.nested(_data(spark, sf), FEATURES, "pair", "shot_number", cap=FIT_ROWS)
+    """Nested spatial CV of all four candidates at the protocol's full size (700 rounds, 350 trees).
+
+    The run's stored tables serve both of its queries in a session.
+    """
+    key = spark.sparkContext.applicationId, sf
+    if key not in _RUNS:
+        _RUNS[key] = tree_cv.nested(_data(spark, sf), FEATURES, "pair", "shot_number", cap=FIT_ROWS)
+    return _RUNS[key]
 
 
 @query("nested_tree_cv", "I1 I2 I9 I10 F4 K5", with_views("foot") + """
@@ -122,28 +131,35 @@ def boosted_stump_cv(spark, sf):
 @query("deployment_and_zero_shot", "I11 I21 K7", with_views("foot") + """
     SELECT year, count(*) AS "N", true AS scored, true AS chosen_is_best FROM foot WHERE domain = 'target' GROUP BY year""")
 def deployment_and_zero_shot(spark, sf):
-    """Source model chosen among all candidates by its own CV, label-free target scoring, freeze, unlock, metrics."""
+    """Source model chosen among all candidates at full size by its own CV, stored and loaded again, label-free target
+    scoring, freeze, unlock, metrics."""
     data = _data(spark, sf)
-    model, chosen, tuning = source_cv.deploy(data.where("domain = 'source'"), FEATURES, profile=SMALL)
-    best = _winner_is_best(tuning.withColumn("outer_fold", F.lit(0))).select(
-        (F.col("best.model") == chosen[0]) & (F.col("best.config") == chosen[1])).scalar()
+    model, tuning = tree_cv.deploy(data.where("domain = 'source'"), FEATURES, "shot_number", cap=FIT_ROWS)
+    best = _winner_is_best(tuning.withColumnsRenamed({"model_family": "model"}).withColumn("outer_fold", F.lit(0))).first()["best"]
+    folder = scratch(spark, "model")
+    tree_cv.save(model, folder)
+    stored = tree_cv.load(spark, folder)
+    chosen = (F.col("model_family") == best["model"]) & (F.col("config") == best["config"])
+    is_best = stored.select(chosen.alias("is_best")).first()["is_best"]
     target = data.where("domain = 'target'")
-    pred = materialize(transfer.predict(model, target.drop("agbd"), FEATURES))
+    blind = target.drop("agbd")
+    govern.require_label_free(blind)
+    pred = materialize(tree_cv.score(stored, blind, ["shot_number", "year"]))
     freeze = govern.freeze_row(pred, "zero_shot", "pair")
     joined = transfer.evaluate(pred, target.select("shot_number", "year", "agbd"), freeze, "pair")
     m = M.metrics(joined, by=["year"])
-    return m.select("year", "N", (F.col("RMSE") > 0).alias("scored"), best.alias("chosen_is_best"))
+    return m.select("year", "N", (F.col("RMSE") > 0).alias("scored"), F.lit(is_best).alias("chosen_is_best"))
 
 
 @query("permutation_importance", "I12 E9", with_views("foot") + """
     SELECT 'pair' AS representation, feature, CAST(5 AS BIGINT) AS folds, count(*) AS scored_n, feature = 'f2' AS leads
     FROM foot, (VALUES ('f1'), ('f2')) f(feature) GROUP BY feature""")
 def permutation_importance(spark, sf):
-    """Every held-out row is permuted and scored for each feature; the response depends on f2, which has to lead."""
-    out = source_cv.nested_cv(_data(spark, sf), FEATURES, "pair", "shot_number", profile=SMALL, importance_repeats=3)
-    per = out["importance"].groupBy("representation", "feature").agg(
-        F.count(F.lit(1)).alias("folds"), F.sum("heldout_n").alias("scored_n"))
-    first = source_cv.top_features(out["importance"], 1).select("representation", F.col("feature").alias("_top"))
+    """Every held-out row is permuted and scored for each feature by the full models; the response depends on f2, which has
+    to lead. ``nested_tree_metrics`` has the values."""
+    found = materialize(tree_cv.importance(_nested(spark, sf), FEATURES, 3).withColumn("representation", F.lit("pair")))
+    per = found.groupBy("representation", "feature").agg(F.count(F.lit(1)).alias("folds"), F.sum("heldout_n").alias("scored_n"))
+    first = source_cv.top_features(found, 1).select("representation", F.col("feature").alias("_top"))
     return per.join(first, "representation").select("representation", "feature", "folds", "scored_n",
                                                     (F.col("feature") == F.col("_top")).alias("leads"))
 

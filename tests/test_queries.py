@@ -8,7 +8,7 @@ from geotransfer.queries import REGISTRY
 from tools.check_queries import compare, connect
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"nested_tree_cv", "permutation_importance", "local_tree_few_shot"}
+SLOW = {"nested_tree_cv", "nested_tree_metrics", "permutation_importance", "local_tree_few_shot"}
 
 
 @pytest.fixture(scope="module")
