@@ -278,3 +278,13 @@ def logistic_by_fold(spark, sf):
     return rows.join(sizes, FOLD).join(area.select(FOLD, "auroc"), FOLD).select(
         F.col(FOLD).cast("bigint").alias("fold"), (whole - F.col("own")).alias("train_n"), rounded("intercept"), rounded("weight"),
         "gradient_vanishes", rounded("auroc"))
+
+
+@query("domain_shift_table", "I6 I7 I8 I16 I20 C15")
+def domain_shift_table(spark, sf):
+    """Per feature set: AUROC of the domain classifier, PCA distance and variance kept, and the rank correlation of distance
+    with the target's error, its p value and the MAE, in one row."""
+    data = view(spark, sf, "foot").select("shot_number", "domain", "agbd", "prediction", *FEATURES)
+    sets = {"first": FEATURES[:1], "second": FEATURES[1:], "both": FEATURES}
+    return tree_cv.over_representations(dict.fromkeys(sets, data), sets, lambda df, c: domain_shift.shift_row(
+        df, c, "domain", "source", "shot_number", "agbd", "prediction"))

@@ -207,3 +207,25 @@ def test_newton_gradient_vanishes(spark, shift):
     assert scored.where("score IS NULL OR score < 0 OR score > 1").count() == 0
     with pytest.raises(GuardError):
         logistic.fit_folds(spark.createDataFrame(pdf), ["label", "lon"])
+
+
+def test_domain_shift_row_of_every_representation(spark):
+    rng = np.random.default_rng(6)
+    n = 300
+    x = rng.normal(size=(n, 3))
+    domain = np.where(np.arange(n) < 180, "source", "target")
+    x[domain == "target"] += 0.8
+    pdf = pd.DataFrame(x, columns=COLS).assign(id=range(n), domain=domain, agbd=rng.normal(size=n), prediction=rng.normal(size=n))
+    df = spark.createDataFrame(pdf)
+    sets = {"one": COLS[:1], "all": COLS}
+    rows = tree_cv.over_representations(dict.fromkeys(sets, df), sets, lambda f, c: domain_shift.shift_row(
+        f, c, "domain", "source", "id", "agbd", "prediction")).toPandas().set_index("representation")
+    target = pdf[pdf.domain == "target"]
+    assert np.allclose(rows.target_mae, (target.agbd - target.prediction).abs().mean()) and (rows.n == len(target)).all()
+    assert 0.6 < rows.auroc["one"] < rows.auroc["all"] < 1 and np.allclose(rows.variance_fraction, 1)
+    z = (pdf[COLS] - pdf[pdf.domain == "source"][COLS].mean()) / pdf[pdf.domain == "source"][COLS].std(ddof=0)
+    s, t = z[domain == "source"].to_numpy(), z[domain == "target"].to_numpy()
+    near = np.sqrt(((t[:, None] - s[None]) ** 2).sum(2)).min(1)
+    assert rows.distance_mean["all"] == pytest.approx(near.mean())
+    rank = pd.Series(near).rank().corr((target.agbd - target.prediction).abs().reset_index(drop=True).rank())
+    assert rows.rho["all"] == pytest.approx(rank) and 0 <= rows.p_value["all"] <= 1
