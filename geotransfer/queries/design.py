@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from geotransfer.functions.text import hash_key
 from geotransfer.operators import sampling, stats
-from geotransfer.queries.registry import query, rounded, view, with_views
+from geotransfer.queries.registry import query, rounded, stored_once, view, with_views
 from geotransfer.schemas import FEW_SHOT_BUDGETS
+from geotransfer.session import materialize
 
 CAP = 30
 
@@ -130,16 +131,21 @@ DRAWS = f"""
               WHERE rank <= budget AND budget <= size)"""
 
 
-def draws_of(spark, sf, budgets=tuple(FEW_SHOT_BUDGETS)):
+def _drawn(spark, sf, budgets=tuple(FEW_SHOT_BUDGETS)):
     pool = view(spark, sf, "foot").select("shot_number", "fold")
     # The small test tables have fewer rows than the largest budgets; draw_integrity lists the absent cells.
     return sampling.label_draws(pool, "shot_number", "fold", budgets=budgets, short_pools="omit")
 
 
+def draws_of(spark, sf):
+    """The frozen draws: stored once, so that every study of a session reads the same artefact."""
+    return stored_once(spark, ("draws", sf), lambda: materialize(_drawn(spark, sf)))
+
+
 @query("label_draws", "J6", with_views("foot", more=DRAWS) + """
     SELECT CAST(fold AS INT) AS fold, CAST(seed AS INT) AS seed, CAST(budget AS INT) AS budget, shot_number FROM draws""")
 def label_draws(spark, sf):
-    return draws_of(spark, sf).select("fold", "seed", "budget", "shot_number")
+    return _drawn(spark, sf).select("fold", "seed", "budget", "shot_number")
 
 
 @query("draw_integrity", "J7", with_views("foot", more=DRAWS) + """

@@ -11,7 +11,7 @@ from geotransfer.operators.stats import auroc
 from geotransfer.plans import domain_shift, histograms, logistic, source_cv, transfer, tree_cv
 from geotransfer.plans.models import fit_ridge
 from geotransfer.queries.design import DRAWS, draws_of
-from geotransfer.queries.registry import query, rounded, scratch, select_rounded, table, view, with_views
+from geotransfer.queries.registry import query, rounded, scratch, select_rounded, stored_once, table, view, with_views
 from geotransfer.queries.reporting import METRICS, _M
 from geotransfer.schemas import FOLD
 from geotransfer.session import materialize
@@ -54,18 +54,9 @@ def _winner_is_best(tuning):
 FIT_ROWS = 2_000  # rows that a fit of the registered tree queries sees; held-out rows are scored whole
 
 
-_RUNS: dict = {}
-
-
 def _nested(spark, sf):
-    """Nested spatial CV of all four candidates at the protocol's full size (700 rounds, 350 trees).
-
-    The run's stored tables serve both of its queries in a session.
-    """
-    key = spark.sparkContext.applicationId, sf
-    if key not in _RUNS:
-        _RUNS[key] = tree_cv.nested(_data(spark, sf), FEATURES, "pair", "shot_number", cap=FIT_ROWS)
-    return _RUNS[key]
+    """Nested spatial CV of all four candidates at the protocol's full size (700 rounds, 350 trees), for three queries."""
+    return stored_once(spark, ("nested", sf), lambda: tree_cv.nested(_data(spark, sf), FEATURES, "pair", "shot_number", cap=FIT_ROWS))
 
 
 @query("nested_tree_cv", "I1 I2 I9 I10 F4 K5", with_views("foot") + """

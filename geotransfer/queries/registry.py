@@ -142,6 +142,24 @@ def scratch(spark: SparkSession, label: str) -> str:
     return os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+_STORED: dict[tuple, DataFrame | dict[str, DataFrame]] = {}
+
+
+def stored_once(spark: SparkSession, key: tuple, build: Callable[[], DataFrame | dict[str, DataFrame]]):
+    """Stored tables that several queries read, made once per session; made again if their files are gone."""
+    key = spark.sparkContext.applicationId, *key
+    held = _STORED.get(key)
+    if held is not None:
+        try:
+            for df in held.values() if isinstance(held, dict) else [held]:
+                df.limit(1).collect()
+            return held
+        except Exception as gone:
+            print(f"{key}: stored tables are gone, made again ({type(gone).__name__})")
+    _STORED[key] = build()
+    return _STORED[key]
+
+
 def row_text_sql(*columns: str) -> str:
     """DuckDB text of ``functions.text.row_text``."""
     cells = [f"CASE WHEN CAST({c} AS VARCHAR) IS NULL THEN 'N;' ELSE concat(strlen(CAST({c} AS VARCHAR)), ':', CAST({c} AS VARCHAR), ';') END"
