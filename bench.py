@@ -25,7 +25,8 @@ HEADLINE = [
     "annual_median_composite", "qa_histogram", "timing_shares", "albers_blocks", "utm_block_table",
     "points_in_polygon", "point_to_pixel", "terrain_slope_aspect", "norm_audit", "nearest_source",
     "distance_deciles", "radar_features", "spectral_indices", "freeze_summary", "ordered_row_hashes",
-    "table_fingerprint", "local_few_shot", "ridge_cv", "ingest_restart",
+    "table_fingerprint", "local_few_shot", "ridge_cv", "ingest_restart", "source_components", "logistic_by_fold",
+    "boosted_stump_cv",
 ]
 
 
