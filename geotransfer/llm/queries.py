@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geotransfer.llm import (byte_bpe, chat_windows, line_dedup, packing, pivot_index, quality_rules, simhash_index,
-                             source_mix, spelling_groups, substring_dedup, token_files, turn_repair, warc_zip)
+                             source_mix, spelling_groups, sqltext, substring_dedup, token_files, turn_repair, warc_zip)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,14 +188,14 @@ def op11(spark, sf):
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-@query("op12_turn_repair")
+@query("op12_turn_repair", sqltext.repair_sql())
 def op12(spark, sf):
     turns = table(spark, sf, "conversations")
     out = turn_repair.report(turn_repair.damaged(turns), turns.select(F.col("conv_id").alias("conv")))
     return out.withColumnRenamed("conv", "conv_id")
 
 
-@query("op13_spelling_groups")
+@query("op13_spelling_groups", sqltext.SPELLING_SQL)
 def op13(spark, sf):
     words = spelling_groups.word_counts(table(spark, sf, "documents"), thinned=31)
     return spelling_groups.grouped(words).select("word", "form", "root", "n", "n_near", "form_n")
