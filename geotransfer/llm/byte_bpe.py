@@ -26,7 +26,7 @@ from geotransfer.llm.common import Memo, keyed, mapped
 # Cuts before white space that follows other text; no match of the pattern crosses such a place.
 CHUNKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]")
-KEPT = 450_000  # chunks, and pieces, that a worker remembers
+KEPT = 700_000  # chunks, and pieces, that a worker remembers
 
 
 class Ranks:
