@@ -139,14 +139,17 @@ def drift_table(df: DataFrame, domain: str, source: str, features: Sequence[str]
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (),
              distributed: bool | None = None) -> DataFrame:
-    """Rank correlation with average ties and its large-sample two-sided p value."""
+    """Rank correlation with average ties and its large-sample two-sided p value; NaN where a side is constant."""
     by = list(by)
     pairs = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     pairs = pairs.where(F.col("_x").isNotNull() & F.col("_y").isNotNull()
                         & ~F.isnan("_x") & ~F.isnan("_y"))
     ranked = average_ranks(average_ranks(pairs, by, "_x", "_rx", distributed),
                            by, "_y", "_ry", distributed)
-    cols = [F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho")]
+    # Spark's corr divides by zero, an error in ANSI mode, where all values of a side are equal.
+    spread = F.stddev_pop("_rx") * F.stddev_pop("_ry")
+    rho = F.when(spread == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.covar_pop("_rx", "_ry"), spread))
+    cols = [F.count(F.lit(1)).alias("n"), rho.alias("rho")]
     out = ranked.groupBy(*by).agg(*cols) if by else ranked.agg(*cols)
     z = F.abs(F.col("rho")) * F.sqrt(F.col("n") - 1)
     return out.withColumn("p_value", normal_two_sided(z))

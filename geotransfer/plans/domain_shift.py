@@ -73,8 +73,10 @@ def shift_row(df: DataFrame, features: Sequence[str], domain: str, source: str,
     rho = spearman(both, "distance", "error")
     known = both.agg(F.avg("distance").alias("distance_mean"), F.median("distance").alias("distance_median"),
                      F.avg("error").alias("target_mae"))
-    named = [d.withColumn("_one", F.lit(1)) for d in (score, rho, known)]
-    return named[0].join(named[1], "_one").join(named[2], "_one").drop("_one").withColumn("variance_fraction", F.lit(kept))
+    for part in (rho, known):
+        one = part.select(F.struct(*part.columns).alias("s")).scalar()
+        score = score.withColumns({c: one[c] for c in part.columns})
+    return score.withColumn("variance_fraction", F.lit(kept))
 
 
 def projected_distance(df: DataFrame, features: Sequence[str], domain: str, source: str,

@@ -147,3 +147,21 @@ def test_top_per_group_with_large_k(spark):
     assert got.groupBy("g").count().collect()[0]["count"] == 2500
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_spearman_of_a_constant_side_is_nan(spark):
+    """As in numpy and SQL; Spark's own corr divides by zero in ANSI mode. A group of NULLs has no row."""
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 5.0), ("b", 2.0, 4.0), ("c", None, 1.0)], "k string, x double, y double")
+    got = {r.k: (r.n, r.rho) for r in stats.spearman(df, "x", "y", ["k"]).collect()}
+    assert got["a"][0] == 2 and np.isnan(got["a"][1])
+    assert got["b"] == (2, pytest.approx(-1.0)) and "c" not in got
+
+
+def test_shift_row_when_every_target_lies_on_a_source(spark):
+    from geotransfer.plans import domain_shift
+    rows = [(i, "source" if i < 40 else "target", float(i % 20), 1.0 * i, 2.0 * i) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, domain string, f double, y double, p double")
+    out = domain_shift.shift_row(df, ["f"], "domain", "source", "id", "y", "p")
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    row = out.first()
+    assert (row.positive_n, row.negative_n, row.n, row.distance_mean) == (40, 40, 40, 0.0) and np.isnan(row.rho)
