@@ -144,7 +144,8 @@ def availability(expected: DataFrame, sampled: DataFrame, on: Sequence[str], val
 
 def common_groups(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Values present in both tables (for instance the years valid in both domains)."""
-    return a.select(column).intersect(b.select(column))
+    # Repeats go on the map side: alone, intersect would sort and join all rows of the few values.
+    return a.select(column).distinct().intersect(b.select(column).distinct())
 
 
 def large_groups(df: DataFrame, by: Sequence[str], minimum: int) -> DataFrame:

@@ -165,3 +165,12 @@ def test_shift_row_when_every_target_lies_on_a_source(spark):
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
     row = out.first()
     assert (row.positive_n, row.negative_n, row.n, row.distance_mean) == (40, 40, 40, 0.0) and np.isnan(row.rho)
+
+
+def test_common_groups_drops_repeats_before_the_join(spark):
+    from geotransfer.operators import qa
+    a = spark.range(1000).selectExpr("id % 7 AS year")
+    out = qa.common_groups(a, spark.range(900).selectExpr("id % 5 + 3 AS year"), "year")
+    assert sorted(r.year for r in out.collect()) == [3, 4, 5, 6]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate", plan.index("Join"))
