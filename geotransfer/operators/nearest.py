@@ -1,22 +1,28 @@
 """Exact nearest neighbour between two vector tables.
 
 Source vectors are grouped by their nearest pivot; pivots are source rows and
-their number grows with the square root of the table up to a limit. A first
-pass searches each target's own group, which gives a true distance it can
-reach. By the triangle inequality a group whose members lie between two radii
-of its pivot is skipped by the second pass when even its closest possible
-member is farther than that. The work of a pass is cut into blocks of bounded
-size on both sides, by hash inside a group, so one popular group is spread
-over many tasks. A block pair emits one row per target (its minimum), never
-the pairs.
+their number grows with the square root of the table up to a limit. Groups that
+lie side by side form a bag of about ``block_rows`` rows. A first pass searches
+the bag of each target's own group, which gives a true distance it can reach. By
+the triangle inequality a group whose members lie between two radii of its pivot
+is skipped by the second pass when even its closest possible member is farther
+than that; a target is sent once to each bag that holds a group it needs, so
+where nothing can be skipped it is sent to source rows / ``block_rows`` bags and
+not to every group. The work of a pass is cut into blocks of bounded size on
+both sides, by hash inside a bag, so one popular group is spread over many
+tasks. A block pair emits one row per target (its minimum), never the pairs;
+inside it sources are sorted along their widest axis and only those within
+reach on that axis are measured.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from geotransfer.functions.text import hash_key
@@ -24,41 +30,79 @@ from geotransfer.session import materialize
 
 _SLACK = 1e-9
 PIVOT_RANGE = (32, 1024)
+BLOCK_BYTES, BLOCK_RANGE = 8 << 20, (4096, 65536)  # vectors of a block, and its rows
+SLICE = 1024  # rows measured against all pivots at once
 
 
-def _matrix(column) -> np.ndarray:
-    return np.asarray(np.stack(column.to_numpy()), dtype=np.float64)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros((0, 1))
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = a @ (-2.0 * b.T)
+    out += (a * a).sum(1)[:, None]
+    out += (b * b).sum(1)[None, :]
+    return out
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(sq, 0.0))
+    return np.sqrt(np.maximum(_squares(a, b), 0.0))
 
 
-def _closest(a: np.ndarray, b: np.ndarray, rows: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Index and distance of the nearest row of ``b`` for each row of ``a``.
+def _closest(a: np.ndarray, b: np.ndarray, reach: np.ndarray, rows: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Index (-1: none within ``reach``) and distance of the nearest row of ``b`` for each row of ``a``; ties to the smaller index.
 
-    The matrix product finds the few rows that can be nearest within rounding;
-    those are measured directly, a slice of targets at a time.
+    Rows are taken in the order of the axis on which ``b`` is widest. For a slice of targets, some
+    neighbours on the axis bound the distance; the matrix product over all rows within that bound on
+    the axis finds the few that can be nearest within rounding, and those are measured directly.
     """
-    best, dist = np.empty(len(a), dtype=np.int64), np.empty(len(a))
+    best, dist = np.full(len(a), -1, dtype=np.int64), np.full(len(a), np.inf)
     slack = 1e-7 * (1.0 + np.sqrt(max((a * a).sum(1).max(), (b * b).sum(1).max())))
+    axis = int((b.max(0) - b.min(0)).argmax())
+    order = b[:, axis].argsort(kind="stable")
+    b, half = b[order], math.isqrt(len(b))
+    x, turn = b[:, axis], a[:, axis].argsort(kind="stable")
     for i in range(0, len(a), rows):
-        part = a[i:i + rows]
-        rough = _distances(part, b)
-        r, c = np.nonzero(rough <= rough.min(1, keepdims=True) + slack)
+        mine = turn[i:i + rows]
+        part = a[mine]
+        at = part[:, axis]
+        low, high = max(0, np.searchsorted(x, at[0]) - half), np.searchsorted(x, at[-1]) + half
+        bound = np.minimum(reach[mine], _distances(part, b[low:high]).min(1) if low < len(b) else np.inf) + slack
+        low, high = np.searchsorted(x, (at - bound).min()), np.searchsorted(x, (at + bound).max(), "right")
+        if low == high:
+            continue
+        rough = _squares(part, b[low:high])
+        r, c = np.nonzero(rough <= np.square(np.sqrt(np.maximum(rough.min(1), 0.0)) + slack)[:, None])
+        c += low
         exact = np.sqrt(((part[r] - b[c]) ** 2).sum(1))
+        c = order[c]
         pick = np.lexsort((c, exact, r))
-        _, at = np.unique(r[pick], return_index=True)
-        best[i:i + rows], dist[i:i + rows] = c[pick][at], exact[pick][at]
+        _, first = np.unique(r[pick], return_index=True)
+        best[mine], dist[mine] = c[pick][first], exact[pick][first]
     return best, dist
 
 
+def _bags(centres: np.ndarray, counts: np.ndarray, block_rows: int) -> np.ndarray:
+    """A bag per group: runs of groups along the widest direction of their pivots, about ``block_rows`` rows each."""
+    z = centres - centres.mean(0)
+    order = (z @ np.linalg.svd(z, full_matrices=False)[2][0]).argsort(kind="stable")
+    bags, bag, held = np.zeros(len(counts), np.int32), 0, 0
+    for k in order.tolist():
+        if held and held + counts[k] > block_rows:
+            bag, held = bag + 1, 0
+        bags[k], held = bag, held + int(counts[k])
+    return bags
+
+
 def nearest_source(source: DataFrame, target: DataFrame, source_id: str, target_id: str,
-                   vector: str, pivots: int | None = None, block_rows: int = 4096) -> DataFrame:
+                   vector: str, pivots: int | None = None, block_rows: int | None = None) -> DataFrame:
     """(target_id, source_id, distance): Euclidean nearest source; ties to the smaller id.
 
-    Without ``pivots`` their number is the square root of the source rows, within ``PIVOT_RANGE``.
+    Without ``pivots`` their number is the square root of the source rows, within ``PIVOT_RANGE``;
+    without ``block_rows`` a block's vectors take ``BLOCK_BYTES``, within ``BLOCK_RANGE`` rows.
     """
     src = source.select(F.col(source_id).alias("sid"), F.col(vector).alias("v"))
     tgt = target.select(F.col(target_id).alias("tid"), F.col(vector).alias("v"))
@@ -72,68 +116,85 @@ def nearest_source(source: DataFrame, target: DataFrame, source_id: str, target_
     if not chosen:
         raise ValueError("source table is empty")
     centres = np.asarray([r.v for r in chosen], dtype=np.float64)
-
-    def to_cell(batches):
-        for pdf in batches:
-            if len(pdf):
-                d = _distances(_matrix(pdf["v"]), centres)
+    if block_rows is None:
+        block_rows = min(max(BLOCK_BYTES // (8 * centres.shape[1]), BLOCK_RANGE[0]), BLOCK_RANGE[1])
+
+    def to_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, len(whole), SLICE):
+                batch = whole.slice(a, SLICE)
+                d = _distances(_matrix(batch.column("v")), centres)
                 cell = d.argmin(1)
-                yield pd.DataFrame({"sid": pdf["sid"], "v": pdf["v"], "cell": cell.astype(np.int32),
-                                    "radius": d[np.arange(len(d)), cell]})
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])],
+                                                 ["sid", "v", "cell", "radius"])
 
-    cells = materialize(src.mapInPandas(
-        to_cell, f"sid {id_type}, v {v_type}, cell int, radius double"))
+    cells = materialize(src.mapInArrow(to_cell, f"sid {id_type}, v {v_type}, cell int, radius double"))
     # At most one row per pivot.
     stats = {r.cell: r for r in cells.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high")).collect()}
     used = np.array(sorted(stats), dtype=np.int32)
-    held, low, high = centres[used], *(np.array([stats[c][k] for c in used.tolist()]) for k in ("low", "high"))
-
-    def own_cell(batches):
-        for pdf in batches:
-            if len(pdf):
-                cell = used[_distances(_matrix(pdf["v"]), held).argmin(1)]
-                yield pd.DataFrame({"tid": pdf["tid"], "v": pdf["v"], "cell": cell})
-
-    def other_cells(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = _distances(_matrix(pdf["v"]), held)
-            own = np.arange(len(used))[None, :] == d.argmin(1)[:, None]
-            reach = pdf["distance"].to_numpy() * (1 + _SLACK) + _SLACK
-            row, at = np.nonzero(~own & (np.maximum(d - high, low - d) <= reach[:, None]))
-            yield pd.DataFrame({"tid": pdf["tid"].to_numpy()[row], "v": pdf["v"].to_numpy()[row], "cell": used[at]})
-
-    def block_minimum(_, s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+    n, low, high = (np.array([stats[c][k] for c in used.tolist()]) for k in ("n", "low", "high"))
+    bag_of = _bags(centres[used], n, block_rows)
+    by_bag = bag_of.argsort(kind="stable")  # groups in the order of their bags
+    used, n, low, high, bag_of = (x[by_bag] for x in (used, n, low, high, bag_of))
+    held, starts = centres[used], np.flatnonzero(np.diff(bag_of, prepend=-1))
+
+    def own_bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, len(whole), SLICE):
+                batch = whole.slice(a, SLICE)
+                bag = bag_of[_distances(_matrix(batch.column("v")), held).argmin(1)]
+                yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("v"), pa.array(np.full(len(batch), np.inf)), pa.array(bag)],
+                                                 ["tid", "v", "reach", "bag"])
+
+    def other_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, len(whole), SLICE):
+                batch = whole.slice(a, SLICE)
+                d = _distances(_matrix(batch.column("v")), held)
+                reach = batch.column("distance").to_numpy() * (1 + _SLACK) + _SLACK
+                need = np.logical_or.reduceat(np.maximum(d - high, low - d) <= reach[:, None], starts, axis=1)
+                need[np.arange(len(d)), bag_of[d.argmin(1)]] = False
+                for bag in np.flatnonzero(need.any(0)).tolist():
+                    row = np.flatnonzero(need[:, bag])
+                    sent = batch.select(["tid", "v"]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(reach[row]), pa.array(np.full(len(row), bag, np.int32))],
+                                                     ["tid", "v", "reach", "bag"])
+
+    def block_minimum(s: pa.Table, t: pa.Table) -> pa.Table:
+        tid, sid = t.column("tid"), s.column("sid")
         if not len(s) or not len(t):
-            return pd.DataFrame({"tid": [], "sid": [], "distance": []})
-        s = s.sort_values("sid")
-        b, first = np.unique(_matrix(s["v"]), axis=0, return_index=True)  # copies: smallest id
+            return pa.table({"tid": tid.slice(0, 0), "sid": sid.slice(0, 0), "distance": pa.array([], pa.float64())})
+        s = s.take(pc.sort_indices(sid))
+        b, first = np.unique(_matrix(s.column("v")), axis=0, return_index=True)  # copies: smallest id
         order = first.argsort()
-        b, ids = b[order], s["sid"].to_numpy()[first[order]]
-        best, dist = _closest(_matrix(t["v"]), b)
-        return pd.DataFrame({"tid": t["tid"].to_numpy(), "sid": ids[best], "distance": dist})
+        best, dist = _closest(_matrix(t.column("v")), b[order], t.column("reach").to_numpy())
+        hit = np.flatnonzero(best >= 0)
+        return pa.table({"tid": tid.take(pa.array(hit)), "sid": s.column("sid").take(pa.array(first[order][best[hit]])),
+                         "distance": pa.array(dist[hit])})
 
-    visit, found = f"tid {t_type}, v {v_type}, cell int", f"tid {t_type}, sid {id_type}, distance double"
-    sizes = src.sparkSession.createDataFrame([(int(c), int(-(-r.n // block_rows))) for c, r in stats.items()], "cell int, s_n int")
-    keys = ["cell", "sb", "tb"]
+    visit, found = f"tid {t_type}, v {v_type}, reach double, bag int", f"tid {t_type}, sid {id_type}, distance double"
+    size = np.bincount(bag_of, n).astype(int)
+    sizes = src.sparkSession.createDataFrame([(int(c), int(b), int(-(-size[b] // block_rows))) for c, b in zip(used, bag_of)],
+                                             "cell int, bag int, s_n int")
+    keys = ["bag", "sb", "tb"]
 
     def searched(visits: DataFrame) -> DataFrame:
-        """Minimum per target and block pair. Only cells that some target visits are read; both tables of sizes hold one row per pivot."""
-        need = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("t_n"))
-        plan = F.broadcast(sizes.join(need, "cell"))
-        left = cells.join(plan, "cell").select("sid", "v", "cell", F.pmod(F.xxhash64("sid"), "s_n").cast("int").alias("sb"),
-                                               F.explode(F.sequence(F.lit(0), F.col("t_n") - 1)).alias("tb"))
-        right = visits.join(plan, "cell").select("tid", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("s_n") - 1)).alias("sb"),
-                                                 F.pmod(F.xxhash64("tid"), "t_n").cast("int").alias("tb"))
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block_minimum, found)
+        """Minimum per target and block pair. Only bags that some target visits are read; the tables of sizes hold at most one row per pivot."""
+        need = visits.groupBy("bag").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("t_n"))
+        plan = sizes.join(need, "bag")
+        left = cells.join(F.broadcast(plan), "cell").select("sid", "v", "bag", F.pmod(F.xxhash64("sid"), "s_n").cast("int").alias("sb"),
+                                                            F.explode(F.sequence(F.lit(0), F.col("t_n") - 1)).alias("tb"))
+        right = visits.join(F.broadcast(plan.drop("cell").distinct()), "bag").select(
+            "tid", "v", "reach", "bag", F.explode(F.sequence(F.lit(0), F.col("s_n") - 1)).alias("sb"),
+            F.pmod(F.xxhash64("tid"), "t_n").cast("int").alias("tb"))
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block_minimum, found)
 
     def least(pairs: DataFrame) -> DataFrame:
         best = F.min(F.struct("distance", "sid")).alias("b")
         return pairs.groupBy("tid").agg(best).select("tid", F.col("b.sid").alias("sid"), F.col("b.distance").alias("distance"))
 
-    near = materialize(least(searched(materialize(tgt.mapInPandas(own_cell, visit)))))
+    near = materialize(least(searched(materialize(tgt.mapInArrow(own_bag, visit)))))
     bounded = tgt.join(near.select("tid", "distance"), "tid")
-    far = searched(materialize(bounded.mapInPandas(other_cells, visit)))
+    far = searched(materialize(bounded.mapInArrow(other_bags, visit)))
     return least(near.unionByName(far)).select(F.col("tid").alias(target_id), F.col("sid").alias("nearest_id"), "distance")

@@ -126,6 +126,33 @@ def test_nearest_with_identical_vectors_takes_the_smaller_id(spark):
     assert got == {"x": (0, 0.0), "y": (0, 5.0)}
 
 
+def test_nearest_sends_a_target_to_bags_and_not_to_every_group(spark, monkeypatch):
+    """Vectors without clusters: no group can be skipped, and a target still meets each block of sources once."""
+    rng = np.random.default_rng(8)
+    s, t = rng.normal(size=(2000, 32)), rng.normal(size=(300, 32))
+    stored = []
+    monkeypatch.setattr(nearest, "materialize", lambda df, real=nearest.materialize: stored.append(real(df)) or stored[-1])
+    out = nearest.nearest_source(*[spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>") for x in (s, t)],
+                                 "id", "id", "v", 64, 500).collect()
+    idx, dist = brute(s, t)
+    assert len(out) == 300 and all(r.nearest_id == idx[r.id] and r.distance == pytest.approx(dist[r.id]) for r in out)
+    visits = [df.count() for df in stored if "v" in df.columns and "radius" not in df.columns]
+    assert len(visits) == 2 and sum(visits) <= 300 * 5
+
+
+def test_closest_within_reach_is_brute_force():
+    rng = np.random.default_rng(9)
+    for width in (1, 2, 16):
+        b, a = rng.integers(0, 40, (500, width)) / 8.0, rng.integers(-4, 44, (200, width)) / 8.0
+        b = np.unique(b, axis=0)
+        idx, dist = brute(b, a)
+        got, d = nearest._closest(a, b, np.full(200, np.inf))
+        assert (got == idx).all() and np.allclose(d, dist)
+        near = dist <= np.median(dist)
+        got, d = nearest._closest(a, b, np.where(near, dist, 0.0))
+        assert (got[near] == idx[near]).all() and np.allclose(d[near], dist[near])
+
+
 @settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(-3, 3), st.integers(-3, 3)), min_size=1, max_size=20))
 def test_nearest_property(spark, pts):
