@@ -30,6 +30,7 @@ from geotransfer.session import materialize
 BINS = 256
 BLOCK = 1 << 22  # histogram cells held at once
 STORED_ROUNDS = 20  # rounds between stored margins of ``fit_everywhere``
+GRID = 1 << 20  # combinations of bins up to which a model is tabulated
 
 
 @dataclass(frozen=True)
@@ -114,6 +115,8 @@ class Trees:
     right: list[int] = field(default_factory=list)
     value: list[float] = field(default_factory=list)
     deepest: int = 0
+    _grid: np.ndarray | None = None
+    _asked: int = 0
 
     def leaf(self, value: float) -> int:
         at = len(self.value)
@@ -139,8 +142,29 @@ class Trees:
             out[a:a + step] = value[node].sum(1)
         return out
 
+    def tabulated(self, features: int) -> np.ndarray:
+        """Margins of every combination of bins: each leaf is a box of them."""
+        out = np.zeros((256,) * features)
+        feature, cut, left, right, value = (np.asarray(a).tolist() for a in (self.feature, self.bin, self.left, self.right, self.value))
+        for root in np.asarray(self.roots).tolist():
+            todo = [(root, (slice(0, 256),) * features)]
+            while todo:
+                node, box = todo.pop()
+                if left[node] == node:
+                    out[box] += value[node]
+                    continue
+                j, at, edge = feature[node], box[feature[node]], cut[node] + 1
+                todo.append((left[node], box[:j] + (slice(at.start, min(at.stop, edge)),) + box[j + 1:]))
+                todo.append((right[node], box[:j] + (slice(max(at.start, edge), at.stop),) + box[j + 1:]))
+        return out
+
     def predict(self, codes: np.ndarray) -> np.ndarray:
-        return self.base + self.scale * self.margins(codes)
+        """A model of few features that is asked for many rows is tabulated once; any other walks its trees for every row."""
+        self._asked += len(codes)
+        if self._grid is None and 256 ** codes.shape[1] <= GRID and self._asked * len(self.roots) > 4 * len(self.value):
+            self._grid = self.tabulated(codes.shape[1])
+        found = self.margins(codes) if self._grid is None else self._grid[tuple(codes.T)]
+        return self.base + self.scale * found
 
     def packed(self) -> bytes:
         blob = io.BytesIO()
@@ -394,29 +418,39 @@ def fit_cells(rows: DataFrame, cell: Sequence[str], learner_of, seed_of=None) ->
     return rows.select(*cell, "id", "y", "bins").repartition(_width(rows), *cell).groupBy(*cell).applyInArrow(task, schema)
 
 
-def score_cells(rows: DataFrame, models: DataFrame, cell: Sequence[str], blocks: int = 1) -> DataFrame:
-    """``cell``, ``id``, ``y`` and ``prediction``: rows meet the model of their cell.
+def score_cells(rows: DataFrame, models: DataFrame, cell: Sequence[str], on: Sequence[str] | None = None,
+                block_rows: int = 200_000) -> DataFrame:
+    """``on``, ``cell``, ``id``, ``y`` and ``prediction``: rows meet every model of their ``on`` columns (without them, of their cell).
 
-    A cell's rows are dealt to ``blocks`` by a hash of the id and its model is sent to each, so a
-    cell of any size is scored in pieces.
+    Rows with equal bins share a prediction. The distinct bins are scored, in groups of about
+    ``block_rows`` to each of which its model is sent; rows then join the predictions of their
+    bins, one list with a value per model. So the trees' work ends where the bins repeat, and
+    rows are not copied per model before they are scored.
     """
-    cell = list(cell)
-    on = [*cell, "block"]
-    left = rows.select(*cell, "id", "y", "bins", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    cell, on = list(cell), list(on or cell)
+    named = models.select(*dict.fromkeys([*on, *cell]), "model")
+    points = materialize(rows.select(*on, "bins").distinct())
+    most = points.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = max(1, -(-most // block_rows))
+    extra = [c for c in cell if c not in on]
+    keys = [*on, *extra, "block"]
+    left = points.join(F.broadcast(named.drop("model")), on).select(
+        *on, *extra, "bins", F.pmod(F.xxhash64("bins"), F.lit(blocks)).cast("int").alias("block"))
     # Own names: models may be derived from the same rows.
-    right = models.select(*[F.col(c).alias(f"m_{c}") for c in cell], "model",
-                          F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("m_block"))
-    schema = T.StructType([*[rows.schema[c] for c in cell], rows.schema["id"], T.StructField("y", T.DoubleType()),
-                           T.StructField("prediction", T.DoubleType())])
+    right = named.select(*[F.col(c).alias(f"m_{c}") for c in keys[:-1]], "model",
+                         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("m_block"))
+    schema = T.StructType([*[left.schema[c] for c in [*keys[:-1], "bins"]], T.StructField("prediction", T.DoubleType())])
 
     def task(key: tuple[pa.Scalar, ...], part: pa.Table, model: pa.Table) -> pa.Table:
         part = part.combine_chunks()
         if not len(part) or not len(model):
-            return pa.table({c: pa.array([], f.type) for c, f in zip([*cell, "id", "y"], [part.schema.field(c) for c in [*cell, "id", "y"]])}
-                            | {"prediction": pa.array([], pa.float64())})
+            return part.slice(0, 0).select([*keys[:-1], "bins"]).append_column("prediction", pa.array([], pa.float64()))
         p = Trees.unpacked(model.column("model")[0].as_py()).predict(codes_in(part.column("bins")))
-        return part.select([*cell, "id", "y"]).append_column("prediction", pa.array(p))
-
-    other = [f"m_{c}" for c in on]
-    left, right = left.repartition(_width(left), *on), right.repartition(_width(left), *other)
-    return left.groupBy(*on).cogroup(right.groupBy(*other)).applyInArrow(task, schema)
+        return part.select([*keys[:-1], "bins"]).append_column("prediction", pa.array(p))
+
+    other = [f"m_{c}" for c in keys]
+    left, right = left.repartition(_width(left), *keys), right.repartition(_width(left), *other)
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*other)).applyInArrow(task, schema)
+    lists = scored.groupBy(*on, "bins").agg(F.collect_list(F.struct(*extra, "prediction")).alias("_each"))
+    return rows.select(*on, "id", "y", "bins").join(lists, [*on, "bins"]).select(*on, "id", "y", F.inline("_each")).select(
+        *dict.fromkeys([*on, *cell]), "id", "y", "prediction")

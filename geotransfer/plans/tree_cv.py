@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geotransfer.operators.joins import lookup_join
 from geotransfer.operators.metrics import metric_columns
 from geotransfer.operators.ordering import number_rows
 from geotransfer.plans import histograms as H
@@ -24,7 +23,7 @@ from geotransfer.schemas import FOLD, RESPONSE, SEED
 from geotransfer.session import materialize
 
 TRAIN_CAP = 60_000  # rows a single fit sees, about
-BLOCK_ROWS = 200_000  # held-out rows scored in one group
+BLOCK_ROWS = 200_000  # combinations of bins scored in one group
 KIND = ["model_family", "config"]
 
 
@@ -54,10 +53,6 @@ def _for_each(df: DataFrame, learners) -> DataFrame:
     return df.select("*", F.inline(kinds))
 
 
-def _blocks(sizes: dict[int, int]) -> int:
-    return max(1, -(-max(sizes.values(), default=0) // BLOCK_ROWS))
-
-
 def prepared(df: DataFrame, features: Sequence[str], id_col: str, fold: str = FOLD, y: str = RESPONSE, bins: int = H.BINS
              ) -> tuple[DataFrame, list[np.ndarray]]:
     """The binned table (``id``, ``fold``, ``y``, ``bins``) and the edges of its features."""
@@ -73,9 +68,7 @@ def tuned(rows: DataFrame, learners: dict, outer: Sequence[int | None], cap: int
     cell = ["outer", "inner", *KIND]
     train = _for_each(_training(rows, sets, sizes, cap), learners)
     models = materialize(H.fit_cells(train, cell, lambda o, i, m, c: learners[m, c]))
-    inner = rows.sparkSession.createDataFrame([(i, o, i) for o, i in sets], "fold int, outer int, inner int")
-    held = _for_each(rows.join(F.broadcast(inner), "fold"), learners)
-    scored = H.score_cells(held, models, cell, _blocks(sizes))
+    scored = H.score_cells(rows, models.withColumn("fold", F.col("inner")), cell, ["fold"], BLOCK_ROWS)
     return materialize(scored.groupBy(*cell).agg(*metric_columns("y", "prediction")))
 
 
@@ -97,9 +90,8 @@ def nested(df: DataFrame, features: Sequence[str], representation: str, id_col:
     cell = ["outer", *KIND]
     train = _training(rows, [(o, None) for o in sizes], sizes, cap).join(F.broadcast(won), "outer")
     models = materialize(H.fit_cells(train, cell, lambda o, m, c: learners[m, c]))
-    held = rows.withColumn("outer", F.col("fold")).join(F.broadcast(won), "outer")
-    scored = H.score_cells(held, models, cell, _blocks(sizes))
-    oof = scored.withColumnRenamed("outer", "fold").withColumn("representation", F.lit(representation))
+    scored = H.score_cells(rows, models.withColumn("fold", F.col("outer")), cell, ["fold"], BLOCK_ROWS)
+    oof = scored.drop("outer").withColumn("representation", F.lit(representation))
     return {"oof": materialize(oof), "tuning": tuning.withColumn("representation", F.lit(representation)), "models": models, "rows": rows}
 
 
@@ -115,17 +107,17 @@ def importance(result: dict[str, DataFrame], features: Sequence[str], repeats: i
     left = number_rows(order, ["_a", "id"], ["fold", "repeat"], "pos").select("fold", "repeat", "pos", "id", "y", "bins")
     right = number_rows(order, ["_b", "id"], ["fold", "repeat"], "pos").select("fold", "repeat", "pos", F.col("bins").alias("other"))
     pairs = left.join(right, ["fold", "repeat", "pos"])
-    each = pairs.withColumn("j", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))
+    # The plain rows (-1) are the same in every repeat.
+    each = pairs.withColumn("j", F.explode(F.sequence(F.when(F.col("repeat") == 0, -1).otherwise(0), F.lit(len(features) - 1))))
     swapped = F.when(F.col("j") < 0, F.col("bins")).otherwise(F.concat(
         F.substring("bins", F.lit(1), F.col("j")), F.substring("other", F.col("j") + 1, F.lit(1)), F.substring("bins", F.col("j") + 2, F.lit(255))))
     cell = ["outer", *KIND]
-    kinds = models.select(*cell)
-    held = each.select(F.col("fold").alias("outer"), F.struct("repeat", "j", "id").alias("id"), "y", swapped.alias("bins")).join(F.broadcast(kinds), "outer")
-    scored = H.score_cells(held, models, cell, _blocks(_sizes(rows)) * (len(features) + 1))
+    held = each.select(F.col("fold").alias("outer"), F.struct("repeat", "j", "id").alias("id"), "y", swapped.alias("bins"))
+    scored = H.score_cells(materialize(held), models, cell, ["outer"], BLOCK_ROWS)
     each = scored.groupBy("outer", F.col("id.repeat").alias("repeat"), F.col("id.j").alias("j")).agg(*metric_columns("y", "prediction"))
-    plain = each.where("j < 0").select("outer", "repeat", F.col("RMSE").alias("plain"))
+    plain = each.where("j < 0").select("outer", F.col("RMSE").alias("plain"))
     names = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("j") + 1)
-    return each.where("j >= 0").join(plain, ["outer", "repeat"]).groupBy("outer", names.alias("feature")).agg(
+    return each.where("j >= 0").join(plain, "outer").groupBy("outer", names.alias("feature")).agg(
         F.avg(F.col("RMSE") - F.col("plain")).alias("importance_mean"), F.stddev_pop(F.col("RMSE") - F.col("plain")).alias("importance_sd"),
         F.max("N").alias("heldout_n"))
 
@@ -186,9 +178,7 @@ def few_shot(data: DataFrame, draws: DataFrame, features: Sequence[str], id_col:
     rows = H.binned(named, features, edges, "_y", ["id", "fold"])
     train = draw_rows(rows.drop("fold"), draws.select(*CELL, F.col(id_col).alias("id")), "id", ["y", "bins"])
     models = materialize(H.fit_cells(train, CELL, lambda f, b, s: learner, lambda f, b, s: s))
-    cells = models.select(*CELL)
-    held = lookup_join(rows, cells, ["fold"])
-    scored = H.score_cells(held, models.drop("n"), CELL, _blocks(_sizes(rows)))
+    scored = H.score_cells(rows, models, CELL, ["fold"], BLOCK_ROWS)
     out = scored.groupBy(*CELL).agg(*metric_columns("y", "prediction")).withColumnRenamed("N", "N_test")
     return out.join(models.select(*CELL, F.col("n").alias("N_train")), CELL).withColumn("method", F.lit("local_trees"))
 

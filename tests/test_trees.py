@@ -137,6 +137,32 @@ def test_blocks_and_cap(data, monkeypatch):
     assert max(r.n for r in capped["models"].collect()) < 150 and capped["oof"].count() == 500
 
 
+def test_tabulated_models_predict_as_their_trees_do():
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 256, (600, 2)).astype(np.uint8)
+    y = codes[:, 0] / 9.0 + rng.normal(size=600)
+    for learner in small().values():
+        m = H.fit(codes, y, learner)
+        every = np.stack(np.meshgrid(range(256), range(256), indexing="ij"), 2).reshape(-1, 2).astype(np.uint8)
+        walked = m.base + m.scale * m.margins(every)
+        assert np.allclose(m.predict(every), walked) and m._grid is not None
+        assert np.allclose(m.predict(codes[:5]), m.base + m.scale * m.margins(codes[:5]))
+
+
+def test_each_combination_of_bins_is_scored_once(spark, monkeypatch):
+    """Rows that share their bins share a prediction: the trees see the distinct bins, and rows are not copied per model."""
+    rows = [(i, i % 2, float(i), bytes([i % 3, 0])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, fold int, y double, bins binary")
+    fits = {k: H.fit(np.array([[0, 0], [1, 0], [2, 0]] * 4, np.uint8), np.arange(12.0) % 3 * k, H.Learner(2, depth=2, least=1.0)) for k in (1, 2, 3)}
+    models = spark.createDataFrame([(f, k, m.packed()) for f in (0, 1) for k, m in fits.items()], "fold int, kind int, model binary")
+    stored = []
+    monkeypatch.setattr(H, "materialize", lambda d, real=H.materialize: stored.append(real(d)) or stored[-1])
+    got = H.score_cells(df, models, ["kind"], ["fold"]).toPandas()
+    assert len(got) == 1800 and stored[0].count() == 6
+    for (k, i), g in got.groupby(["kind", "id"]):
+        assert len(g) == 1 and np.isclose(g.prediction.iloc[0], fits[k].predict(np.array([[i % 3, 0]], np.uint8))[0])
+
+
 def test_every_few_shot_cell_of_every_representation_in_one_plan(data):
     df, pdf = data
     draws = sampling.label_draws(df, "id", folds=range(4), budgets=[25, 100], seeds=[42, 43])
