@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from geotransfer.operators.joins import null_safe_join
 from geotransfer.session import materialize, plan_bytes
 
-SMALL_PLAN_BYTES = 32 * 1024 * 1024
+SMALL_PLAN_BYTES = 1024 * 1024  # of compressed files, less the columns not read: a row may be two bytes
 GROUP_ROWS = 1_000_000
 RANGE_BYTES = 256 * 1024 * 1024
 
@@ -24,7 +24,7 @@ RANGE_BYTES = 256 * 1024 * 1024
 def groups_fit_one_task(df: DataFrame, keys: Sequence[str], rows: int = GROUP_ROWS) -> bool:
     """True when no group can hold more than ``rows`` rows.
 
-    A plan that reads only a few MB passes on Catalyst's estimate; anything
+    A plan that reads less than a MB passes on Catalyst's estimate; anything
     else is counted (one aggregate with partial counts).
     """
     if plan_bytes(df) <= SMALL_PLAN_BYTES:

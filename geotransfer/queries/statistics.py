@@ -9,6 +9,7 @@ from geotransfer.operators.metrics import (binned_bias, binned_distance_error, r
 from geotransfer.operators.nearest import nearest_source
 from geotransfer.operators.ordering import average_ranks
 from geotransfer.operators.quantiles import cut, fixed_edges, quantile_bins, quantiles
+from geotransfer.session import materialize
 from geotransfer.queries.registry import query, rounded, select_rounded, table, view, with_views
 
 FEATURES = ["agbd", "prediction", "f1", "f2", "lon", "lat"]
@@ -193,7 +194,8 @@ def residual_bin_table(spark, sf):
     SELECT bin, round(median(f2), 8) AS x, round(median(agbd), 8) AS y, round(quantile_cont(agbd, 0.25), 8) AS q25,
            round(quantile_cont(agbd, 0.75), 8) AS q75 FROM b GROUP BY bin""")
 def response_curve(spark, sf):
-    b = quantile_bins(view(spark, sf, "foot"), "f2", 20, "bin")
+    # Stored once: the edges are a subquery that every job on the bins would work out again.
+    b = materialize(quantile_bins(view(spark, sf, "foot").select("f2", "agbd"), "f2", 20, "bin"))
     x = quantiles(b, ["bin"], "f2", {"x": 0.5})
     y = quantiles(b, ["bin"], "agbd", {"y": 0.5, "q25": 0.25, "q75": 0.75})
     return select_rounded(x.join(y, "bin"), ["bin"], ["x", "y", "q25", "q75"], 8)

@@ -174,3 +174,11 @@ def test_common_groups_drops_repeats_before_the_join(spark):
     assert sorted(r.year for r in out.collect()) == [3, 4, 5, 6]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate", plan.index("Join"))
+
+
+def test_a_compressed_file_of_many_rows_is_counted(spark, tmp_path):
+    """1.2 million rows of one group lie in a few MB: the file's size does not tell that they fit one task."""
+    spark.range(1_200_000).selectExpr("id % 1100000 AS v").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert not ordering.groups_fit_one_task(df, []) and ordering.groups_fit_one_task(df.where("v < 10"), [])
+    assert Q.quantiles(df, [], "v", {"q": 1.0}).first().q == 1_099_999.0
