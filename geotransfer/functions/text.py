@@ -39,6 +39,6 @@ def row_text(columns) -> Column:
     cells = []
     for c in columns:
         text = F.col(c).cast("string")
-        cells.append(F.when(text.isNull(), F.lit("N;")).otherwise(
-            F.concat(F.octet_length(text).cast("string"), F.lit(":"), text, F.lit(";"))))
+        # NULL makes the whole cell NULL; a value is turned to text once, not again in each branch.
+        cells.append(F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text, F.lit(";")), F.lit("N;")))
     return F.concat(F.lit(""), *cells)

@@ -19,6 +19,8 @@ from geotransfer.operators.guards import refuse_rows
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Counting the rows of a state looks up every key once more when it is written; the ledger has that number.
+COUNTED = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -47,6 +49,15 @@ def split_update(update: DataFrame, keys: Sequence[str], columns: Sequence[str])
     return accepted, rejected
 
 
+def _held(spark: SparkSession, ledger: str, batches: Sequence[int]) -> dict[int, int]:
+    """Keys in the state after each of the last ``batches``: every row accepted so far holds one."""
+    if not batches or not _exists(spark, ledger):
+        return dict.fromkeys(batches, 0)
+    earlier = F.greatest(F.col("batch_id"), F.lit(min(batches) - 1))
+    counts = spark.read.parquet(ledger).groupBy(earlier.alias("batch_id")).agg(F.sum("rows").alias("n")).collect()
+    return {b: sum(c.n for c in counts if c.batch_id <= b) for b in batches}
+
+
 def ingest(spark: SparkSession, source: str, schema: T.StructType, out: str, keys: Sequence[str],
            partition: str, file_format: str = "parquet", files_per_batch: int | None = None,
            options: dict[str, str] | None = None) -> list[dict]:
@@ -78,16 +89,22 @@ def ingest(spark: SparkSession, source: str, schema: T.StructType, out: str, key
         entry = fingerprint(accepted).withColumn("schema_hash", F.lit(columns_hash))
         entry.write.mode("overwrite").parquet(f"{ledger}/{spot}")
 
-    own = spark.conf.get(PROVIDER)
+    own = {name: spark.conf.get(name, None) for name in (PROVIDER, COUNTED)}
     spark.conf.set(PROVIDER, ROCKSDB)
+    spark.conf.set(COUNTED, "false")
     try:
         query = (keyed_state(reader.load(source), keys).writeStream.outputMode("update").foreachBatch(write_batch)
                  .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, own)
-    return [{"batch_id": p["batchId"], "input_rows": p["numInputRows"], "state_rows": sum(o["numRowsTotal"] for o in p["stateOperators"])}
-            for p in query.recentProgress]
+        for name, value in own.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+    progress = query.recentProgress
+    held = _held(spark, ledger, [p["batchId"] for p in progress])
+    return [{"batch_id": p["batchId"], "input_rows": p["numInputRows"], "state_rows": held[p["batchId"]]} for p in progress]
 
 
 def read_ingested(spark: SparkSession, out: str, part: str = "table") -> DataFrame:

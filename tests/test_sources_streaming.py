@@ -185,6 +185,42 @@ def test_a_batch_reads_its_own_files_only(spark, tmp_path):
     assert [r.rows for r in stream.read_ingested(spark, out, "ledger").orderBy("batch_id").collect()] == [60, 50, 50, 50]
 
 
+@pytest.mark.parametrize("own", [None, "true"])
+def test_state_rows_come_from_the_ledger_and_not_from_a_lookup_per_key(spark, tmp_path, monkeypatch, own):
+    """The state does not count its rows while a batch runs; the session's own setting is back afterwards."""
+    src, out, seen, real = str(tmp_path / "in"), str(tmp_path / "out"), [], stream.fingerprint
+    setting = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+    monkeypatch.setattr(stream, "fingerprint", lambda df: (seen.append(spark.conf.get(setting, None)), real(df))[1])
+    args = dict(source=src, schema=ROWS, out=out, keys=["shot_number", "year"], partition="year")
+    before = spark.conf.get(setting, None)
+    if own:
+        spark.conf.set(setting, own)
+    try:
+        held = []
+        for first, last in ((0, 30), (10, 20), (25, 45)):
+            _deliver(spark, src, first, last)
+            held += [(p["batch_id"], p["state_rows"]) for p in stream.ingest(spark, **args) if p["input_rows"]]
+        assert [p["state_rows"] for p in stream.ingest(spark, **args)] in ([], [45])
+        assert spark.conf.get(setting, None) == (own or before)
+    finally:
+        spark.conf.unset(setting)
+    assert seen == ["false"] * 3 and held == [(0, 30), (1, 30), (2, 45)]
+
+
+def test_batches_of_one_run_have_their_own_state_rows(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    args = dict(source=src, schema=ROWS, out=out, keys=["shot_number", "year"], partition="year")
+    (tmp_path / "in").mkdir()
+    assert [p["state_rows"] for p in stream.ingest(spark, **args)] in ([], [0])
+    for first in (0, 10, 15):
+        spark.range(first, first + 10).select(F.col("id").cast("string").alias("shot_number"), F.lit(2020).alias("year"),
+                                              F.lit(1.0).alias("x")).coalesce(1).write.mode("append").parquet(src)
+    runs = [p for p in stream.ingest(spark, files_per_batch=1, **args) if p["input_rows"]]
+    assert [p["input_rows"] for p in runs] == [10, 10, 10] and [p["state_rows"] for p in runs][-1] == 25
+    accepted = {r.batch_id: r.rows for r in stream.read_ingested(spark, out, "ledger").collect()}
+    assert [p["state_rows"] for p in runs] == [sum(n for b, n in accepted.items() if b <= p["batch_id"]) for p in runs]
+
+
 def test_another_schema_is_refused(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     _deliver(spark, src, 0, 10)
