@@ -115,6 +115,8 @@ class Trees:
     right: list[int] = field(default_factory=list)
     value: list[float] = field(default_factory=list)
     deepest: int = 0
+    grid: np.ndarray | None = None  # margins of every combination of bins, in place of nodes
+    rounds: int = 0  # trees behind such a grid
     _grid: np.ndarray | None = None
     _asked: int = 0
 
@@ -160,6 +162,8 @@ class Trees:
 
     def predict(self, codes: np.ndarray) -> np.ndarray:
         """A model of few features that is asked for many rows is tabulated once; any other walks its trees for every row."""
+        if self.grid is not None:
+            return self.base + self.scale * self.grid[tuple(codes.T)]
         self._asked += len(codes)
         if self._grid is None and 256 ** codes.shape[1] <= GRID and self._asked * len(self.roots) > 4 * len(self.value):
             self._grid = self.tabulated(codes.shape[1])
@@ -168,6 +172,9 @@ class Trees:
 
     def packed(self) -> bytes:
         blob = io.BytesIO()
+        if self.grid is not None:
+            np.savez_compressed(blob, head=np.array([self.base, self.scale, self.rounds]), grid=self.grid)
+            return blob.getvalue()
         np.savez_compressed(blob, head=np.array([self.base, self.scale, self.deepest]), roots=np.array(self.roots, np.int64),
                             feature=np.array(self.feature, np.int16), bin=np.array(self.bin, np.uint8),
                             left=np.array(self.left, np.int32), right=np.array(self.right, np.int32), value=np.array(self.value))
@@ -177,6 +184,8 @@ class Trees:
     def unpacked(blob: bytes) -> Trees:
         a = np.load(io.BytesIO(blob))
         base, scale, deepest = a["head"].tolist()
+        if "grid" in a:
+            return Trees(base, scale, grid=a["grid"], rounds=int(deepest))
         return Trees(base, scale, *[a[c] for c in ("roots", "feature", "bin", "left", "right", "value")], int(deepest))
 
 

@@ -1,14 +1,18 @@
 """Nested spatial cross-validation, deployment and few-shot cells of binned tree models, each as one Spark plan.
 
-The table is binned and stored once. A training set is named by the folds it leaves out, and a fit
-is a group of its rows: all (outer fold, inner fold, candidate) fits of a feature set run side by
-side as tasks, then the winners are refitted. A fit sees at most about ``train_cap`` rows, drawn by
-a hash of the id, as the protocol bounds them; held-out rows are scored whole.
+The table is binned and stored once. A training set is named by the folds it leaves out, and all
+(outer fold, inner fold, candidate) fits of a feature set run side by side as tasks, then the
+winners are refitted. With a ``cap`` a fit is a group of at most about so many rows, drawn by a
+hash of the id, as the protocol bounds them (``TRAIN_CAP``). Without one (None) a fit sees every
+row: of one or two features by the sums of ``grids``, of more as a group that holds the whole
+training set. Held-out rows are scored whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geotransfer.operators.metrics import metric_columns
 from geotransfer.operators.ordering import number_rows
-from geotransfer.plans import histograms as H
+from geotransfer.plans import grids, histograms as H
 from geotransfer.plans.moments import matrix
 from geotransfer.plans.transfer import CELL, draw_rows
 from geotransfer.schemas import FOLD, RESPONSE, SEED
@@ -31,7 +35,7 @@ def _sizes(rows: DataFrame) -> dict[int, int]:
     return {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def _training(rows: DataFrame, sets: list[tuple], sizes: dict[int, int], cap: int) -> DataFrame:
+def _training(rows: DataFrame, sets: list[tuple], sizes: dict[int, int], cap: int | None) -> DataFrame:
     """Rows of every training set ``(outer, inner)``: all folds but these two (None leaves out nothing).
 
     The sets of a fold are a small table met on the fold. A set above ``cap`` keeps the rows whose
@@ -40,19 +44,13 @@ def _training(rows: DataFrame, sets: list[tuple], sizes: dict[int, int], cap: in
     spark, pairs = rows.sparkSession, []
     for outer, inner in sets:
         folds = [f for f in sizes if f not in (outer, inner)]
-        share = min(1.0, cap / max(1, sum(sizes[f] for f in folds)))
+        share = 1.0 if cap is None else min(1.0, cap / max(1, sum(sizes[f] for f in folds)))
         pairs += [(f, outer, inner, int(share * (1 << 30))) for f in folds]
     named = spark.createDataFrame(pairs, "fold int, outer int, inner int, share int")
     drawn = rows.join(F.broadcast(named), "fold")
     return drawn.where(F.pmod(F.xxhash64(F.lit(SEED), "outer", "id"), F.lit(1 << 30)) < F.col("share"))
 
 
-def _for_each(df: DataFrame, learners) -> DataFrame:
-    """Every row once per candidate."""
-    kinds = F.array(*[F.struct(F.lit(m).alias("model_family"), F.lit(c).alias("config")) for m, c in learners])
-    return df.select("*", F.inline(kinds))
-
-
 def prepared(df: DataFrame, features: Sequence[str], id_col: str, fold: str = FOLD, y: str = RESPONSE, bins: int = H.BINS
              ) -> tuple[DataFrame, list[np.ndarray]]:
     """The binned table (``id``, ``fold``, ``y``, ``bins``) and the edges of its features."""
@@ -61,13 +59,45 @@ def prepared(df: DataFrame, features: Sequence[str], id_col: str, fold: str = FO
     return H.binned(named, features, edges, "_y", ["id", "fold"]), edges
 
 
-def tuned(rows: DataFrame, learners: dict, outer: Sequence[int | None], cap: int = TRAIN_CAP) -> DataFrame:
+def _stored_sums(rows: DataFrame, features: int, sizes: dict[int, int], cap: int | None) -> DataFrame | None:
+    """The sums that fits on every row of few features read; None where fits see rows."""
+    return grids.sums(rows, sizes) if cap is None and features <= grids.FEATURES else None
+
+
+def _models(rows: DataFrame, sums: DataFrame | None, wanted: dict[tuple, list], learners: dict, features: int, sizes: dict[int, int],
+            cap: int | None) -> DataFrame:
+    """A model of every training set ``(outer, inner)`` and the candidates it wants: ``outer``, ``inner``, family, config,
+    ``model`` and ``n``; stored. A set without rows has models without trees."""
+    spark = rows.sparkSession
+    kinds = "outer int, inner int, model_family string, config string"
+    asked = spark.createDataFrame([(o, i, m, c) for (o, i), each in wanted.items() for m, c in each], kinds)
+    if sums is not None:
+        # Leaving out a then b leaves the rows of b then a: fitted once.
+        left = {s: frozenset(s) - {None} for s in wanted}
+        sets = {}
+        for s, each in wanted.items():
+            sets[left[s]] = list(dict.fromkeys([*sets.get(left[s], []), *each]))
+        found = grids.fit_sets(sums, [([f for f in sorted(sizes) if f not in out], each) for out, each in sets.items()], learners, features)
+        place = {out: k for k, out in enumerate(sets)}
+        names = spark.createDataFrame([(place[left[o, i]], o, i) for o, i in wanted], "set int, outer int, inner int")
+        found = materialize(found).join(F.broadcast(names), "set").drop("set")
+    else:
+        drawn = _training(rows, list(wanted), sizes, cap)
+        train = drawn.join(F.broadcast(asked.withColumnsRenamed({"outer": "_o", "inner": "_i"})),
+                           F.col("outer").eqNullSafe(F.col("_o")) & F.col("inner").eqNullSafe(F.col("_i"))).drop("_o", "_i")
+        found = H.fit_cells(train, ["outer", "inner", *KIND], lambda o, i, m, c: learners[m, c])
+    named = found.withColumnsRenamed({c: f"_{c}" for c in ("outer", "inner", *KIND)})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("outer", "inner", *KIND)]
+    empty = F.lit(H.Trees(0.0, 1.0).packed())
+    return materialize(asked.join(named, reduce(and_, same), "left").select(
+        "outer", "inner", *KIND, F.coalesce("model", empty).alias("model"), F.coalesce("n", F.lit(0)).alias("n")))
+
+
+def tuned(rows: DataFrame, learners: dict, outer: Sequence[int | None], features: int, sizes: dict[int, int], cap: int | None = TRAIN_CAP,
+          sums: DataFrame | None = None) -> DataFrame:
     """Metrics of every candidate on every inner fold of every outer training set (None: all rows)."""
-    sizes = _sizes(rows)
-    sets = [(o, i) for o in outer for i in sizes if i != o]
     cell = ["outer", "inner", *KIND]
-    train = _for_each(_training(rows, sets, sizes, cap), learners)
-    models = materialize(H.fit_cells(train, cell, lambda o, i, m, c: learners[m, c]))
+    models = _models(rows, sums, {(o, i): list(learners) for o in outer for i in sizes if i != o}, learners, features, sizes, cap)
     scored = H.score_cells(rows, models.withColumn("fold", F.col("inner")), cell, ["fold"], BLOCK_ROWS)
     return materialize(scored.groupBy(*cell).agg(*metric_columns("y", "prediction")))
 
@@ -79,18 +109,17 @@ def winners(tuning: DataFrame) -> DataFrame:
 
 
 def nested(df: DataFrame, features: Sequence[str], representation: str, id_col: str, fold: str = FOLD, y: str = RESPONSE,
-           learners: dict | None = None, cap: int = TRAIN_CAP, bins: int = H.BINS) -> dict[str, DataFrame]:
+           learners: dict | None = None, cap: int | None = TRAIN_CAP, bins: int = H.BINS) -> dict[str, DataFrame]:
     """``oof`` (``id``, ``fold``, ``y``, ``prediction`` with family, config and representation), ``tuning``,
     ``models`` (packed, one per outer fold) and ``rows`` (the binned table)."""
     learners = learners or H.learners()
     rows, _ = prepared(df, features, id_col, fold, y, bins)
     sizes = _sizes(rows)
-    tuning = tuned(rows, learners, list(sizes), cap)
-    won = materialize(winners(tuning))
-    cell = ["outer", *KIND]
-    train = _training(rows, [(o, None) for o in sizes], sizes, cap).join(F.broadcast(won), "outer")
-    models = materialize(H.fit_cells(train, cell, lambda o, m, c: learners[m, c]))
-    scored = H.score_cells(rows, models.withColumn("fold", F.col("outer")), cell, ["fold"], BLOCK_ROWS)
+    sums = _stored_sums(rows, len(features), sizes, cap)
+    tuning = tuned(rows, learners, list(sizes), len(features), sizes, cap, sums)
+    won = {(r["outer"], None): [(r["model_family"], r["config"])] for r in winners(tuning).collect()}  # a row per outer fold
+    models = _models(rows, sums, won, learners, len(features), sizes, cap).drop("inner")
+    scored = H.score_cells(rows, models.withColumn("fold", F.col("outer")), ["outer", *KIND], ["fold"], BLOCK_ROWS)
     oof = scored.drop("outer").withColumn("representation", F.lit(representation))
     return {"oof": materialize(oof), "tuning": tuning.withColumn("representation", F.lit(representation)), "models": models, "rows": rows}
 
@@ -125,17 +154,18 @@ def importance(result: dict[str, DataFrame], features: Sequence[str], repeats: i
 # ---------------------------------------------------------------- deployment
 
 def deploy(df: DataFrame, features: Sequence[str], id_col: str, fold: str = FOLD, y: str = RESPONSE, learners: dict | None = None,
-           cap: int = TRAIN_CAP, bins: int = H.BINS) -> tuple[DataFrame, DataFrame]:
+           cap: int | None = TRAIN_CAP, bins: int = H.BINS) -> tuple[DataFrame, DataFrame]:
     """The model chosen by its own cross-validation and refitted on all rows, as a table of one row, and the tuning rows.
 
     ``features``, ``edges``, ``model_family``, ``config``, ``model`` and ``n`` are all that scoring needs.
     """
     learners = learners or H.learners()
     rows, edges = prepared(df, features, id_col, fold, y, bins)
-    tuning = tuned(rows, learners, [None], cap)
+    sizes = _sizes(rows)
+    sums = _stored_sums(rows, len(features), sizes, cap)
+    tuning = tuned(rows, learners, [None], len(features), sizes, cap, sums)
     won = winners(tuning).first()
-    train = _for_each(_training(rows, [(None, None)], _sizes(rows), cap), [(won["model_family"], won["config"])])
-    model = H.fit_cells(train, KIND, lambda m, c: learners[m, c])
+    model = _models(rows, sums, {(None, None): [(won["model_family"], won["config"])]}, learners, len(features), sizes, cap).drop("outer", "inner")
     return materialize(model.withColumns({"features": F.array(*[F.lit(f) for f in features]),
                                           "edges": F.array(*[F.array(*[F.lit(float(v)) for v in e]) for e in edges])})), tuning
 
