@@ -122,7 +122,7 @@ def deployment_and_zero_shot(spark, sf):
     """Source model chosen among all candidates at full size by its own CV, stored and loaded again, label-free target
     scoring, freeze, unlock, metrics."""
     data = _data(spark, sf)
-    model, tuning = tree_cv.deploy(data.where("domain = 'source'"), FEATURES, "shot_number", cap=2_000)
+    model, tuning = tree_cv.deploy(data.where("domain = 'source'"), FEATURES, "shot_number", cap=None)
     best = _winner_is_best(tuning.withColumnsRenamed({"model_family": "model"}).withColumn("outer_fold", F.lit(0))).first()["best"]
     folder = scratch(spark, "model")
     tree_cv.save(model, folder)

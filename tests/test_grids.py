@@ -90,3 +90,11 @@ def test_nested_queries_fit_every_row_of_the_other_folds(spark, monkeypatch):
     models = modelling._nested(spark, SF)["models"]
     size = {r.fold: r.n for r in modelling.view(spark, SF, "foot").groupBy("fold").agg(F.count("*").alias("n")).collect()}
     assert {r.outer: r.n for r in models.collect()} == {k: sum(size.values()) - n for k, n in size.items()}
+
+
+def test_deployed_query_model_fits_every_source_row(spark, monkeypatch):
+    monkeypatch.setattr(H, "learners", small)
+    seen = []
+    monkeypatch.setattr(tree_cv, "deploy", lambda *a, real=tree_cv.deploy, **k: seen.append(real(*a, **k)) or seen[-1])
+    modelling.deployment_and_zero_shot(spark, SF).collect()
+    assert seen[0][0].first().n == modelling.view(spark, SF, "foot").where("domain = 'source'").count()
