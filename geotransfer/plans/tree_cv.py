@@ -10,7 +10,7 @@ training set. Held-out rows are scored whole.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geotransfer.operators.metrics import metric_columns
-from geotransfer.operators.ordering import number_rows
 from geotransfer.plans import grids, histograms as H
 from geotransfer.plans.moments import matrix
 from geotransfer.plans.transfer import CELL, draw_rows
@@ -128,22 +127,42 @@ def importance(result: dict[str, DataFrame], features: Sequence[str], repeats: i
     """Rise of the RMSE when one feature's bins are permuted within the held-out fold: ``outer``, ``feature``,
     ``importance_mean``, ``importance_sd`` (population, over repeats) and ``heldout_n``. Every held-out row is permuted.
 
-    A permutation pairs two hash orders of the fold's rows by row number.
+    A hash deals the rows of a fold to blocks of about ``BLOCK_ROWS``, random parts of the fold, and a repeat permutes
+    every block: any row of the fold can stand in for any other. Rows travel once, and a block emits its squared errors.
     """
-    rows, models = result["rows"], result["models"].drop("n")
-    spread = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = spread.withColumns({n: F.sha2(F.concat_ws("|", F.lit(f"{seed}-{n}"), "repeat", F.col("id").cast("string")), 256) for n in ("_a", "_b")})
-    left = number_rows(order, ["_a", "id"], ["fold", "repeat"], "pos").select("fold", "repeat", "pos", "id", "y", "bins")
-    right = number_rows(order, ["_b", "id"], ["fold", "repeat"], "pos").select("fold", "repeat", "pos", F.col("bins").alias("other"))
-    pairs = left.join(right, ["fold", "repeat", "pos"])
-    # The plain rows (-1) are the same in every repeat.
-    each = pairs.withColumn("j", F.explode(F.sequence(F.when(F.col("repeat") == 0, -1).otherwise(0), F.lit(len(features) - 1))))
-    swapped = F.when(F.col("j") < 0, F.col("bins")).otherwise(F.concat(
-        F.substring("bins", F.lit(1), F.col("j")), F.substring("other", F.col("j") + 1, F.lit(1)), F.substring("bins", F.col("j") + 2, F.lit(255))))
-    cell = ["outer", *KIND]
-    held = each.select(F.col("fold").alias("outer"), F.struct("repeat", "j", "id").alias("id"), "y", swapped.alias("bins"))
-    scored = H.score_cells(materialize(held), models, cell, ["outer"], BLOCK_ROWS)
-    each = scored.groupBy("outer", F.col("id.repeat").alias("repeat"), F.col("id.j").alias("j")).agg(*metric_columns("y", "prediction"))
+    rows, models, width = result["rows"], result["models"].select("outer", "model"), len(features)
+    spark = rows.sparkSession
+    blocks = [(f, -(-n // BLOCK_ROWS)) for f, n in _sizes(rows).items()]
+    dealt = rows.join(F.broadcast(spark.createDataFrame(blocks, "fold int, blocks int")), "fold").select(
+        F.col("fold").alias("outer"), F.pmod(F.xxhash64(F.lit(seed), "id"), "blocks").cast("int").alias("block"), "id", "y", "bins")
+    sent = models.join(F.broadcast(spark.createDataFrame(blocks, "_f int, blocks int")), F.col("outer") == F.col("_f")).select(
+        F.col("outer").alias("_outer"), "model", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_block"))
+
+    def task(key: tuple[pa.Scalar, ...], part: pa.Table, model: pa.Table) -> pa.Table:
+        fold, block = (k.as_py() for k in key)
+        part = part.sort_by("id").combine_chunks()
+        codes, y = codes_of_part(part), part.column("y").to_numpy(zero_copy_only=False)
+        known = ~part.column("y").is_null().to_numpy(zero_copy_only=False)
+        trees = H.Trees.unpacked(model.column("model")[0].as_py())
+        found = [(-1, -1, float(((trees.predict(codes) - y)[known] ** 2).sum()))]
+        for r in range(repeats):
+            other = codes[np.random.default_rng([seed, fold, block, r]).permutation(len(codes))]
+            for j in range(width):
+                swapped = codes.copy()
+                swapped[:, j] = other[:, j]
+                found.append((r, j, float(((trees.predict(swapped) - y)[known] ** 2).sum())))
+        r, j, sse = zip(*found)
+        return pa.table({"outer": pa.array([fold] * len(r), pa.int32()), "repeat": pa.array(r, pa.int32()), "j": pa.array(j, pa.int32()),
+                         "n": pa.array([int(known.sum())] * len(r), pa.int64()), "sse": pa.array(sse)})
+
+    def codes_of_part(part: pa.Table) -> np.ndarray:
+        return H.codes_in(part.column("bins").combine_chunks()) if len(part) else np.zeros((0, width), np.uint8)
+
+    many = max(H._width(rows), sum(b for _, b in blocks))
+    left, right = dealt.repartition(many, "outer", "block"), sent.repartition(many, "_outer", "_block")
+    errors = left.groupBy("outer", "block").cogroup(right.groupBy("_outer", "_block")).applyInArrow(
+        task, "outer int, repeat int, j int, n long, sse double")
+    each = materialize(errors).groupBy("outer", "repeat", "j").agg(F.sum("n").alias("N"), F.sqrt(F.sum("sse") / F.sum("n")).alias("RMSE"))
     plain = each.where("j < 0").select("outer", F.col("RMSE").alias("plain"))
     names = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("j") + 1)
     return each.where("j >= 0").join(plain, "outer").groupBy("outer", names.alias("feature")).agg(

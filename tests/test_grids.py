@@ -98,3 +98,33 @@ def test_deployed_query_model_fits_every_source_row(spark, monkeypatch):
     monkeypatch.setattr(tree_cv, "deploy", lambda *a, real=tree_cv.deploy, **k: seen.append(real(*a, **k)) or seen[-1])
     modelling.deployment_and_zero_shot(spark, SF).collect()
     assert seen[0][0].first().n == modelling.view(spark, SF, "foot").where("domain = 'source'").count()
+
+
+def test_importance_equals_permuting_whole_folds_and_stores_no_rows(spark, monkeypatch):
+    """Blocks of a fold are random parts of it, so permuting them is as good as permuting the fold; what is stored are sums."""
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame(rng.normal(size=(4000, 2)), columns=COLS).assign(id=range(4000), spatial_fold=np.arange(4000) % 3)
+    pdf["agbd"] = 10 * pdf.elevation + 3 * pdf.slope + rng.normal(size=4000)
+    out = tree_cv.nested(spark.createDataFrame(pdf), COLS, "pair", "id", learners=LEARNERS(rounds=60, trees=10), cap=None, bins=32)
+    rows = out["rows"].toPandas()
+    want = {}
+    for r in out["models"].collect():
+        held, model = rows[rows.fold == r.outer], H.Trees.unpacked(bytes(r.model))
+        codes, y = np.array([list(b) for b in held.bins], np.uint8), held.y.to_numpy()
+        plain = np.sqrt(np.mean((model.predict(codes) - y) ** 2))
+        for j, f in enumerate(COLS):
+            rise = []
+            for _ in range(20):
+                swapped = codes.copy()
+                swapped[:, j] = rng.permutation(codes[:, j])
+                rise.append(np.sqrt(np.mean((model.predict(swapped) - y) ** 2)) - plain)
+            want[r.outer, f] = np.mean(rise)
+    for block_rows in (tree_cv.BLOCK_ROWS, 200):
+        stored = []
+        monkeypatch.setattr(tree_cv, "BLOCK_ROWS", block_rows)
+        monkeypatch.setattr(tree_cv, "materialize", lambda d, real=H.materialize: stored.append(real(d)) or stored[-1])
+        got = tree_cv.importance(out, COLS, 3).toPandas()
+        assert (got.heldout_n == got.outer.map(rows.fold.value_counts())).all() and (got.importance_sd > 0).all()
+        assert got.importance_mean.to_numpy() == pytest.approx([want[o, f] for o, f in zip(got.outer, got.feature)], rel=0.08)
+        blocks = sum(-(-n // block_rows) for n in rows.fold.value_counts())
+        assert [d.count() for d in stored] == [blocks * 7] and "bins" not in stored[0].columns
