@@ -13,6 +13,9 @@ both sides, by hash inside a bag, so one popular group is spread over many
 tasks. A block pair emits one row per target (its minimum), never the pairs;
 inside it sources are sorted along their widest axis and only those within
 reach on that axis are measured.
+
+Vectors of at most ``NARROW`` numbers are dealt to boxes of about ``block_rows`` rows instead: a bag is a
+box, and the distance to its sides tells whether it is needed.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from geotransfer.session import materialize
 
 _SLACK = 1e-9
 PIVOT_RANGE = (32, 1024)
+NARROW, BOX_SAMPLE = 3, 8192  # numbers in a vector up to which sources are dealt to boxes, and rows that set the boxes
 BLOCK_BYTES, BLOCK_RANGE = 8 << 20, (4096, 65536)  # vectors of a block, and its rows
 SLICE = 1024  # rows measured against all pivots at once
 
@@ -97,11 +101,77 @@ def _bags(centres: np.ndarray, counts: np.ndarray, block_rows: int) -> np.ndarra
     return bags
 
 
+class _Cuts:
+    """Boxes that hold about equal shares of a sample: halved along the widest axis until there are ``leaves``."""
+
+    def __init__(self, sample: np.ndarray, leaves: int) -> None:
+        self.axis, self.at, self.below, self.above, self.depth = [], [], [], [], 0
+        self._halve(sample, leaves, 0)
+        self.axis, self.at, self.below, self.above = (np.array(a) for a in (self.axis, self.at, self.below, self.above))
+
+    def _halve(self, part: np.ndarray, leaves: int, depth: int) -> int:
+        """Number of the new box; a leaf is its own child."""
+        k, self.depth = len(self.axis), max(self.depth, depth)
+        for column, v in ((self.axis, 0), (self.at, 0.0), (self.below, k), (self.above, k)):
+            column.append(v)
+        if leaves < 2 or len(part) < 2:
+            return k
+        axis = int((part.max(0) - part.min(0)).argmax())
+        x = np.sort(part[:, axis])
+        at = x[max(1, len(x) * (leaves // 2) // leaves)]
+        lower = part[:, axis] < at
+        if lower.any():  # else half of the sample or more is equal to the least
+            self.axis[k], self.at[k] = axis, at
+            self.below[k] = self._halve(part[lower], leaves // 2, depth + 1)
+            self.above[k] = self._halve(part[~lower], leaves - leaves // 2, depth + 1)
+        return k
+
+    def place(self, v: np.ndarray) -> np.ndarray:
+        node, rows = np.zeros(len(v), np.int64), np.arange(len(v))
+        for _ in range(self.depth):
+            node = np.where(v[rows, self.axis[node]] < self.at[node], self.below[node], self.above[node])
+        return node
+
+
+def _on_line(src: DataFrame, tgt: DataFrame) -> DataFrame:
+    """``tid``, ``sid``, ``distance`` for vectors of one number: equal values are merged, values are dealt to ranges, and a range
+    looks up its targets among its own sources and the nearest source of the ranges on either side."""
+    spark, id_type = src.sparkSession, src.schema["sid"].dataType.simpleString()
+    x = (F.col("v")[0].cast("double") + F.lit(0.0)).alias("x")
+    asked = tgt.select("tid", x)
+    values = src.select("sid", x).groupBy("x").agg(F.min("sid").alias("sid"), F.lit(False).alias("asked")).unionByName(
+        asked.select("x").distinct().select("x", F.lit(None).cast(id_type).alias("sid"), F.lit(True).alias("asked")))
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ranged = materialize(values.repartitionByRange(width, "x").withColumn("part", F.spark_partition_id()))
+    # Two rows per range.
+    ends = ranged.where("NOT asked").groupBy("part").agg(F.min(F.struct("x", "sid")).alias("low"), F.max(F.struct("x", "sid")).alias("high")).collect()
+    lows, highs = ({r["part"]: (r[k]["x"], r[k]["sid"]) for r in ends} for k in ("low", "high"))
+
+    def task(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        k = key[0].as_py()
+        before = [highs[max(p for p in highs if p < k)]] if any(p < k for p in highs) else []
+        after = [lows[min(p for p in lows if p > k)]] if any(p > k for p in lows) else []
+        part = part.sort_by("x").combine_chunks()
+        own, at = part.filter(pc.invert(part.column("asked"))), part.filter(part.column("asked")).column("x").to_numpy()
+        near = np.concatenate([[v for v, _ in before], own.column("x").to_numpy(), [v for v, _ in after]])
+        ids = pa.concat_arrays([pa.array([i for _, i in before], part.schema.field("sid").type), *own.column("sid").chunks,
+                                pa.array([i for _, i in after], part.schema.field("sid").type)])
+        right = np.clip(np.searchsorted(near, at), 0, len(near) - 1)
+        left = np.maximum(right - 1, 0)
+        dl, dr = np.abs(at - near[left]), np.abs(at - near[right])
+        smaller = pc.less(ids.take(pa.array(left)), ids.take(pa.array(right))).to_numpy(zero_copy_only=False).astype(bool)
+        best = np.where((dl < dr) | ((dl == dr) & smaller), left, right)
+        return pa.table({"x": pa.array(at), "sid": ids.take(pa.array(best)), "distance": pa.array(np.minimum(dl, dr))})
+
+    found = ranged.groupBy("part").applyInArrow(task, f"x double, sid {id_type}, distance double")
+    return asked.join(materialize(found), "x").select("tid", "sid", "distance")
+
+
 def nearest_source(source: DataFrame, target: DataFrame, source_id: str, target_id: str,
                    vector: str, pivots: int | None = None, block_rows: int | None = None) -> DataFrame:
     """(target_id, source_id, distance): Euclidean nearest source; ties to the smaller id.
 
-    Without ``pivots`` their number is the square root of the source rows, within ``PIVOT_RANGE``;
+    Vectors of one number are searched on the line (``_on_line``). Without ``pivots`` narrow vectors are dealt to boxes; for wider ones their number is the square root of the source rows, within ``PIVOT_RANGE``;
     without ``block_rows`` a block's vectors take ``BLOCK_BYTES``, within ``BLOCK_RANGE`` rows.
     """
     src = source.select(F.col(source_id).alias("sid"), F.col(vector).alias("v"))
@@ -110,40 +180,74 @@ def nearest_source(source: DataFrame, target: DataFrame, source_id: str, target_
     t_type = tgt.schema["tid"].dataType.simpleString()
     v_type = src.schema["v"].dataType.simpleString()
 
+    probe = src.select("v").head()
+    if probe is None:
+        raise ValueError("source table is empty")
+    if len(probe.v) == 1:
+        return _on_line(src, tgt).select(F.col("tid").alias(target_id), F.col("sid").alias("nearest_id"), "distance")
+    rows, width = src.count(), len(probe.v)
+    if block_rows is None:
+        block_rows = min(max(BLOCK_BYTES // (8 * width), BLOCK_RANGE[0]), BLOCK_RANGE[1])
+    boxed = pivots is None and width <= NARROW
     if pivots is None:
-        pivots = min(max(math.isqrt(src.count()), PIVOT_RANGE[0]), PIVOT_RANGE[1])
+        pivots = BOX_SAMPLE if boxed else min(max(math.isqrt(rows), PIVOT_RANGE[0]), PIVOT_RANGE[1])
     chosen = src.orderBy(hash_key("pivot", "sid"), "sid").limit(pivots).select("v").collect()
-    if not chosen:
-        raise ValueError("source table is empty")
     centres = np.asarray([r.v for r in chosen], dtype=np.float64)
-    if block_rows is None:
-        block_rows = min(max(BLOCK_BYTES // (8 * centres.shape[1]), BLOCK_RANGE[0]), BLOCK_RANGE[1])
+    cuts = _Cuts(centres, -(-rows // block_rows)) if boxed else None
 
     def to_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, len(whole), SLICE):
                 batch = whole.slice(a, SLICE)
-                d = _distances(_matrix(batch.column("v")), centres)
-                cell = d.argmin(1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])],
-                                                 ["sid", "v", "cell", "radius"])
+                v = _matrix(batch.column("v"))
+                if cuts is not None:
+                    cell, radius = cuts.place(v), np.zeros(len(v))
+                else:
+                    d = _distances(v, centres)
+                    cell = d.argmin(1)
+                    radius = d[np.arange(len(d)), cell]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(radius)], ["sid", "v", "cell", "radius"])
 
     cells = materialize(src.mapInArrow(to_cell, f"sid {id_type}, v {v_type}, cell int, radius double"))
-    # At most one row per pivot.
-    stats = {r.cell: r for r in cells.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high")).collect()}
+    sides = [F.array(*[f(F.col("v")[j].cast("double")) for j in range(width)]) if boxed else f("radius") for f in (F.min, F.max)]
+    # At most one row per pivot or box.
+    stats = {r.cell: r for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), sides[0].alias("low"), sides[1].alias("high")).collect()}
     used = np.array(sorted(stats), dtype=np.int32)
     n, low, high = (np.array([stats[c][k] for c in used.tolist()]) for k in ("n", "low", "high"))
-    bag_of = _bags(centres[used], n, block_rows)
-    by_bag = bag_of.argsort(kind="stable")  # groups in the order of their bags
-    used, n, low, high, bag_of = (x[by_bag] for x in (used, n, low, high, bag_of))
-    held, starts = centres[used], np.flatnonzero(np.diff(bag_of, prepend=-1))
+    if boxed:
+        bag_of = np.arange(len(used), dtype=np.int32)
+        held = starts = None
+    else:
+        bag_of = _bags(centres[used], n, block_rows)
+        by_bag = bag_of.argsort(kind="stable")  # groups in the order of their bags
+        used, n, low, high, bag_of = (x[by_bag] for x in (used, n, low, high, bag_of))
+        held, starts = centres[used], np.flatnonzero(np.diff(bag_of, prepend=-1))
+
+    def own_of(v: np.ndarray) -> np.ndarray:
+        if cuts is not None:
+            return bag_of[np.minimum(np.searchsorted(used, cuts.place(v)), len(used) - 1)]
+        return bag_of[_distances(v, held).argmin(1)]
+
+    def needed(v: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Bags (columns) that can hold a source within reach, but for the own one."""
+        if cuts is not None:
+            gap = np.zeros((len(v), len(used)))
+            for j in range(width):
+                x = v[:, j, None]
+                gap += np.square(np.maximum(np.maximum(low[:, j] - x, x - high[:, j]), 0.0))
+            need = gap <= np.square(reach)[:, None]
+            need[np.arange(len(v)), own_of(v)] = False
+            return need
+        d = _distances(v, held)
+        need = np.logical_or.reduceat(np.maximum(d - high, low - d) <= reach[:, None], starts, axis=1)
+        need[np.arange(len(d)), bag_of[d.argmin(1)]] = False
+        return need
 
     def own_bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, len(whole), SLICE):
                 batch = whole.slice(a, SLICE)
-                bag = bag_of[_distances(_matrix(batch.column("v")), held).argmin(1)]
+                bag = own_of(_matrix(batch.column("v")))
                 yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("v"), pa.array(np.full(len(batch), np.inf)), pa.array(bag)],
                                                  ["tid", "v", "reach", "bag"])
 
@@ -151,15 +255,10 @@ def nearest_source(source: DataFrame, target: DataFrame, source_id: str, target_
         for whole in batches:
             for a in range(0, len(whole), SLICE):
                 batch = whole.slice(a, SLICE)
-                d = _distances(_matrix(batch.column("v")), held)
                 reach = batch.column("distance").to_numpy() * (1 + _SLACK) + _SLACK
-                need = np.logical_or.reduceat(np.maximum(d - high, low - d) <= reach[:, None], starts, axis=1)
-                need[np.arange(len(d)), bag_of[d.argmin(1)]] = False
-                for bag in np.flatnonzero(need.any(0)).tolist():
-                    row = np.flatnonzero(need[:, bag])
-                    sent = batch.select(["tid", "v"]).take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(reach[row]), pa.array(np.full(len(row), bag, np.int32))],
-                                                     ["tid", "v", "reach", "bag"])
+                row, bag = np.nonzero(needed(_matrix(batch.column("v")), reach))
+                sent = batch.select(["tid", "v"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(reach[row]), pa.array(bag.astype(np.int32))], ["tid", "v", "reach", "bag"])
 
     def block_minimum(s: pa.Table, t: pa.Table) -> pa.Table:
         tid, sid = t.column("tid"), s.column("sid")

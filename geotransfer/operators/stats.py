@@ -138,14 +138,19 @@ def drift_table(df: DataFrame, domain: str, source: str, features: Sequence[str]
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (),
-             distributed: bool | None = None) -> DataFrame:
-    """Rank correlation with average ties and its large-sample two-sided p value; NaN where a side is constant."""
+             distributed: bool | None = None, y_rank: str | None = None) -> DataFrame:
+    """Rank correlation with average ties and its large-sample two-sided p value; NaN where a side is constant.
+
+    ``y_rank`` names a column that holds the average ranks of ``y`` already, over the rows where both sides have a value.
+    """
     by = list(by)
-    pairs = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    given = [F.col(y_rank).alias("_ry")] if y_rank else []
+    pairs = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), *given)
     pairs = pairs.where(F.col("_x").isNotNull() & F.col("_y").isNotNull()
                         & ~F.isnan("_x") & ~F.isnan("_y"))
-    ranked = average_ranks(average_ranks(pairs, by, "_x", "_rx", distributed),
-                           by, "_y", "_ry", distributed)
+    ranked = average_ranks(pairs, by, "_x", "_rx", distributed)
+    if not y_rank:
+        ranked = average_ranks(ranked, by, "_y", "_ry", distributed)
     # Spark's corr divides by zero, an error in ANSI mode, where all values of a side are equal.
     spread = F.stddev_pop("_rx") * F.stddev_pop("_ry")
     rho = F.when(spread == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.covar_pop("_rx", "_ry"), spread))

@@ -3,11 +3,13 @@
 A step is one scan: each task sums gradient and Hessian of every fold's training rows in its own
 batch, the sums meet in one aggregate, and the driver solves one small system per fold. The loss
 is C times the summed log loss plus half the squared weights of the standardised features; the
-intercept is free. Standardising comes from the folds' second moments (one more scan).
+intercept is free. Standardising comes from the folds' second moments (one more scan), and so
+does the first step, which starts at zero weights.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geotransfer.operators.guards import safe_predictors
-from geotransfer.plans.moments import grouped_moments, matrix, total
+from geotransfer.plans.moments import Moments, grouped_moments, matrix, total
 from geotransfer.schemas import FOLD
 
 STEPS, TOLERANCE = 100, 1e-9
@@ -78,21 +80,30 @@ def _sums(df: DataFrame, cols: list[str], models: dict) -> dict:
     return out
 
 
+def _at_zero(m: Moments) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and Hessian at zero weights from the moments of the features and, last, the label."""
+    sd = m.sd()[:-1]
+    hessian = np.zeros((len(m.mean), len(m.mean)))
+    hessian[0, 0], hessian[1:, 1:] = m.n / 4, m.cross[:-1, :-1] / np.outer(sd, sd) / 4
+    return m.n * math.log(2), np.append(m.n * (0.5 - m.mean[-1]), -m.cross[:-1, -1] / sd), hessian
+
+
 def fit_folds(df: DataFrame, features: Sequence[str], label: str = "label", fold: str = FOLD, c: float = 1.0,
               steps: int = STEPS, tolerance: float = TOLERANCE) -> dict[int, LogisticFit]:
     """A model per fold, trained on all the other folds. ``tolerance`` bounds the gradient per training row."""
     cols = safe_predictors(features)
     data = df.select(F.col(fold).cast("bigint").alias("fold"), F.col(label).cast("double").alias("label"),
                      *[F.col(f).cast("double").alias(f) for f in cols])
-    groups = grouped_moments(data, cols, "fold")
+    groups = grouped_moments(data, [*cols, "label"], "fold")
     whole = total(groups)
     rest = {k: whole.minus(m) for k, m in groups.items()}
     penalty = np.append(0.0, np.full(len(cols), 1.0 / c))
     weights = {k: np.zeros(len(cols) + 1) for k in rest}
     move, loss, done, taken = {k: np.zeros(len(cols) + 1) for k in rest}, {}, {}, 0
     while len(done) < len(rest) and taken <= steps:
-        open_ = {k: (weights[k] + move[k], rest[k].mean, rest[k].sd()) for k in rest if k not in done}
-        for k, (value, gradient, hessian) in _sums(data, cols, open_).items():
+        open_ = {k: (weights[k] + move[k], rest[k].mean[:-1], rest[k].sd()[:-1]) for k in rest if k not in done}
+        found = _sums(data, cols, open_) if taken else {k: _at_zero(m) for k, m in rest.items()}
+        for k, (value, gradient, hessian) in found.items():
             tried = weights[k] + move[k]
             value += 0.5 * float(penalty @ tried ** 2)
             if k in loss and value > loss[k] + 1e-9 * abs(loss[k]):
@@ -107,8 +118,8 @@ def fit_folds(df: DataFrame, features: Sequence[str], label: str = "label", fold
         taken += 1
     if len(done) < len(rest):
         raise RuntimeError(f"no convergence within {steps} steps for folds {sorted(set(rest) - set(done))}")
-    return {k: LogisticFit(tuple(cols), tuple(map(float, weights[k])), tuple(map(float, rest[k].mean)),
-                           tuple(map(float, rest[k].sd())), *done[k]) for k in rest}
+    return {k: LogisticFit(tuple(cols), tuple(map(float, weights[k])), tuple(map(float, rest[k].mean[:-1])),
+                           tuple(map(float, rest[k].sd()[:-1])), *done[k]) for k in rest}
 
 
 def held_out(df: DataFrame, fits: dict[int, LogisticFit], fold: str = FOLD, out: str = "score") -> DataFrame:

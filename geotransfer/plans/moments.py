@@ -102,10 +102,10 @@ def grouped_moments(df: DataFrame, columns: Sequence[str], group: str) -> dict:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, key_type = {}, None
         for b in batches:
-            key_type, keys = b.column("key").type, b.column("key").to_pylist()
-            x = matrix(b, columns)
-            for key in dict.fromkeys(keys):
-                part = Moments.of(x[[k == key for k in keys]])
+            key_type, keys = b.column("key").type, b.column("key").dictionary_encode("encode")
+            x, at = matrix(b, columns), keys.indices.to_numpy()
+            for place, key in enumerate(keys.dictionary.to_pylist()):
+                part = Moments.of(x[at == place])
                 found[key] = found[key].plus(part) if key in found else part
         if found:
             yield emit(found, key_type, TaskContext.get().partitionId() % LANES)

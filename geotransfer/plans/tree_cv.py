@@ -11,11 +11,13 @@ training set. Held-out rows are scored whole.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geotransfer.operators.metrics import metric_columns
@@ -233,9 +235,9 @@ def few_shot(data: DataFrame, draws: DataFrame, features: Sequence[str], id_col:
 
 
 def over_representations(frames: dict[str, DataFrame], features: dict[str, Sequence[str]], run: Callable[..., DataFrame]) -> DataFrame:
-    """``run(frame, features)`` of every feature set, in one table with the set's name."""
-    out = None
-    for name, df in frames.items():
-        part = run(df, list(features[name])).withColumn("representation", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """``run(frame, features)`` of every feature set, in one table with the set's name. Jobs of the sets run beside each other."""
+    keeping = inheritable_thread_target(next(iter(frames.values())).sparkSession)
+    with ThreadPoolExecutor(min(4, len(frames))) as pool:
+        started = {name: pool.submit(keeping(run), df, list(features[name])) for name, df in frames.items()}
+        parts = [job.result().withColumn("representation", F.lit(name)) for name, job in started.items()]
+    return reduce(DataFrame.unionByName, parts)

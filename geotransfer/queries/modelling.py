@@ -273,6 +273,8 @@ def domain_shift_table(spark, sf):
     """Per feature set: AUROC of the domain classifier, PCA distance and variance kept, and the rank correlation of distance
     with the target's error, its p value and the MAE, in one row."""
     data = view(spark, sf, "foot").select("shot_number", "domain", "agbd", "prediction", *FEATURES)
+    data = domain_shift.folded(data, "domain", "source", "shot_number")
+    errors = domain_shift.ranked_errors(data, "domain", "source", "shot_number", "agbd", "prediction")
     sets = {"first": FEATURES[:1], "second": FEATURES[1:], "both": FEATURES}
     return tree_cv.over_representations(dict.fromkeys(sets, data), sets, lambda df, c: domain_shift.shift_row(
-        df, c, "domain", "source", "shot_number", "agbd", "prediction"))
+        df, c, "domain", "source", "shot_number", "agbd", "prediction", errors=errors))

@@ -140,6 +140,45 @@ def test_nearest_sends_a_target_to_bags_and_not_to_every_group(spark, monkeypatc
     assert len(visits) == 2 and sum(visits) <= 300 * 5
 
 
+def frames_of(spark, s, t):
+    """Sources in reverse, so that the smaller id of a tie comes last; ids are texts whose order is the number's."""
+    return (spark.createDataFrame([(f"{i:05d}", v.tolist()) for i, v in reversed(list(enumerate(s)))], "id string, v array<double>"),
+            spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(t)], "tid long, v array<double>"))
+
+
+def same_as_brute(got, s, t):
+    idx, dist = brute(s, t)
+    return len(got) == len(t) and all(int(r.nearest_id) == idx[r.tid] and r.distance == pytest.approx(dist[r.tid]) for r in got)
+
+
+def test_nearest_on_a_line_merges_equal_values(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    s = np.where(rng.random(3000) < 0.5, 7.0, rng.integers(-40, 40, 3000) / 4.0)[:, None]
+    t = np.concatenate([rng.integers(-90, 90, 500) / 8.0, [1e6, -1e6]])[:, None]
+    stored = []
+    monkeypatch.setattr(nearest, "materialize", lambda df, real=nearest.materialize: stored.append(real(df)) or stored[-1])
+    assert same_as_brute(nearest.nearest_source(*frames_of(spark, s, t), "id", "tid", "v").collect(), s, t)
+    assert max(df.count() for df in stored) <= len(np.unique(s)) + len(np.unique(t))
+    assert same_as_brute(nearest.nearest_source(*frames_of(spark, s[:1], t), "id", "tid", "v").collect(), s[:1], t)
+    with pytest.raises(ValueError, match="empty"):
+        nearest.nearest_source(*frames_of(spark, s[:0], t), "id", "tid", "v")
+
+
+@pytest.mark.parametrize("width", [2, 3])
+def test_nearest_of_narrow_vectors_visits_the_boxes_within_reach(spark, width, monkeypatch):
+    rng = np.random.default_rng(11)
+    s, t = rng.normal(size=(3000, width)), np.concatenate([rng.normal(size=(400, width)), np.full((1, width), 90.0)])
+    s[rng.random(3000) < 0.4] = 0.5  # one popular vector
+    stored = []
+    monkeypatch.setattr(nearest, "materialize", lambda df, real=nearest.materialize: stored.append(real(df)) or stored[-1])
+    assert same_as_brute(nearest.nearest_source(*frames_of(spark, s, t), "id", "tid", "v", block_rows=100).collect(), s, t)
+    boxes = next(df for df in stored if "radius" in df.columns).select("cell").distinct().count()
+    visits = [df.count() for df in stored if "v" in df.columns and "radius" not in df.columns]
+    assert boxes > 10 and visits[0] == 401 and visits[1] < 401 * 4
+    cuts = nearest._Cuts(np.full((50, width), 2.0), 8)
+    assert (cuts.place(np.zeros((3, width))) == 0).all()
+
+
 def test_closest_within_reach_is_brute_force():
     rng = np.random.default_rng(9)
     for width in (1, 2, 16):
